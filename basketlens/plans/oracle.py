@@ -146,3 +146,155 @@ ev AS (
   FROM m_events WHERE time BETWEEN {TS_START} AND {TS_END}),
 days AS (SELECT day, event, count(DISTINCT distinct_id) AS daily_users FROM ev GROUP BY 1, 2)
 """, "SELECT event, round(avg(daily_users), 6) AS avg_daily_users FROM days GROUP BY 1 ORDER BY 1")
+
+
+# --- Q8 / Q9: views per bag and bag likelihood ------------------------------
+VIEWS_PER_BAG_CTES = f"""
+event_counts AS (
+  SELECT distinct_id, CAST(CAST(time AS DATE) AS TIMESTAMP) AS day, {class_case(narrow=True)} AS event,
+    count(1) AS event_count
+  FROM m_events
+  WHERE time BETWEEN {TS_START} AND {TS_END} AND name IN ({VIEW_BAG})
+  GROUP BY 1, 2, 3),
+pivoted AS (
+  SELECT * FROM (PIVOT event_counts ON event IN ('product', 'bag', 'other') USING sum(event_count)
+                 GROUP BY distinct_id, day)),
+vpb AS (
+  SELECT distinct_id, day, CAST(product AS BIGINT) AS product, CAST(bag AS BIGINT) AS bag,
+    CASE WHEN bag > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS bag_indicator
+  FROM pivoted)
+"""
+
+
+@oracle("views_per_bag")
+def _views_per_bag():
+    return with_adapter(VIEWS_PER_BAG_CTES, "SELECT * FROM vpb")
+
+
+Z95 = "1.959963984540054"
+
+
+@oracle("bag_likelihood_by_views")
+def _bag_likelihood():
+    return with_adapter(VIEWS_PER_BAG_CTES + f""",
+g AS (
+  SELECT product AS views, avg(bag_indicator) AS m, count(bag_indicator) AS n, stddev_samp(bag_indicator) AS s
+  FROM vpb WHERE product IS NOT NULL AND bag_indicator IS NOT NULL GROUP BY 1)
+""", f"""SELECT views, round(m, 6) AS bag_likelihood, n, round(s, 6) AS std,
+  round(m - {Z95} * s / sqrt(n), 6) AS ci_low, round(m + {Z95} * s / sqrt(n), 6) AS ci_high
+FROM g ORDER BY views""")
+
+
+# --- Q6: page conversion by segment (literal form) ---------------------------
+PAGE_CONVERSION_CTES = f"""
+orders_c AS (
+  SELECT o.id AS order_id, max(o.completed_at) AS order_completed_at, max(o.number) AS order_number,
+    max(lower(o.email)) AS email
+  FROM m_orders o
+  WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0 AND o.completed_at IS NOT NULL
+  GROUP BY 1),
+email_to_distinct_raw AS (
+  SELECT lower(o.email) AS email, e.distinct_id
+  FROM orders_c o JOIN m_events e ON json_extract_string(e.properties, '$.order_number') = o.order_number
+  WHERE o.email IS NOT NULL
+  UNION ALL
+  SELECT lower(e.email) AS email, e.distinct_id FROM m_events e),
+owd AS (
+  SELECT o.order_id, etd.distinct_id, max(o.order_completed_at) AS order_completed_at
+  FROM orders_c o JOIN email_to_distinct_raw etd ON etd.email = o.email
+  GROUP BY 1, 2),
+liwd AS (
+  SELECT o.order_id, o.order_completed_at, o.distinct_id, v.product_id
+  FROM owd o JOIN m_line_items li ON li.order_id = o.order_id JOIN m_variants v ON v.id = li.variant_id),
+pc_events AS (
+  SELECT e.distinct_id, CAST(CAST(e.time AS DATE) AS TIMESTAMP) AS day, {class_case('e.name')} AS event,
+    CASE WHEN EXISTS (SELECT 1 FROM owd o WHERE o.distinct_id = e.distinct_id AND o.order_completed_at < e.time)
+         THEN 1.0 ELSE 0.0 END AS prior_transaction,
+    CASE WHEN EXISTS (SELECT 1 FROM liwd o WHERE o.distinct_id = e.distinct_id AND o.order_completed_at < e.time
+                        AND o.product_id = TRY_CAST(json_extract_string(e.properties, '$.product_id') AS INTEGER))
+         THEN 1.0 ELSE 0.0 END AS prior_transaction_same_product
+  FROM m_events e
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED})),
+user_day_event_counts AS (
+  SELECT distinct_id, day, event, 'all_users' AS segment, count(1) AS event_count FROM pc_events GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT distinct_id, day, event,
+    max(CASE WHEN prior_transaction > 0 THEN 'prior_transaction' ELSE 'no_prior_transaction' END) AS segment,
+    count(1) AS event_count
+  FROM pc_events GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT distinct_id, day, event,
+    max(CASE WHEN prior_transaction_same_product > 0 THEN 'prior_transaction_same_product'
+             ELSE 'no_prior_transaction_with_same_product' END) AS segment,
+    count(1) AS event_count
+  FROM pc_events WHERE event = 'product' GROUP BY 1, 2, 3),
+traffic_and_conversion_per_day AS (
+  SELECT ude.day, ude.event, ude.segment, count(DISTINCT ude.distinct_id) AS daily_users,
+    count(DISTINCT conversions.distinct_id) AS daily_converting_users
+  FROM user_day_event_counts ude
+    LEFT JOIN user_day_event_counts conversions
+      ON conversions.distinct_id = ude.distinct_id AND conversions.day = ude.day AND conversions.event = 'checkout'
+  GROUP BY 1, 2, 3),
+traffic_and_conversion AS (
+  SELECT event, segment, avg(daily_users) AS avg_daily_users,
+    avg(daily_converting_users) AS avg_daily_converting_users, count(1) AS days_counted,
+    avg(daily_converting_users) / avg(daily_users) AS avg_user_conversion_rate
+  FROM traffic_and_conversion_per_day GROUP BY 1, 2)
+"""
+
+
+@oracle("page_conversion")
+def _page_conversion():
+    return with_adapter(PAGE_CONVERSION_CTES, """
+SELECT event, segment, round(avg_daily_users, 6) AS avg_daily_users,
+  round(avg_daily_converting_users, 6) AS avg_daily_converting_users, days_counted,
+  round(avg_user_conversion_rate, 6) AS avg_user_conversion_rate
+FROM traffic_and_conversion ORDER BY 1, 2""")
+
+
+def _opportunity_values() -> str:
+    from basketlens.sources.literals import OPPORTUNITY_MAP
+    rows = []
+    for i, (s, p, o, seg, lift) in enumerate(OPPORTUNITY_MAP):
+        rows.append(f"({i}, {q([s])}, {q([p])}, {q([o])}, {q([seg])}, CAST({lift} AS DOUBLE))")
+    return "opp(ordinal, strategy, page, opportunity, segment, projected_lift) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@oracle("opportunity_sizes")
+def _opportunity_sizes():
+    return with_adapter(PAGE_CONVERSION_CTES + ",\n" + _opportunity_values(), """
+SELECT o.strategy, o.page, o.opportunity, o.segment, round(t.avg_daily_users, 6) AS avg_daily_users,
+  round(t.avg_user_conversion_rate, 6) AS avg_conversion_rate, round(o.projected_lift, 6) AS projected_lift,
+  round(t.avg_user_conversion_rate * o.projected_lift, 6) AS delta,
+  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift), 6) AS new_conversions_daily,
+  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0, 6) AS new_conversions_yearly,
+  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0 * 60.0, 6) AS new_revenue_yearly
+FROM opp o JOIN traffic_and_conversion t ON t.event = o.page AND t.segment = o.segment
+ORDER BY o.ordinal""")
+
+
+# --- Q2: classified events of chosen customers ---------------------------------
+VALID_ORDER = "is_deleted = false AND state = 'complete' AND environment = 0 AND completed_at IS NOT NULL"
+EXPORT_EMAILS = f"SELECT DISTINCT lower(email) AS email FROM m_orders WHERE {VALID_ORDER} AND email IS NOT NULL"
+
+DISTINCT_TO_EMAIL = """
+distinct_to_email AS (
+  SELECT DISTINCT lower(o.email) AS email, e.distinct_id
+  FROM m_orders o JOIN m_events e ON json_extract_string(e.properties, '$.order_number') = o.number
+  WHERE o.email IS NOT NULL)
+"""
+
+
+@oracle("classified_events")
+def _classified_events():
+    return with_adapter(DISTINCT_TO_EMAIL + f""",
+ev AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email,
+    CASE WHEN trim(e.os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform,
+    e.time AS time, e.name
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED})),
+users AS ({EXPORT_EMAILS})
+""", f"""SELECT coalesce(email, '') AS email, coalesce(platform, '') AS platform, time,
+  coalesce({path_case('name')}, '') AS name
+FROM ev WHERE email IS NOT NULL AND email IN (SELECT email FROM users)""")

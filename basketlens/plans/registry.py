@@ -51,3 +51,38 @@ def model(spark: SparkSession, sf_dir: str):
 def q_mean_daily_users(spark, sf_dir):
     m = model(spark, sf_dir)
     return rounded(traffic.mean_daily_users(m.events, *td.EVENT_WINDOW))
+
+
+@register("views_per_bag")
+def q_views_per_bag(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return rounded(traffic.views_per_bag(m.events, *td.EVENT_WINDOW))
+
+
+@register("bag_likelihood_by_views")
+def q_bag_likelihood(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return rounded(traffic.bag_likelihood_by_views(m.events, *td.EVENT_WINDOW))
+
+
+@register("page_conversion")
+def q_page_conversion(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return rounded(traffic.page_conversion(m.orders, m.line_items, m.variants, m.events, *td.EVENT_WINDOW))
+
+
+@register("opportunity_sizes")
+def q_opportunity_sizes(spark, sf_dir):
+    from basketlens.plans.reports import opportunity_sizes
+    m = model(spark, sf_dir)
+    conv = traffic.page_conversion(m.orders, m.line_items, m.variants, m.events, *td.EVENT_WINDOW)
+    return rounded(opportunity_sizes(conv, aov=60.0))
+
+
+@register("classified_events")
+def q_classified_events(spark, sf_dir):
+    from basketlens.functions.coerce import coerce_types, rename_fields
+    from basketlens.schemas import CUSTOMER_EXPORT_RENAMES
+    m = model(spark, sf_dir)
+    users = rename_fields(m.customer_export, CUSTOMER_EXPORT_RENAMES).select("email")
+    return traffic.classified_events(m.orders, m.events, users, *td.EVENT_WINDOW)
