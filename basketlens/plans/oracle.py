@@ -130,9 +130,19 @@ def with_adapter(body_ctes: str, final: str) -> str:
 ORACLE: dict[str, str] = {}
 
 
+
+
+
+def expand_rounding(sql: str) -> str:
+    """``__R6__(x)__R6END__`` marks a computed double rounded as on the Spark side."""
+    return (sql.replace("__R6__(", "(floor(CAST((")
+               .replace(")__R6END__", ") AS DOUBLE) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+                                      " / CAST(1e6 AS DOUBLE) + CAST(0.0 AS DOUBLE))"))
+
+
 def oracle(name: str):
     def deco(fn):
-        ORACLE[name] = fn()
+        ORACLE[name] = expand_rounding(fn())
         return fn
     return deco
 
@@ -145,7 +155,7 @@ ev AS (
   SELECT distinct_id, CAST(CAST(time AS DATE) AS TIMESTAMP) AS day, {class_case()} AS event
   FROM m_events WHERE time BETWEEN {TS_START} AND {TS_END}),
 days AS (SELECT day, event, count(DISTINCT distinct_id) AS daily_users FROM ev GROUP BY 1, 2)
-""", "SELECT event, round(avg(daily_users), 6) AS avg_daily_users FROM days GROUP BY 1 ORDER BY 1")
+""", "SELECT event, __R6__(avg(daily_users))__R6END__ AS avg_daily_users FROM days GROUP BY 1 ORDER BY 1")
 
 
 # --- Q8 / Q9: views per bag and bag likelihood ------------------------------
@@ -180,8 +190,8 @@ def _bag_likelihood():
 g AS (
   SELECT product AS views, avg(bag_indicator) AS m, count(bag_indicator) AS n, stddev_samp(bag_indicator) AS s
   FROM vpb WHERE product IS NOT NULL AND bag_indicator IS NOT NULL GROUP BY 1)
-""", f"""SELECT views, round(m, 6) AS bag_likelihood, n, round(s, 6) AS std,
-  round(m - {Z95} * s / sqrt(n), 6) AS ci_low, round(m + {Z95} * s / sqrt(n), 6) AS ci_high
+""", f"""SELECT views, __R6__(m)__R6END__ AS bag_likelihood, n, __R6__(s)__R6END__ AS std,
+  __R6__(m - {Z95} * s / sqrt(n))__R6END__ AS ci_low, __R6__(m + {Z95} * s / sqrt(n))__R6END__ AS ci_high
 FROM g ORDER BY views""")
 
 
@@ -246,9 +256,9 @@ traffic_and_conversion AS (
 @oracle("page_conversion")
 def _page_conversion():
     return with_adapter(PAGE_CONVERSION_CTES, """
-SELECT event, segment, round(avg_daily_users, 6) AS avg_daily_users,
-  round(avg_daily_converting_users, 6) AS avg_daily_converting_users, days_counted,
-  round(avg_user_conversion_rate, 6) AS avg_user_conversion_rate
+SELECT event, segment, __R6__(avg_daily_users)__R6END__ AS avg_daily_users,
+  __R6__(avg_daily_converting_users)__R6END__ AS avg_daily_converting_users, days_counted,
+  __R6__(avg_user_conversion_rate)__R6END__ AS avg_user_conversion_rate
 FROM traffic_and_conversion ORDER BY 1, 2""")
 
 
@@ -263,12 +273,12 @@ def _opportunity_values() -> str:
 @oracle("opportunity_sizes")
 def _opportunity_sizes():
     return with_adapter(PAGE_CONVERSION_CTES + ",\n" + _opportunity_values(), """
-SELECT o.strategy, o.page, o.opportunity, o.segment, round(t.avg_daily_users, 6) AS avg_daily_users,
-  round(t.avg_user_conversion_rate, 6) AS avg_conversion_rate, round(o.projected_lift, 6) AS projected_lift,
-  round(t.avg_user_conversion_rate * o.projected_lift, 6) AS delta,
-  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift), 6) AS new_conversions_daily,
-  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0, 6) AS new_conversions_yearly,
-  round(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0 * 60.0, 6) AS new_revenue_yearly
+SELECT o.strategy, o.page, o.opportunity, o.segment, __R6__(t.avg_daily_users)__R6END__ AS avg_daily_users,
+  __R6__(t.avg_user_conversion_rate)__R6END__ AS avg_conversion_rate, __R6__(o.projected_lift)__R6END__ AS projected_lift,
+  __R6__(t.avg_user_conversion_rate * o.projected_lift)__R6END__ AS delta,
+  __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift))__R6END__ AS new_conversions_daily,
+  __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0)__R6END__ AS new_conversions_yearly,
+  __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0 * 60.0)__R6END__ AS new_revenue_yearly
 FROM opp o JOIN traffic_and_conversion t ON t.event = o.page AND t.segment = o.segment
 ORDER BY o.ordinal""")
 
@@ -298,3 +308,104 @@ users AS ({EXPORT_EMAILS})
 """, f"""SELECT coalesce(email, '') AS email, coalesce(platform, '') AS platform, time,
   coalesce({path_case('name')}, '') AS name
 FROM ev WHERE email IS NOT NULL AND email IN (SELECT email FROM users)""")
+
+
+# --- Q1: order facts (literal form: window row_number, EXISTS self-probe) -------
+def _sale_case(col: str) -> str:
+    return "CASE WHEN " + " OR ".join(f"{col} ILIKE '{p}'" for p in td.SALE_PATTERNS) + " THEN 1.0 ELSE 0.0 END"
+
+
+ORDER_FACTS_CTES = f"""
+preorders AS (
+  SELECT o.id AS order_id, max(lower(o.email)) AS email, max(o.completed_at) AS order_completed_at,
+    max(o.number) AS order_number, max(o.item_total) AS item_total, max(o.user_id) AS user_id,
+    max(o.adjustment_total) AS adjustment_total
+  FROM m_orders o
+  WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0
+    AND o.email NOT LIKE '{td.STAFF_PATTERN}' AND o.completed_at IS NOT NULL
+  GROUP BY 1),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY order_completed_at, order_id) AS order_index,
+    CAST(CASE WHEN user_id IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_guest
+  FROM preorders),
+of_lines AS (
+  SELECT li.variant_id, li.order_id, max(o.email) AS email, max(o.is_guest) AS is_guest,
+    max(o.adjustment_total) AS order_adjustment_total, max(o.order_number) AS order_number,
+    max(p.id) AS product_id, max(o.order_completed_at) AS order_completed_at, max(o.item_total) AS item_total,
+    max(o.order_index) AS order_index, max(li.created_at) AS line_item_created_at, max(li.price) AS price,
+    max(li.quantity) AS quantity, max(li.cost_price) AS total,
+    max(CAST({_sale_case('p.name')} AS DOUBLE)) AS is_sale_item
+  FROM m_line_items li
+    LEFT JOIN m_variants v ON li.variant_id = v.id
+    LEFT JOIN m_products p ON v.product_id = p.id
+    INNER JOIN numbered o ON li.order_id = o.order_id
+  WHERE (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
+    AND li.is_deleted = false AND v.is_deleted = false AND p.is_deleted = false
+  GROUP BY 1, 2),
+of_orders AS (
+  SELECT order_id, max(email) AS email, max(is_guest) AS is_guest, max(order_number) AS order_number,
+    max(order_index) AS order_index, max(order_completed_at) AS order_completed_at,
+    min(line_item_created_at) AS min_line_item_created_at, max(line_item_created_at) AS max_line_item_created_at,
+    sum(quantity) AS units, count(DISTINCT product_id) AS products, count(1) AS line_items,
+    max(item_total) AS item_total, max(order_adjustment_total) AS adjustment_total,
+    max(is_sale_item) AS has_sale_item,
+    sum(CASE WHEN is_sale_item > 0.0 THEN item_total ELSE 0.0 END) AS sale_total
+  FROM of_lines GROUP BY 1),
+common_line_items AS (
+  SELECT new.order_id, count(DISTINCT new.product_id) AS common_products, sum(new.quantity) AS common_units,
+    sum(new.price) AS common_total
+  FROM of_lines new
+  WHERE EXISTS (SELECT 1 FROM of_lines old
+                WHERE new.email = old.email AND new.order_id != old.order_id
+                  AND new.product_id = old.product_id AND new.order_index > old.order_index)
+  GROUP BY 1),
+of_t AS (
+  SELECT o.order_id, coalesce(o.email, '') AS email, CAST(o.is_guest AS DOUBLE) AS is_guest,
+    coalesce(o.order_number, '') AS order_number, CAST(o.order_index AS DOUBLE) AS order_index,
+    o.order_completed_at, o.min_line_item_created_at, o.max_line_item_created_at,
+    CAST(o.units AS DOUBLE) AS units, CAST(o.products AS DOUBLE) AS products,
+    CAST(o.line_items AS DOUBLE) AS line_items, CAST(o.item_total AS DOUBLE) AS item_total,
+    CAST(o.adjustment_total AS DOUBLE) AS adjustment_total, CAST(o.has_sale_item AS DOUBLE) AS has_sale_item,
+    CAST(o.sale_total AS DOUBLE) AS sale_total,
+    CAST(coalesce(cli.common_products, 0.0) AS DOUBLE) AS common_products,
+    CAST(coalesce(cli.common_units, 0.0) AS DOUBLE) AS common_units,
+    CAST(coalesce(cli.common_total, 0.0) AS DOUBLE) AS common_total
+  FROM of_orders o LEFT JOIN common_line_items cli ON o.order_id = cli.order_id),
+order_facts AS (
+  SELECT *,
+    common_products / nullif(products, 0) * 100.0 AS common_products_ratio,
+    common_units / nullif(units, 0) * 100.0 AS common_units_ratio,
+    common_total / nullif(item_total, 0) * 100.0 AS common_total_ratio,
+    CASE WHEN order_index >= 2 AND order_index < 3 THEN '2' WHEN order_index >= 3 AND order_index < 4 THEN '3'
+         WHEN order_index >= 4 AND order_index < 5 THEN '4' WHEN order_index >= 5 AND order_index < 100 THEN '5+'
+    END AS order_index_bucket,
+    CAST(CASE WHEN order_index > 1.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_repeat,
+    (CASE WHEN adjustment_total > 0.0 THEN 0.0 ELSE abs(adjustment_total) END) / nullif(item_total, 0) * 100.0
+      AS discount_percentage,
+    CAST(order_completed_at AS DATE) AS order_date,
+    CAST(date_trunc('month', order_completed_at) AS DATE) AS order_month
+  FROM of_t)
+"""
+
+ORDER_FACT_DOUBLES = ["is_guest", "order_index", "units", "products", "line_items", "item_total",
+                      "adjustment_total", "has_sale_item", "sale_total", "common_products", "common_units",
+                      "common_total", "common_products_ratio", "common_units_ratio", "common_total_ratio",
+                      "is_repeat", "discount_percentage"]
+
+
+def rounded_select(cols_all: list[str], doubles: list[str], source: str) -> str:
+    parts = [f"__R6__({c})__R6END__ AS {c}" if c in doubles else c for c in cols_all]
+    return f"SELECT {', '.join(parts)} FROM {source}"
+
+
+ORDER_FACT_COLUMNS = ["order_id", "email", "is_guest", "order_number", "order_index", "order_completed_at",
+                      "min_line_item_created_at", "max_line_item_created_at", "units", "products", "line_items",
+                      "item_total", "adjustment_total", "has_sale_item", "sale_total", "common_products",
+                      "common_units", "common_total", "common_products_ratio", "common_units_ratio",
+                      "common_total_ratio", "order_index_bucket", "is_repeat", "discount_percentage",
+                      "order_date", "order_month"]
+
+
+@oracle("order_facts")
+def _order_facts():
+    return with_adapter(ORDER_FACTS_CTES, rounded_select(ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES, "order_facts"))

@@ -31,7 +31,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name))
+            # floor(x*10^p + 0.5)/10^p: the same IEEE steps as the oracle, so equal
+            # doubles always round equally (no decimal-string half-up rounding).
+            scale = float(10 ** places)
+            cols.append((F.floor(F.col(f.name) * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0))
+                        .alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -86,3 +90,15 @@ def q_classified_events(spark, sf_dir):
     m = model(spark, sf_dir)
     users = rename_fields(m.customer_export, CUSTOMER_EXPORT_RENAMES).select("email")
     return traffic.classified_events(m.orders, m.events, users, *td.EVENT_WINDOW)
+
+
+def order_facts_of(spark, sf_dir):
+    from basketlens.operators.orders import order_facts
+    m = model(spark, sf_dir)
+    return order_facts(m.orders, m.line_items, m.variants, m.products,
+                       staff_pattern=td.STAFF_PATTERN, sale_patterns=td.SALE_PATTERNS)
+
+
+@register("order_facts")
+def q_order_facts(spark, sf_dir):
+    return rounded(order_facts_of(spark, sf_dir))
