@@ -248,7 +248,7 @@ traffic_and_conversion_per_day AS (
 traffic_and_conversion AS (
   SELECT event, segment, avg(daily_users) AS avg_daily_users,
     avg(daily_converting_users) AS avg_daily_converting_users, count(1) AS days_counted,
-    avg(daily_converting_users) / avg(daily_users) AS avg_user_conversion_rate
+    avg(daily_converting_users) / nullif(avg(daily_users), 0) AS avg_user_conversion_rate
   FROM traffic_and_conversion_per_day GROUP BY 1, 2)
 """
 
@@ -409,3 +409,219 @@ ORDER_FACT_COLUMNS = ["order_id", "email", "is_guest", "order_number", "order_in
 @oracle("order_facts")
 def _order_facts():
     return with_adapter(ORDER_FACTS_CTES, rounded_select(ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES, "order_facts"))
+
+
+# --- Q3: visit stats (literal form: row_number + consecutive self-joins) -----------
+VISIT_STATS_CTES = DISTINCT_TO_EMAIL + """,
+indexed_transactions AS (
+  SELECT o.id AS order_id, lower(o.email) AS email, o.completed_at,
+    row_number() OVER (PARTITION BY o.email ORDER BY o.completed_at, o.id) AS user_transaction_index
+  FROM m_orders o WHERE o.environment = 0 AND o.completed_at IS NOT NULL),
+time_between_transactions AS (
+  SELECT one.email, avg(date_diff('day', one.completed_at, two.completed_at)) AS avg_days_between_orders,
+    min(date_diff('day', one.completed_at, two.completed_at)) AS min_days_between_orders,
+    max(date_diff('day', one.completed_at, two.completed_at)) AS max_days_between_orders
+  FROM indexed_transactions one JOIN indexed_transactions two
+    ON one.email = two.email AND one.user_transaction_index + 1 = two.user_transaction_index
+  GROUP BY 1),
+visit_days AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email, date_trunc('day', e.time) AS visit_day
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  GROUP BY 1, 2),
+visit_days_indexed AS (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY visit_day) AS user_visit_index FROM visit_days),
+time_between_visits AS (
+  SELECT one.email, avg(date_diff('day', one.visit_day, two.visit_day)) AS avg_days_between_visits,
+    min(date_diff('day', one.visit_day, two.visit_day)) AS min_days_between_visits,
+    max(date_diff('day', one.visit_day, two.visit_day)) AS max_days_between_visits
+  FROM visit_days_indexed one JOIN visit_days_indexed two
+    ON one.email = two.email AND one.user_visit_index + 1 = two.user_visit_index
+  GROUP BY 1),
+vs_users AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email, min(e.time) AS min_visit_time, max(e.time) AS max_visit_time,
+    count(DISTINCT date_trunc('day', e.time)) AS visit_days
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  GROUP BY 1),
+with_retained_days AS (
+  SELECT *, date_diff('day', min_visit_time, max_visit_time) AS days_retained,
+    CAST(date_diff('day', min_visit_time, max_visit_time) AS DOUBLE) / visit_days AS days_retained_per_visit
+  FROM vs_users),
+vs AS (
+  SELECT r.email, r.min_visit_time, r.max_visit_time, r.visit_days, r.days_retained, r.days_retained_per_visit,
+    tbt.avg_days_between_orders, tbt.min_days_between_orders, tbt.max_days_between_orders,
+    tbv.avg_days_between_visits, tbv.min_days_between_visits, tbv.max_days_between_visits
+  FROM with_retained_days r
+    LEFT JOIN time_between_transactions tbt ON tbt.email = r.email
+    LEFT JOIN time_between_visits tbv ON tbv.email = r.email)
+"""
+
+
+@oracle("visit_stats")
+def _visit_stats():
+    return with_adapter(VISIT_STATS_CTES, """
+SELECT email, min_visit_time, max_visit_time, visit_days, days_retained,
+  __R6__(days_retained_per_visit)__R6END__ AS days_retained_per_visit,
+  __R6__(avg_days_between_orders)__R6END__ AS avg_days_between_orders, min_days_between_orders, max_days_between_orders,
+  __R6__(avg_days_between_visits)__R6END__ AS avg_days_between_visits, min_days_between_visits, max_days_between_visits
+FROM vs""")
+
+
+# --- Q4: first-order divisions (literal form: nth_order window, left joins) -------
+FIRST_ORDER_CTES = f"""
+line_item_filtered_orders AS (
+  SELECT DISTINCT lower(o.email) AS email, o.id, o.completed_at
+  FROM m_line_items li
+    LEFT JOIN m_variants v ON li.variant_id = v.id
+    LEFT JOIN m_products p ON v.product_id = p.id
+    LEFT JOIN m_orders o ON li.order_id = o.id
+  WHERE (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
+    AND o.state = 'complete' AND o.environment = 0
+    AND li.is_deleted = false AND v.is_deleted = false AND p.is_deleted = false AND o.is_deleted = false),
+nth_order AS (
+  SELECT f.*, row_number() OVER (PARTITION BY lower(f.email) ORDER BY f.completed_at ASC NULLS LAST, f.id)
+    AS nth_order
+  FROM line_item_filtered_orders f),
+first_order_product_info AS (
+  SELECT DISTINCT lower(o.email) AS email, p.name AS name, pm.division AS division
+  FROM m_line_items li
+    LEFT JOIN m_orders o ON li.order_id = o.id AND o.is_deleted = false
+    LEFT JOIN m_variants v ON li.variant_id = v.id AND v.is_deleted = false
+    LEFT JOIN m_products p ON v.product_id = p.id AND p.is_deleted = false
+    LEFT JOIN nth_order n ON o.id = n.id
+    LEFT JOIN m_product_map pm ON left(v.sku, 6) = pm.style_code
+  WHERE o.state = 'complete' AND (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
+    AND li.is_deleted = false AND o.environment = 0 AND n.nth_order = 1),
+fod AS (
+  SELECT email, coalesce(string_agg(DISTINCT division, '|' ORDER BY division), '') AS first_order_division
+  FROM first_order_product_info GROUP BY 1)
+"""
+
+
+@oracle("first_order_divisions")
+def _first_order_divisions():
+    return with_adapter(FIRST_ORDER_CTES, "SELECT * FROM fod ORDER BY email NULLS LAST")
+
+
+@oracle("variant_facts")
+def _variant_facts():
+    return with_adapter("", """
+SELECT ovv.variant_id,
+  coalesce(string_agg(CASE WHEN ov.option_type_id = 9 THEN ov.name END, ' | ' ORDER BY ov.name), '') AS size,
+  coalesce(string_agg(CASE WHEN ov.option_type_id = 2 THEN ov.name END, ' | ' ORDER BY ov.name), '') AS color
+FROM m_option_values_variants ovv
+  LEFT JOIN m_option_values ov ON ovv.option_value_id = ov.id AND ov.is_deleted = false
+WHERE ovv.is_deleted = false
+GROUP BY 1""")
+
+
+# --- Q5: customer facts ----------------------------------------------------------------
+def _list_emails(where: str) -> str:
+    raw = f"concat(' Cust', CAST(c_custkey AS VARCHAR), '@', {_dom('c_custkey')}, ' ')"
+    return f"SELECT DISTINCT lower(trim({raw})) AS email FROM customer WHERE {where}"
+
+
+def _cut(col: str, edges, labels, open_top: bool) -> str:
+    parts = []
+    for i, lab in enumerate(labels):
+        lo = edges[i]
+        hi = None if (open_top and i == len(labels) - 1) else edges[i + 1]
+        cond = f"{col} >= {lo}" + (f" AND {col} < {hi}" if hi is not None else "")
+        parts.append(f"WHEN {cond} THEN '{lab}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _customer_ctes() -> str:
+    from basketlens.functions import buckets as B
+    probs = ", ".join(f"{i / 10}" for i in range(11))
+    return VISIT_STATS_CTES + ",\n" + FIRST_ORDER_CTES + f""",
+cf_export AS (
+  SELECT lower(o.email) AS email, CAST(CAST(min(o.completed_at) AS DATE) AS TIMESTAMP) AS first_order_date,
+    round(sum(o.item_total), 2) AS lifetime_gpr, CAST(count(o.id) AS DOUBLE) AS lifetime_orders,
+    CAST(coalesce(sum(u.units), 0) AS DOUBLE) AS lifetime_units
+  FROM m_orders o
+    LEFT JOIN (SELECT order_id, sum(quantity) AS units FROM m_line_items WHERE is_deleted = false GROUP BY 1) u
+      ON o.id = u.order_id
+  WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0 AND o.completed_at IS NOT NULL
+    AND o.email IS NOT NULL
+  GROUP BY 1),
+cf_joined AS (
+  SELECT e.*, vs.min_visit_time, vs.max_visit_time, vs.visit_days,
+    CASE WHEN vs.days_retained < 1 THEN 1.0 ELSE CAST(vs.days_retained AS DOUBLE) END AS days_retained,
+    CASE WHEN vs.days_retained_per_visit < 1 THEN 1.0 ELSE vs.days_retained_per_visit END AS days_retained_per_visit,
+    vs.avg_days_between_orders, vs.min_days_between_orders, vs.max_days_between_orders,
+    vs.avg_days_between_visits, vs.min_days_between_visits, vs.max_days_between_visits
+  FROM cf_export e LEFT JOIN vs ON vs.email = e.email),
+cf_ret AS (
+  SELECT *,
+    CASE WHEN days_retained >= 90.0 THEN days_retained / 90.0 ELSE 1.0 END AS quarters_retained,
+    lifetime_orders / (CASE WHEN days_retained >= 90.0 THEN days_retained / 90.0 ELSE 1.0 END) AS orders_per_quarter,
+    CASE WHEN days_retained >= 365.0 THEN days_retained / 365.0 ELSE 1.0 END AS years_retained,
+    lifetime_orders / (CASE WHEN days_retained >= 365.0 THEN days_retained / 365.0 ELSE 1.0 END) AS orders_per_year
+  FROM cf_joined),
+cf_fod AS (
+  SELECT email, regexp_replace(first_order_division, '\\|unknown', '', 'g') AS first_order_division
+  FROM fod),
+cf_div AS (
+  SELECT r.*, f.first_order_division,
+    CASE WHEN f.email IS NULL THEN NULL
+         WHEN f.first_order_division IN ('baby', 'baby|kids') THEN 1.0 ELSE 0.0 END AS first_order_has_baby,
+    CASE WHEN f.email IS NULL THEN NULL
+         WHEN f.first_order_division IN ('kids', 'baby|kids') THEN 1.0 ELSE 0.0 END AS first_order_has_kids
+  FROM cf_ret r LEFT JOIN cf_fod f ON f.email = r.email),
+cf_lists AS (
+  SELECT d.*,
+    CASE WHEN d.email IN ({_list_emails("c_mktsegment = 'BUILDING'")}) THEN 1.0 ELSE 0.0 END AS is_picks_buyer,
+    CASE WHEN d.email IN ({_list_emails("c_acctbal > 5000")}) THEN 1.0 ELSE 0.0 END AS is_picks_waitlist,
+    CASE WHEN d.email IN ({_list_emails("c_nationkey % 5 = 0")}) THEN 1.0 ELSE 0.0 END AS is_marketing_opt_out
+  FROM cf_div d),
+cf_freq AS (
+  SELECT *, days_retained * 1.0 / nullif(lifetime_orders, 0) AS order_frequency,
+    CAST(date_trunc('month', first_order_date) AS TIMESTAMP) AS first_order_month,
+    lifetime_gpr / nullif(lifetime_orders, 0) AS lifetime_aov
+  FROM cf_lists),
+cf_edges AS (
+  SELECT list_sort(list_distinct(list_transform(quantile_cont(lifetime_orders, [{probs}]), lambda x: round(x, 9))))
+    AS edges
+  FROM cf_freq),
+customer_facts AS (
+  SELECT f.*,
+    CASE WHEN f.lifetime_orders IS NULL THEN NULL
+         ELSE greatest(len(list_filter(c.edges, lambda e: e < f.lifetime_orders)) - 1, 0) END AS lifetime_orders_decile,
+    {_cut('f.lifetime_orders', B.LIFETIME_ORDERS_EDGES, B.LIFETIME_ORDERS_LABELS, True)} AS lifetime_orders_bucket,
+    {_cut('f.lifetime_aov', B.AOV_EDGES, B.AOV_LABELS, True)} AS lifetime_aov_bucket,
+    {_cut('f.orders_per_quarter', B.ORDERS_PER_QUARTER_EDGES, B.ORDERS_PER_QUARTER_LABELS, True)}
+      AS orders_per_quarter_bucket
+  FROM cf_freq f CROSS JOIN cf_edges c)
+"""
+
+
+CUSTOMER_COLUMNS = {
+    "email": "str", "first_order_date": "ts", "lifetime_gpr": "d", "lifetime_orders": "d", "lifetime_units": "d",
+    "min_visit_time": "ts", "max_visit_time": "ts", "visit_days": "i", "days_retained": "d",
+    "days_retained_per_visit": "d", "avg_days_between_orders": "d", "min_days_between_orders": "d",
+    "max_days_between_orders": "d", "avg_days_between_visits": "d", "min_days_between_visits": "d",
+    "max_days_between_visits": "d", "quarters_retained": "d", "orders_per_quarter": "d", "years_retained": "d",
+    "orders_per_year": "d", "first_order_division": "s", "first_order_has_baby": "d",
+    "first_order_has_kids": "d", "is_picks_buyer": "d", "is_picks_waitlist": "d", "is_marketing_opt_out": "d",
+    "order_frequency": "d", "first_order_month": "ts", "lifetime_aov": "d", "lifetime_orders_decile": "i",
+    "lifetime_orders_bucket": "s", "lifetime_aov_bucket": "s", "orders_per_quarter_bucket": "s",
+}
+
+
+def customer_select(source: str = "customer_facts") -> str:
+    parts = []
+    for c, k in CUSTOMER_COLUMNS.items():
+        if k == "d":
+            parts.append(f"__R6__({c})__R6END__ AS {c}")
+        elif k == "i":
+            parts.append(f"CAST({c} AS BIGINT) AS {c}")
+        elif k == "str":
+            parts.append(f"coalesce({c}, '') AS {c}")
+        else:
+            parts.append(c)
+    return f"SELECT {', '.join(parts)} FROM {source}"
+
+
+@oracle("customer_facts")
+def _customer_facts():
+    return with_adapter(_customer_ctes(), customer_select())

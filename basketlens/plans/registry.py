@@ -102,3 +102,44 @@ def order_facts_of(spark, sf_dir):
 @register("order_facts")
 def q_order_facts(spark, sf_dir):
     return rounded(order_facts_of(spark, sf_dir))
+
+
+def visit_stats_of(spark, sf_dir):
+    from basketlens.operators.customers import visit_stats
+    m = model(spark, sf_dir)
+    return visit_stats(m.orders, m.events)
+
+
+def first_divisions_of(spark, sf_dir):
+    from basketlens.operators.customers import first_order_divisions
+    m = model(spark, sf_dir)
+    return first_order_divisions(m.orders, m.line_items, m.variants, m.products, m.product_map)
+
+
+def customer_facts_of(spark, sf_dir):
+    from basketlens.operators.customers import customer_facts
+    m = model(spark, sf_dir)
+    return customer_facts(m.customer_export, visit_stats_of(spark, sf_dir), first_divisions_of(spark, sf_dir),
+                          m.user_lists)
+
+
+@register("visit_stats")
+def q_visit_stats(spark, sf_dir):
+    return rounded(visit_stats_of(spark, sf_dir))
+
+
+@register("first_order_divisions")
+def q_first_order_divisions(spark, sf_dir):
+    return first_divisions_of(spark, sf_dir)
+
+
+@register("variant_facts")
+def q_variant_facts(spark, sf_dir):
+    from basketlens.operators.customers import variant_facts
+    m = model(spark, sf_dir)
+    return variant_facts(m.option_values_variants, m.option_values)
+
+
+@register("customer_facts")
+def q_customer_facts(spark, sf_dir):
+    return rounded(customer_facts_of(spark, sf_dir))
