@@ -15,6 +15,7 @@ from basketlens.functions.coerce import coerce_types, rename_fields
 from basketlens.operators.identity import email_to_distinct
 from basketlens.operators.sequence import sequence_number
 from basketlens.schemas import CUSTOMER_EXPORT_RENAMES, USER_TYPES
+from basketlens.session import cut_lineage
 
 
 def _days(a, b):
@@ -190,7 +191,9 @@ def customer_facts(export: DataFrame, visits: DataFrame, first_divisions: DataFr
                   .withColumn("first_order_month", F.trunc(F.col("first_order_date").cast("date"), "MM")
                               .cast("timestamp_ntz"))
                   .withColumn("lifetime_aov", X.safe_div("lifetime_gpr", "lifetime_orders")))
-    users = qcut_codes(users, "lifetime_orders", "lifetime_orders_decile", 10)
+    # The decile pass reads the table three times (positions, count, join
+    # back): materialise it once instead of recomputing the joins above.
+    users = qcut_codes(cut_lineage(users), "lifetime_orders", "lifetime_orders_decile", 10)
     users = users.select(
         "*",
         bucketize("lifetime_orders", LIFETIME_ORDERS_EDGES, LIFETIME_ORDERS_LABELS, True)

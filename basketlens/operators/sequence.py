@@ -140,9 +140,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str
                 .withColumn("_k", F.col("prob") * (F.col("_n") - 1))
                 .withColumn("_lo", F.floor("_k") + 1).withColumn("_hi", F.ceil("_k") + 1)
                 .withColumn("_frac", F.col("_k") - F.floor("_k")))
-    t = F.broadcast(targets)
-    lo = pos.join(t, pos._pos == t._lo).select("prob", "_frac", F.col("_x").alias("_xlo"))
-    hi = pos.join(t, pos._pos == t._hi).select(F.col("prob").alias("_p2"), F.col("_x").alias("_xhi"))
-    out = lo.join(hi, lo.prob == hi._p2)
+    # One probe of the positions for both neighbours of every target rank.
+    ranks = targets.select("prob", "_frac", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("rank")),
+        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("rank")))).alias("r"))
+    ranks = ranks.select("prob", "_frac", "r.side", "r.rank")
+    hit = pos.join(F.broadcast(ranks), pos._pos == ranks.rank)
+    out = hit.groupBy("prob").agg(F.max("_frac").alias("_frac"),
+                                  F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_xlo"),
+                                  F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_xhi"))
     val = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")
     return out.select(F.col("prob").alias(group_name), val.alias("value"))

@@ -10,7 +10,7 @@ exact order statistics use distributed global positions
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -47,3 +47,236 @@ def pct_of_group(counts: DataFrame, value: str, group: list[str], name: str = "p
     out = counts.withColumn(total_name or "_total", F.sum(value).over(w))
     out = out.withColumn(name, F.col(value) / F.col(total_name or "_total") * 100.0)
     return out if total_name else out.drop("_total")
+
+
+def pct_of_total(counts: DataFrame, value: str, total: DataFrame, total_col: str,
+                 name: str = "percentage") -> DataFrame:
+    """Value / a one-row total * 100 (the total is one row, broadcast)."""
+    return (counts.crossJoin(F.broadcast(total.select(F.col(total_col).alias("_total"))))
+                  .withColumn(name, F.col(value) / F.col("_total") * 100.0).drop("_total"))
+
+
+def dense_grid(df: DataFrame, row: str, col: str, row_labels, col_labels, aggs: dict,
+               fill: dict | None = None) -> DataFrame:
+    """Aggregate per (row, col) bucket and emit every label pair
+    (a bucket pair without rows shows ``fill``), in label order.
+
+    ``aggs`` maps output name -> aggregate Column. The label cross product is
+    at most a few dozen cells, so it is a literal relation broadcast into a
+    right join; the data side is one partial aggregation."""
+    from basketlens.functions.buckets import label_table
+    spark = df.sparkSession
+    g = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+           .groupBy(row, col).agg(*[a.alias(n) for n, a in aggs.items()]))
+    cells = label_table(spark, row, row_labels).crossJoin(label_table(spark, col, col_labels))
+    out = F.broadcast(cells).join(g, [row, col], "left")
+    for n, v in (fill or {}).items():
+        out = out.withColumn(n, F.coalesce(F.col(n), F.lit(v)))
+    return out.orderBy(f"{row}_ord", f"{col}_ord").drop(f"{row}_ord", f"{col}_ord")
+
+
+def cohort_grid(df: DataFrame, row: str, col: str, row_labels, col_labels, value: str | None = None,
+                agg: str = "sum") -> DataFrame:
+    """A22 (sum -> int, empty 0), A23 (count of rows, empty 0), A24 (mean,
+    empty 0) and A25 (share = sum/count, empty cell null) in long form
+    (row, col, value)."""
+    if agg == "sum":
+        return dense_grid(df, row, col, row_labels, col_labels,
+                          {"value": F.sum(value)}, {"value": 0}).withColumn("value", F.col("value").cast("long"))
+    if agg == "count":
+        return dense_grid(df, row, col, row_labels, col_labels,
+                          {"value": F.count(F.lit(1))}, {"value": 0}).withColumn("value", F.col("value").cast("long"))
+    if agg == "mean":
+        return dense_grid(df, row, col, row_labels, col_labels, {"value": F.avg(value)}, {"value": 0.0})
+    if agg == "share":
+        g = dense_grid(df, row, col, row_labels, col_labels,
+                       {"_s": F.sum(value), "_n": F.count(F.lit(1))}, {"_s": 0.0, "_n": 0})
+        return g.withColumn("value", F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double"))) \
+                .drop("_s", "_n")
+    raise ValueError(agg)
+
+
+def summary(df: DataFrame, col: str, percentiles=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+            ) -> DataFrame:
+    """Count, mean, sample std, min, percentiles, max of ``col`` in one
+    row (columns p10 ... p95); the median is always included; nulls ignored."""
+    from basketlens.operators.sequence import exact_quantiles
+    probs = sorted(set(list(percentiles) + [0.5]))
+    base = df.where(F.col(col).isNotNull())
+    stats = base.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                     F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
+    q = exact_quantiles(base, col, probs)
+    wide = q.groupBy().pivot("prob", probs).agg(F.first("value"))
+    wide = wide.select(*[F.col(f"`{c}`").alias(_pname(float(c))) for c in wide.columns])
+    cols = ["count", "mean", "std", "min"] + [_pname(p) for p in probs] + ["max"]
+    return stats.crossJoin(wide).select(*cols)
+
+
+def _pname(p: float) -> str:
+    return "p" + (f"{p * 100:.10g}").replace(".", "_")
+
+
+def _bin_index(x, lo, hi, nbins):
+    """numpy's equal-width bin index (with its edge corrections); last bin closed."""
+    step = (hi - lo) / nbins
+    norm = nbins / (hi - lo)
+    i0 = F.floor((x - lo) * norm)
+    i0 = F.when(i0 == nbins, nbins - 1).otherwise(i0)
+    edge = lambda i: F.when(i == nbins, hi).otherwise(lo + i * step)
+    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
+    return F.when((x >= edge(i1 + 1)) & (i1 != nbins - 1), i1 + 1).otherwise(i1)
+
+
+def fd_bins(df: DataFrame, col: str, by: list[str], max_bins: int = 50) -> DataFrame:
+    """Automatic bin count per group: Freedman-Diaconis width capped at
+    ``max_bins`` (sqrt(n) when the IQR is 0, 1 bin below 2 values), as the
+    plotting library chooses it; plus the data range."""
+    from basketlens.operators.sequence import exact_quantiles
+    base = df.where(F.col(col).isNotNull())
+    stats = base.groupBy(*by).agg(F.count(col).alias("n"), F.min(col).cast("double").alias("lo"),
+                                  F.max(col).cast("double").alias("hi"))
+    if by:
+        q = grouped_quantiles(base, col, [0.25, 0.75], by)
+    else:
+        q = exact_quantiles(base, col, [0.25, 0.75])
+    iqr = q.groupBy(*by).agg((F.max(F.when(F.col("prob") == 0.75, F.col("value")))
+                              - F.max(F.when(F.col("prob") == 0.25, F.col("value")))).alias("iqr"))
+    s = stats.join(iqr, by, "left") if by else stats.crossJoin(iqr)
+    h = 2.0 * F.col("iqr") / F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))
+    fd = F.when(F.col("n") < 2, F.lit(1)).when(h == 0, F.floor(F.sqrt(F.col("n").cast("double"))).cast("long")) \
+          .otherwise(F.ceil((F.col("hi") - F.col("lo")) / h).cast("long"))
+    return s.withColumn("bins", F.least(fd, F.lit(max_bins)).cast("long"))
+
+
+def grouped_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]) -> DataFrame:
+    """Exact linear quantiles per group via per-group sequence numbers
+    (skew-safe numbering with the group as key)."""
+    from basketlens.operators.sequence import sequence_number
+    spark = df.sparkSession
+    base = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    pos = sequence_number(base, by, ["_x"], out="_pos")
+    n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    p = spark.createDataFrame([(float(x),) for x in probs], "prob double")
+    t = (n.crossJoin(p).withColumn("_k", F.col("prob") * (F.col("_n") - 1))
+          .withColumn("_lo", F.floor("_k") + 1).withColumn("_hi", F.ceil("_k") + 1)
+          .withColumn("_frac", F.col("_k") - F.floor("_k")))
+    lo = pos.join(t, [*by], "inner").where(F.col("_pos") == F.col("_lo")) \
+            .select(*by, "prob", "_frac", F.col("_x").alias("_xlo"))
+    hi = pos.join(t.select(*by, "prob", "_hi"), [*by], "inner").where(F.col("_pos") == F.col("_hi")) \
+            .select(*by, "prob", F.col("_x").alias("_xhi"))
+    out = lo.join(hi, [*by, "prob"])
+    return out.select(*by, "prob", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")).alias("value"))
+
+
+def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[float] | None = None,
+              max_bins: int = 50) -> DataFrame:
+    """Dense histogram (bin, lo, hi, count, cumulative_fraction)
+    per group. Without ``edges`` the bins are automatic and equal-width over
+    the data range (numpy's assignment rule); with ``edges`` bin i is
+    [e_i, e_{i+1}), the last bin is closed and values outside are ignored.
+    ``cumulative_fraction`` is the running count over the in-range total
+    (what a cumulative, normalised histogram shows)."""
+    by = list(by or [])
+    spark = df.sparkSession
+    x = F.col(col).cast("double")
+    base = df.where(x.isNotNull())
+    if edges is None:
+        b = fd_bins(base, col, by, max_bins)
+        same = F.col("hi") == F.col("lo")
+        b = (b.withColumn("lo", F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")))
+              .withColumn("hi", F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi"))))
+        joined = base.join(F.broadcast(b.select(*by, "lo", "hi", "bins")), by, "inner") if by else \
+            base.crossJoin(F.broadcast(b.select("lo", "hi", "bins")))
+        idx = _bin_index(x, F.col("lo"), F.col("hi"), F.col("bins"))
+        counts = joined.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        step = (F.col("hi") - F.col("lo")) / F.col("bins")
+        all_bins = b.select(*by, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                        F.col("bins") - 1)).alias("bin"))
+        all_bins = all_bins.select(
+            *by, "bin",
+            (F.col("lo") + F.col("bin") * step).alias("bin_lo"),
+            F.when(F.col("bin") == F.col("bins") - 1, F.col("hi"))
+             .otherwise(F.col("lo") + (F.col("bin") + 1) * step).alias("bin_hi"))
+    else:
+        nb = len(edges) - 1
+        idx = None
+        for i in range(nb):
+            cond = (x >= F.lit(float(edges[i]))) & (
+                (x <= F.lit(float(edges[i + 1]))) if i == nb - 1 else (x < F.lit(float(edges[i + 1]))))
+            idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
+        counts = (base.select(*by, idx.cast("long").alias("bin")).where(F.col("bin").isNotNull())
+                      .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
+        lit_bins = spark.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(nb)],
+                                         "bin long, bin_lo double, bin_hi double")
+        if by:
+            lit_bins = base.select(*by).distinct().crossJoin(F.broadcast(lit_bins))
+        all_bins = lit_bins
+    out = all_bins.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
+    w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0) if by else \
+        Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    tot = Window.partitionBy(*by) if by else Window.partitionBy()
+    out = out.withColumn("cumulative_fraction",
+                         F.try_divide(F.sum("count").over(w).cast("double"), F.sum("count").over(tot).cast("double")))
+    return out.select(*by, "bin", "bin_lo", "bin_hi", "count", "cumulative_fraction").orderBy(*by, "bin")
+
+
+def max_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Max of every other column per key."""
+    return df.groupBy(key).agg(*[F.max(c).alias(c) for c in df.columns if c != key])
+
+
+def subscription_groups(users: DataFrame, col: str = "orders_per_year", target_orders: float = 4.0) -> DataFrame:
+    """New subscription orders per customer: max(0, target - floor(orders/yr)),
+    grouped: (new_orders, n, start) in ascending new_orders, which is the
+    order of a descending sort on orders per year. A handful of rows."""
+    x = F.col(col)
+    new_orders = F.greatest(F.lit(0.0), F.lit(target_orders) - F.floor(x).cast("double"))
+    g = users.where(x.isNotNull()).groupBy(new_orders.alias("new_orders")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("new_orders").rowsBetween(Window.unboundedPreceding, -1)
+    return g.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
+def subscription_percentiles(users: DataFrame, revenue_per_order: float = 68.0, profit_per_order: float = 23.10,
+                             col: str = "orders_per_year", percents=range(1, 51)) -> DataFrame:
+    """W5/A35 closed form. Customers sorted by orders/yr descending receive
+    running totals of new revenue, new profit and users; the p-th percentile
+    of each running column (linear interpolation) is read off the step
+    function total(r) = sum_v v * clamp(r - start_v, 0, n_v) at the two ranks
+    around p/100*(N-1). No global sort or single-partition window over
+    customers: the inputs are a few group rows."""
+    spark = users.sparkSession
+    g = subscription_groups(users, col)
+    total = g.agg(F.sum("n").alias("_total_n"))
+    p = spark.createDataFrame([(int(v),) for v in percents], "coverage_percentage int")
+    t = (p.crossJoin(total)
+          .withColumn("_k", F.col("coverage_percentage") / 100.0 * (F.col("_total_n") - 1))
+          .withColumn("_r_lo", F.floor("_k") + 1).withColumn("_r_hi", F.ceil("_k") + 1)
+          .withColumn("_frac", F.col("_k") - F.floor("_k")))
+    j = t.crossJoin(F.broadcast(g))
+
+    def orders_at(r):
+        return F.col("new_orders") * F.least(F.greatest(r - F.col("start"), F.lit(0)), F.col("n"))
+    per = j.groupBy("coverage_percentage", "_k", "_r_lo", "_r_hi", "_frac").agg(
+        F.sum(orders_at(F.col("_r_lo"))).alias("_o_lo"), F.sum(orders_at(F.col("_r_hi"))).alias("_o_hi"))
+
+    def lerp(lo, hi):
+        return lo + (hi - lo) * F.col("_frac")
+    return per.select(
+        "coverage_percentage",
+        lerp(F.col("_o_lo") * revenue_per_order, F.col("_o_hi") * revenue_per_order).alias("cumulative_new_revenue"),
+        lerp(F.col("_o_lo") * profit_per_order, F.col("_o_hi") * profit_per_order).alias("cumulative_new_profit"),
+        lerp(F.col("_r_lo").cast("double"), F.col("_r_hi").cast("double")).alias("cumulative_users"),
+    ).orderBy("coverage_percentage")
+
+
+def subscription_curve(users: DataFrame, revenue_per_order: float = 68.0, profit_per_order: float = 23.10,
+                       col: str = "orders_per_year") -> DataFrame:
+    """W5 curve vertices: after each new-orders group (ascending), the running
+    users, new revenue and new profit; the per-customer curve is linear in
+    between."""
+    g = subscription_groups(users, col)
+    w = Window.orderBy("new_orders").rowsBetween(Window.unboundedPreceding, 0)
+    orders = F.sum(F.col("new_orders") * F.col("n")).over(w)
+    return g.select("new_orders", "n", (F.col("start") + F.col("n")).alias("cumulative_users"),
+                    (orders * revenue_per_order).alias("cumulative_new_revenue"),
+                    (orders * profit_per_order).alias("cumulative_new_profit")).orderBy("new_orders")

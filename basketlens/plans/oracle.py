@@ -70,7 +70,7 @@ m_variants AS (
     concat(upper(p_type), '-', CAST(p_partkey AS VARCHAR)) AS sku, (p_partkey % 89 = 0) AS is_deleted
   FROM part),
 m_products_raw AS (
-  SELECT p_partkey % {td.PRODUCT_COUNT} AS id, min(p_name) AS name FROM part GROUP BY 1),
+  SELECT p_partkey % {td.PRODUCT_COUNT} AS id, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1),
 m_products AS (
   SELECT id, CASE WHEN id % 41 = 7 THEN 'fedex delivery' WHEN id % 43 = 5 THEN NULL ELSE name END AS name,
     (id % 37 = 3) AS is_deleted
@@ -608,10 +608,12 @@ CUSTOMER_COLUMNS = {
 }
 
 
-def customer_select(source: str = "customer_facts") -> str:
+def customer_select(source: str = "customer_facts", rounding: bool = True) -> str:
     parts = []
     for c, k in CUSTOMER_COLUMNS.items():
-        if k == "d":
+        if k == "d" and not rounding:
+            parts.append(c)
+        elif k == "d":
             parts.append(f"__R6__({c})__R6END__ AS {c}")
         elif k == "i":
             parts.append(f"CAST({c} AS BIGINT) AS {c}")
@@ -625,3 +627,311 @@ def customer_select(source: str = "customer_facts") -> str:
 @oracle("customer_facts")
 def _customer_facts():
     return with_adapter(_customer_ctes(), customer_select())
+
+
+# --- Reports over the customer and order tables ------------------------------------------
+USERS_CTES = _customer_ctes() + ",\nusers AS (" + customer_select(rounding=False) + ")"
+TX_CTES = ORDER_FACTS_CTES + ",\ntx AS (" + rounded_select(ORDER_FACT_COLUMNS, [], "order_facts") + ")"
+CANDIDATES = ("(SELECT * FROM users WHERE lifetime_orders > 1 AND avg_days_between_orders IS NOT NULL"
+              " AND avg_days_between_visits IS NOT NULL)")
+
+
+def _r(expr: str) -> str:
+    return f"__R6__({expr})__R6END__"
+
+
+def hist_sql(source: str, col: str, by: list[str] | None = None, max_bins: int = 50, p: str = "h") -> tuple[str, str]:
+    """CTEs + final select of an automatic-bin histogram (numpy's equal-width
+    rule with its edge corrections, Freedman-Diaconis bin count)."""
+    by = by or []
+    b = "".join(f"{c}, " for c in by)
+    g = ("GROUP BY " + ", ".join(by)) if by else ""
+    on = " AND ".join(f"d.{c} = s.{c}" for c in by) or "TRUE"
+    part = ("PARTITION BY " + ", ".join(by)) if by else ""
+    ctes = f"""
+{p}_base AS (SELECT {b}CAST({col} AS DOUBLE) AS x FROM {source} WHERE {col} IS NOT NULL),
+{p}_stats AS (
+  SELECT {b}count(x) AS n, min(x) AS lo0, max(x) AS hi0,
+    quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr
+  FROM {p}_base {g}),
+{p}_b AS (
+  SELECT {b}least(CASE WHEN n < 2 THEN 1
+      WHEN 2.0 * iqr / pow(CAST(n AS DOUBLE), CAST(1.0 AS DOUBLE) / 3.0) = 0 THEN CAST(floor(sqrt(CAST(n AS DOUBLE))) AS BIGINT)
+      ELSE CAST(ceil((hi0 - lo0) / (2.0 * iqr / pow(CAST(n AS DOUBLE), CAST(1.0 AS DOUBLE) / 3.0))) AS BIGINT) END,
+      {max_bins}) AS bins,
+    CASE WHEN hi0 = lo0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+    CASE WHEN hi0 = lo0 THEN hi0 + 0.5 ELSE hi0 END AS hi
+  FROM {p}_stats),
+{p}_i0 AS (
+  SELECT {''.join(f'd.{c}, ' for c in by)}d.x, s.lo, s.hi, s.bins,
+    CASE WHEN floor((d.x - s.lo) * (s.bins / (s.hi - s.lo))) = s.bins THEN s.bins - 1
+         ELSE floor((d.x - s.lo) * (s.bins / (s.hi - s.lo))) END AS i0
+  FROM {p}_base d JOIN {p}_b s ON {on}),
+{p}_i1 AS (
+  SELECT *, CASE WHEN x < (CASE WHEN i0 = bins THEN hi ELSE lo + i0 * ((hi - lo) / bins) END) THEN i0 - 1
+                 ELSE i0 END AS i1
+  FROM {p}_i0),
+{p}_i2 AS (
+  SELECT {b}CAST(CASE WHEN x >= (CASE WHEN i1 + 1 = bins THEN hi ELSE lo + (i1 + 1) * ((hi - lo) / bins) END)
+                      AND i1 != bins - 1 THEN i1 + 1 ELSE i1 END AS BIGINT) AS bin
+  FROM {p}_i1),
+{p}_counts AS (SELECT {b}bin, count(*) AS cnt FROM {p}_i2 GROUP BY {b}bin),
+{p}_all AS (
+  SELECT {b}bin, lo + bin * ((hi - lo) / bins) AS bin_lo,
+    CASE WHEN bin = bins - 1 THEN hi ELSE lo + (bin + 1) * ((hi - lo) / bins) END AS bin_hi
+  FROM (SELECT *, unnest(generate_series(0, bins - 1)) AS bin FROM {p}_b)),
+{p}_dense AS (
+  SELECT {''.join(f'a.{c}, ' for c in by)}a.bin, a.bin_lo, a.bin_hi, coalesce(c.cnt, 0) AS count
+  FROM {p}_all a LEFT JOIN {p}_counts c ON a.bin = c.bin {''.join(f' AND a.{c} = c.{c}' for c in by)})
+"""
+    final = f"""SELECT {b}bin, {_r('bin_lo')} AS bin_lo, {_r('bin_hi')} AS bin_hi, CAST(count AS BIGINT) AS count,
+  {_r(f'CAST(sum(count) OVER ({part} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)'
+      f' / nullif(sum(count) OVER ({part}), 0)')} AS cumulative_fraction
+FROM {p}_dense"""
+    return ctes, final
+
+
+def edges_hist_sql(source: str, col: str, edges) -> tuple[str, str]:
+    nb = len(edges) - 1
+    case = "CASE " + " ".join(
+        f"WHEN x >= {float(edges[i])} AND x {'<=' if i == nb - 1 else '<'} {float(edges[i + 1])} THEN {i}"
+        for i in range(nb)) + " END"
+    vals = ", ".join(f"({i}, {float(edges[i])}, {float(edges[i + 1])})" for i in range(nb))
+    ctes = f"""
+e_base AS (SELECT CAST({col} AS DOUBLE) AS x FROM {source} WHERE {col} IS NOT NULL),
+e_counts AS (SELECT CAST({case} AS BIGINT) AS bin, count(*) AS cnt FROM e_base GROUP BY 1),
+e_bins(bin, bin_lo, bin_hi) AS (VALUES {vals}),
+e_dense AS (SELECT CAST(b.bin AS BIGINT) AS bin, CAST(b.bin_lo AS DOUBLE) AS bin_lo, CAST(b.bin_hi AS DOUBLE) AS bin_hi,
+  coalesce(c.cnt, 0) AS count FROM e_bins b LEFT JOIN e_counts c ON b.bin = c.bin)
+"""
+    final = f"""SELECT bin, {_r('bin_lo')} AS bin_lo, {_r('bin_hi')} AS bin_hi, CAST(count AS BIGINT) AS count,
+  {_r('CAST(sum(count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(sum(count) OVER (), 0)')}
+    AS cumulative_fraction
+FROM e_dense"""
+    return ctes, final
+
+
+def mean_by_sql(source: str, x: str, y: str, keys: list[str]) -> str:
+    g = [x, *keys]
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in [*g, y])
+    return f"""SELECT {', '.join(g)}, {_r('m')} AS mean, n, {_r('s')} AS std,
+  {_r(f'm - {Z95} * s / sqrt(n)')} AS ci_low, {_r(f'm + {Z95} * s / sqrt(n)')} AS ci_high
+FROM (SELECT {', '.join(g)}, avg({y}) AS m, count({y}) AS n, stddev_samp({y}) AS s
+      FROM {source} WHERE {notnull} GROUP BY {', '.join(g)})"""
+
+
+def labels_sql(name: str, labels) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join(f'({q([l])}, {i})' for i, l in enumerate(labels))}) t({name}, {name}_ord))"
+
+
+def grid_sql(source: str, row: str, col: str, row_labels, col_labels, agg: str, value: str | None) -> str:
+    """Dense grid (row, col, value) for agg in sum/count/mean/share."""
+    if agg == "sum":
+        a, v = f"sum({value}) AS a", "CAST(coalesce(g.a, 0) AS BIGINT)"
+    elif agg == "count":
+        a, v = "count(*) AS a", "CAST(coalesce(g.a, 0) AS BIGINT)"
+    elif agg == "mean":
+        a, v = f"avg({value}) AS a", "coalesce(g.a, 0.0)"
+    else:
+        a, v = f"sum({value}) AS a, count(*) AS c", "coalesce(g.a, 0.0) / nullif(coalesce(g.c, 0), 0)"
+    return f"""SELECT r.{row}, c.{col}, {v} AS value
+FROM {labels_sql(row, row_labels)} r CROSS JOIN {labels_sql(col, col_labels)} c
+  LEFT JOIN (SELECT {row}, {col}, {a} FROM {source} WHERE {row} IS NOT NULL AND {col} IS NOT NULL
+             GROUP BY 1, 2) g ON g.{row} = r.{row} AND g.{col} = c.{col}"""
+
+
+def _users_report(name: str, body_ctes: str, final: str):
+    ORACLE[name] = expand_rounding(with_adapter(USERS_CTES + ("," + body_ctes if body_ctes.strip() else ""),
+                                                final))
+
+
+def _tx_report(name: str, body_ctes: str, final: str):
+    ORACLE[name] = expand_rounding(with_adapter(TX_CTES + ("," + body_ctes if body_ctes.strip() else ""), final))
+
+
+def _register_report_oracles():
+    from basketlens.functions import buckets as B
+    from basketlens.plans.reports import LIFETIME_CDF_EDGES
+
+    probs = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+    qs = ", ".join(f"{_r(f'quantile_cont(orders_per_year, {p})')} AS p{round(p * 100)}" for p in probs)
+    _users_report("orders_per_year_summary", "", f"""
+SELECT count(orders_per_year) AS count, {_r('avg(orders_per_year)')} AS mean,
+  {_r('stddev_samp(orders_per_year)')} AS std, {_r('min(orders_per_year)')} AS min, {qs},
+  {_r('max(orders_per_year)')} AS max
+FROM users WHERE orders_per_year IS NOT NULL""")
+
+    for name, src, col, by in [
+            ("orders_per_year_histogram", "users", "orders_per_year", None),
+            ("lifetime_orders_histogram", "users", "lifetime_orders", None),
+            ("lifetime_orders_histogram_repeat", CANDIDATES, "lifetime_orders", None)]:
+        c, f = hist_sql(src, col, by)
+        _users_report(name, c, f)
+    melted = (f"(SELECT 'orders' AS variable, avg_days_between_orders AS value FROM {CANDIDATES} "
+              f"UNION ALL SELECT 'visits', avg_days_between_visits FROM {CANDIDATES})")
+    c, f = hist_sql(melted, "value", ["variable"])
+    _users_report("gap_distributions", c, f)
+    c, f = edges_hist_sql("users", "lifetime_orders", LIFETIME_CDF_EDGES)
+    _users_report("lifetime_orders_cdf", c, f)
+
+    pl = ", ".join(str(i / 100.0) for i in range(1, 51))
+    _users_report("subscription_percentiles", f"""
+s_sorted AS (SELECT orders_per_year, greatest(0.0, 4.0 - floor(orders_per_year)) AS new_orders
+             FROM users WHERE orders_per_year IS NOT NULL),
+s_run AS (
+  SELECT sum(new_orders) OVER w * 68.0 AS rev, sum(new_orders) OVER w * 23.10 AS prof,
+    CAST(count(*) OVER w AS DOUBLE) AS us
+  FROM s_sorted WINDOW w AS (ORDER BY orders_per_year DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s_q AS (SELECT quantile_cont(rev, [{pl}]) AS rv, quantile_cont(prof, [{pl}]) AS pf, quantile_cont(us, [{pl}]) AS uq
+        FROM s_run)
+""", f"""SELECT CAST(i AS INTEGER) AS coverage_percentage, {_r('rv[i]')} AS cumulative_new_revenue,
+  {_r('pf[i]')} AS cumulative_new_profit, {_r('uq[i]')} AS cumulative_users
+FROM s_q, range(1, 51) t(i)""")
+    _users_report("subscription_curve", """
+s_g AS (SELECT greatest(0.0, 4.0 - floor(orders_per_year)) AS new_orders, count(*) AS n
+        FROM users WHERE orders_per_year IS NOT NULL GROUP BY 1)
+""", f"""SELECT new_orders, n,
+  CAST(sum(n) OVER (ORDER BY new_orders ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_users,
+  {_r('sum(new_orders * n) OVER (ORDER BY new_orders ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 68.0')}
+    AS cumulative_new_revenue,
+  {_r('sum(new_orders * n) OVER (ORDER BY new_orders ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 23.10')}
+    AS cumulative_new_profit
+FROM s_g""")
+    _users_report("acquisition_by_month", "", """
+SELECT first_order_month, count(*) AS users FROM users WHERE first_order_month IS NOT NULL GROUP BY 1""")
+    _users_report("users_by_division", "", f"""
+SELECT first_order_division, count(*) AS users FROM {CANDIDATES} c WHERE first_order_division IS NOT NULL GROUP BY 1""")
+    _users_report("division_counts", "", """
+SELECT coalesce(first_order_division, 'na') AS first_order_division, count(*) AS users FROM users GROUP BY 1""")
+    melted3 = (f"(SELECT lifetime_orders, first_order_division, 'orders' AS variable, avg_days_between_orders AS value "
+               f"FROM {CANDIDATES} UNION ALL SELECT lifetime_orders, first_order_division, 'visits', "
+               f"avg_days_between_visits FROM {CANDIDATES})")
+    _users_report("gap_by_lifetime_orders", "", mean_by_sql(melted3, "lifetime_orders", "value", ["variable"]))
+    _users_report("gap_by_lifetime_orders_division", "", mean_by_sql(
+        f"(SELECT * FROM {melted3} WHERE first_order_division != 'unknown')", "lifetime_orders", "value",
+        ["variable", "first_order_division"]))
+    _users_report("quality_onetimers", """
+qo AS (SELECT * FROM users WHERE lifetime_orders < 2 AND lifetime_gpr > 90.0)
+""", f"""SELECT CAST(month(first_order_month) AS INTEGER) AS month, count(email) AS users,
+  {_r('count(email) / (SELECT count(*) FROM qo) * 100.0')} AS percentage
+FROM qo WHERE first_order_month IS NOT NULL GROUP BY 1""")
+
+    def grids(parts):
+        sels = []
+        for gname, row, row_labels, value, agg in parts:
+            sels.append(f"SELECT '{gname}' AS grid, {row} AS row_bucket, lifetime_aov_bucket AS col_bucket, "
+                        f"{_r('CAST(value AS DOUBLE)')} AS value FROM ("
+                        + grid_sql("users", row, "lifetime_aov_bucket", row_labels, B.AOV_LABELS, agg, value) + ")")
+        return "\nUNION ALL\n".join(sels)
+    LO = ("lifetime_orders_bucket", B.LIFETIME_ORDERS_LABELS)
+    OQ = ("orders_per_quarter_bucket", B.ORDERS_PER_QUARTER_LABELS)
+    for name, flag in [("picks_buyer_grids", "is_picks_buyer"), ("waitlist_grids", "is_picks_waitlist")]:
+        _users_report(name, "", grids([("lifetime_orders", *LO, flag, "sum"), ("orders_per_quarter", *OQ, flag, "sum")]))
+    f = "is_marketing_opt_out"
+    _users_report("opt_out_grids", "", grids([("lifetime_orders", *LO, f, "sum"),
+                                              ("lifetime_orders_share", *LO, f, "share"),
+                                              ("orders_per_quarter", *OQ, f, "sum")]))
+    kg = grid_sql("users", "lifetime_orders_bucket", "lifetime_aov_bucket", B.LIFETIME_ORDERS_LABELS, B.AOV_LABELS,
+                  "mean", "first_order_has_kids")
+    _users_report("kids_rate_grid", "", f"SELECT lifetime_orders_bucket, lifetime_aov_bucket, {_r('value')} AS value "
+                                        f"FROM ({kg})")
+    _users_report("top_customers", "", f"""
+SELECT email, {_r('lifetime_orders')} AS lifetime_orders,
+  CAST(row_number() OVER (ORDER BY lifetime_orders DESC, email) AS INTEGER) AS user_index
+FROM users ORDER BY lifetime_orders DESC, email LIMIT 10""")
+    a, b = td.TENURE_WINDOW
+    _users_report("middle_customers", f"""
+mc AS (SELECT email, lifetime_orders, row_number() OVER (ORDER BY lifetime_orders DESC, email) AS pos
+       FROM users WHERE lifetime_orders > 1 AND min_visit_time < TIMESTAMP '{a} 00:00:00'
+         AND max_visit_time > TIMESTAMP '{b} 00:00:00'),
+mc_mid AS (SELECT CAST(floor(count(*) / 2) AS BIGINT) AS mid FROM mc)
+""", f"""SELECT email, {_r('lifetime_orders')} AS lifetime_orders, CAST(pos - mid AS BIGINT) AS user_index
+FROM mc, mc_mid WHERE pos > mid AND pos <= mid + 10""")
+    _users_report("customer_export_max", "", f"""
+SELECT email, max(first_order_date) AS first_order_date, {_r('max(lifetime_gpr)')} AS lifetime_gpr,
+  {_r('max(lifetime_orders)')} AS lifetime_orders, {_r('max(lifetime_units)')} AS lifetime_units
+FROM cf_export GROUP BY 1""")
+    cls = "CASE " + " ".join(f"WHEN i.name = '{k}' THEN '{v}'" for k, v in PATH_NAMES.items()) + " ELSE i.name END"
+    _users_report("user_paths_top", f"""
+top AS (SELECT email, CAST(row_number() OVER (ORDER BY lifetime_orders DESC, email) AS INTEGER) AS user_index
+        FROM (SELECT * FROM users ORDER BY lifetime_orders DESC, email LIMIT 10)),
+up_ev AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email,
+    CASE WHEN trim(e.os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform, e.time AS time, e.name
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED}))
+""", f"""SELECT t.user_index, i.email, i.time, {_r('epoch_us(i.time) / 1000000.0')} AS epoch, {cls} AS name, i.platform
+FROM up_ev i JOIN top t ON t.email = i.email
+WHERE i.email IS NOT NULL AND ({cls}) IN ('pdp', 'add_to_bag', 'checkout')""")
+
+    _users_report("user_paths_middle", f"""
+mc AS (SELECT email, lifetime_orders, row_number() OVER (ORDER BY lifetime_orders DESC, email) AS pos
+       FROM users WHERE lifetime_orders > 1 AND min_visit_time < TIMESTAMP '{a} 00:00:00'
+         AND max_visit_time > TIMESTAMP '{b} 00:00:00'),
+mc_mid AS (SELECT CAST(floor(count(*) / 2) AS BIGINT) AS mid FROM mc),
+top AS (SELECT email, CAST(pos - mid AS BIGINT) AS user_index FROM mc, mc_mid WHERE pos > mid AND pos <= mid + 10),
+up_ev AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email,
+    CASE WHEN trim(e.os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform, e.time AS time, e.name
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED}))
+""", f"""SELECT t.user_index, i.email, i.time, {_r('epoch_us(i.time) / 1000000.0')} AS epoch, {cls} AS name, i.platform
+FROM up_ev i JOIN top t ON t.email = i.email
+WHERE i.email IS NOT NULL AND ({cls}) IN ('pdp', 'add_to_bag', 'checkout')""")
+
+    # order-table reports
+    rb = "CASE " + " ".join(f"WHEN common_products_ratio >= {B.RATIO_EDGES[i]} AND common_products_ratio < "
+                            f"{B.RATIO_EDGES[i + 1]} THEN '{lab}'" for i, lab in enumerate(B.RATIO_LABELS)) + " END"
+    ob = ("CASE WHEN order_index >= 2 AND order_index < 3 THEN '2' WHEN order_index >= 3 AND order_index < 4 THEN '3' "
+          "WHEN order_index >= 4 AND order_index < 5 THEN '4' WHEN order_index >= 5 AND order_index < 100 THEN '5+' END")
+    _tx_report("repeat_product_mix", f"""
+rp AS (SELECT {ob} AS order_number, {rb} AS product_ratio_bucket FROM tx WHERE order_index > 1.0),
+rp_grid AS ({grid_sql('rp', 'order_number', 'product_ratio_bucket', B.ORDER_INDEX_LABELS, B.RATIO_LABELS, 'count', None)}),
+rp_tot AS (SELECT l.order_number, CAST(coalesce(c.n, 0) AS BIGINT) AS order_number_total
+           FROM {labels_sql('order_number', B.ORDER_INDEX_LABELS)} l
+             LEFT JOIN (SELECT order_number, count(*) AS n FROM rp WHERE order_number IS NOT NULL GROUP BY 1) c
+               ON c.order_number = l.order_number)
+""", f"""SELECT g.order_number, g.product_ratio_bucket, g.value AS transactions, t.order_number_total,
+  {_r('g.value / nullif(t.order_number_total, 0) * 100.0')} AS percentage
+FROM rp_grid g JOIN rp_tot t ON g.order_number = t.order_number""")
+
+    def cust(flag_expr, flag_name):
+        return f"""(SELECT *, {_cut('orders', B.LIFETIME_ORDERS_EDGES, B.LIFETIME_ORDERS_LABELS, True)} AS order_count_bucket,
+  {_cut('aov', B.AOV_EDGES, B.AOV_LABELS, True)} AS aov_bucket
+FROM (SELECT email, {flag_expr} AS {flag_name}, count(order_id) AS orders, avg(item_total) AS aov FROM tx GROUP BY email))"""
+    _tx_report("guest_order_mix", f"""
+gu AS {cust('max(is_guest)', 'is_guest')},
+gm_cells AS (SELECT l.*, g.is_guest FROM {labels_sql('order_count_bucket', B.LIFETIME_ORDERS_LABELS)} l
+             CROSS JOIN (SELECT DISTINCT is_guest FROM gu WHERE is_guest IS NOT NULL) g),
+gm_counts AS (SELECT order_count_bucket, is_guest, count(*) AS n FROM gu
+              WHERE order_count_bucket IS NOT NULL AND is_guest IS NOT NULL GROUP BY 1, 2),
+gm_group AS (SELECT is_guest, count(*) AS is_guest_transactions FROM gu GROUP BY 1)
+""", f"""SELECT c.order_count_bucket, {_r('c.is_guest')} AS is_guest, CAST(coalesce(n.n, 0) AS BIGINT) AS transactions,
+  g.is_guest_transactions, {_r('coalesce(n.n, 0) / nullif(g.is_guest_transactions, 0) * 100.0')} AS percentage
+FROM gm_cells c LEFT JOIN gm_counts n ON n.order_count_bucket = c.order_count_bucket AND n.is_guest = c.is_guest
+  LEFT JOIN gm_group g ON g.is_guest = c.is_guest""")
+    _tx_report("guest_penetration_grid", f"""
+gu AS {cust('max(is_guest)', 'is_guest')},
+gp AS (SELECT aov_bucket, order_count_bucket, count(*) AS users, count(*) FILTER (WHERE is_guest > 0.0) AS guest_users
+       FROM gu WHERE aov_bucket IS NOT NULL AND order_count_bucket IS NOT NULL GROUP BY 1, 2)
+""", f"""SELECT a.aov_bucket, o.order_count_bucket, CAST(coalesce(g.users, 0) AS BIGINT) AS users,
+  CAST(coalesce(g.guest_users, 0) AS BIGINT) AS guest_users,
+  {_r('CAST(coalesce(g.guest_users, 0) AS DOUBLE) / nullif(coalesce(g.users, 0), 0)')} AS guest_percentage
+FROM {labels_sql('aov_bucket', B.AOV_LABELS)} a CROSS JOIN {labels_sql('order_count_bucket', B.LIFETIME_ORDERS_LABELS)} o
+  LEFT JOIN gp g ON g.aov_bucket = a.aov_bucket AND g.order_count_bucket = o.order_count_bucket""")
+    _tx_report("sale_orders_by_month", "", """
+SELECT order_month, count(*) AS orders FROM tx WHERE has_sale_item > 0 AND order_month IS NOT NULL GROUP BY 1""")
+    _tx_report("sale_orders_grid", f"su AS {cust('sum(has_sale_item)', 'sale_orders')}",
+               grid_sql("su", "order_count_bucket", "aov_bucket", B.LIFETIME_ORDERS_LABELS, B.AOV_LABELS, "sum",
+                        "sale_orders"))
+    for name, src in [("units_per_order_histogram", "tx"),
+                      ("units_per_order_histogram_repeat", "(SELECT * FROM tx WHERE is_repeat > 0.0)")]:
+        c, f2 = hist_sql(src, "units")
+        _tx_report(name, c, f2)
+    _tx_report("units_by_date", "", mean_by_sql("tx", "order_date", "units", ["is_repeat"]))
+    _tx_report("positive_adjustments", "", "SELECT * FROM tx WHERE adjustment_total > 0.0")
+    _tx_report("orders_by_sale_flag", "", """
+SELECT has_sale_item, count(*) AS orders FROM tx WHERE has_sale_item IS NOT NULL GROUP BY 1""")
+
+
+_register_report_oracles()

@@ -143,3 +143,83 @@ def q_variant_facts(spark, sf_dir):
 @register("customer_facts")
 def q_customer_facts(spark, sf_dir):
     return rounded(customer_facts_of(spark, sf_dir))
+
+
+def _users(spark, sf_dir):
+    # Reports read the customer table in several branches (counts, quantiles,
+    # bins): materialise it once per query.
+    from basketlens.session import cut_lineage
+    return cut_lineage(customer_facts_of(spark, sf_dir))
+
+
+def _tx(spark, sf_dir):
+    from basketlens.session import cut_lineage
+    return cut_lineage(order_facts_of(spark, sf_dir))
+
+
+def _report(name, source, fn):
+    @register(name)
+    def q(spark, sf_dir):
+        return rounded(fn(source(spark, sf_dir)))
+    return q
+
+
+def _register_reports():
+    from basketlens.operators import stats as S
+    from basketlens.plans import reports as R
+    _report("orders_per_year_summary", _users, R.orders_per_year_summary)
+    _report("orders_per_year_histogram", _users, R.orders_per_year_histogram)
+    _report("subscription_percentiles", _users, S.subscription_percentiles)
+    _report("subscription_curve", _users, S.subscription_curve)
+    _report("acquisition_by_month", _users, R.acquisition_by_month)
+    _report("lifetime_orders_histogram", _users, R.lifetime_orders_histogram)
+    _report("lifetime_orders_histogram_repeat", _users, lambda u: R.lifetime_orders_histogram(u, True))
+    _report("lifetime_orders_cdf", _users, R.lifetime_orders_cdf)
+    _report("gap_distributions", _users, R.gap_distributions)
+    _report("users_by_division", _users, R.users_by_division)
+    _report("division_counts", _users, R.division_counts)
+    _report("gap_by_lifetime_orders", _users, R.gap_by_lifetime_orders)
+    _report("gap_by_lifetime_orders_division", _users, lambda u: R.gap_by_lifetime_orders(u, True))
+    _report("quality_onetimers", _users, R.quality_onetimers)
+    _report("picks_buyer_grids", _users, lambda u: R.flag_grids(u, "is_picks_buyer"))
+    _report("waitlist_grids", _users, lambda u: R.flag_grids(u, "is_picks_waitlist"))
+    _report("opt_out_grids", _users, R.opt_out_grids)
+    _report("kids_rate_grid", _users, R.kids_rate_grid)
+    _report("top_customers", _users, R.top_customers)
+    _report("middle_customers", _users, lambda u: R.middle_customers(u, *td.TENURE_WINDOW))
+    _report("customer_export_max", lambda s, d: _export(s, d), lambda e: S.max_per_key(e, "email"))
+    _report("repeat_product_mix", _tx, R.repeat_product_mix)
+    _report("guest_order_mix", _tx, R.guest_order_mix)
+    _report("guest_penetration_grid", _tx, R.guest_penetration_grid)
+    _report("sale_orders_by_month", _tx, R.sale_orders_by_month)
+    _report("sale_orders_grid", _tx, R.sale_orders_grid)
+    _report("units_per_order_histogram", _tx, R.units_per_order_histogram)
+    _report("units_per_order_histogram_repeat", _tx, lambda t: R.units_per_order_histogram(t, True))
+    _report("units_by_date", _tx, R.units_by_date)
+    _report("positive_adjustments", _tx, R.positive_adjustments)
+    _report("orders_by_sale_flag", _tx, R.orders_by_sale_flag)
+
+
+def _export(spark, sf_dir):
+    from basketlens.functions.coerce import coerce_types, rename_fields
+    from basketlens.schemas import CUSTOMER_EXPORT_RENAMES, USER_TYPES
+    return coerce_types(rename_fields(model(spark, sf_dir).customer_export, CUSTOMER_EXPORT_RENAMES), USER_TYPES)
+
+
+_register_reports()
+
+
+@register("user_paths_top")
+def q_user_paths_top(spark, sf_dir):
+    from basketlens.plans import reports as R
+    m = model(spark, sf_dir)
+    chosen = R.top_customers(_users(spark, sf_dir))
+    return rounded(R.user_paths(m.orders, m.events, chosen, *td.EVENT_WINDOW))
+
+
+@register("user_paths_middle")
+def q_user_paths_middle(spark, sf_dir):
+    from basketlens.plans import reports as R
+    m = model(spark, sf_dir)
+    chosen = R.middle_customers(_users(spark, sf_dir), *td.TENURE_WINDOW)
+    return rounded(R.user_paths(m.orders, m.events, chosen, *td.EVENT_WINDOW))

@@ -62,9 +62,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory (never a
-    local one), so lost executors do not force recomputation of the plan."""
+    """Materialise an intermediate that several branches of a plan read.
+
+    With a shared ``spark.checkpoint.dir`` (a cluster) this is a reliable
+    checkpoint: the rows are written once, lineage is cut, and a lost
+    executor does not force the upstream joins to rerun. Without one (a
+    local session) it is a MEMORY_AND_DISK persist, filled by one count.
+    Never a node-local checkpoint."""
+    from pyspark import StorageLevel
     spark = df.sparkSession
-    if ensure_checkpoint_dir(spark) is None:
-        return df
-    return df.checkpoint(eager=True)
+    if ensure_checkpoint_dir(spark) is not None:
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out

@@ -87,7 +87,7 @@ def products(spark, sf_dir) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     pid = F.col("p_partkey") % PRODUCT_COUNT
     return (p.groupBy(pid.alias("id"))
-             .agg(F.min("p_name").alias("name"))
+             .agg(F.min_by("p_name", "p_partkey").alias("name"))
              .select("id",
                      F.when(F.col("id") % 41 == 7, F.lit("fedex delivery"))
                       .when(F.col("id") % 43 == 5, F.lit(None).cast("string"))
@@ -212,3 +212,7 @@ def load(spark: SparkSession, sf_dir: str) -> ShopTables:
         customer_export=customer_export(spark, sf_dir),
         user_lists=user_lists(spark, sf_dir),
     )
+
+# Long-tenure window for the "middle customers" report (first visit before,
+# last visit after), inside the event month of the test data.
+TENURE_WINDOW = ("2024-01-10", "2024-01-20")
