@@ -33,7 +33,8 @@ def order_gaps(orders: DataFrame) -> DataFrame:
                       & F.col("email").isNotNull())
                .select(F.col("id"), F.col("email").alias("raw_email"), "completed_at"))
     idx = sequence_number(o, ["raw_email"], ["completed_at", "id"], out="idx")
-    idx = idx.select(F.lower("raw_email").alias("email"), "idx", "completed_at")
+    # Read twice by the self-join: materialise the numbered orders once.
+    idx = cut_lineage(idx.select(F.lower("raw_email").alias("email"), "idx", "completed_at"))
     one = idx.select("email", (F.col("idx") + 1).alias("idx"), F.col("completed_at").alias("t1"))
     two = idx.select("email", "idx", F.col("completed_at").alias("t2"))
     gaps = one.join(two, ["email", "idx"]).select("email", _days("t1", "t2").alias("gap"))

@@ -20,6 +20,7 @@ from basketlens.functions.buckets import ORDER_INDEX_EDGES, ORDER_INDEX_LABELS,
 from basketlens.functions.coerce import coerce_types
 from basketlens.operators.sequence import sequence_number
 from basketlens.schemas import TRANSACTION_TYPES
+from basketlens.session import cut_lineage
 
 
 def preorders(orders: DataFrame, staff_pattern: str = X.DEFAULT_STAFF_EMAIL_PATTERN) -> DataFrame:
@@ -121,7 +122,10 @@ def order_facts(orders: DataFrame, line_items: DataFrame, variants: DataFrame, p
                 sale_patterns=X.SALE_NAME_PATTERNS) -> DataFrame:
     """Q1: one row per order (the order table of the analysis)."""
     numbered = numbered_orders(preorders(orders, staff_pattern))
-    lines = order_lines(line_items, variants, products, numbered, sale_patterns)
+    # The line roll-up feeds both the order roll-up and the repeat-purchase
+    # pass with different column sets, so Catalyst would plan (and run) the
+    # numbering and the joins twice: materialise it once.
+    lines = cut_lineage(order_lines(line_items, variants, products, numbered, sale_patterns))
     rolled = order_rollup(lines)
     common = common_items(lines)
     t = rolled.join(common, "order_id", "left").select(

@@ -185,7 +185,9 @@ def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[
         same = F.col("hi") == F.col("lo")
         b = (b.withColumn("lo", F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")))
               .withColumn("hi", F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi"))))
-        joined = base.join(F.broadcast(b.select(*by, "lo", "hi", "bins")), by, "inner") if by else \
+        # One bounds row per group: a broadcast of one row without groups; with
+        # groups the size follows the group count, so AQE decides.
+        joined = base.join(b.select(*by, "lo", "hi", "bins"), by, "inner") if by else \
             base.crossJoin(F.broadcast(b.select("lo", "hi", "bins")))
         idx = _bin_index(x, F.col("lo"), F.col("hi"), F.col("bins"))
         counts = joined.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -280,3 +282,13 @@ def subscription_curve(users: DataFrame, revenue_per_order: float = 68.0, profit
     return g.select("new_orders", "n", (F.col("start") + F.col("n")).alias("cumulative_users"),
                     (orders * revenue_per_order).alias("cumulative_new_revenue"),
                     (orders * profit_per_order).alias("cumulative_new_profit")).orderBy("new_orders")
+
+
+def to_wide(long: DataFrame, row: str, col: str, value: str, col_labels, row_labels=None) -> DataFrame:
+    """R-PIVOT: long (row, col, value) -> one column per fixed column label
+    (the pivot values are given, so no extra pass discovers them)."""
+    out = long.groupBy(row).pivot(col, list(col_labels)).agg(F.first(value))
+    if row_labels is not None:
+        order = F.array_position(F.array(*[F.lit(x) for x in row_labels]), F.col(row))
+        out = out.orderBy(order)
+    return out

@@ -75,8 +75,12 @@ def page_conversion(orders: DataFrame, line_items: DataFrame, variants: DataFram
     """
     from basketlens.operators.identity import visitor_emails
 
-    rollup = _order_rollup(orders)
-    vmap = visitor_emails(rollup, events)
+    from basketlens.session import cut_lineage
+    # Both are read by several branches with different column sets; they are
+    # small next to the click-stream (one row per valid order / per visitor
+    # e-mail pair), so materialising them once beats re-planning them.
+    rollup = cut_lineage(_order_rollup(orders))
+    vmap = cut_lineage(visitor_emails(rollup, events))
 
     email_first = (rollup.where(F.col("email").isNotNull())
                    .groupBy("email").agg(F.min("order_completed_at").alias("first_at")))

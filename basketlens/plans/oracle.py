@@ -879,6 +879,11 @@ up_ev AS (
 FROM up_ev i JOIN top t ON t.email = i.email
 WHERE i.email IS NOT NULL AND ({cls}) IN ('pdp', 'add_to_bag', 'checkout')""")
 
+    cols = ", ".join(c if k != "d" else f"{_r(c)} AS {c}" for c, k in CUSTOMER_COLUMNS.items())
+    _users_report("nth_multi_order_customer", """
+nth AS (SELECT *, row_number() OVER (ORDER BY email) AS pos FROM users WHERE lifetime_orders > 1)
+""", f"SELECT {cols} FROM nth WHERE pos = 101")
+
     # order-table reports
     rb = "CASE " + " ".join(f"WHEN common_products_ratio >= {B.RATIO_EDGES[i]} AND common_products_ratio < "
                             f"{B.RATIO_EDGES[i + 1]} THEN '{lab}'" for i, lab in enumerate(B.RATIO_LABELS)) + " END"
@@ -930,6 +935,18 @@ SELECT order_month, count(*) AS orders FROM tx WHERE has_sale_item > 0 AND order
         _tx_report(name, c, f2)
     _tx_report("units_by_date", "", mean_by_sql("tx", "order_date", "units", ["is_repeat"]))
     _tx_report("positive_adjustments", "", "SELECT * FROM tx WHERE adjustment_total > 0.0")
+    _tx_report("guest_penetration_matrix", f"""
+gu AS {cust('max(is_guest)', 'is_guest')},
+gp AS (SELECT aov_bucket, order_count_bucket, count(*) AS users, count(*) FILTER (WHERE is_guest > 0.0) AS guest_users
+       FROM gu WHERE aov_bucket IS NOT NULL AND order_count_bucket IS NOT NULL GROUP BY 1, 2),
+gl AS (SELECT a.aov_bucket, o.order_count_bucket,
+         CAST(coalesce(g.guest_users, 0) AS DOUBLE) / nullif(coalesce(g.users, 0), 0) AS v
+       FROM {labels_sql('aov_bucket', B.AOV_LABELS)} a
+         CROSS JOIN {labels_sql('order_count_bucket', B.LIFETIME_ORDERS_LABELS)} o
+         LEFT JOIN gp g ON g.aov_bucket = a.aov_bucket AND g.order_count_bucket = o.order_count_bucket)
+""", "SELECT order_count_bucket, " + ", ".join(
+        f"{_r(f'max(CASE WHEN aov_bucket = {q([lab])} THEN v END)')} AS \"{lab}\"" for lab in B.AOV_LABELS)
+        + " FROM gl GROUP BY 1")
     _tx_report("orders_by_sale_flag", "", """
 SELECT has_sale_item, count(*) AS orders FROM tx WHERE has_sale_item IS NOT NULL GROUP BY 1""")
 

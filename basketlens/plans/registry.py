@@ -198,6 +198,8 @@ def _register_reports():
     _report("units_by_date", _tx, R.units_by_date)
     _report("positive_adjustments", _tx, R.positive_adjustments)
     _report("orders_by_sale_flag", _tx, R.orders_by_sale_flag)
+    _report("guest_penetration_matrix", _tx, R.guest_penetration_matrix)
+    _report("nth_multi_order_customer", _users, lambda u: R.nth_customer(u, 100))
 
 
 def _export(spark, sf_dir):

@@ -297,3 +297,18 @@ def positive_adjustments(transactions: DataFrame) -> DataFrame:
 def orders_by_sale_flag(transactions: DataFrame) -> DataFrame:
     """Orders per has_sale_item value."""
     return S.group_sizes(transactions, "has_sale_item", name="orders").orderBy("has_sale_item")
+
+
+def guest_penetration_matrix(transactions: DataFrame) -> DataFrame:
+    """Q21 as displayed: order-count buckets as rows, AOV buckets as columns."""
+    g = guest_penetration_grid(transactions)
+    return S.to_wide(g, "order_count_bucket", "aov_bucket", "guest_percentage", B.AOV_LABELS,
+                     B.LIFETIME_ORDERS_LABELS)
+
+
+def nth_customer(users: DataFrame, n: int, order: str = "email") -> DataFrame:
+    """The n-th (0-based) multi-order customer in ``order``; global
+    positions, so no single-partition sort."""
+    c = users.where(F.col("lifetime_orders") > 1)
+    pos = sequence_number(c, [], [order], out="_pos")
+    return pos.where(F.col("_pos") == n + 1).drop("_pos")

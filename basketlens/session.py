@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,15 +65,19 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an intermediate that several branches of a plan read.
 
-    With a shared ``spark.checkpoint.dir`` (a cluster) this is a reliable
-    checkpoint: the rows are written once, lineage is cut, and a lost
-    executor does not force the upstream joins to rerun. Without one (a
-    local session) it is a MEMORY_AND_DISK persist, filled by one count.
-    Never a node-local checkpoint."""
+    With a shared ``spark.checkpoint.dir`` (what a cluster names) the rows
+    are written once as a Parquet table under it and read back: lineage is
+    cut, a lost executor does not force the upstream joins to rerun, and the
+    re-read is columnar with filter pushdown. Without a checkpoint directory
+    (a bare local session) it is a MEMORY_AND_DISK persist filled by one
+    count. Never a node-local checkpoint."""
     from pyspark import StorageLevel
     spark = df.sparkSession
-    if ensure_checkpoint_dir(spark) is not None:
-        return df.checkpoint(eager=True)
+    root = ensure_checkpoint_dir(spark)
+    if root is not None:
+        path = f"{root.rstrip('/')}/basketlens-tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
