@@ -4,4 +4,15 @@ Every operator takes DataFrames and returns a lazy DataFrame built from
 native Spark SQL expressions; nothing is collected to the driver.
 """
 
+import sys as _sys
+
 __version__ = "0.1.0"
+
+# The one Python step that runs on executors (the per-partition numbering of
+# the sequence operator) is shipped by value, so executors do not need this
+# package installed or on their path.
+try:  # pragma: no cover - depends on the Spark build
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
