@@ -70,17 +70,24 @@ def label_table(spark, name: str, labels) -> DataFrame:
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{name} string, {name}_ord int")
 
 
-def qcut_edges(df: DataFrame, col: str, q: int = 10, digits: int = 9) -> DataFrame:
-    """One row with the sorted distinct quantile edges (exact, distributed)."""
+def qcut_edges(df: DataFrame, col: str, q: int = 10, digits: int = 9, approx: bool = False,
+               accuracy: int = 100000) -> DataFrame:
+    """One row with the sorted distinct quantile edges: exact and distributed,
+    or with ``approx=True`` from a mergeable quantile sketch (for continuous
+    columns where exactness is not needed)."""
     from basketlens.operators.sequence import exact_quantiles
     probs = [i / q for i in range(q + 1)]
+    if approx:
+        x = F.col(col).cast("double")
+        edges = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy)
+        return df.agg(F.array_distinct(F.array_sort(F.transform(edges, lambda e: F.round(e, digits)))).alias("_edges"))
     qs = exact_quantiles(df, col, probs)
     return qs.agg(F.array_distinct(F.array_sort(F.collect_list(F.round("value", digits)))).alias("_edges"))
 
 
-def qcut_codes(df: DataFrame, col: str, out: str, q: int = 10) -> DataFrame:
+def qcut_codes(df: DataFrame, col: str, out: str, q: int = 10, approx: bool = False) -> DataFrame:
     """Attach ``out`` = the qcut code of ``col`` (0-based; null stays null)."""
-    edges = qcut_edges(df, col, q)
+    edges = qcut_edges(df, col, q, approx=approx)
     x = F.col(col).cast("double")
     code = F.greatest(F.size(F.filter(F.col("_edges"), lambda e: e < x)) - 1, F.lit(0))
     return (df.crossJoin(F.broadcast(edges))

@@ -55,3 +55,10 @@ def visitor_emails(order_rollup: DataFrame, events: DataFrame) -> DataFrame:
     return (linked.unionByName(own)
                   .where(F.col("email").isNotNull() & F.col("distinct_id").isNotNull())
                   .distinct())
+
+
+def ambiguous_visitors(id_map: DataFrame) -> DataFrame:
+    """Visitors whose identity maps to more than one e-mail (their events
+    fan out when the map is joined), with the number of e-mails."""
+    return (id_map.groupBy("distinct_id").agg(F.count(F.lit(1)).alias("emails"))
+                  .where(F.col("emails") > 1))

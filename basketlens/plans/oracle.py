@@ -952,3 +952,9 @@ SELECT has_sale_item, count(*) AS orders FROM tx WHERE has_sale_item IS NOT NULL
 
 
 _register_report_oracles()
+
+
+@oracle("ambiguous_visitors")
+def _ambiguous_visitors():
+    return with_adapter(DISTINCT_TO_EMAIL, """
+SELECT distinct_id, count(*) AS emails FROM distinct_to_email GROUP BY 1 HAVING count(*) > 1""")

@@ -225,3 +225,10 @@ def q_user_paths_middle(spark, sf_dir):
     m = model(spark, sf_dir)
     chosen = R.middle_customers(_users(spark, sf_dir), *td.TENURE_WINDOW)
     return rounded(R.user_paths(m.orders, m.events, chosen, *td.EVENT_WINDOW))
+
+
+@register("ambiguous_visitors")
+def q_ambiguous_visitors(spark, sf_dir):
+    from basketlens.operators.identity import ambiguous_visitors, email_to_distinct
+    m = model(spark, sf_dir)
+    return ambiguous_visitors(email_to_distinct(m.orders, m.events))

@@ -178,3 +178,32 @@ def test_prior_transaction_segments(spark):
     assert out[("product", "no_prior_transaction")] == (1.0, 0.0)
     assert out[("product", "prior_transaction_same_product")] == (1.0, 1.0)
     assert out[("checkout", "all_users")] == (1.0, 1.0)
+
+
+def test_missing_opportunity_pair_fails_the_job(spark):
+    import pytest
+    from basketlens.plans.reports import opportunity_sizes
+    from basketlens.sources.literals import opportunity_map
+    conv = spark.createDataFrame([("product", "all_users", 10.0, 0.5)],
+                                 "event string, segment string, avg_daily_users double, "
+                                 "avg_user_conversion_rate double")
+    ok = opportunity_sizes(conv, opportunities=opportunity_map(spark, [("s", "product", "o", "all_users", 0.1)]))
+    r = ok.first()
+    assert abs(r.new_revenue_yearly - 10.0 * 0.05 * 365 * 60) < 1e-9
+    bad = opportunity_sizes(conv, opportunities=opportunity_map(spark, [("s", "bag", "o", "all_users", 0.1)]))
+    with pytest.raises(Exception):
+        bad.collect()
+
+
+def test_jitter_bounds(spark):
+    from basketlens.functions.expr import jitter
+    df = spark.range(200).select(F.lit(5.0).alias("x"))
+    vals = [r.j for r in df.select(jitter("x", 0.4).alias("j")).collect()]
+    assert all(4.6 <= v <= 5.4 for v in vals) and len(set(vals)) > 1
+
+
+def test_approx_options_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i % 13),) for i in range(1000)], "x double")
+    exact = [r.c for r in B.qcut_codes(df, "x", "c").orderBy("x").collect()]
+    approx = [r.c for r in B.qcut_codes(df, "x", "c", approx=True).orderBy("x").collect()]
+    assert exact == approx
