@@ -7,10 +7,14 @@ spread evenly:
 
 1. ``repartitionByRange(n, key, order)``: sampled bounds split a hot key over
    many partitions (the order columns must make the order total).
-2. One Arrow-batched pass per partition numbers each run of equal keys
-   locally (rows arrive sorted, so this is a streaming count, no buffering).
-3. A carry table, one row per partition (bounded by ``n``, broadcast), holds
-   how many rows of a partition's first key sit in earlier partitions.
+2. One Arrow pass per partition (``mapInArrow``, numpy on the Arrow buffers)
+   numbers each run of equal keys locally; rows arrive sorted, so this is a
+   streaming count with no buffering.
+3. A second Arrow pass emits one stats row per partition; from these a
+   carry table (one row per partition, broadcast) gives how many rows of a
+   partition's first key sit in earlier partitions. Both passes read one
+   reused range exchange, so they see identical partitions (and a lost
+   executor recomputes map output with the same bounds).
 
 With no key it yields global 1-based positions in the sort order, which
 exact quantiles use. The range exchange is shared by both branches (it is
@@ -20,48 +24,59 @@ one plan subtree, reused), and explicit ``n`` keeps AQE from re-slicing it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PID, _SEQ, _LOCAL, _FIRST = "_sq_pid", "_sq_seq", "_sq_local", "_sq_first_run"
+_PID, _LOCAL, _FIRST = "_sq_pid", "_sq_local", "_sq_first_run"
 
 
-def _same_as_previous(pdf: pd.DataFrame, keys: list[str], prev: tuple | None) -> np.ndarray:
-    n = len(pdf)
-    same = np.ones(n, dtype=bool)
-    for i, c in enumerate(keys):
-        s = pdf[c]
-        p = s.shift(1)
-        eq = ((s == p) | (s.isna() & p.isna())).to_numpy(dtype=bool)
+def _starts(batch, keys: list[str], prev: tuple | None) -> np.ndarray:
+    """True where a row starts a new run of equal keys (nulls equal nulls);
+    ``prev`` is the last key of the previous batch of the same partition."""
+    import pyarrow as pa  # noqa: F401
+    n = batch.num_rows
+    if not keys:
+        out = np.zeros(n, dtype=bool)
+        out[0] = prev is None
+        return out
+    diff = np.zeros(n, dtype=bool)
+    for i, k in enumerate(keys):
+        arr = batch.column(k)
+        valid = ~np.asarray(arr.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+        vals = arr.to_numpy(zero_copy_only=False)
+        d = np.empty(n, dtype=bool)
+        both = valid[1:] & valid[:-1]
+        d[1:] = np.where(both, vals[1:] != vals[:-1], valid[1:] != valid[:-1])
         if prev is None:
-            eq[0] = False
+            d[0] = True
         else:
             pv = prev[i]
-            v = s.iloc[0]
-            eq[0] = (pd.isna(v) and pd.isna(pv)) or (not pd.isna(v) and not pd.isna(pv) and v == pv)
-        same &= eq
-    if not keys:
-        same[0] = prev is not None
-    return same
+            v0 = vals[0] if valid[0] else None
+            d[0] = (v0 is None) != (pv is None) or (v0 is not None and v0 != pv)
+        diff |= d
+    return diff
+
+
+def _last_key(batch, keys):
+    return tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
 
 
-def _local_numbering(keys: list[str]):
+def _numbering(keys: list[str]):
+    """Per partition (rows sorted): 1-based rank inside each run of equal keys,
+    and whether the row belongs to the partition's first run."""
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        prev = None
-        carried = 0
-        seq = 0
-        first_open = True
-        for pdf in batches:
-            n = len(pdf)
+        prev, carried, first_open = None, 0, True
+        for b in batches:
+            n = b.num_rows
             if n == 0:
                 continue
             idx = np.arange(n, dtype=np.int64)
-            start = ~_same_as_previous(pdf, keys, prev)
+            start = _starts(b, keys, prev)
             last_start = np.maximum.accumulate(np.where(start, idx, -1))
             local = np.where(last_start < 0, carried + idx + 1, idx - last_start + 1)
             group = np.cumsum(start)
@@ -73,55 +88,96 @@ def _local_numbering(keys: list[str]):
                 if start.any():
                     first_open = False
             carried = int(local[-1])
-            prev = tuple(pdf[c].iloc[-1] for c in keys)
-            out = pdf.copy()
-            out[_PID] = np.int32(pid)
-            out[_SEQ] = seq + idx
-            out[_LOCAL] = local.astype(np.int64)
-            out[_FIRST] = first
-            seq += n
-            yield out
+            prev = _last_key(b, keys)
+            yield pa.RecordBatch.from_arrays(
+                list(b.columns) + [pa.array(np.full(n, pid, dtype=np.int32), type=pa.int32()),
+                                   pa.array(local.astype(np.int64), type=pa.int64()),
+                                   pa.array(first, type=pa.bool_())],
+                names=list(b.schema.names) + [_PID, _LOCAL, _FIRST])
+    return run
+
+
+def _partition_stats(keys: list[str]):
+    """One row per non-empty partition: first key, last key, size of the last
+    run of equal keys, row count (key values keep their Arrow types)."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first_cols, last_cols, prev, last_run, rows = None, None, None, 0, 0
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            start = _starts(b, keys, prev)
+            if first_cols is None:
+                first_cols = [b.column(k).slice(0, 1) for k in keys]
+            idx = np.flatnonzero(start)
+            last_run = (n - int(idx[-1])) if idx.size else last_run + n
+            last_cols = [b.column(k).slice(n - 1, 1) for k in keys]
+            prev = _last_key(b, keys)
+            rows += n
+        if rows:
+            arrays = [pa.array([pid], type=pa.int32()), pa.array([rows], type=pa.int64()),
+                      pa.array([last_run], type=pa.int64())] + first_cols + last_cols
+            names = ["p", "rows", "last_n"] + [f"f_{i}" for i in range(len(keys))] + \
+                [f"l_{i}" for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
 
 
 def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                     num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` per ``keys`` in ``order`` (ascending, nulls first;
-    pass columns, not sort expressions). ``order`` plus ``keys`` must identify a
-    row uniquely for the numbering to be deterministic."""
+    pass column names). ``order`` plus ``keys`` must identify a row uniquely
+    for the numbering to be deterministic."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField(_PID, T.IntegerType()), T.StructField(_SEQ, T.LongType()),
-        T.StructField(_LOCAL, T.LongType()), T.StructField(_FIRST, T.BooleanType())])
-    numbered = ranged.mapInPandas(_local_numbering(list(keys)), schema)
+    ranged = df.repartitionByRange(n, *sort_cols)
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # Both passes below must see the same partitions. With exchange reuse
+        # off, pin them with a reliable checkpoint (keeps the partitioning).
+        from basketlens.session import ensure_checkpoint_dir
+        if ensure_checkpoint_dir(spark) is not None:
+            ranged = ranged.checkpoint(eager=True)
+    key_fields = {f.name: f.dataType for f in df.schema.fields}
+    sorted_rows = ranged.sortWithinPartitions(*sort_cols)
 
+    # Stats pass. It reads the very same range exchange as the numbering pass
+    # (no projection in between, so the exchange is one reused node and both
+    # passes see identical partitions); it emits one row per partition.
+    stat_schema = T.StructType(
+        [T.StructField("p", T.IntegerType()), T.StructField("rows", T.LongType()),
+         T.StructField("last_n", T.LongType())]
+        + [T.StructField(f"f_{i}", key_fields[k]) for i, k in enumerate(keys)]
+        + [T.StructField(f"l_{i}", key_fields[k]) for i, k in enumerate(keys)])
+    stats = sorted_rows.mapInArrow(_partition_stats(list(keys)), stat_schema)
+    ordered = Window.orderBy("p")
     if keys:
-        kstruct = F.struct(*[F.col(k) for k in keys])
-        stats = numbered.groupBy(_PID).agg(
-            F.min_by(kstruct, F.col(_SEQ)).alias("first_key"),
-            F.max_by(F.struct(kstruct.alias("k"), F.col(_LOCAL).alias("n")), F.col(_SEQ)).alias("last"))
-        stats = stats.select(F.col(_PID).alias("p"), "first_key",
-                             F.col("last.k").alias("last_key"), F.col("last.n").alias("last_n"))
+        first_key = F.struct(*[F.col(f"f_{i}") for i in range(len(keys))])
+        last_key = F.struct(*[F.col(f"l_{i}").alias(f"f_{i}") for i in range(len(keys))])
+        stats = stats.select("p", first_key.alias("first_key"), last_key.alias("last_key"), "last_n")
         # Tiny table (one row per partition): rows of a key in earlier
         # partitions = running sum of last-run sizes among partitions ending
         # in that key, taken from the previous partition.
         by_key = Window.partitionBy("last_key").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-        ordered = Window.orderBy("p")
         stats = stats.withColumn("upto", F.sum("last_n").over(by_key))
         carry = stats.select(
             "p", F.when(F.lag("last_key").over(ordered).eqNullSafe(F.col("first_key")),
                         F.lag("upto").over(ordered)).otherwise(F.lit(0)).alias("carry"))
     else:
-        stats = numbered.groupBy(_PID).agg(F.count(F.lit(1)).alias("cnt"))
-        before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-        carry = stats.select(F.col(_PID).alias("p"), F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("carry"))
+        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        carry = stats.select("p", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("carry"))
     carry = carry.select(F.col("p").alias(_PID), "carry")
+
+    num_schema = T.StructType(df.schema.fields + [
+        T.StructField(_PID, T.IntegerType()), T.StructField(_LOCAL, T.LongType()),
+        T.StructField(_FIRST, T.BooleanType())])
+    numbered = sorted_rows.mapInArrow(_numbering(list(keys)), num_schema)
     res = numbered.join(F.broadcast(carry), _PID, "left")
     rn = F.col(_LOCAL) + F.when(F.col(_FIRST), F.coalesce(F.col("carry"), F.lit(0))).otherwise(F.lit(0))
-    return res.withColumn(out, rn.cast("long")).drop(_PID, _SEQ, _LOCAL, _FIRST, "carry")
+    return res.withColumn(out, rn.cast("long")).drop(_PID, _LOCAL, _FIRST, "carry")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str = "prob") -> DataFrame:

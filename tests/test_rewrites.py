@@ -110,3 +110,12 @@ def test_repeat_purchase_rewrite_matches_exists(spark):
                       AND new.product_id = old.product_id AND new.order_index > old.order_index)
         GROUP BY 1""").fetchall()}
     assert got == exp
+
+
+def test_sequence_passes_share_one_range_exchange(spark):
+    df = spark.createDataFrame([(f"k{i % 7}", i) for i in range(2000)], "k string, id long")
+    out = sequence_number(df, ["k"], ["id"], "rn", num_partitions=5)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    assert plan.count("+- Exchange rangepartitioning") == 1
