@@ -41,14 +41,9 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-_MODEL_CACHE: dict = {}
-
-
 def model(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = td.load(spark, sf_dir)
-    return _MODEL_CACHE[key]
+    """The shop model over the driver's tables (lazy; cheap to rebuild)."""
+    return td.load(spark, sf_dir)
 
 
 @register("mean_daily_users")
