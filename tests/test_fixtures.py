@@ -12,7 +12,7 @@ from basketlens.operators import stats as S
 from basketlens.operators import traffic as TR
 from basketlens.schemas import OPTION_VALUES, OPTION_VALUES_VARIANTS, PRODUCT_MAP
 
-from helpers import events_df, line_items_df, orders_df, products_df, strings, ts, variants_df
+from helpers import events_df, line_items_df, orders_df, products_df, strings, variants_df
 
 
 def _order_tables(spark, orders, lines, products=((1, "shirt"), (2, "red sale dress"))):
