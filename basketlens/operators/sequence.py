@@ -12,9 +12,14 @@ spread evenly:
    streaming count with no buffering.
 3. A second Arrow pass emits one stats row per partition; from these a
    carry table (one row per partition, broadcast) gives how many rows of a
-   partition's first key sit in earlier partitions. Both passes read one
-   reused range exchange, so they see identical partitions (and a lost
-   executor recomputes map output with the same bounds).
+   partition's first key sit in earlier partitions.
+
+Both passes must see identical partitions. Two planned copies of a range
+exchange sample their bounds independently (the sample seed follows the RDD
+id), and exchange reuse is an optimisation, not a guarantee. So the sorted,
+range-partitioned rows are pinned once (reliable checkpoint into the shared
+checkpoint directory, which keeps partitioning and order) and both passes
+read that one RDD.
 
 With no key it yields global 1-based positions in the sort order, which
 exact quantiles use. The range exchange is shared by both branches (it is
@@ -126,6 +131,22 @@ def _partition_stats(keys: list[str]):
     return run
 
 
+def _pin(df: DataFrame) -> DataFrame:
+    """Materialise with partitions and order kept: a reliable checkpoint into
+    the session's shared ``spark.checkpoint.dir`` (lineage cut, survives a
+    lost executor), else (no checkpoint directory) MEMORY_AND_DISK persist,
+    whose recomputation goes through the same shuffle dependency and so the
+    same range bounds."""
+    from pyspark import StorageLevel
+
+    from basketlens.session import ensure_checkpoint_dir
+    if ensure_checkpoint_dir(df.sparkSession) is not None:
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                     num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` per ``keys`` in ``order`` (ascending, nulls first;
@@ -134,19 +155,13 @@ def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
-    ranged = df.repartitionByRange(n, *sort_cols)
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        # Both passes below must see the same partitions. With exchange reuse
-        # off, pin them with a reliable checkpoint (keeps the partitioning).
-        from basketlens.session import ensure_checkpoint_dir
-        if ensure_checkpoint_dir(spark) is not None:
-            ranged = ranged.checkpoint(eager=True)
+    # Range-partitioned, sorted rows, pinned once: both passes below must see
+    # the very same partitions. Two planned copies of a range exchange sample
+    # their bounds independently, so exchange reuse is not relied upon.
+    sorted_rows = _pin(df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols))
     key_fields = {f.name: f.dataType for f in df.schema.fields}
-    sorted_rows = ranged.sortWithinPartitions(*sort_cols)
 
-    # Stats pass. It reads the very same range exchange as the numbering pass
-    # (no projection in between, so the exchange is one reused node and both
-    # passes see identical partitions); it emits one row per partition.
+    # Stats pass: one row per partition.
     stat_schema = T.StructType(
         [T.StructField("p", T.IntegerType()), T.StructField("rows", T.LongType()),
          T.StructField("last_n", T.LongType())]

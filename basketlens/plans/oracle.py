@@ -536,9 +536,11 @@ def _customer_ctes() -> str:
     return VISIT_STATS_CTES + ",\n" + FIRST_ORDER_CTES + f""",
 cf_export AS (
   SELECT lower(o.email) AS email, CAST(CAST(min(o.completed_at) AS DATE) AS TIMESTAMP) AS first_order_date,
-    round(sum(o.item_total), 2) AS lifetime_gpr, CAST(count(o.id) AS DOUBLE) AS lifetime_orders,
+    floor(CAST(sum(CAST(round(r.o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 300000.0 * 100.0 + 0.5) / 100.0
+      AS lifetime_gpr, CAST(count(o.id) AS DOUBLE) AS lifetime_orders,
     CAST(coalesce(sum(u.units), 0) AS DOUBLE) AS lifetime_units
   FROM m_orders o
+    JOIN orders r ON r.o_orderkey = o.id
     LEFT JOIN (SELECT order_id, sum(quantity) AS units FROM m_line_items WHERE is_deleted = false GROUP BY 1) u
       ON o.id = u.order_id
   WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0 AND o.completed_at IS NOT NULL

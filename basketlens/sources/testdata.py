@@ -171,12 +171,18 @@ def customer_export(spark, sf_dir) -> DataFrame:
         & (F.col("environment") == 0) & F.col("completed_at").isNotNull() & F.col("email").isNotNull())
     units = (line_items(spark, sf_dir).where(F.col("is_deleted") == F.lit(False))
              .groupBy("order_id").agg(F.sum("quantity").alias("units")))
+    # GPR from an exact integer-cents sum, rounded to cents with plain IEEE
+    # steps, so the export text is the same whatever the summation order.
+    cents = F.round(F.col("o_totalprice_x100")).cast("long")
+    o = o.join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"),
+                                                     (F.col("o_totalprice") * 100).alias("o_totalprice_x100")), "id")
     per_customer = (o.join(units, o.id == units.order_id, "left")
                     .groupBy(F.lower("email").alias("email"))
                     .agg(F.min("completed_at").alias("first"),
                          F.count("id").alias("n"),
-                         F.sum("item_total").alias("gpr"),
-                         F.coalesce(F.sum("units"), F.lit(0)).alias("units")))
+                         F.sum(cents).alias("gpr_cents"),
+                         F.coalesce(F.sum("units"), F.lit(0)).alias("units"))
+                    .withColumn("gpr", F.floor(F.col("gpr_cents") / 300000.0 * 100.0 + 0.5) / 100.0))
     return per_customer.select(
         F.col("email").alias("Customer Filters Email"),
         F.date_format("first", "yyyy-MM-dd").alias("Customer Segments First Order Cohort Date"),
