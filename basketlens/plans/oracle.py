@@ -936,7 +936,8 @@ SELECT order_month, count(*) AS orders FROM tx WHERE has_sale_item > 0 AND order
         c, f2 = hist_sql(src, "units")
         _tx_report(name, c, f2)
     _tx_report("units_by_date", "", mean_by_sql("tx", "order_date", "units", ["is_repeat"]))
-    _tx_report("positive_adjustments", "", "SELECT * FROM tx WHERE adjustment_total > 0.0")
+    _tx_report("positive_adjustments", "", rounded_select(ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES,
+                                                          "(SELECT * FROM tx WHERE adjustment_total > 0.0)"))
     _tx_report("guest_penetration_matrix", f"""
 gu AS {cust('max(is_guest)', 'is_guest')},
 gp AS (SELECT aov_bucket, order_count_bucket, count(*) AS users, count(*) FILTER (WHERE is_guest > 0.0) AS guest_users
