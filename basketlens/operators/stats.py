@@ -185,6 +185,10 @@ def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[
         same = F.col("hi") == F.col("lo")
         b = (b.withColumn("lo", F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")))
               .withColumn("hi", F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi"))))
+        # One row per group, read by both the binning and the dense bin list:
+        # materialise it so the quartile pass behind it runs once.
+        from basketlens.session import cut_lineage
+        b = cut_lineage(b)
         # One bounds row per group: a broadcast of one row without groups; with
         # groups the size follows the group count, so AQE decides.
         joined = base.join(b.select(*by, "lo", "hi", "bins"), by, "inner") if by else \
