@@ -961,3 +961,12 @@ _register_report_oracles()
 def _ambiguous_visitors():
     return with_adapter(DISTINCT_TO_EMAIL, """
 SELECT distinct_id, count(*) AS emails FROM distinct_to_email GROUP BY 1 HAVING count(*) > 1""")
+
+
+@oracle("event_classes")
+def _event_classes():
+    return with_adapter("", f"""
+SELECT distinct_id, lower(email) AS email, time, name, {class_case()} AS event, {path_case()} AS path_name,
+  CASE WHEN trim(os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform,
+  CAST(CAST(time AS DATE) AS TIMESTAMP) AS day
+FROM m_events""")

@@ -227,3 +227,10 @@ def q_ambiguous_visitors(spark, sf_dir):
     from basketlens.operators.identity import ambiguous_visitors, email_to_distinct
     m = model(spark, sf_dir)
     return ambiguous_visitors(email_to_distinct(m.orders, m.events))
+
+
+@register("event_classes")
+def q_event_classes(spark, sf_dir):
+    """The streaming classifier's row-wise transform, run in batch over every event."""
+    from basketlens.streaming.events import classify
+    return classify(model(spark, sf_dir).events)
