@@ -267,18 +267,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entry = schema(token=LONG, n=LONG, node=LONG, pos=LONG, leader=LONG)
     lists = scratch.table("lists", postings.select("token", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("token")
                           .sortWithinPartitions("token", "n", "node").mapInArrow(_scan_lists, entry))
-    # Whole sets, once for each class that shares a list: its first document's.
-    chosen = (index.filter("node is not null").join(lists.select("node").distinct(), "node", "left_semi")
-              .groupBy("node").agg(F.min("doc_id").alias("chosen")))
-    sets = scratch.table("sets", docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "text")
-                         .mapInArrow(_sets, schema(node=LONG, items=BINARY)).dropDuplicates(["node"]))
+
+    def linked(name: str, pairs: DataFrame) -> DataFrame:
+        """The linking pairs; whole sets are made again, once for each class
+        of the pairs, from its first document."""
+        pairs = scratch.table(f"{name}-pairs", pairs)
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        chosen = (index.filter("node is not null").join(wanted, "node", "left_semi")
+                  .groupBy("node").agg(F.min("doc_id").alias("chosen")))
+        sets = scratch.table(f"{name}-sets", docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "text")
+                             .mapInArrow(_sets, schema(node=LONG, items=BINARY)))
+        found = scratch.table(name, verified(pairs, sets).distinct())
+        scratch.drop(f"{name}-pairs", f"{name}-sets")
+        return found
+
     # Answers of similar sets: the two leaders met in most lists.
     best = (lists.filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
             .filter("votes * 20 >= n")
             .groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("one"), F.min(F.struct(-F.col("votes"), F.col("leader"))).alias("two")))
     pairs = (best.select(F.col("node").alias("a"), F.explode(F.array("one.leader", "two.leader")).alias("b"))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = scratch.table("links", verified(pairs, sets))
+    links = linked("links", pairs)
     labels = components(scratch, "similar", links)
     # Remaining pairs, by components.
     seen = scratch.table("labelled", lists.select("token", "n", "node", "pos").join(labels, "node", "left")
@@ -289,8 +298,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             # Common shingles outside the index follow the earlier of the two index ends.
             .filter(F.expr("shared + greatest(n_a + ceil(-n_a / 4), n_b + ceil(-n_b / 4)) >= floor((3 * (n_a + n_b) + 6) / 7)"))
             .select("a", "b"))
-    more = scratch.table("more", verified(rest, sets))
-    scratch.drop("lists", "sets", "labelled")
+    more = linked("more", rest)
+    scratch.drop("lists", "labelled")
     labels = components(scratch, "all", links.union(more))
     scratch.drop("links", "more")
     rows = index.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
