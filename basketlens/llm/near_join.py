@@ -13,7 +13,7 @@ documents link when 100 * |A & B| >= 75 * |A | B|. Equal sets form one class
    positions; linked classes share at least one. Lists are sorted by set size;
    entries without a neighbour of a fitting size are skipped.
 3. *Answers of similar sets.* Every class is checked against the leaders (the
-   smallest position) of its lists. Verified links merge classes; whatever lies
+   smallest positions) that it meets in most of its lists. Verified links merge classes; whatever lies
    in one component needs no further answer.
 4. *Remaining pairs.* Lists are read again by blocks of one component and one
    range of sizes: block pairs of one component, of unfitting sizes or of too
@@ -41,6 +41,8 @@ from .shingles import mix, shingle_sets, shingles, text_column, chunks
 CELL_BITS = 24
 BLOCK = 1 << 16
 BLOCK_ENTRIES = 256
+LEADERS = 3  # of a list's run of sizes
+ANSWERS = 4  # leaders a set is checked against at first
 
 
 def prefix_length(n):
@@ -150,7 +152,7 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
 
 
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries that share a list with a set of fitting size, with the leader of
+    """Entries that share a list with a set of fitting size, with the leaders of
     their run of sizes. Rows come sorted by token, size, node."""
     for x in _lists(batches, ["token", "n", "node", "pos"]):
         token, n, node, pos = x["token"], x["n"], x["node"], x["pos"]
@@ -164,14 +166,15 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, n, node, pos = token[keep], n[keep], node[keep], pos[keep]
         if len(token) == 0:
             continue
-        leader = np.empty(len(token), np.int64)
+        leader = np.empty((len(token), LEADERS), np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         for a, b in zip(cuts[:-1], cuts[1:]):
             while a < b:  # a run: sizes up to 4/3 of its first
                 end = a + int(np.searchsorted(n[a:b] * 3, n[a] * 4, side="right"))
-                leader[a:end] = node[a + int(np.lexsort((node[a:end], pos[a:end]))[0])]
+                leader[a:end] = node[a + np.resize(np.lexsort((node[a:end], pos[a:end]))[:LEADERS], LEADERS)]
                 a = end
-        yield pa.RecordBatch.from_pydict({"token": token, "n": n, "node": node, "pos": pos, "leader": leader})
+        leaders = pa.ListArray.from_arrays(pa.array(np.arange(0, leader.size + 1, LEADERS, dtype=np.int32)), pa.array(leader.ravel()))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (token, n, node, pos)), leaders], ["token", "n", "node", "pos", "leaders"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(frequency_levels(docs))
     index = scratch.table("index", docs.mapInArrow(_index(levels), schema(doc_id=LONG, n_shingles=LONG, node=LONG, entries=T.ArrayType(LONG))))
     postings = (index.filter("entries is not null").select(F.col("n_shingles").alias("n"), "node", F.posexplode("entries").alias("pos", "token")))
-    entry = schema(token=LONG, n=LONG, node=LONG, pos=LONG, leader=LONG)
+    entry = schema(token=LONG, n=LONG, node=LONG, pos=LONG, leaders=T.ArrayType(LONG))
     lists = scratch.table("lists", postings.select("token", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("token")
                           .sortWithinPartitions("token", "n", "node").mapInArrow(_scan_lists, entry))
 
@@ -281,11 +284,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         scratch.drop(f"{name}-pairs", f"{name}-sets")
         return found
 
-    # Answers of similar sets: the two leaders met in most lists.
-    best = (lists.filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
-            .filter("votes * 20 >= n")
-            .groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("one"), F.min(F.struct(-F.col("votes"), F.col("leader"))).alias("two")))
-    pairs = (best.select(F.col("node").alias("a"), F.explode(F.array("one.leader", "two.leader")).alias("b"))
+    # Answers of similar sets: the leaders met in most lists.
+    met = (lists.select("node", "n", F.explode(F.array_distinct("leaders")).alias("leader")).filter("node != leader")
+           .groupBy("node", "leader").agg(F.count("*").alias("votes"), F.max("n").alias("n")).filter("votes * 20 >= n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), False), 1, ANSWERS).alias("best"))
+    pairs = (best.select(F.col("node").alias("a"), F.explode("best.leader").alias("b"))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = linked("links", pairs)
     labels = components(scratch, "similar", links)

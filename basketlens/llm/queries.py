@@ -6,24 +6,48 @@ from pyspark import cloudpickle
 
 import basketlens
 
+from .fingerprints import op3_fingerprints
+from .html_text import op1_html_extraction
 from .mixing import op2_source_mixing
 from .near_join import op9_jaccard_join
+from .neighbours import op4_nearest_neighbours
 from .pieces import op5_sentencepiece
+from .pii import op6_pii_surrogates
 from .quality import op10_quality
 from .secrets import op8_secret_scan
+from .toxicity import op7_toxicity
 
 # Functions that run on executors travel by value.
 cloudpickle.register_pickle_by_value(basketlens)
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_nearest_neighbours": r"""
+WITH parts AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS dim
+  FROM embeddings WHERE vec_id IS NOT NULL),
+fit AS (
+  SELECT vec_id, any_value(dim) AS dim FROM parts GROUP BY vec_id
+  HAVING count(x) = any_value(dim) AND bool_and(isfinite(x)) AND max(abs(x)) > 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, fsum(q.x * c.x) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0 AND q.vec_id IN (SELECT vec_id FROM fit) AND c.vec_id IN (SELECT vec_id FROM fit)
+  GROUP BY q.vec_id, c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     # Pairs of equal size classes meet on a common shingle; components by the
     # smallest reachable id.
     "op9_jaccard_join": r"""
