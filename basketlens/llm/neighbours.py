@@ -90,16 +90,16 @@ def _tile(k: int):
         rows, cols = np.nonzero(middle + slack >= bar[:, None])
         score = np.empty(len(rows))
         for a in range(0, len(rows), 1 << 15):
-            product = q[rows[a:a + (1 << 15)]] * c[cols[a:a + (1 << 15)]]
-            score[a:a + (1 << 15)] = product.astype(np.longdouble).sum(axis=1)
+            score[a:a + (1 << 15)] = (q[rows[a:a + (1 << 15)]] * c[cols[a:a + (1 << 15)]]).sum(axis=1)
         edge = np.searchsorted(rows, np.arange(len(q) + 1))
         for i in range(len(q)):
             s, at = score[edge[i]:edge[i + 1]], cols[edge[i]:edge[i + 1]]
+            if len(s) > take:  # sums in any order differ by less than this margin
+                keep = s >= np.partition(s, len(s) - take)[len(s) - take] - 1e-12 * (1 + np.abs(s).max())
+                s, at = s[keep], at[keep]
+            s = np.array([math.fsum(x) for x in (q[i] * c[at]).tolist()])
             by = np.argsort(-s, kind="stable")
             s, at = s[by], at[by]
-            if len(s) > take:
-                keep = s >= s[take - 1]
-                s, at = s[keep], at[keep]
             n = count[at]
             place = np.arange(n.sum()) + np.repeat(start[at] - (np.cumsum(n) - n), n)
             s, ids = np.repeat(s, n), c_ids[place]

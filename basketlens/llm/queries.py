@@ -42,7 +42,7 @@ fit AS (
   SELECT vec_id, any_value(dim) AS dim FROM parts GROUP BY vec_id
   HAVING count(x) = any_value(dim) AND bool_and(isfinite(x)) AND max(abs(x)) > 0),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, fsum(q.x * c.x) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum((q.x * c.x * pow(2::DOUBLE, 100))::HUGEINT)::DOUBLE / pow(2::DOUBLE, 100) AS score
   FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0 AND q.vec_id IN (SELECT vec_id FROM fit) AND c.vec_id IN (SELECT vec_id FROM fit)
   GROUP BY q.vec_id, c.vec_id),
