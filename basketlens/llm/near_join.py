@@ -313,14 +313,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: of each component the
-    document with the smallest doc_id. Repeated rows of a doc_id leave one row.
-    Documents without words link with nothing and stay, and so do rows whose
-    component has no doc_id at all."""
-    kept = (jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
-    own = F.col("doc_id").cast("long")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    known = docs.filter("doc_id is not null").join(kept, own == F.col("_kept"), "left_semi").withColumn("_place", place).filter("_place = 1").select(*docs.columns)
-    return known.union(docs.filter("doc_id is null").dropDuplicates())
+    document with the smallest doc_id. A null doc_id counts as one below all
+    others, made from its text. Repeated rows of a doc_id leave one row.
+    Documents without words link with nothing and stay."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
+    kept = jaccard_components(docs.select(own.alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    place = F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64("text")))
+    return (docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_kept"), "left_semi")
+            .withColumn("_place", place).filter("_place = 1").select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
