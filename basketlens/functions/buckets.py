@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bucket edges and labels used by the analysis.
-ORDER_INDEX_EDGES = [2, 3, 4, 5, 100]
+# The last bucket is open: the 100th and later orders count as well.
+ORDER_INDEX_EDGES = [2, 3, 4, 5]
 ORDER_INDEX_LABELS = ["2", "3", "4", "5+"]
 LIFETIME_ORDERS_EDGES = [1, 2, 3, 4, 5, 6, 11]
 LIFETIME_ORDERS_LABELS = ["1", "2", "3", "4", "5", "6-10", "11+"]

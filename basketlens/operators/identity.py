@@ -19,7 +19,7 @@ from basketlens.functions import expr as X
 def order_links(events: DataFrame) -> DataFrame:
     """(order_number, distinct_id) for events that carry an order number."""
     return (events.select(X.json_str("properties", "order_number").alias("order_number"), "distinct_id")
-                  .where(F.col("order_number").isNotNull()))
+                  .where(F.col("order_number").isNotNull()).distinct())
 
 
 def email_to_distinct(orders: DataFrame, events: DataFrame) -> DataFrame:

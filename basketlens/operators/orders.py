@@ -109,7 +109,7 @@ def calculate_fields(t: DataFrame) -> DataFrame:
         X.ratio_pct("common_products", "products").alias("common_products_ratio"),
         X.ratio_pct("common_units", "units").alias("common_units_ratio"),
         X.ratio_pct("common_total", "item_total").alias("common_total_ratio"),
-        bucketize("order_index", ORDER_INDEX_EDGES, ORDER_INDEX_LABELS).alias("order_index_bucket"),
+        bucketize("order_index", ORDER_INDEX_EDGES, ORDER_INDEX_LABELS, open_top=True).alias("order_index_bucket"),
         X.flag(F.col("order_index") > 1.0).alias("is_repeat"),
         X.ratio_pct(F.when(adj > 0.0, F.lit(0.0)).otherwise(F.abs(adj)), "item_total").alias("discount_percentage"),
         F.to_date("order_completed_at").alias("order_date"),

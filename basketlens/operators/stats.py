@@ -169,13 +169,14 @@ def grouped_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
 
 
 def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[float] | None = None,
-              max_bins: int = 50) -> DataFrame:
+              max_bins: int | None = 50, open_top: bool = False) -> DataFrame:
     """Dense histogram (bin, lo, hi, count, cumulative_fraction)
     per group. Without ``edges`` the bins are automatic and equal-width over
     the data range (numpy's assignment rule); with ``edges`` bin i is
-    [e_i, e_{i+1}), the last bin is closed and values outside are ignored.
-    ``cumulative_fraction`` is the running count over the in-range total
-    (what a cumulative, normalised histogram shows)."""
+    [e_i, e_{i+1}); the last bin is closed, or with ``open_top`` has no upper
+    end, and values outside are in no bin. ``cumulative_fraction`` is the
+    running count over all non-null rows. ``max_bins`` is the plotting rule
+    of the reports: automatic bins never number more (None: no limit)."""
     by = list(by or [])
     spark = df.sparkSession
     x = F.col(col).cast("double")
@@ -207,22 +208,26 @@ def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[
         nb = len(edges) - 1
         idx = None
         for i in range(nb):
-            cond = (x >= F.lit(float(edges[i]))) & (
-                (x <= F.lit(float(edges[i + 1]))) if i == nb - 1 else (x < F.lit(float(edges[i + 1]))))
+            cond = x >= F.lit(float(edges[i]))
+            if i < nb - 1:
+                cond = cond & (x < F.lit(float(edges[i + 1])))
+            elif not open_top:
+                cond = cond & (x <= F.lit(float(edges[i + 1])))
             idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
-        counts = (base.select(*by, idx.cast("long").alias("bin")).where(F.col("bin").isNotNull())
+        counts = (base.select(*by, idx.cast("long").alias("bin"))
                       .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
         lit_bins = spark.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(nb)],
                                          "bin long, bin_lo double, bin_hi double")
         if by:
             lit_bins = base.select(*by).distinct().crossJoin(F.broadcast(lit_bins))
         all_bins = lit_bins
+    total = counts.groupBy(*by).agg(F.sum("count").alias("_total"))
     out = all_bins.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
+    out = out.join(total, by, "left") if by else out.crossJoin(F.broadcast(total))
     w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0) if by else \
         Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*by) if by else Window.partitionBy()
     out = out.withColumn("cumulative_fraction",
-                         F.try_divide(F.sum("count").over(w).cast("double"), F.sum("count").over(tot).cast("double")))
+                         F.try_divide(F.sum("count").over(w).cast("double"), F.col("_total").cast("double")))
     return out.select(*by, "bin", "bin_lo", "bin_hi", "count", "cumulative_fraction").orderBy(*by, "bin")
 
 

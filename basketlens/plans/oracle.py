@@ -135,9 +135,17 @@ ORACLE: dict[str, str] = {}
 
 def expand_rounding(sql: str) -> str:
     """``__R6__(x)__R6END__`` marks a computed double rounded as on the Spark side."""
-    return (sql.replace("__R6__(", "(floor(CAST((")
-               .replace(")__R6END__", ") AS DOUBLE) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE))"
-                                      " / CAST(1e6 AS DOUBLE) + CAST(0.0 AS DOUBLE))"))
+    opened, closed = "__R6__(", ")__R6END__"
+    while opened in sql:
+        a = sql.rindex(opened)  # innermost first
+        b = sql.index(closed, a)
+        sql = sql[:a] + ROUNDED.format("(" + sql[a + len(opened):b] + ")::DOUBLE") + sql[b + len(closed):]
+    return sql
+
+
+# Values beyond 2^53 / 1e6 have no sixth place to round and stay as they are.
+ROUNDED = ("list_transform([{0}], lambda x: if(abs(x) < 9007199254.0, floor(x * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+            " / CAST(1e6 AS DOUBLE) + CAST(0.0 AS DOUBLE), x))[1]")
 
 
 def oracle(name: str):
@@ -195,61 +203,41 @@ g AS (
 FROM g ORDER BY views""")
 
 
-# --- Q6: page conversion by segment (literal form) ---------------------------
+# --- Q6: page conversion by segment (first purchase per visitor, then one row per visitor-day and page) ---
+VALID_ORDER = "is_deleted = false AND state = 'complete' AND environment = 0 AND completed_at IS NOT NULL"
+
 PAGE_CONVERSION_CTES = f"""
-orders_c AS (
-  SELECT o.id AS order_id, max(o.completed_at) AS order_completed_at, max(o.number) AS order_number,
-    max(lower(o.email)) AS email
-  FROM m_orders o
-  WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0 AND o.completed_at IS NOT NULL
-  GROUP BY 1),
-email_to_distinct_raw AS (
-  SELECT lower(o.email) AS email, e.distinct_id
-  FROM orders_c o JOIN m_events e ON json_extract_string(e.properties, '$.order_number') = o.order_number
-  WHERE o.email IS NOT NULL
-  UNION ALL
-  SELECT lower(e.email) AS email, e.distinct_id FROM m_events e),
-owd AS (
-  SELECT o.order_id, etd.distinct_id, max(o.order_completed_at) AS order_completed_at
-  FROM orders_c o JOIN email_to_distinct_raw etd ON etd.email = o.email
-  GROUP BY 1, 2),
-liwd AS (
-  SELECT o.order_id, o.order_completed_at, o.distinct_id, v.product_id
-  FROM owd o JOIN m_line_items li ON li.order_id = o.order_id JOIN m_variants v ON v.id = li.variant_id),
-pc_events AS (
-  SELECT e.distinct_id, CAST(CAST(e.time AS DATE) AS TIMESTAMP) AS day, {class_case('e.name')} AS event,
-    CASE WHEN EXISTS (SELECT 1 FROM owd o WHERE o.distinct_id = e.distinct_id AND o.order_completed_at < e.time)
-         THEN 1.0 ELSE 0.0 END AS prior_transaction,
-    CASE WHEN EXISTS (SELECT 1 FROM liwd o WHERE o.distinct_id = e.distinct_id AND o.order_completed_at < e.time
-                        AND o.product_id = TRY_CAST(json_extract_string(e.properties, '$.product_id') AS INTEGER))
-         THEN 1.0 ELSE 0.0 END AS prior_transaction_same_product
+buyers AS (SELECT id, number, lower(email) AS email, completed_at FROM m_orders WHERE {VALID_ORDER} AND email IS NOT NULL),
+known AS (
+  SELECT distinct_id, lower(email) AS email FROM m_events WHERE email IS NOT NULL
+  UNION
+  SELECT e.distinct_id, b.email FROM buyers b JOIN m_events e ON b.number = json_extract_string(e.properties, '$.order_number')),
+first_order AS (SELECT distinct_id, min(completed_at) AS since FROM known JOIN buyers USING (email) GROUP BY ALL),
+first_item AS (
+  SELECT distinct_id, product_id, min(completed_at) AS since
+  FROM known JOIN buyers b USING (email) JOIN m_line_items li ON li.order_id = b.id JOIN m_variants v ON v.id = li.variant_id
+  GROUP BY ALL),
+page_days AS (
+  SELECT e.distinct_id, CAST(e.time AS DATE) AS day, {class_case('e.name')} AS page,
+    bool_or(coalesce(e.time > o.since, false)) AS bought, bool_or(coalesce(e.time > i.since, false)) AS bought_it
   FROM m_events e
-  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED})),
-user_day_event_counts AS (
-  SELECT distinct_id, day, event, 'all_users' AS segment, count(1) AS event_count FROM pc_events GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT distinct_id, day, event,
-    max(CASE WHEN prior_transaction > 0 THEN 'prior_transaction' ELSE 'no_prior_transaction' END) AS segment,
-    count(1) AS event_count
-  FROM pc_events GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT distinct_id, day, event,
-    max(CASE WHEN prior_transaction_same_product > 0 THEN 'prior_transaction_same_product'
-             ELSE 'no_prior_transaction_with_same_product' END) AS segment,
-    count(1) AS event_count
-  FROM pc_events WHERE event = 'product' GROUP BY 1, 2, 3),
-traffic_and_conversion_per_day AS (
-  SELECT ude.day, ude.event, ude.segment, count(DISTINCT ude.distinct_id) AS daily_users,
-    count(DISTINCT conversions.distinct_id) AS daily_converting_users
-  FROM user_day_event_counts ude
-    LEFT JOIN user_day_event_counts conversions
-      ON conversions.distinct_id = ude.distinct_id AND conversions.day = ude.day AND conversions.event = 'checkout'
-  GROUP BY 1, 2, 3),
-traffic_and_conversion AS (
-  SELECT event, segment, avg(daily_users) AS avg_daily_users,
-    avg(daily_converting_users) AS avg_daily_converting_users, count(1) AS days_counted,
-    avg(daily_converting_users) / nullif(avg(daily_users), 0) AS avg_user_conversion_rate
-  FROM traffic_and_conversion_per_day GROUP BY 1, 2)
+    LEFT JOIN first_order o ON o.distinct_id = e.distinct_id
+    LEFT JOIN first_item i ON i.distinct_id = e.distinct_id AND i.product_id = TRY_CAST(json_extract_string(e.properties, '$.product_id') AS INTEGER)
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED})
+  GROUP BY ALL),
+segmented AS (
+  SELECT day, page, distinct_id, bool_or(page = 'checkout') OVER (PARTITION BY distinct_id, day) AS ordered,
+    unnest(['all_users', if(bought, 'prior_transaction', 'no_prior_transaction')]
+      || CASE WHEN page <> 'product' THEN []
+              ELSE [if(bought_it, 'prior_transaction_same_product', 'no_prior_transaction_with_same_product')] END) AS segment
+  FROM page_days),
+per_day AS (
+  SELECT day, page, segment, count(distinct_id) AS visitors, count(distinct_id) FILTER (ordered) AS converted
+  FROM segmented GROUP BY ALL),
+page_rates AS (
+  SELECT page AS event, segment, avg(visitors) AS avg_daily_users, avg(converted) AS avg_daily_converting_users,
+    count(*) AS days_counted, avg(converted) / nullif(avg(visitors), 0) AS avg_user_conversion_rate
+  FROM per_day GROUP BY ALL)
 """
 
 
@@ -259,7 +247,7 @@ def _page_conversion():
 SELECT event, segment, __R6__(avg_daily_users)__R6END__ AS avg_daily_users,
   __R6__(avg_daily_converting_users)__R6END__ AS avg_daily_converting_users, days_counted,
   __R6__(avg_user_conversion_rate)__R6END__ AS avg_user_conversion_rate
-FROM traffic_and_conversion ORDER BY 1, 2""")
+FROM page_rates ORDER BY 1, 2""")
 
 
 def _opportunity_values() -> str:
@@ -279,35 +267,29 @@ SELECT o.strategy, o.page, o.opportunity, o.segment, __R6__(t.avg_daily_users)__
   __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift))__R6END__ AS new_conversions_daily,
   __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0)__R6END__ AS new_conversions_yearly,
   __R6__(t.avg_daily_users * (t.avg_user_conversion_rate * o.projected_lift) * 365.0 * 60.0)__R6END__ AS new_revenue_yearly
-FROM opp o JOIN traffic_and_conversion t ON t.event = o.page AND t.segment = o.segment
+FROM opp o JOIN page_rates t ON t.event = o.page AND t.segment = o.segment
 ORDER BY o.ordinal""")
 
 
 # --- Q2: classified events of chosen customers ---------------------------------
-VALID_ORDER = "is_deleted = false AND state = 'complete' AND environment = 0 AND completed_at IS NOT NULL"
 EXPORT_EMAILS = f"SELECT DISTINCT lower(email) AS email FROM m_orders WHERE {VALID_ORDER} AND email IS NOT NULL"
 
 DISTINCT_TO_EMAIL = """
+order_links AS (SELECT distinct_id, json_extract_string(properties, '$.order_number') AS number FROM m_events),
 distinct_to_email AS (
-  SELECT DISTINCT lower(o.email) AS email, e.distinct_id
-  FROM m_orders o JOIN m_events e ON json_extract_string(e.properties, '$.order_number') = o.number
-  WHERE o.email IS NOT NULL)
+  SELECT DISTINCT l.distinct_id, lower(o.email) AS email FROM order_links l JOIN m_orders o USING (number) WHERE o.email IS NOT NULL)
 """
 
 
 @oracle("classified_events")
 def _classified_events():
     return with_adapter(DISTINCT_TO_EMAIL + f""",
-ev AS (
-  SELECT coalesce(lower(e.email), dte.email) AS email,
-    CASE WHEN trim(e.os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform,
-    e.time AS time, e.name
-  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
-  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED})),
-users AS ({EXPORT_EMAILS})
-""", f"""SELECT coalesce(email, '') AS email, coalesce(platform, '') AS platform, time,
-  coalesce({path_case('name')}, '') AS name
-FROM ev WHERE email IS NOT NULL AND email IN (SELECT email FROM users)""")
+attributed AS (
+  SELECT m_events.* REPLACE (coalesce(lower(m_events.email), d.email) AS email)
+  FROM m_events LEFT JOIN distinct_to_email d USING (distinct_id))
+""", f"""SELECT email, if(trim(os) IN ({MOBILE}), 'mobile', 'desktop') AS platform, time, coalesce({path_case('name')}, '') AS name
+FROM attributed SEMI JOIN ({EXPORT_EMAILS}) USING (email)
+WHERE time BETWEEN {TS_START} AND {TS_END} AND name IN ({TRACKED})""")
 
 
 # --- Q1: order facts (literal form: window row_number, EXISTS self-probe) -------
@@ -316,75 +298,40 @@ def _sale_case(col: str) -> str:
 
 
 ORDER_FACTS_CTES = f"""
-preorders AS (
-  SELECT o.id AS order_id, max(lower(o.email)) AS email, max(o.completed_at) AS order_completed_at,
-    max(o.number) AS order_number, max(o.item_total) AS item_total, max(o.user_id) AS user_id,
-    max(o.adjustment_total) AS adjustment_total
-  FROM m_orders o
-  WHERE o.is_deleted = false AND o.state = 'complete' AND o.environment = 0
-    AND o.email NOT LIKE '{td.STAFF_PATTERN}' AND o.completed_at IS NOT NULL
-  GROUP BY 1),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY email ORDER BY order_completed_at, order_id) AS order_index,
-    CAST(CASE WHEN user_id IS NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_guest
-  FROM preorders),
-of_lines AS (
-  SELECT li.variant_id, li.order_id, max(o.email) AS email, max(o.is_guest) AS is_guest,
-    max(o.adjustment_total) AS order_adjustment_total, max(o.order_number) AS order_number,
-    max(p.id) AS product_id, max(o.order_completed_at) AS order_completed_at, max(o.item_total) AS item_total,
-    max(o.order_index) AS order_index, max(li.created_at) AS line_item_created_at, max(li.price) AS price,
-    max(li.quantity) AS quantity, max(li.cost_price) AS total,
-    max(CAST({_sale_case('p.name')} AS DOUBLE)) AS is_sale_item
-  FROM m_line_items li
-    LEFT JOIN m_variants v ON li.variant_id = v.id
-    LEFT JOIN m_products p ON v.product_id = p.id
-    INNER JOIN numbered o ON li.order_id = o.order_id
-  WHERE (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
-    AND li.is_deleted = false AND v.is_deleted = false AND p.is_deleted = false
-  GROUP BY 1, 2),
-of_orders AS (
-  SELECT order_id, max(email) AS email, max(is_guest) AS is_guest, max(order_number) AS order_number,
-    max(order_index) AS order_index, max(order_completed_at) AS order_completed_at,
-    min(line_item_created_at) AS min_line_item_created_at, max(line_item_created_at) AS max_line_item_created_at,
-    sum(quantity) AS units, count(DISTINCT product_id) AS products, count(1) AS line_items,
-    max(item_total) AS item_total, max(order_adjustment_total) AS adjustment_total,
-    max(is_sale_item) AS has_sale_item,
-    sum(CASE WHEN is_sale_item > 0.0 THEN item_total ELSE 0.0 END) AS sale_total
-  FROM of_lines GROUP BY 1),
-common_line_items AS (
-  SELECT new.order_id, count(DISTINCT new.product_id) AS common_products, sum(new.quantity) AS common_units,
-    sum(new.price) AS common_total
-  FROM of_lines new
-  WHERE EXISTS (SELECT 1 FROM of_lines old
-                WHERE new.email = old.email AND new.order_id != old.order_id
-                  AND new.product_id = old.product_id AND new.order_index > old.order_index)
-  GROUP BY 1),
-of_t AS (
-  SELECT o.order_id, coalesce(o.email, '') AS email, CAST(o.is_guest AS DOUBLE) AS is_guest,
-    coalesce(o.order_number, '') AS order_number, CAST(o.order_index AS DOUBLE) AS order_index,
-    o.order_completed_at, o.min_line_item_created_at, o.max_line_item_created_at,
-    CAST(o.units AS DOUBLE) AS units, CAST(o.products AS DOUBLE) AS products,
-    CAST(o.line_items AS DOUBLE) AS line_items, CAST(o.item_total AS DOUBLE) AS item_total,
-    CAST(o.adjustment_total AS DOUBLE) AS adjustment_total, CAST(o.has_sale_item AS DOUBLE) AS has_sale_item,
-    CAST(o.sale_total AS DOUBLE) AS sale_total,
-    CAST(coalesce(cli.common_products, 0.0) AS DOUBLE) AS common_products,
-    CAST(coalesce(cli.common_units, 0.0) AS DOUBLE) AS common_units,
-    CAST(coalesce(cli.common_total, 0.0) AS DOUBLE) AS common_total
-  FROM of_orders o LEFT JOIN common_line_items cli ON o.order_id = cli.order_id),
+placed AS (
+  SELECT id AS order_id, lower(email) AS email, number AS order_number, completed_at AS order_completed_at, item_total, adjustment_total,
+    if(user_id IS NULL, 1.0, 0.0)::DOUBLE AS is_guest,
+    row_number() OVER (PARTITION BY lower(email) ORDER BY completed_at, id) AS order_index
+  FROM m_orders WHERE {VALID_ORDER} AND email NOT LIKE '{td.STAFF_PATTERN}'),
+catalogue AS (
+  SELECT v.id AS variant_id, p.id AS product_id, {_sale_case('p.name')} AS on_sale
+  FROM m_variants v JOIN m_products p ON p.id = v.product_id
+  WHERE NOT v.is_deleted AND NOT p.is_deleted AND coalesce(p.name NOT IN ({NON_MERCH}), true)),
+basket AS (
+  SELECT order_id, variant_id, max(quantity) AS quantity, max(price) AS price, max(created_at) AS created_at
+  FROM m_line_items WHERE NOT is_deleted GROUP BY ALL),
+sold AS (
+  SELECT b.*, c.product_id, c.on_sale, o.item_total,
+    coalesce(o.order_index > min(o.order_index) OVER (PARTITION BY o.email, c.product_id), false) AND o.email IS NOT NULL AS bought_before
+  FROM basket b JOIN catalogue c USING (variant_id) JOIN placed o USING (order_id)),
+summed AS (
+  SELECT order_id, min(created_at) AS min_line_item_created_at, max(created_at) AS max_line_item_created_at,
+    sum(quantity)::DOUBLE AS units, count(DISTINCT product_id)::DOUBLE AS products, count(*)::DOUBLE AS line_items,
+    max(on_sale)::DOUBLE AS has_sale_item, sum(on_sale * item_total)::DOUBLE AS sale_total,
+    count(DISTINCT product_id) FILTER (bought_before)::DOUBLE AS common_products,
+    coalesce(sum(quantity) FILTER (bought_before), 0)::DOUBLE AS common_units,
+    coalesce(sum(price) FILTER (bought_before), 0)::DOUBLE AS common_total
+  FROM sold GROUP BY order_id),
 order_facts AS (
-  SELECT *,
-    common_products / nullif(products, 0) * 100.0 AS common_products_ratio,
-    common_units / nullif(units, 0) * 100.0 AS common_units_ratio,
-    common_total / nullif(item_total, 0) * 100.0 AS common_total_ratio,
-    CASE WHEN order_index >= 2 AND order_index < 3 THEN '2' WHEN order_index >= 3 AND order_index < 4 THEN '3'
-         WHEN order_index >= 4 AND order_index < 5 THEN '4' WHEN order_index >= 5 AND order_index < 100 THEN '5+'
-    END AS order_index_bucket,
-    CAST(CASE WHEN order_index > 1.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_repeat,
-    (CASE WHEN adjustment_total > 0.0 THEN 0.0 ELSE abs(adjustment_total) END) / nullif(item_total, 0) * 100.0
-      AS discount_percentage,
-    CAST(order_completed_at AS DATE) AS order_date,
-    CAST(date_trunc('month', order_completed_at) AS DATE) AS order_month
-  FROM of_t)
+  SELECT summed.*, placed.* EXCLUDE (order_id) REPLACE (CAST(order_index AS DOUBLE) AS order_index, CAST(item_total AS DOUBLE) AS item_total, CAST(adjustment_total AS DOUBLE) AS adjustment_total),
+    100.0 * (common_products / nullif(products, 0)) AS common_products_ratio,
+    100.0 * (common_units / nullif(units, 0)) AS common_units_ratio,
+    100.0 * (common_total / nullif(placed.item_total, 0)) AS common_total_ratio,
+    CASE WHEN placed.order_index > 4 THEN '5+' WHEN placed.order_index > 1 THEN CAST(placed.order_index AS VARCHAR) END AS order_index_bucket,
+    if(placed.order_index > 1, 1.0, 0.0)::DOUBLE AS is_repeat,
+    100.0 * (greatest(-placed.adjustment_total, 0.0) / nullif(placed.item_total, 0)) AS discount_percentage,
+    CAST(order_completed_at AS DATE) AS order_date, CAST(date_trunc('month', order_completed_at) AS DATE) AS order_month
+  FROM summed JOIN placed USING (order_id))
 """
 
 ORDER_FACT_DOUBLES = ["is_guest", "order_index", "units", "products", "line_items", "item_total",
@@ -411,48 +358,31 @@ def _order_facts():
     return with_adapter(ORDER_FACTS_CTES, rounded_select(ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES, "order_facts"))
 
 
-# --- Q3: visit stats (literal form: row_number + consecutive self-joins) -----------
+# --- Q3: visit stats (orders by place in their spelling's sequence, visits by the previous day) -----------
 VISIT_STATS_CTES = DISTINCT_TO_EMAIL + """,
-indexed_transactions AS (
-  SELECT o.id AS order_id, lower(o.email) AS email, o.completed_at,
-    row_number() OVER (PARTITION BY o.email ORDER BY o.completed_at, o.id) AS user_transaction_index
-  FROM m_orders o WHERE o.environment = 0 AND o.completed_at IS NOT NULL),
-time_between_transactions AS (
-  SELECT one.email, avg(date_diff('day', one.completed_at, two.completed_at)) AS avg_days_between_orders,
-    min(date_diff('day', one.completed_at, two.completed_at)) AS min_days_between_orders,
-    max(date_diff('day', one.completed_at, two.completed_at)) AS max_days_between_orders
-  FROM indexed_transactions one JOIN indexed_transactions two
-    ON one.email = two.email AND one.user_transaction_index + 1 = two.user_transaction_index
-  GROUP BY 1),
-visit_days AS (
-  SELECT coalesce(lower(e.email), dte.email) AS email, date_trunc('day', e.time) AS visit_day
-  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
-  GROUP BY 1, 2),
-visit_days_indexed AS (
-  SELECT *, row_number() OVER (PARTITION BY email ORDER BY visit_day) AS user_visit_index FROM visit_days),
-time_between_visits AS (
-  SELECT one.email, avg(date_diff('day', one.visit_day, two.visit_day)) AS avg_days_between_visits,
-    min(date_diff('day', one.visit_day, two.visit_day)) AS min_days_between_visits,
-    max(date_diff('day', one.visit_day, two.visit_day)) AS max_days_between_visits
-  FROM visit_days_indexed one JOIN visit_days_indexed two
-    ON one.email = two.email AND one.user_visit_index + 1 = two.user_visit_index
-  GROUP BY 1),
-vs_users AS (
-  SELECT coalesce(lower(e.email), dte.email) AS email, min(e.time) AS min_visit_time, max(e.time) AS max_visit_time,
-    count(DISTINCT date_trunc('day', e.time)) AS visit_days
-  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
-  GROUP BY 1),
-with_retained_days AS (
-  SELECT *, date_diff('day', min_visit_time, max_visit_time) AS days_retained,
-    CAST(date_diff('day', min_visit_time, max_visit_time) AS DOUBLE) / visit_days AS days_retained_per_visit
-  FROM vs_users),
+purchases AS (
+  SELECT lower(email) AS email, completed_at, row_number() OVER (PARTITION BY email ORDER BY completed_at, id) AS place
+  FROM m_orders WHERE environment = 0 AND completed_at IS NOT NULL),
+order_gaps AS (
+  SELECT email, date_diff('day', earlier.completed_at, later.completed_at) AS days
+  FROM (SELECT email, place + 1 AS place, completed_at FROM purchases) earlier JOIN purchases later USING (email, place)),
+visits AS (
+  SELECT coalesce(lower(m_events.email), d.email) AS email, time, date_trunc('day', time) AS day
+  FROM m_events LEFT JOIN distinct_to_email d USING (distinct_id)),
+day_gaps AS (
+  SELECT email, date_diff('day', lag(day) OVER (PARTITION BY email ORDER BY day), day) AS days
+  FROM (SELECT DISTINCT email, day FROM visits)),
+spans AS (
+  SELECT email, min(time) AS min_visit_time, max(time) AS max_visit_time, count(DISTINCT day) AS visit_days,
+    date_diff('day', min(time), max(time)) AS days_retained
+  FROM visits GROUP BY email),
 vs AS (
-  SELECT r.email, r.min_visit_time, r.max_visit_time, r.visit_days, r.days_retained, r.days_retained_per_visit,
-    tbt.avg_days_between_orders, tbt.min_days_between_orders, tbt.max_days_between_orders,
-    tbv.avg_days_between_visits, tbv.min_days_between_visits, tbv.max_days_between_visits
-  FROM with_retained_days r
-    LEFT JOIN time_between_transactions tbt ON tbt.email = r.email
-    LEFT JOIN time_between_visits tbv ON tbv.email = r.email)
+  SELECT s.*, CAST(days_retained AS DOUBLE) / visit_days AS days_retained_per_visit, o.* EXCLUDE (email), v.* EXCLUDE (email)
+  FROM spans s
+    LEFT JOIN (SELECT email, avg(days) AS avg_days_between_orders, min(days) AS min_days_between_orders, max(days) AS max_days_between_orders
+               FROM order_gaps GROUP BY email) o ON o.email = s.email
+    LEFT JOIN (SELECT email, avg(days) AS avg_days_between_visits, min(days) AS min_days_between_visits, max(days) AS max_days_between_visits
+               FROM day_gaps GROUP BY email) v ON v.email = s.email)
 """
 
 
@@ -466,34 +396,24 @@ SELECT email, min_visit_time, max_visit_time, visit_days, days_retained,
 FROM vs""")
 
 
-# --- Q4: first-order divisions (literal form: nth_order window, left joins) -------
+# --- Q4: first-order divisions (the earliest order with a sellable line, then its lines) -------
 FIRST_ORDER_CTES = f"""
-line_item_filtered_orders AS (
-  SELECT DISTINCT lower(o.email) AS email, o.id, o.completed_at
-  FROM m_line_items li
-    LEFT JOIN m_variants v ON li.variant_id = v.id
-    LEFT JOIN m_products p ON v.product_id = p.id
-    LEFT JOIN m_orders o ON li.order_id = o.id
-  WHERE (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
-    AND o.state = 'complete' AND o.environment = 0
-    AND li.is_deleted = false AND v.is_deleted = false AND p.is_deleted = false AND o.is_deleted = false),
-nth_order AS (
-  SELECT f.*, row_number() OVER (PARTITION BY lower(f.email) ORDER BY f.completed_at ASC NULLS LAST, f.id)
-    AS nth_order
-  FROM line_item_filtered_orders f),
-first_order_product_info AS (
-  SELECT DISTINCT lower(o.email) AS email, p.name AS name, pm.division AS division
-  FROM m_line_items li
-    LEFT JOIN m_orders o ON li.order_id = o.id AND o.is_deleted = false
-    LEFT JOIN m_variants v ON li.variant_id = v.id AND v.is_deleted = false
-    LEFT JOIN m_products p ON v.product_id = p.id AND p.is_deleted = false
-    LEFT JOIN nth_order n ON o.id = n.id
-    LEFT JOIN m_product_map pm ON left(v.sku, 6) = pm.style_code
-  WHERE o.state = 'complete' AND (p.name NOT IN ({NON_MERCH}) OR p.name IS NULL)
-    AND li.is_deleted = false AND o.environment = 0 AND n.nth_order = 1),
+merchandise AS (SELECT * FROM m_products WHERE NOT is_deleted AND coalesce(name NOT IN ({NON_MERCH}), true)),
+shop_orders AS (SELECT id, lower(email) AS email, completed_at FROM m_orders WHERE state = 'complete' AND environment = 0 AND NOT is_deleted),
+opening AS (
+  SELECT id, email FROM shop_orders
+  WHERE id IN (SELECT li.order_id FROM m_line_items li JOIN m_variants v ON v.id = li.variant_id JOIN merchandise p ON p.id = v.product_id
+               WHERE NOT li.is_deleted AND NOT v.is_deleted)
+  QUALIFY row_number() OVER (PARTITION BY email ORDER BY completed_at NULLS LAST, id) = 1),
+opening_lines AS (
+  SELECT o.email, v.sku, v.product_id
+  FROM opening o JOIN m_line_items li ON li.order_id = o.id AND NOT li.is_deleted
+    LEFT JOIN (SELECT * FROM m_variants WHERE NOT is_deleted) v ON v.id = li.variant_id),
 fod AS (
   SELECT email, coalesce(string_agg(DISTINCT division, '|' ORDER BY division), '') AS first_order_division
-  FROM first_order_product_info GROUP BY 1)
+  FROM opening_lines l LEFT JOIN m_product_map pm ON pm.style_code = left(l.sku, 6)
+  WHERE NOT EXISTS (SELECT 1 FROM m_products p WHERE p.id = l.product_id AND NOT p.is_deleted AND p.name IN ({NON_MERCH}))
+  GROUP BY email)
 """
 
 
@@ -505,13 +425,12 @@ def _first_order_divisions():
 @oracle("variant_facts")
 def _variant_facts():
     return with_adapter("", """
-SELECT ovv.variant_id,
-  coalesce(string_agg(CASE WHEN ov.option_type_id = 9 THEN ov.name END, ' | ' ORDER BY ov.name), '') AS size,
-  coalesce(string_agg(CASE WHEN ov.option_type_id = 2 THEN ov.name END, ' | ' ORDER BY ov.name), '') AS color
-FROM m_option_values_variants ovv
-  LEFT JOIN m_option_values ov ON ovv.option_value_id = ov.id AND ov.is_deleted = false
-WHERE ovv.is_deleted = false
-GROUP BY 1""")
+SELECT variant_id,
+  coalesce(string_agg(name, ' | ' ORDER BY name) FILTER (option_type_id = 9), '') AS size,
+  coalesce(string_agg(name, ' | ' ORDER BY name) FILTER (option_type_id = 2), '') AS color
+FROM (SELECT * FROM m_option_values_variants WHERE NOT is_deleted) a
+  LEFT JOIN (SELECT id AS option_value_id, option_type_id, name FROM m_option_values WHERE NOT is_deleted) o USING (option_value_id)
+GROUP BY variant_id""")
 
 
 # --- Q5: customer facts ----------------------------------------------------------------
@@ -696,7 +615,7 @@ FROM {p}_dense"""
 def edges_hist_sql(source: str, col: str, edges) -> tuple[str, str]:
     nb = len(edges) - 1
     case = "CASE " + " ".join(
-        f"WHEN x >= {float(edges[i])} AND x {'<=' if i == nb - 1 else '<'} {float(edges[i + 1])} THEN {i}"
+        f"WHEN x >= {float(edges[i])}" + ("" if i == nb - 1 else f" AND x < {float(edges[i + 1])}") + f" THEN {i}"
         for i in range(nb)) + " END"
     vals = ", ".join(f"({i}, {float(edges[i])}, {float(edges[i + 1])})" for i in range(nb))
     ctes = f"""
@@ -707,7 +626,7 @@ e_dense AS (SELECT CAST(b.bin AS BIGINT) AS bin, CAST(b.bin_lo AS DOUBLE) AS bin
   coalesce(c.cnt, 0) AS count FROM e_bins b LEFT JOIN e_counts c ON b.bin = c.bin)
 """
     final = f"""SELECT bin, {_r('bin_lo')} AS bin_lo, {_r('bin_hi')} AS bin_hi, CAST(count AS BIGINT) AS count,
-  {_r('CAST(sum(count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif(sum(count) OVER (), 0)')}
+  {_r('CAST(sum(count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / nullif((SELECT count(*) FROM e_base), 0)')}
     AS cumulative_fraction
 FROM e_dense"""
     return ctes, final
@@ -890,7 +809,7 @@ nth AS (SELECT *, row_number() OVER (ORDER BY email) AS pos FROM users WHERE lif
     rb = "CASE " + " ".join(f"WHEN common_products_ratio >= {B.RATIO_EDGES[i]} AND common_products_ratio < "
                             f"{B.RATIO_EDGES[i + 1]} THEN '{lab}'" for i, lab in enumerate(B.RATIO_LABELS)) + " END"
     ob = ("CASE WHEN order_index >= 2 AND order_index < 3 THEN '2' WHEN order_index >= 3 AND order_index < 4 THEN '3' "
-          "WHEN order_index >= 4 AND order_index < 5 THEN '4' WHEN order_index >= 5 AND order_index < 100 THEN '5+' END")
+          "WHEN order_index >= 4 AND order_index < 5 THEN '4' WHEN order_index >= 5 THEN '5+' END")
     _tx_report("repeat_product_mix", f"""
 rp AS (SELECT {ob} AS order_number, {rb} AS product_ratio_bucket FROM tx WHERE order_index > 1.0),
 rp_grid AS ({grid_sql('rp', 'order_number', 'product_ratio_bucket', B.ORDER_INDEX_LABELS, B.RATIO_LABELS, 'count', None)}),

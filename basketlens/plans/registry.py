@@ -34,8 +34,10 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
             # floor(x*10^p + 0.5)/10^p: the same IEEE steps as the oracle, so equal
             # doubles always round equally (no decimal-string half-up rounding).
             scale = float(10 ** places)
-            cols.append((F.floor(F.col(f.name) * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0))
-                        .alias(f.name))
+            # Beyond 2^53 / 10^p a double has no such place, and stays as it is.
+            x = F.col(f.name)
+            near = F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)
+            cols.append(F.when(F.abs(x) < F.lit(9007199254.0), near).otherwise(x).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

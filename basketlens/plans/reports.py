@@ -72,12 +72,14 @@ def lifetime_orders_histogram(users: DataFrame, repeat_only: bool = False) -> Da
     return S.histogram(src, "lifetime_orders")
 
 
+# Bin edges of the report.
 LIFETIME_CDF_EDGES = [0, 1, 2, 3, 5, 10, 15, 20, 30, 100]
 
 
 def lifetime_orders_cdf(users: DataFrame) -> DataFrame:
-    """Q15: cumulative, normalised histogram over fixed edges."""
-    return S.histogram(users, "lifetime_orders", edges=LIFETIME_CDF_EDGES)
+    """Q15: cumulative, normalised histogram over fixed edges; the last bin is
+    open, so customers beyond 100 orders count."""
+    return S.histogram(users, "lifetime_orders", edges=LIFETIME_CDF_EDGES, open_top=True)
 
 
 def melt_gaps(candidates: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def repeat_product_mix(transactions: DataFrame) -> DataFrame:
     """Q19: repeat orders by order-number bucket x share of previously bought
     products (10-point buckets); count and percent of the order bucket."""
     c = transactions.where(F.col("order_index") > 1.0).select(
-        B.bucketize("order_index", B.ORDER_INDEX_EDGES, B.ORDER_INDEX_LABELS).alias("order_number"),
+        B.bucketize("order_index", B.ORDER_INDEX_EDGES, B.ORDER_INDEX_LABELS, open_top=True).alias("order_number"),
         B.bucketize("common_products_ratio", B.RATIO_EDGES, B.RATIO_LABELS).alias("product_ratio_bucket"))
     grid = S.dense_grid(c, "order_number", "product_ratio_bucket", B.ORDER_INDEX_LABELS, B.RATIO_LABELS,
                         {"transactions": F.count(F.lit(1))}, {"transactions": 0})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,15 +70,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     are written once as a Parquet table under it and read back: lineage is
     cut, a lost executor does not force the upstream joins to rerun, and the
     re-read is columnar with filter pushdown. Without a checkpoint directory
-    (a bare local session) it is a MEMORY_AND_DISK persist filled by one
-    count. Never a node-local checkpoint."""
-    from pyspark import StorageLevel
+    a local session uses a temporary folder and any other raises an error.
+    Never a node-local checkpoint."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
-    if root is not None:
-        path = f"{root.rstrip('/')}/basketlens-tables/{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="basketlens-checkpoint-"))
+    path = f"{root.rstrip('/')}/basketlens-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

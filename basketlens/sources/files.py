@@ -53,12 +53,13 @@ def read_sheet_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sheet_export(df: DataFrame, path: str) -> None:
-    """S9 (re-aimed): write a frame for upload to a spreadsheet tab."""
-    write_csv(df.coalesce(1), path)
+    """S9 (re-aimed): write a frame for upload to a spreadsheet tab. The plan
+    runs at full width; only its rows meet in one file, by a shuffle."""
+    write_csv(df.repartition(1), path)
 
 
 def write_events_by_day(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Lay the click-stream out by day so date-bounded queries prune partitions."""
     (events.withColumn("event_date", F.to_date("time"))
-           .repartition("event_date")
+           .repartitionByRange("event_date", "distinct_id", "time")
            .write.mode(mode).partitionBy("event_date").parquet(path))

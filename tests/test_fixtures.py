@@ -124,9 +124,9 @@ def test_null_email_group_kept_in_visit_stats(spark):
 
 
 def test_bucket_edges(spark):
-    df = spark.createDataFrame([(float(x),) for x in [1, 2, 4, 5, 99, 100]], "x double")
-    got = [r.b for r in df.select(B.bucketize("x", B.ORDER_INDEX_EDGES, B.ORDER_INDEX_LABELS).alias("b")).collect()]
-    assert got == [None, "2", "4", "5+", "5+", None]
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 4, 5, 99, 100, 300]], "x double")
+    got = [r.b for r in df.select(B.bucketize("x", B.ORDER_INDEX_EDGES, B.ORDER_INDEX_LABELS, open_top=True).alias("b")).collect()]
+    assert got == [None, "2", "4", "5+", "5+", "5+", "5+"]
 
 
 def test_decile_ties_share_code(spark):

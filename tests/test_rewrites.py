@@ -72,6 +72,19 @@ def test_histogram_given_edges(spark):
     assert [r["count"] for r in h] == counts.tolist()
 
 
+def test_lifetime_cdf_counts_every_customer(spark):
+    from basketlens.plans.reports import lifetime_orders_cdf
+    df = spark.range(1, 301).selectExpr("cast(id as double) lifetime_orders")
+    h = lifetime_orders_cdf(df).orderBy("bin").collect()
+    assert sum(r["count"] for r in h) == 300 and h[-1].cumulative_fraction == 1.0
+
+
+def test_rounding_keeps_large_values(spark):
+    from basketlens.plans.registry import rounded
+    got = rounded(spark.createDataFrame([(1.5e13,), (1.00000049,), (None,)], "x double")).collect()
+    assert [r.x for r in got] == [1.5e13, 1.0, None]
+
+
 def test_subscription_closed_form_matches_running_sums(spark):
     rng = np.random.default_rng(13)
     opy = np.concatenate([rng.uniform(0, 6, 400), [1.0] * 50])
