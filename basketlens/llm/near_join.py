@@ -200,7 +200,7 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of entries of one list that lie in different components and whose
     sizes and positions still allow a link. Blocks hold up to BLOCK_ENTRIES
     entries of one component in order of size; a pair of blocks is skipped by
-    component, range of sizes or range of positions."""
+    component, range of sizes or earliest positions."""
     def pairs(n, node, pos, label):
         order = np.lexsort((n, label))
         n, node, pos, label = n[order], node[order], pos[order], label[order]
@@ -209,18 +209,18 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.minimum(starts + BLOCK_ENTRIES, edge[np.searchsorted(edge, starts, side="right")])
         block = np.repeat(np.arange(len(starts)), ends - starts)
         low, high, of = n[starts], n[ends - 1], label[starts]
-        early, late = np.minimum.reduceat(pos, starts), np.maximum.reduceat(pos, starts)
+        early = np.minimum.reduceat(pos, starts)
         for k in range(len(starts) - 1):
             met = (of != of[k]) & (4 * high >= 3 * low[k]) & (4 * high[k] >= 3 * low)
-            met &= np.minimum(high - np.maximum(0, early - late[k]), high[k] - np.maximum(0, early[k] - late)) >= needed_overlap(low, low[k])
+            met &= np.minimum(high - early, high[k] - early[k]) >= needed_overlap(low, low[k])
             met[:k + 1] = False
             others = np.flatnonzero(met[block])
             for i in range(starts[k], ends[k]) if len(others) else ():
                 yield from fit(n, node, pos, i, others)
 
     def fit(n, node, pos, i, j):
-        # Before this shingle a pair shares at most the smaller position.
-        most = np.minimum(n[i] - np.maximum(0, pos[i] - pos[j]), n[j] - np.maximum(0, pos[j] - pos[i]))
+        # At the first index shingle that a pair shares, this is the most it can share.
+        most = np.minimum(n[i] - pos[i], n[j] - pos[j])
         j = j[most >= needed_overlap(n[i], n[j])]
         if len(j):
             first = node[i] < node[j]
@@ -295,14 +295,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Remaining pairs, by components.
     seen = scratch.table("labelled", lists.select("token", "n", "node", "pos").join(labels, "node", "left")
                          .select("token", "n", "node", "pos", F.coalesce("label", "node").alias("label")))
-    rest = (seen.repartition("token").sortWithinPartitions("token", "n", "node")
-            .mapInArrow(_remaining, schema(a=LONG, b=LONG, n_a=LONG, n_b=LONG))
-            .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-            # Common shingles outside the index follow the earlier of the two index ends.
-            .filter(F.expr("shared + greatest(n_a + ceil(-n_a / 4), n_b + ceil(-n_b / 4)) >= floor((3 * (n_a + n_b) + 6) / 7)"))
+    met = scratch.table("met", seen.repartition("token").sortWithinPartitions("token", "n", "node")
+                        .mapInArrow(_remaining, schema(a=LONG, b=LONG, n_a=LONG, n_b=LONG)).distinct())
+    both = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    own = scratch.table("own", index.filter("entries is not null").join(both, "node", "left_semi").groupBy("node").agg(F.first("entries").alias("entries")))
+    # Common shingles outside the index follow the earlier of the two index ends.
+    rest = (met.join(own.select(F.col("node").alias("a"), F.col("entries").alias("in_a")), "a")
+            .join(own.select(F.col("node").alias("b"), F.col("entries").alias("in_b")), "b")
+            .filter(F.expr("size(array_intersect(in_a, in_b)) + greatest(n_a + ceil(-n_a / 4), n_b + ceil(-n_b / 4)) >= floor((3 * (n_a + n_b) + 6) / 7)"))
             .select("a", "b"))
     more = linked("more", rest)
-    scratch.drop("lists", "labelled")
+    scratch.drop("lists", "labelled", "met", "own")
     labels = components(scratch, "all", links.union(more))
     scratch.drop("links", "more")
     rows = index.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
