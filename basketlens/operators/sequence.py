@@ -21,9 +21,11 @@ range-partitioned rows are pinned once (reliable checkpoint into the shared
 checkpoint directory, which keeps partitioning and order) and both passes
 read that one RDD.
 
-With no key it yields global 1-based positions in the sort order, which
-exact quantiles use. The range exchange is shared by both branches (it is
-one plan subtree, reused), and explicit ``n`` keeps AQE from re-slicing it.
+With no key it yields global 1-based positions in the sort order. Explicit
+``n`` keeps AQE from re-slicing the range exchange.
+
+``exact_quantiles`` numbers no rows: it works on a table of distinct values and
+their counts, so a value that fills half the table is one row of it.
 """
 
 from __future__ import annotations
@@ -39,33 +41,37 @@ _PID, _LOCAL, _FIRST = "_sq_pid", "_sq_local", "_sq_first_run"
 
 def _starts(batch, keys: list[str], prev: tuple | None) -> np.ndarray:
     """True where a row starts a new run of equal keys (nulls equal nulls);
-    ``prev`` is the last key of the previous batch of the same partition."""
-    import pyarrow as pa  # noqa: F401
+    ``prev`` holds the last key of the previous batch of the same partition,
+    one Arrow array of length 1 per key column."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
     n = batch.num_rows
     if not keys:
         out = np.zeros(n, dtype=bool)
         out[0] = prev is None
         return out
     diff = np.zeros(n, dtype=bool)
+    diff[0] = prev is None
     for i, k in enumerate(keys):
         arr = batch.column(k)
-        valid = ~np.asarray(arr.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-        vals = arr.to_numpy(zero_copy_only=False)
-        d = np.empty(n, dtype=bool)
-        both = valid[1:] & valid[:-1]
-        d[1:] = np.where(both, vals[1:] != vals[:-1], valid[1:] != valid[:-1])
+        # Compared in the column's own Arrow type: a 64-bit key beside a null
+        # keeps all its digits. Nulls equal nulls, NaN equals NaN.
+        before = arr.slice(0, n - 1)
         if prev is None:
-            d[0] = True
+            here, at = arr.slice(1), 1
         else:
-            pv = prev[i]
-            v0 = vals[0] if valid[0] else None
-            d[0] = (v0 is None) != (pv is None) or (v0 is not None and v0 != pv)
-        diff |= d
+            before, here, at = pa.concat_arrays([prev[i], before]), arr, 0
+        changed = pc.fill_null(pc.not_equal(here, before), False)
+        if pa.types.is_floating(arr.type):
+            both = pc.and_(pc.fill_null(pc.is_nan(here), False), pc.fill_null(pc.is_nan(before), False))
+            changed = pc.and_not(changed, both)
+        changed = pc.or_(changed, pc.xor(pc.is_null(here), pc.is_null(before)))
+        diff[at:] |= changed.to_numpy(zero_copy_only=False)
     return diff
 
 
 def _last_key(batch, keys):
-    return tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+    return tuple(batch.column(k).slice(batch.num_rows - 1, 1) for k in keys)
 
 
 def _numbering(keys: list[str]):
@@ -195,30 +201,48 @@ def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     return res.withColumn(out, rn.cast("long")).drop(_PID, _LOCAL, _FIRST, "carry")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str = "prob") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str = "prob",
+                    by: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas 'linear', DuckDB
-    ``quantile_cont``) of ``col`` without a single-partition sort: global
-    positions come from ``sequence_number`` with no key, then only the rows at
-    floor/ceil of p*(n-1) are kept (broadcast of 2 x len(probs) targets).
-    Returns (prob, value); nulls are ignored."""
+    ``quantile_cont``) of ``col``, per ``by`` where given, as (by, prob, value).
+    Null values and rows with a null ``by`` are ignored; an empty input has no
+    rows.
+
+    Distinct values and their counts (partial aggregation, so a frequent value
+    is one row) are dealt by value ranges. Rows per range, one small table,
+    tell which range holds each wanted rank; a running count inside those
+    ranges alone finds the value."""
+    from basketlens.session import cut_lineage
     spark = df.sparkSession
-    base = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    # Ties in the value do not matter for order statistics, so no tie-break is needed.
-    pos = sequence_number(base, [], ["_x"], out="_pos")
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
-    p = spark.createDataFrame([(float(x),) for x in probs], "prob double")
-    targets = (p.crossJoin(n)
-                .withColumn("_k", F.col("prob") * (F.col("_n") - 1))
-                .withColumn("_lo", F.floor("_k") + 1).withColumn("_hi", F.ceil("_k") + 1)
-                .withColumn("_frac", F.col("_k") - F.floor("_k")))
-    # One probe of the positions for both neighbours of every target rank.
-    ranks = targets.select("prob", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("rank")),
-        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("rank")))).alias("r"))
-    ranks = ranks.select("prob", "_frac", "r.side", "r.rank")
-    hit = pos.join(F.broadcast(ranks), pos._pos == ranks.rank)
-    out = hit.groupBy("prob").agg(F.max("_frac").alias("_frac"),
-                                  F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_xlo"),
-                                  F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_xhi"))
-    val = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")
-    return out.select(F.col("prob").alias(group_name), val.alias("value"))
+    by = list(by or [])
+    base = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    for k in by:
+        base = base.where(F.col(k).isNotNull())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    # The range number is stored with the row: every later read sees the same ranges.
+    counts = cut_lineage(counts.repartitionByRange(n, *by, "_x").withColumn("_range", F.spark_partition_id()))
+
+    running = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = (counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
+                    .withColumn("_upto", F.sum("_rows").over(running))
+                    .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*by))))
+
+    def rank(p, side, at):
+        k = F.lit(float(p)) * (F.col("_total") - 1)
+        return F.struct(F.lit(float(p)).alias("prob"), (k - F.floor(k)).alias("frac"), F.lit(side).alias("side"),
+                        (at(k) + 1 - (F.col("_upto") - F.col("_rows"))).alias("rank"))
+    wanted = F.array(*[rank(p, side, at) for p in probs for side, at in ((0, F.floor), (1, F.ceil))])
+    wanted = F.filter(wanted, lambda t: (t["rank"] >= 1) & (t["rank"] <= F.col("_rows")))
+    wanted = ranges.select(*by, "_range", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
+
+    inside = Window.partitionBy(*by, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.join(wanted, [*by, "_range"]).withColumn("_upto", F.sum("_n").over(inside))
+    found = found.select(*by, "_x", F.explode(F.filter("_wanted", lambda t: (
+        t["rank"] <= F.col("_upto")) & (t["rank"] > F.col("_upto") - F.col("_n")))).alias("t"))
+    out = found.groupBy(*by, F.col("t.prob").alias("prob")).agg(
+        F.max("t.frac").alias("_frac"),
+        F.max(F.when(F.col("t.side") == 0, F.col("_x"))).alias("_lo"),
+        F.max(F.when(F.col("t.side") == 1, F.col("_x"))).alias("_hi"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return out.select(*by, F.col("prob").alias(group_name), value.alias("value"))

@@ -4,8 +4,8 @@ quantiles and summaries.
 
 Nothing here collects rows. Anything global (quantile edges, histogram
 bounds) is a one-row aggregate joined back with a broadcast of that one row;
-exact order statistics use distributed global positions
-(``basketlens.operators.sequence``), never a single-partition window.
+exact order statistics come from a distributed table of value counts
+(``basketlens.operators.sequence``), never from a single-partition window.
 """
 
 from __future__ import annotations
@@ -61,15 +61,17 @@ def dense_grid(df: DataFrame, row: str, col: str, row_labels, col_labels, aggs:
     """Aggregate per (row, col) bucket and emit every label pair
     (a bucket pair without rows shows ``fill``), in label order.
 
-    ``aggs`` maps output name -> aggregate Column. The label cross product is
-    at most a few dozen cells, so it is a literal relation broadcast into a
-    right join; the data side is one partial aggregation."""
-    from basketlens.functions.buckets import label_table
+    ``aggs`` maps output name -> aggregate Column. The cells are one literal
+    relation of at most a few dozen rows; the data side is one partial
+    aggregation of the rows in labelled buckets, so it has no more rows than
+    there are cells and is broadcast."""
     spark = df.sparkSession
-    g = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    g = (df.where(F.col(row).isin(list(row_labels)) & F.col(col).isin(list(col_labels)))
            .groupBy(row, col).agg(*[a.alias(n) for n, a in aggs.items()]))
-    cells = label_table(spark, row, row_labels).crossJoin(label_table(spark, col, col_labels))
-    out = F.broadcast(cells).join(g, [row, col], "left")
+    cells = spark.createDataFrame(
+        [(r, i, c, j) for i, r in enumerate(row_labels) for j, c in enumerate(col_labels)],
+        f"{row} string, {row}_ord int, {col} string, {col}_ord int")
+    out = cells.join(F.broadcast(g), [row, col], "left")
     for n, v in (fill or {}).items():
         out = out.withColumn(n, F.coalesce(F.col(n), F.lit(v)))
     return out.orderBy(f"{row}_ord", f"{col}_ord").drop(f"{row}_ord", f"{col}_ord")
@@ -135,10 +137,7 @@ def fd_bins(df: DataFrame, col: str, by: list[str], max_bins: int = 50) -> DataF
     base = df.where(F.col(col).isNotNull())
     stats = base.groupBy(*by).agg(F.count(col).alias("n"), F.min(col).cast("double").alias("lo"),
                                   F.max(col).cast("double").alias("hi"))
-    if by:
-        q = grouped_quantiles(base, col, [0.25, 0.75], by)
-    else:
-        q = exact_quantiles(base, col, [0.25, 0.75])
+    q = exact_quantiles(base, col, [0.25, 0.75], by=by)
     iqr = q.groupBy(*by).agg((F.max(F.when(F.col("prob") == 0.75, F.col("value")))
                               - F.max(F.when(F.col("prob") == 0.25, F.col("value")))).alias("iqr"))
     s = stats.join(iqr, by, "left") if by else stats.crossJoin(iqr)
@@ -148,26 +147,6 @@ def fd_bins(df: DataFrame, col: str, by: list[str], max_bins: int = 50) -> DataF
     return s.withColumn("bins", F.least(fd, F.lit(max_bins)).cast("long"))
 
 
-def grouped_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]) -> DataFrame:
-    """Exact linear quantiles per group via per-group sequence numbers
-    (skew-safe numbering with the group as key)."""
-    from basketlens.operators.sequence import sequence_number
-    spark = df.sparkSession
-    base = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    pos = sequence_number(base, by, ["_x"], out="_pos")
-    n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    p = spark.createDataFrame([(float(x),) for x in probs], "prob double")
-    t = (n.crossJoin(p).withColumn("_k", F.col("prob") * (F.col("_n") - 1))
-          .withColumn("_lo", F.floor("_k") + 1).withColumn("_hi", F.ceil("_k") + 1)
-          .withColumn("_frac", F.col("_k") - F.floor("_k")))
-    lo = pos.join(t, [*by], "inner").where(F.col("_pos") == F.col("_lo")) \
-            .select(*by, "prob", "_frac", F.col("_x").alias("_xlo"))
-    hi = pos.join(t.select(*by, "prob", "_hi"), [*by], "inner").where(F.col("_pos") == F.col("_hi")) \
-            .select(*by, "prob", F.col("_x").alias("_xhi"))
-    out = lo.join(hi, [*by, "prob"])
-    return out.select(*by, "prob", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac")).alias("value"))
-
-
 def histogram(df: DataFrame, col: str, by: list[str] | None = None, edges: list[float] | None = None,
               max_bins: int | None = 50, open_top: bool = False) -> DataFrame:
     """Dense histogram (bin, lo, hi, count, cumulative_fraction)
@@ -293,6 +272,31 @@ def subscription_curve(users: DataFrame, revenue_per_order: float = 68.0, profit
                     (orders * profit_per_order).alias("cumulative_new_profit")).orderBy("new_orders")
 
 
+def subscription_running_totals(users: DataFrame, revenue_per_order: float = 68.0, profit_per_order: float = 23.10,
+                                col: str = "orders_per_year", key: str = "email") -> DataFrame:
+    """W5, one row per customer: customers by orders per year descending (ties
+    by ``key``) with the running number of users, new revenue and new profit.
+    Customers without ``col`` are left out.
+
+    The position comes from the distributed numbering; the running sums follow
+    from it and the group rows (orders per year are not negative, so there are
+    at most five), without a window over the customers."""
+    from basketlens.operators.sequence import sequence_number
+    g = subscription_groups(users, col)
+    before = Window.orderBy("new_orders").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select("new_orders", "start",
+                 F.coalesce(F.sum(F.col("new_orders") * F.col("n")).over(before), F.lit(0.0)).alias("_orders"))
+    x = F.col(col)
+    rows = (users.where(x.isNotNull())
+                 .select(key, col, (-x.cast("double")).alias("_down"),
+                         F.greatest(F.lit(0.0), F.lit(4.0) - F.floor(x).cast("double")).alias("new_orders")))
+    rows = sequence_number(rows, [], ["_down", key], out="cumulative_users").join(F.broadcast(g), "new_orders")
+    orders = F.col("_orders") + F.col("new_orders") * (F.col("cumulative_users") - F.col("start"))
+    return rows.select(key, col, "new_orders", "cumulative_users",
+                       (orders * revenue_per_order).alias("cumulative_new_revenue"),
+                       (orders * profit_per_order).alias("cumulative_new_profit"))
+
+
 def to_wide(long: DataFrame, row: str, col: str, value: str, col_labels, row_labels=None) -> DataFrame:
     """R-PIVOT: long (row, col, value) -> one column per fixed column label
     (the pivot values are given, so no extra pass discovers them)."""

@@ -718,6 +718,13 @@ s_g AS (SELECT greatest(0.0, 4.0 - floor(orders_per_year)) AS new_orders, count(
   {_r('sum(new_orders * n) OVER (ORDER BY new_orders ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 23.10')}
     AS cumulative_new_profit
 FROM s_g""")
+    _users_report("subscription_running_totals", "", f"""
+SELECT email, {_r('orders_per_year')} AS orders_per_year, greatest(0.0, 4.0 - floor(orders_per_year)) AS new_orders,
+  count(*) OVER w AS cumulative_users,
+  {_r('sum(greatest(0.0, 4.0 - floor(orders_per_year))) OVER w * 68.0')} AS cumulative_new_revenue,
+  {_r('sum(greatest(0.0, 4.0 - floor(orders_per_year))) OVER w * 23.10')} AS cumulative_new_profit
+FROM users WHERE orders_per_year IS NOT NULL
+WINDOW w AS (ORDER BY orders_per_year DESC, email NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
     _users_report("acquisition_by_month", "", """
 SELECT first_order_month, count(*) AS users FROM users WHERE first_order_month IS NOT NULL GROUP BY 1""")
     _users_report("users_by_division", "", f"""

@@ -168,6 +168,7 @@ def _register_reports():
     _report("orders_per_year_histogram", _users, R.orders_per_year_histogram)
     _report("subscription_percentiles", _users, S.subscription_percentiles)
     _report("subscription_curve", _users, S.subscription_curve)
+    _report("subscription_running_totals", customer_facts_of, S.subscription_running_totals)
     _report("acquisition_by_month", _users, R.acquisition_by_month)
     _report("lifetime_orders_histogram", _users, R.lifetime_orders_histogram)
     _report("lifetime_orders_histogram_repeat", _users, lambda u: R.lifetime_orders_histogram(u, True))

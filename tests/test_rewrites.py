@@ -31,6 +31,47 @@ def test_sequence_number_two_keys(spark):
     assert a.join(b, "id").where(F.col("rn") != F.col("rn2")).count() == 0
 
 
+def test_sequence_number_keeps_wide_keys_beside_nulls_and_nan(spark):
+    wide = 2 ** 53
+    rows = ([(None, float("nan"), i) for i in range(2)] + [(wide, 1.0, 10 + i) for i in range(2)]
+            + [(wide + 1, None, 20 + i) for i in range(3)] + [(wide + 1, float("nan"), 30 + i) for i in range(40)])
+    df = spark.createDataFrame(rows, "k long, x double, id long")
+    for keys in (["k"], ["x"], ["k", "x"]):
+        for parts in (1, 5):
+            a = sequence_number(df, keys, ["id"], "rn", num_partitions=parts)
+            b = df.withColumn("rn2", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).select("id", "rn2")
+            assert a.join(b, "id").where(F.col("rn") == F.col("rn2")).count() == len(rows)
+
+
+def test_exact_quantiles_with_a_frequent_value_per_group(spark):
+    rng = np.random.default_rng(21)
+    rows = [("a", 7.0 if rng.random() < 0.6 else float(rng.normal()) * 9) for _ in range(1200)]
+    rows += [("b", float(v)) for v in rng.integers(0, 4, 301)] + [("c", 2.5), ("d", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.g, r.prob): r.value for r in exact_quantiles(df, "x", probs, by=["g"]).collect()}
+    assert {g for g, _ in got} == {"a", "b", "c"}
+    for g in "abc":
+        x = np.array([v for k, v in rows if k == g])
+        for p in probs:
+            assert abs(got[g, p] - np.percentile(x, p * 100)) < 1e-9
+    assert exact_quantiles(df.limit(0), "x", probs).count() == 0
+
+
+def test_subscription_running_totals_match_a_global_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{i}", None if i % 17 == 0 else float(rng.integers(0, 60)) / 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "email string, orders_per_year double")
+    got = {r.email: r for r in S.subscription_running_totals(df).collect()}
+    users, orders = 0, 0.0
+    for email, x in sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0])):
+        users, orders = users + 1, orders + max(0.0, 4.0 - np.floor(x))
+        assert got[email].cumulative_users == users
+        assert abs(got[email].cumulative_new_revenue - orders * 68.0) < 1e-6
+        assert abs(got[email].cumulative_new_profit - orders * 23.10) < 1e-6
+    assert users == len(got)
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.exponential(3.0, 2001).round(2)
