@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.schemas import EVENTS
+
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Header CSV, every column a string (quoted fields, doubled quotes)."""
@@ -63,3 +65,15 @@ def write_events_by_day(events: DataFrame, path: str, mode: str = "overwrite") -
     (events.withColumn("event_date", F.to_date("time"))
            .repartitionByRange("event_date", "distinct_id", "time")
            .write.mode(mode).partitionBy("event_date").parquet(path))
+
+
+def read_events_by_day(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Events with start <= time <= end from the layout of ``write_events_by_day``.
+    The time bound also bounds ``event_date``, so other days are not read.
+    Events without a time are in no interval."""
+    first, last = (F.lit(t).cast(T.TimestampNTZType()) for t in (start, end))
+    schema = T.StructType([*EVENTS.fields, T.StructField("event_date", T.DateType())])
+    return (spark.read.schema(schema).parquet(path)
+                 .where(F.col("event_date").between(F.to_date(first), F.to_date(last)))
+                 .where(F.col("time").between(first, last))
+                 .drop("event_date"))

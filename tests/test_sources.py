@@ -73,3 +73,17 @@ def test_streaming_classifier(spark, tmpdir_path):
     assert out.count() == expected
     assert set(r.event for r in out.select("event").distinct().collect()) <= {
         "product", "bag", "product_list", "home", "checkout_start", "checkout", "other"}
+
+
+def test_events_by_day_read_only_the_days_in_the_bound(spark, tmpdir_path):
+    from basketlens.sources.files import read_events_by_day, write_events_by_day
+    from helpers import events_df
+    times = ["2024-01-01 10:00:00", "2024-01-02 00:00:00", "2024-01-02 23:59:59", "2024-01-03 12:00:00",
+             "2024-01-03 12:00:01", "2024-01-05 08:00:00", None]
+    events = events_df(spark, [(f"d{i}", None, "viewed", t, "web", None) for i, t in enumerate(times)])
+    write_events_by_day(events, tmpdir_path + "/events")
+    got = read_events_by_day(spark, tmpdir_path + "/events", "2024-01-02", "2024-01-03 12:00:00")
+    assert got.columns == events.columns
+    assert sorted(r.distinct_id for r in got.collect()) == ["d1", "d2", "d3"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
