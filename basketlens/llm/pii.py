@@ -30,17 +30,36 @@ _ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеиоуы", "
 
 _LOCAL = "A-Za-z0-9._%+-"
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES)
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Characters of an account number by country; other codes take any length.
+IBAN = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])" for n, c in IBAN.items())
+# A grouped number ends where no further number or word part follows at once.
+_ENDS = r"(?![0-9A-Za-z@_%+:]|[ .()/-]{1,2}[0-9]|[.-][A-Za-z])"
+_SIXTEEN = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}"
+_DATE = r"[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}(?![0-9]|[./-][0-9])"
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
+    # IPv6: eight groups, or "::" after a first group of four digits.
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+          rf"|(?<![0-9A-Za-z.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z]|:[0-9A-Fa-f:]|\.[0-9])",
+    # Four groups of four always; other forms only if the Luhn check holds (_type).
+    "card": rf"(?<![0-9A-Za-z])(?:[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}[ -][0-9]{{1,3}}{_ENDS}|{_SIXTEEN}(?![0-9A-Za-z])|[1-9][0-9]{{3}}[ -]?[0-9]{{6}}[ -]?[0-9]{{4,5}}{_ENDS}"
+            rf"|[1-9][0-9]{{3}}(?:[ -]?[0-9]{{4}}){{2}}[ -]?[0-9]{{1,3}}{_ENDS}|[1-9][0-9]{{12,18}}(?![0-9A-Za-z]))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    # International (+ or 00), North American and national with a leading 0.
+    "phone": r"(?<![0-9A-Za-z])(?:\+|00(?=[1-9]))(?=(?:[ .()-]{0,2}[0-9]){7})[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+             r"|(?<![0-9A-Za-z])(?<![0-9][.-])(?:1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+             rf"|(?<![0-9A-Za-z])(?<![0-9][.,/-])(?!{_DATE})(?=\(?(?:[ ./)-]{{0,2}}[0-9]){{9}})(?:\(0[1-9][0-9]{{0,4}}\)[ ./-]?|0[1-9][0-9]{{0,4}}[ ./-])[0-9]{{2,8}}(?:[ .-][0-9]{{2,5}}){{0,4}}(?![0-9])"
+             r"|(?<![0-9A-Za-z])(?<![0-9][.,/-])0[1-9][0-9]{8,9}(?![0-9A-Za-z]|[.,][0-9])",
+    "iban": rf"(?<![0-9A-Za-z])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = rf"@|[0-9][0-9 .-]{{6}}|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|[0-9][0-9 .()/-]{{5}}|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|(?:{_HEX}:){{7}}|(?:{_TITLE})\.? \p{{Lu}}"
 MAX_DRAWS = 40
 
 
@@ -48,15 +67,42 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _luhn(digits: str) -> str:
+    """SQL: the Luhn sum of some digits, 0 if they pass the check."""
+    return (f"aggregate(transform(split({digits}, ''), (c, i) -> case when (length({digits}) - i) % 2 = 0 then case when cast(c as int) * 2 > 9 then cast(c as int) * 2 - 9 else cast(c as int) * 2 end "
+            f"else cast(c as int) end), 0, (a, x) -> a + x) % 10")
+
+
+def _digits(raw: str) -> str:
+    return f"regexp_replace({raw}, '[^0-9]', '')"
+
+
 def _type(raw: str) -> str:
-    """SQL: the type of a found entity."""
-    return "case " + " ".join(f"when regexp_like({raw}, {_q('^(?:' + p + ')$')}) then '{k}'" for k, p in PATTERNS.items()) + " end"
+    """SQL: the type of a found entity; null for digits of a card's form that
+    fail the Luhn check and have no other type."""
+    test = {k: f"regexp_like({raw}, {_q('^(?:' + p + ')$')})" for k, p in PATTERNS.items()}
+    test["card"] += f" and (regexp_like({raw}, {_q('^' + _SIXTEEN + '(?:[ -][0-9]{1,3})?$')}) or {_luhn(_digits(raw))} = 0)"
+    return "case " + " ".join(f"when {t} then '{k}'" for k, t in test.items()) + " end"
 
 
 def _canonical(kind: str, raw: str) -> str:
     """SQL: one spelling for all spellings of an entity."""
-    return f"""case when {kind} = 'email' then lower({raw}) when {kind} in ('card', 'ssn', 'phone') then regexp_replace({raw}, '[^0-9]', '')
-        when {kind} = 'iban' then replace({raw}, ' ', '') else {raw} end"""
+    digits = _digits(raw)
+    # Sixteen digits and up to three more: the card is all of them only if
+    # these pass the check and the sixteen do not.
+    card = f"case when length({digits}) > 16 and regexp_like({raw}, '[ -]') and ({_luhn(f'left({digits}, 16)')} = 0 or {_luhn(digits)} <> 0) then left({digits}, 16) else {digits} end"
+    national = _digits(f"replace({raw}, '(0)', '')")
+    phone = f"case when regexp_like({raw}, '^[(]?[2-9]') and length({digits}) = 10 then concat('1', {digits}) when {raw} like '00%' then substr({national}, 3) else {national} end"
+    left, right = _halves(f"lower({raw})")
+    ip6 = f"array_join(transform(concat({left}, array_repeat('0', greatest(0, 8 - size({left}) - size({right}))), {right}), g -> lpad(g, 4, '0')), ':')"
+    return f"""case when {kind} = 'email' then lower({raw}) when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'ssn' then {digits}
+        when {kind} = 'iban' then replace({raw}, ' ', '') when {kind} = 'ip' and instr({raw}, ':') > 0 then {ip6} else {raw} end"""
+
+
+def _halves(raw: str) -> tuple[str, str]:
+    """SQL: the groups of an IPv6 address before and after its '::'."""
+    groups = lambda x: f"filter(split({x}, ':'), g -> g <> '')"
+    return groups(f"substring_index({raw}, '::', 1)"), groups(f"case when instr({raw}, '::') > 0 then substring_index({raw}, '::', -1) else '' end")
 
 
 def _draw(salt: str, i: str) -> str:
@@ -86,10 +132,16 @@ def _surrogate(key: str) -> str:
     email = f"concat({_letters('substring_index(canonical, ' + _q('@') + ', 1)', salt)}, '@', {_letters(front, _hash(key, _q('domain'), domain))}, {top})"
     ip = f"concat_ws('.', transform(split(canonical, '[.]'), (c, i) -> case when i = 0 and c in ('10', '127') or canonical like '192.168.%' and i < 2 then c when i = 0 then cast(1 + {_draw(salt, 'i')} % 223 as string) else cast({_draw(salt, 'i')} % 256 as string) end))"
     digits = _letters("canonical", salt)
+    # Zero groups stay, as does the first group of link-local and private
+    # addresses and the first digit of others.
+    rest6 = "regexp_like(substr(canonical, 5), '[^0:]')"
+    ip6 = (f"array_join(transform(split(canonical, ':'), (g, i) -> case when g = '0000' or i = 0 and regexp_like(g, '^(fe80|f[cd]..)') and {rest6} then g "
+           f"when i = 0 and left(g, 1) <> '0' then concat(left(g, 1), lpad(lower(hex({_draw(salt, 'i')} % 4096)), 3, '0')) else lower(hex(4096 + {_draw(salt, 'i')} % 61440)) end), ':')")
+    ip = f"case when instr(canonical, ':') > 0 then {ip6} else {ip} end"
     # Cards that pass the Luhn check keep passing it.
-    luhn = lambda d: f"aggregate(transform(split({d}, ''), (c, i) -> case when i % 2 = 0 then case when cast(c as int) * 2 > 9 then cast(c as int) * 2 - 9 else cast(c as int) * 2 end else cast(c as int) end), 0, (a, x) -> a + x) % 10"
     drawn = _letters("canonical", salt, keep="1")
-    card = f"transform(array(left({drawn}, 15)), d -> case when {luhn('canonical')} = 0 then concat(d, cast((10 - {luhn('concat(d, ' + _q('0') + ')')}) % 10 as string)) else concat(d, right({drawn}, 1)) end)[0]"
+    card = (f"transform(array(left({drawn}, length(canonical) - 1)), d -> case when {_luhn('canonical')} = 0 then concat(d, cast((10 - {_luhn('concat(d, ' + _q('0') + ')')}) % 10 as string)) "
+            f"else concat(d, right({drawn}, 1)) end)[0]")
     iban = f"concat(left(canonical, 2), substr({_letters('canonical', salt)}, 3))"
     title, rest = "regexp_extract(canonical, '^[^ ]+', 0)", "substr(canonical, length(regexp_extract(canonical, '^[^ ]+', 0)) + 2)"
     given = "regexp_extract({0}, '^[^ -]+', 0)".format(rest)
@@ -102,12 +154,22 @@ def _surrogate(key: str) -> str:
 def _render(raw: str, surrogate: str) -> str:
     """SQL: the surrogate in the spelling of one occurrence: its separators,
     its case."""
-    slots = f"regexp_replace({raw}, '[0-9]', '0')"
-    place = f"length(regexp_replace(left({slots}, i + 1), '[^0]', ''))"
-    digits = f"array_join(transform(split({raw}, ''), (c, i) -> case when c between '0' and '9' then substr({surrogate}, {place}, 1) else c end), '')"
+    # '00' and '(0)' before a phone number are no part of it; a country code
+    # or a card's further digits may be missing on one side.
+    own = f"case when kind = 'phone' then replace(regexp_replace({raw}, '^00', '--'), '(0)', '(-)') else {raw} end"
+    slots = f"regexp_replace({own}, '[0-9]', '0')"
+    before = lambda text: f"length(regexp_replace({text}, '[^0]', ''))"
+    place = f"greatest(0, length({surrogate}) - {before(slots)}) + {before(f'left({slots}, i + 1)')}"
+    digits = f"array_join(transform(split({raw}, ''), (c, i) -> case when substr({slots}, i + 1, 1) = '0' and {place} <= length({surrogate}) then substr({surrogate}, {place}, 1) else c end), '')"
     cased = f"array_join(transform(split({raw}, ''), (c, i) -> case when c <> lower(c) then upper(substr({surrogate}, i + 1, 1)) else substr({surrogate}, i + 1, 1) end), '')"
     iban = f"array_join(transform(split({raw}, ''), (c, i) -> case when c = ' ' then c else substr({surrogate}, length(replace(left({raw}, i + 1), ' ', '')), 1) end), '')"
-    return f"case when kind in ('card', 'ssn', 'phone') then {digits} when kind = 'email' then {cased} when kind = 'iban' then {iban} else {surrogate} end"
+    left, right = _halves(raw)
+    groups = lambda part, first: f"array_join(transform({part}, (g, i) -> case when regexp_like(g, '^0+$') then g else split({surrogate}, ':')[{first} + i] end), ':')"
+    tail = groups(right, f"size(split({surrogate}, ':')) - size({right})")
+    ip6 = f"concat({groups(left, '0')}, case when instr({raw}, '::') > 0 then concat('::', {tail}) else '' end)"
+    ip6 = f"case when regexp_like({raw}, '[A-F]') then upper({ip6}) else {ip6} end"
+    return f"""case when kind in ('card', 'ssn', 'phone') then {digits} when kind = 'email' then {cased} when kind = 'iban' then {iban}
+        when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} else {surrogate} end"""
 
 
 def assign(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
@@ -148,7 +210,7 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     found = F.when(F.col("text").rlike(HINT), F.expr(f"regexp_extract_all(text, {_q(ANY)}, 0)"))
     seen = scratch.table("seen", docs.withColumn("found", found).filter("size(found) > 0").select("doc_id", "hash", "found"))
     raw = seen.select("doc_id", "hash", F.explode("found").alias("raw"))
-    each = (raw.groupBy("doc_id", "hash", "raw").agg(F.count("*").alias("times")).withColumn("kind", F.expr(_type("raw"))).withColumn("canonical", F.expr(_canonical("kind", "raw"))))
+    each = (raw.groupBy("doc_id", "hash", "raw").agg(F.count("*").alias("times")).withColumn("kind", F.expr(_type("raw"))).filter("kind is not null").withColumn("canonical", F.expr(_canonical("kind", "raw"))))
     each = scratch.table("each", each)
     settled = scratch.table("settled", assign(scratch, scratch.table("entities", each.select("kind", "canonical").distinct()), key))
     made = (each.join(settled, ["kind", "canonical"]).withColumn("new", F.expr(_render("raw", "surrogate")))
@@ -156,7 +218,7 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
                                                                                   F.map_from_entries(F.collect_list(F.struct("raw", "kind"))).alias("kinds")))
     pieces = f"split(text, {_q(ANY)}, -1)"
     every = f"regexp_extract_all(text, {_q(ANY)}, 0)"
-    replaced = F.expr(f"array_join(concat(array({pieces}[0]), zip_with({every}, slice({pieces}, 2, size({every})), (r, s) -> concat(new[r], s))), '')")
+    replaced = F.expr(f"array_join(concat(array({pieces}[0]), zip_with({every}, slice({pieces}, 2, size({every})), (r, s) -> concat(coalesce(new[r], r), s))), '')")
     rows = docs.join(made, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     count = [F.when(F.col("kinds").isNull(), 0).otherwise(F.expr(f"size(filter({every}, r -> kinds[r] = '{k}'))")).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return (rows.withColumn("changed", F.when(F.col("new").isNull(), F.col("text")).otherwise(replaced))

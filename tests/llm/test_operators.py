@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -176,6 +177,31 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(after)) == len(set(before)) and not set(after) & set(before)
 
 
+def test_surrogates_find_every_spelling(spark):
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR7630006000011234567890189", "NO93 8601 1117 947", "XX12 3456 7890 1234 56"]
+    phones = ["(555) 123-4567", "555-123-4567", "1.555.123.4567", "030 12345678", "(020) 7946 0958", "01 23 45 67 89", "0151/23456789", "+33 1 23 45 67 89", "0033 1 23 45 67 89", "+44 (0)20 7946 0958", "+44 20 7946 0958"]
+    cards = ["378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "6304 0000 0000 0001 008", "4111 1111 1111 1111 123"]
+    addresses = ["2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8A2E:0370:7334", "fe80::1", "1:2:3:4:5:6:7:8"]
+    plain = ["1546300800002", "25.01.2019", "01.02.2019", "2019-01-25", "12:30:45", "1234 567890 1234", "0.123456789", "a::b"]
+    texts = accounts + phones + cards + addresses + plain
+    t = spark.createDataFrame([(i, f"see {x}, then") for i, x in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.surrogates(t).collect()}
+    new = {x: rows[i].text[4:-6] for i, x in enumerate(texts)}
+    kinds = {x: [k for k in pii.PATTERNS if rows[i][f"n_{k}"]] for i, x in enumerate(texts)}
+    for kind, some in (("iban", accounts), ("phone", phones), ("card", cards), ("ip", addresses)):
+        for x in some:
+            assert kinds[x] == [kind] and rows[texts.index(x)].text == f"see {new[x]}, then" and new[x] != x, (x, new[x])
+            if kind != "ip":
+                assert re.sub("[0-9A-Z]", "x", new[x]) == re.sub("[0-9A-Z]", "x", x)
+    assert all(new[x] == x and not kinds[x] for x in plain), [(x, new[x]) for x in plain if new[x] != x]
+    same = lambda a, b: re.sub(r"\W", "", new[a]).endswith(re.sub(r"\W", "", new[b]))
+    assert same(accounts[0], accounts[1]) and same(phones[2], phones[0]) and same(phones[0], phones[1]) and same(cards[0], cards[1])
+    assert new[phones[8]] == "00" + new[phones[7]][1:] and new[phones[9]].replace("(0)", "") == new[phones[10]]
+    assert ipaddress.ip_address(new[addresses[0]]) == ipaddress.ip_address(new[addresses[1]]) and new[addresses[2]].startswith("fe80::")
+    luhn = lambda x: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(re.sub(r"\D", "", x)))) % 10
+    assert all(luhn(new[x]) == 0 for x in cards[:5]) and new[cards[5]].endswith(" 123") and luhn(new[cards[5]][:-4]) == 0
+
+
 # 7 -- toxicity
 def test_toxicity_learns_and_ignores_groups(spark):
     rng = random.Random(5)
