@@ -4,7 +4,9 @@ Entities (e-mail and IP addresses, card, phone, social security and account
 numbers, titled names) are found by one pattern, so they never overlap. Each
 distinct entity of the corpus gets one keyed surrogate of its own type, format
 and script, so equal entities stay equal in every document whatever their
-spelling (case, separators). Surrogates are checked over the corpus: none
+spelling (case, separators, the dot of a title). A family name has one
+surrogate of its own, so "Mr. John Smith" and "Mr Smith" keep a common family
+name; one word after a title is a family name. Surrogates are checked over the corpus: none
 equals another entity's surrogate or any real entity of its type; losers draw
 again with the next counter until none is left. Only entities are shuffled and
 checked; a text meets its own replacements in one join.
@@ -32,6 +34,8 @@ _LOCAL = "A-Za-z0-9._%+-"
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES)
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: Short titles that have a long spelling.
+LONG_TITLES = {"Sr": "Señor", "Sra": "Señora"}
 #: Characters of an account number by country; other codes take any length.
 IBAN = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
         23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
@@ -41,6 +45,7 @@ _IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n -
 _ENDS = r"(?![0-9A-Za-z@_%+:]|[ .()/-]{1,2}[0-9]|[.-][A-Za-z])"
 _SIXTEEN = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}"
 _DATE = r"[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}(?![0-9]|[./-][0-9])"
+_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}",
     # IPv6: eight groups, or "::" after a first group of four digits.
@@ -56,7 +61,7 @@ PATTERNS = {
              rf"|(?<![0-9A-Za-z])(?<![0-9][.,/-])(?!{_DATE})(?=\(?(?:[ ./)-]{{0,2}}[0-9]){{9}})(?:\(0[1-9][0-9]{{0,4}}\)[ ./-]?|0[1-9][0-9]{{0,4}}[ ./-])[0-9]{{2,8}}(?:[ .-][0-9]{{2,5}}){{0,4}}(?![0-9])"
              r"|(?<![0-9A-Za-z])(?<![0-9][.,/-])0[1-9][0-9]{8,9}(?![0-9A-Za-z]|[.,][0-9])",
     "iban": rf"(?<![0-9A-Za-z])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: {_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"@|[0-9][0-9 .()/-]{{5}}|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|(?:{_HEX}:){{7}}|(?:{_TITLE})\.? \p{{Lu}}"
@@ -77,6 +82,11 @@ def _digits(raw: str) -> str:
     return f"regexp_replace({raw}, '[^0-9]', '')"
 
 
+#: SQL: the title of a name, without its dot; the family name of a canonical one.
+_TITLE_OF = "replace(substring_index({0}, ' ', 1), '.', '')"
+_FAMILY_OF = "substring_index({0}, ' ', -1)"
+
+
 def _type(raw: str) -> str:
     """SQL: the type of a found entity; null for digits of a card's form that
     fail the Luhn check and have no other type."""
@@ -93,10 +103,12 @@ def _canonical(kind: str, raw: str) -> str:
     card = f"case when length({digits}) > 16 and regexp_like({raw}, '[ -]') and ({_luhn(f'left({digits}, 16)')} = 0 or {_luhn(digits)} <> 0) then left({digits}, 16) else {digits} end"
     national = _digits(f"replace({raw}, '(0)', '')")
     phone = f"case when regexp_like({raw}, '^[(]?[2-9]') and length({digits}) = 10 then concat('1', {digits}) when {raw} like '00%' then substr({national}, 3) else {national} end"
+    title = _TITLE_OF.format(raw)
+    name = f"concat(case {title} {' '.join(f'when {_q(a)} then {_q(b)}' for a, b in LONG_TITLES.items())} else {title} end, substr({raw}, instr({raw}, ' ')))"
     left, right = _halves(f"lower({raw})")
     ip6 = f"array_join(transform(concat({left}, array_repeat('0', greatest(0, 8 - size({left}) - size({right}))), {right}), g -> lpad(g, 4, '0')), ':')"
     return f"""case when {kind} = 'email' then lower({raw}) when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'ssn' then {digits}
-        when {kind} = 'iban' then replace({raw}, ' ', '') when {kind} = 'ip' and instr({raw}, ':') > 0 then {ip6} else {raw} end"""
+        when {kind} = 'iban' then replace({raw}, ' ', '') when {kind} = 'ip' and instr({raw}, ':') > 0 then {ip6} when {kind} = 'name' then {name} else {raw} end"""
 
 
 def _halves(raw: str) -> tuple[str, str]:
@@ -143,12 +155,15 @@ def _surrogate(key: str) -> str:
     card = (f"transform(array(left({drawn}, length(canonical) - 1)), d -> case when {_luhn('canonical')} = 0 then concat(d, cast((10 - {_luhn('concat(d, ' + _q('0') + ')')}) % 10 as string)) "
             f"else concat(d, right({drawn}, 1)) end)[0]")
     iban = f"concat(left(canonical, 2), substr({_letters('canonical', salt)}, 3))"
-    title, rest = "regexp_extract(canonical, '^[^ ]+', 0)", "substr(canonical, length(regexp_extract(canonical, '^[^ ]+', 0)) + 2)"
-    given = "regexp_extract({0}, '^[^ -]+', 0)".format(rest)
-    known = " ".join(f"when array_contains(array({', '.join(map(_q, v))}), {given}) then element_at(array({', '.join(map(_q, v))}), 1 + {_draw(salt, '7')} % {len(v)})" for v in NAMES.values())
-    name = f"concat({title}, ' ', case {known} else {_letters(given, salt)} end, {_letters(f'substr({rest}, length({given}) + 1)', _hash(key, _q('family'), 'canonical', 'cast(draw as string)'))})"
+    # A given name; the family name has its own surrogate. Where all names of
+    # the same form may be taken, they get longer.
+    given = "substring_index(substring_index(canonical, ' ', 2), ' ', -1)"
+    known = " ".join(f"when draw < 8 and array_contains(array({', '.join(map(_q, v))}), {given}) then element_at(array({', '.join(map(_q, v))}), 1 + {_draw(salt, '7')} % {len(v)})" for v in NAMES.values())
+    longer = lambda text, after: f"concat({_letters(text, salt)}, case when draw > {after} then {_letters(f'lower(right({text}, 2))', _hash(key, _q('longer'), 'canonical', 'cast(draw as string)'))} else '' end)"
+    name = f"concat_ws(' ', substring_index(canonical, ' ', 1), case when size(split(canonical, ' ')) > 2 then case {known} else {longer(given, 9)} end end, family)"
+    family = longer("canonical", 1)
     phone = _letters("canonical", salt, keep="1")
-    return f"case kind when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'iban' then {iban} when 'name' then {name} else {digits} end"
+    return f"case kind when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'iban' then {iban} when 'name' then {name} when 'family' then {family} else {digits} end"
 
 
 def _render(raw: str, surrogate: str) -> str:
@@ -169,12 +184,13 @@ def _render(raw: str, surrogate: str) -> str:
     ip6 = f"concat({groups(left, '0')}, case when instr({raw}, '::') > 0 then concat('::', {tail}) else '' end)"
     ip6 = f"case when regexp_like({raw}, '[A-F]') then upper({ip6}) else {ip6} end"
     return f"""case when kind in ('card', 'ssn', 'phone') then {digits} when kind = 'email' then {cased} when kind = 'iban' then {iban}
-        when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} else {surrogate} end"""
+        when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} when kind = 'name' then concat(substring_index({raw}, ' ', 1), substr({surrogate}, instr({surrogate}, ' '))) else {surrogate} end"""
 
 
-def assign(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (kind, canonical), distinct -> with their surrogate."""
-    settled, left, draw = None, scratch.table("draw0", entities.withColumn("draw", F.lit(0)).withColumn("surrogate", F.expr(_surrogate(key)))), 0
+def assign(scratch: Scratch, entities: DataFrame, key: str, name: str = "") -> DataFrame:
+    """``entities`` (kind, canonical, family: the surrogate of a name's family
+    name), distinct -> kind, canonical, surrogate."""
+    settled, left, draw = None, scratch.table(f"{name}draw0", entities.withColumn("draw", F.lit(0)).withColumn("surrogate", F.expr(_surrogate(key)))), 0
     while True:
         real = entities.select("kind", F.col("canonical").alias("surrogate"))
         first = left.groupBy("kind", "surrogate").agg(F.min(F.xxhash64("canonical")).alias("first"))
@@ -184,7 +200,7 @@ def assign(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
             ok = ok.join(settled.select("kind", "surrogate", F.lit(True).alias("used")), ["kind", "surrogate"], "left")
         else:
             ok = ok.withColumn("used", F.lit(None).cast("boolean"))
-        judged = scratch.table(f"judged{draw}", ok.select("kind", "canonical", "surrogate", (F.col("lost") | F.col("real").isNotNull() | F.col("used").isNotNull()).alias("again")))
+        judged = scratch.table(f"{name}judged{draw}", ok.select("kind", "canonical", "family", "surrogate", (F.col("lost") | F.col("real").isNotNull() | F.col("used").isNotNull()).alias("again")))
         good = judged.filter("not again").select("kind", "canonical", "surrogate")
         settled = good if settled is None else settled.union(good)
         again = judged.filter("again")
@@ -193,7 +209,7 @@ def assign(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
         draw += 1
         if draw > MAX_DRAWS:
             raise ValueError("too few surrogates of some format for its distinct entities")
-        left = scratch.table(f"draw{draw}", again.select("kind", "canonical", F.lit(draw).alias("draw")).withColumn("surrogate", F.expr(_surrogate(key))))
+        left = scratch.table(f"{name}draw{draw}", again.select("kind", "canonical", "family", F.lit(draw).alias("draw")).withColumn("surrogate", F.expr(_surrogate(key))))
 
 
 def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
@@ -212,7 +228,11 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     raw = seen.select("doc_id", "hash", F.explode("found").alias("raw"))
     each = (raw.groupBy("doc_id", "hash", "raw").agg(F.count("*").alias("times")).withColumn("kind", F.expr(_type("raw"))).filter("kind is not null").withColumn("canonical", F.expr(_canonical("kind", "raw"))))
     each = scratch.table("each", each)
-    settled = scratch.table("settled", assign(scratch, scratch.table("entities", each.select("kind", "canonical").distinct()), key))
+    entities = each.select("kind", "canonical", F.when(F.col("kind") == "name", F.expr(_FAMILY_OF.format("canonical"))).alias("own")).distinct()
+    families = entities.filter("own is not null").select(F.lit("family").alias("kind"), F.col("own").alias("canonical"), F.lit(None).cast("string").alias("family")).distinct()
+    families = assign(scratch, scratch.table("families", families), key, "family-").select(F.col("canonical").alias("own"), F.col("surrogate").alias("family"))
+    entities = scratch.table("entities", entities.join(families, "own", "left").select("kind", "canonical", "family"))
+    settled = scratch.table("settled", assign(scratch, entities, key))
     made = (each.join(settled, ["kind", "canonical"]).withColumn("new", F.expr(_render("raw", "surrogate")))
             .groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("new"),
                                                                                   F.map_from_entries(F.collect_list(F.struct("raw", "kind"))).alias("kinds")))

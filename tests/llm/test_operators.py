@@ -202,6 +202,17 @@ def test_surrogates_find_every_spelling(spark):
     assert all(luhn(new[x]) == 0 for x in cards[:5]) and new[cards[5]].endswith(" 123") and luhn(new[cards[5]][:-4]) == 0
 
 
+def test_surrogates_keep_family_names(spark):
+    texts = ["Mr. John Smith", "Mr John Smith", "Mr. Smith", "Mrs Anna Smith", "Mr. John Miller", "Sr. Carlos Ruiz", "Señor Carlos Ruiz", "Mrs. Smith-Jones", "господин Иван Петров"]
+    t = spark.createDataFrame([(i, f"by {x}, then") for i, x in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(pii.surrogates(t).collect())
+    new = [r.text[3:-6].split(" ") for r in rows]
+    assert all(r.n_name == 1 for r in rows) and [n[0] for n in new] == [x.split(" ")[0] for x in texts]
+    assert new[0][1:] == new[1][1:] and new[5][1:] == new[6][1:]
+    assert new[0][2] == new[2][1] == new[3][2] != new[4][2] and len(new[2]) == 2 and new[0][1] in pii.NAMES["male"]
+    assert re.fullmatch(r"[A-Z][a-z]+-[A-Z][a-z]+", new[7][1]) and not {"Smith", "Miller", "Ruiz", "Петров", "Smith-Jones"} & {w for n in new for w in n}
+
+
 # 7 -- toxicity
 def test_toxicity_learns_and_ignores_groups(spark):
     rng = random.Random(5)
