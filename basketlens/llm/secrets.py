@@ -1,10 +1,13 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every text is scanned once for the three base kinds and for further candidates
-(long mixed tokens). A candidate value is hashed; its distinct owners and
-repositories are counted over the corpus. A value that many owners carry is a
-copied example; one that stays with a single owner and looks random is
-reported as an added span of kind ``owned``. Base spans are always reported.
+(long mixed tokens). A candidate value is hashed; the distinct texts that carry
+it are counted over the corpus, by owner and by repository. Copies of one text
+count once, so they are no further owners: owners are one more than the texts
+that the main owner does not carry, and so are repositories. A value with many
+owners, repositories or texts is a copied example; any other one that looks
+random is reported as an added span of kind ``owned``. Base spans are always
+reported, each with its verdict.
 
 Spans are in code points, end exclusive.
 """
@@ -37,8 +40,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_BITS = 3.0
 #: A value with more distinct owners than this is a copied example.
 MAX_OWNERS = 1
-
-
+#: So is one, within its owner, with more repositories or distinct texts.
+MAX_REPOSITORIES = 3
+MAX_TEXTS = 10
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -95,33 +99,43 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PLACE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS,
+                 max_repositories: int = MAX_REPOSITORIES, max_texts: int = MAX_TEXTS) -> DataFrame:
     """``docs`` (doc_id, text, owner and repository columns) -> doc_id,
-    base and added spans, and how many of the document's values are copied
-    (more than ``max_owners`` owners) or owned.
+    base and added spans, whether each base span's value is owned, and how many
+    of the document's values are copied (more than ``max_owners`` owners,
+    ``max_repositories`` repositories or ``max_texts`` texts) or owned.
 
     Null and empty texts have no spans. A null owner counts as an owner of its
     own, and so does a null part of a repository. Repeated rows are each
-    reported; they count as one owner. Empty input gives no rows."""
+    reported; they count as one text. Empty input gives no rows."""
     scratch = Scratch(docs.sparkSession, "secrets")
     out = schema(doc_id=LONG, text_hash=LONG, owner=STRING, repository=STRING, base=_PLACE, found=_PLACE, hashes=T.ArrayType(LONG))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"),
                          F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in repository]).alias("repository"),
                          F.col("text").cast("string").alias("text"))
     scanned = scratch.table("scanned", narrow.mapInArrow(_scan, out).withColumn("row", F.monotonically_increasing_id()))
-    # Ownership of each value: pre-aggregated by value, owner and repository.
-    value = scanned.filter("size(hashes) > 0").select("row", "owner", "repository", F.posexplode("hashes").alias("at", "hash"))
-    spread = (value.groupBy("hash", "owner", "repository").agg(F.count("*").alias("seen"))
-              .groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repositories")))
+    # Ownership of each value: pre-aggregated by value, text, owner and repository.
+    value = scanned.filter("size(hashes) > 0").select("row", "text_hash", "owner", "repository", F.posexplode("hashes").alias("at", "hash"))
+    carried = scratch.table("carried", value.select("hash", "text_hash", "owner", "repository").distinct())
+
+    def outside(by: str) -> DataFrame:
+        """Owners or repositories: the main one and each text it does not carry."""
+        each = carried.select("hash", "text_hash", by).distinct().groupBy("hash", by).agg(F.count("*").alias("texts"))
+        return each.groupBy("hash").agg(F.max("texts").alias(by))
+
+    spread = (carried.select("hash", "text_hash").distinct().groupBy("hash").agg(F.count("*").alias("texts")).join(outside("owner"), "hash").join(outside("repository"), "hash")
+              .select("hash", F.expr(f"texts - owner + 1 <= {int(max_owners)} and texts - repository + 1 <= {int(max_repositories)} and texts <= {int(max_texts)}").alias("owned")))
     # One row for each document with values: the verdict on each, by position.
     verdict = (value.select("row", "at", "hash").join(spread, "hash")
-               .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "owners", "repositories"))).alias("values")))
+               .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "owned"))).alias("values")))
     found = scanned.join(verdict, "row", "left")
-    owned = F.expr(f"filter(found, (s, i) -> values[size(base) + i].owners <= {int(max_owners)})")
-    return (found.withColumn("added", F.coalesce(owned, F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")))
-            .withColumn("n_copied", F.coalesce(F.expr(f"size(filter(values, v -> v.owners > {int(max_owners)}))"), F.lit(0)).cast("long"))
-            .withColumn("n_owned", F.coalesce(F.expr(f"size(filter(values, v -> v.owners <= {int(max_owners)}))"), F.lit(0)).cast("long"))
-            .select("doc_id", "text_hash", "base", "added", "n_copied", "n_owned"))
+    added = F.expr("filter(found, (s, i) -> values[size(base) + i].owned)")
+    return (found.withColumn("added", F.coalesce(added, F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")))
+            .withColumn("base_owned", F.expr("transform(base, (s, i) -> values[i].owned)"))
+            .withColumn("n_copied", F.coalesce(F.expr("size(filter(values, v -> not v.owned))"), F.lit(0)).cast("long"))
+            .withColumn("n_owned", F.coalesce(F.expr("size(filter(values, v -> v.owned))"), F.lit(0)).cast("long"))
+            .select("doc_id", "text_hash", "base", "added", "base_owned", "n_copied", "n_owned"))
 
 
 def _joined(spans) -> F.Column:
@@ -134,7 +148,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
         s["start"].alias("start"), F.array_position(F.array(*map(F.lit, (*KINDS, "owned"))), s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), "n_copied", "n_owned")
+    return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), "n_copied", "n_owned",
+                        F.array_join(F.transform("base_owned", lambda v: F.when(v, "owned").otherwise("copied")), ",").alias("base_verdicts"))
 
 
 MASK = "[REDACTED]"
