@@ -1,16 +1,22 @@
 """Main text of HTML pages by consensus host paths.
 
 1. Each page's containers are scored: text outside menus, headers, notices and
-   the like, without link text. The page votes for the smallest container that
-   holds most of it, by its generalised path (tags and classes, digits folded).
+   the like, without link text. The page votes for its only article or main, or
+   for the smallest container that holds nearly all of it, by its generalised
+   path (tags and classes, digits folded), and notes what lies beside it.
 2. Votes are summed by host and path in Spark; a host's winners are the paths
-   with at least MIN_SHARE of its votes, so 1 / MIN_SHARE of them at most.
-3. Each page is read again with its host's winners: the first that the page has
-   gives the text; a page without any uses its own best container.
+   with at least MIN_SHARE of its votes, so 1 / MIN_SHARE of them at most. Paths
+   with one and the same text beside the main container on most of its pages
+   are the host's frame.
+3. Each page is read again with its host's winners: the first that holds nearly
+   all text but the frame gives the text; a page without any uses its own best
+   container. What lies beside a container other than article or main stays,
+   but for junk and the frame.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -23,8 +29,14 @@ from pyspark.sql import functions as F
 from .common import DOUBLE, LONG, STRING, Scratch, read_table, schema
 
 MIN_SHARE = 0.05
-#: A winner must hold this share of the text of the page's own best container.
+#: A winner must hold this share of the text of the page's own best container,
 MIN_TEXT = 0.3
+#: and this share without the host's frame; so must a container without a tag that says so.
+NEARLY = 0.9
+#: The only article or main of a page must hold this share.
+ONLY = 0.5
+#: A frame path has the same text on this many and this share of the host's pages.
+FRAME_PAGES, FRAME_SHARE = 3, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -38,7 +50,6 @@ _GONE = frozenset("head nav footer aside form script style noscript template ifr
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _JUNK = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside comment comments commentlist reply replies respond disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations widget toolbar pagination pager login skip copyright outbrain taboola".split())
-_GOOD = frozenset("article content main post entry story body text page prose".split())
 _LISTS = frozenset("ul ol dl div section table".split())
 
 
@@ -46,7 +57,7 @@ class _Page:
     """Blocks and containers of one page."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.tag, self.good, self.soft = [-1], [""], ["#root"], [False], [False]
+        self.parent, self.path, self.tag, self.soft = [-1], [""], ["#root"], [False]
         self.blocks: list[tuple[int, str, int, bool, bool]] = []  # container, text, link characters, soft junk, is an h1
         self._read(source)
 
@@ -122,8 +133,7 @@ class _Page:
                 classes = ".".join(sorted(_DIGITS.sub("#", c) for c in names.get("class", "").split()))
                 self.parent.append(node)
                 self.path.append(f"{self.path[node]}>{tag}{'.' + classes if classes else ''}")
-                self.tag.append(tag)
-                self.good.append(tag in ("article", "main") or names.get("role", "").lower() == "main" or bool(tokens & _GOOD))
+                self.tag.append("main" if names.get("role", "").lower() == "main" else tag)
                 self.soft.append(soft)
                 node = len(self.parent) - 1
             if tag in _RAW:
@@ -156,30 +166,58 @@ class _Page:
                     n = self.parent[n]
         return out
 
+    def above(self, node: int) -> list[int]:
+        """A container and all that contain it."""
+        out = []
+        while node >= 0:
+            out.append(node)
+            node = self.parent[node]
+        return out
+
     def best(self, content: list[int]) -> int:
-        """The smallest container that holds most of the page's content."""
+        """The page's only article or main, or the smallest container that
+        holds nearly all of the page's content."""
         children = defaultdict(list)
         for n in range(1, len(self.parent)):
             children[self.parent[n]].append(n)
-        node = 0
-        while True:
+        named = [n for n in range(len(self.parent)) if self.tag[n] in ("article", "main") and content[n]]
+        outer = [n for n in named if not any(m in named for m in self.above(self.parent[n]))]
+        node = outer[0] if len(outer) == 1 and content[outer[0]] >= ONLY * content[0] else 0
+        while self.tag[node] != "article":
             inner = [c for c in children[node] if self.tag[c] not in ("p", "ul", "ol", "dl", "pre", "blockquote", "table", "h1", "h2", "h3", "h4", "h5", "h6", "figure") and content[c]]
-            weigh = lambda c: content[c] * (4 if self.tag[c] in ("article", "main") else 2 if self.good[c] else 1)
-            top = max(inner, key=weigh, default=None)
-            if top is None or weigh(top) < 0.6 * (weigh(top) + content[node] - content[top]):
-                return node
+            top = max(inner, key=lambda c: content[c], default=None)
+            if top is None or content[top] < NEARLY * content[node]:
+                break
             node = top
+        # Inside a main or article, nothing but an article with all of it is smaller.
+        return next((n for n in self.above(node) if self.tag[n] == "main" or self.tag[n] == "article" and content[n] == max(content[m] for m in self.above(n) if m == n or self.tag[m] == "main")), node)
 
-    def text(self, winners: list[str]) -> tuple[str, str]:
+    def beside(self, node: int, content: list[int]) -> list[int]:
+        """The containers with content right beside a container and beside
+        those that contain it, without headings of the page."""
+        above = set(self.above(node))
+        return [n for n in range(1, len(self.parent)) if content[n] and n not in above and self.parent[n] in above and self.parent[n] != node and self.tag[n] != "h1"]
+
+    def said(self, node: int) -> int:
+        """Digest of the text of a container."""
+        text = "\n".join(t for n, t, *_ in self.blocks if node in self.above(n))
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+    def text(self, winners: list[str], frame: list[str] = ()) -> tuple[str, str]:
         """(main text, path used)."""
         content = self.totals()
         own = self.best(content)
         chosen, path = [own], self.path[own]
         for p in winners:
             at = [n for n in range(len(self.path)) if self.path[n] == p and content[n]]
-            if at and sum(content[n] for n in at) >= MIN_TEXT * content[own]:
-                chosen, path = at, p
-                break
+            held = sum(content[n] for n in at)
+            if at and held >= MIN_TEXT * content[own]:
+                around = sum(content[n] for n in self.beside(at[0], content) if self.path[n] in frame and own in self.above(n))
+                if held + around >= NEARLY * content[own]:
+                    chosen, path = at, p
+                    break
+        if not any(self.tag[m] in ("article", "main") for n in chosen for m in self.above(n)):
+            chosen = sorted({*chosen, *(n for n in self.beside(chosen[0], content) if self.path[n] not in frame)})
         inside = [False] * len(self.parent)
         for n in range(len(self.parent)):
             inside[n] = n in chosen or (n > 0 and inside[self.parent[n]])
@@ -199,20 +237,25 @@ class _Page:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        votes: dict[tuple, list] = defaultdict(lambda: [0.0, 0, 0])  # votes, pages, pages beside
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if source:
                 page = _Page(source)
                 content = page.totals()
                 if content[0]:
                     best = page.best(content)
-                    votes[host, page.path[best]] += content[best] / content[0]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "votes"])
+                    own = votes[host, page.path[best], None]
+                    own[0] += content[best] / content[0]
+                    own[1] += 1
+                    for path, said in {(page.path[n], page.said(n)) for n in page.beside(best, content)}:
+                        votes[host, path, said][2] += 1
+        yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in votes], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))),
+                                          *(pa.array([v[i] for v in votes.values()], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64())))], ["host", "path", "said", "votes", "pages", "beside"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_Page(source).text(winners or []) if source else ("", "") for source, winners in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist())]
+        found = [_Page(source).text(winners or [], frame or []) if source else ("", "") for source, winners, frame in zip(*(batch.column(c).to_pylist() for c in ("html", "winners", "frame")))]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())],
                                          ["page_id", "url", "text", "n_chars", "path"])
 
@@ -228,14 +271,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    votes = scratch.table("votes", rows.select("host", "html").mapInArrow(_votes, schema(host=STRING, path=STRING, votes=DOUBLE))
-                          .groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes")))
-    all_votes = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    winners = (votes.join(all_votes, "host").filter(F.col("votes") >= MIN_SHARE * F.col("all"))
-               .groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("votes"), "path"))), lambda x: x["path"]).alias("winners")))
+    votes = scratch.table("votes", rows.select("host", "html").mapInArrow(_votes, schema(host=STRING, path=STRING, said=LONG, votes=DOUBLE, pages=LONG, beside=LONG))
+                          .groupBy("host", "path", "said").agg(F.round(F.sum("votes"), 6).alias("votes"), F.sum("pages").alias("pages"), F.sum("beside").alias("beside")))
+    all_votes = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.sum("pages").alias("of"))
+    won = (F.col("votes") > 0) & (F.col("votes") >= MIN_SHARE * F.col("all"))
+    framed = (F.col("beside") >= FRAME_PAGES) & (F.col("beside") >= FRAME_SHARE * F.col("of"))
+    winners = (votes.join(all_votes, "host").filter(won | framed)
+               .groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.when(won, F.struct(-F.col("votes"), "path")))), lambda x: x["path"]).alias("winners"),
+                                    F.collect_set(F.when(framed, F.col("path"))).alias("frame")))
     winners = scratch.table("winners", winners)
     scratch.drop("votes")
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winners").mapInArrow(_extract, schema(page_id=LONG, url=STRING, text=STRING, n_chars=LONG, path=STRING))
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winners", "frame").mapInArrow(_extract, schema(page_id=LONG, url=STRING, text=STRING, n_chars=LONG, path=STRING))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,25 @@ def test_pages_follow_their_hosts_vote(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_all_their_sections(spark):
+    a, b = "first part here " * 30, "second part now " * 20
+    two = f"<body><article><section><p>{a}</p></section><section><p>{b}</p></section></article></body>"
+    intro = f"<body><div class='ad'>buy</div><article><div class='intro'><p>{b}</p></div><div class='body'><p>{a}</p></div></article></body>"
+    plain = f"<body><div class='page'><div class='content'><p>{a}</p></div><div class='notes'><p>{b}</p></div></div></body>"
+    many = f"<body><main><article><p>{a}</p></article><article><p>{b}</p></article></main></body>"
+    small = f"<body><div class='x'><p>{a}</p></div><div class='y'><p>a last word</p></div></body>"
+    rare = f"<body><div class='x'><p>{a}</p></div><div class='z'><p>{b}</p></div></body>"
+    rows = [(100 * k + i, f"http://h{k}.x/{i}", p) for k, p in enumerate((two, intro, plain, many)) for i in range(5)]
+    rows += [(1200 + i, "http://l.x/1", f"<body><p class='lead'>lead of page {i}</p><div class='x'><p>{a}</p></div><div class='y'>same on all</div></body>") for i in range(6)]
+    rows += [(900, "http://s.x/1", small)] + [(1000 + i, "http://r.x/1", f"<body><div class='x'><p>{a}</p></div></body>") for i in range(6)] + [(1100, "http://r.x/2", rare)]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    a, b = a.strip(), b.strip()
+    for k, want in enumerate((f"{a}\n{b}", f"{b}\n{a}", f"{a}\n{b}", f"{a}\n{b}")):
+        assert all(out[100 * k + i] == want for i in range(5)), k
+    assert all(out[1200 + i] == f"lead of page {i}\n{a}" for i in range(6))
+    assert out[900] == f"{a}\na last word" and out[1000] == a and out[1100] == f"{a}\n{b}"
+
+
 # 2 -- mixing
 def test_mix_meets_targets(spark, docs):
     rows = mixing.mix(docs).collect()
