@@ -78,6 +78,10 @@ def _tile(k: int):
         c_ids, inverse = c_ids[fresh], inverse[fresh]
         start = np.searchsorted(inverse, np.arange(len(c)))
         count = np.minimum(np.diff(np.append(start, len(inverse))), k + 1)
+        # Several vectors of one id are one candidate: bounds count ids then.
+        by_id = np.argsort(c_ids, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], c_ids[by_id][1:] != c_ids[by_id][:-1]]))
+        repeats = len(first) < len(c_ids)
         qc, qs, qe = quantise(q)
         cc, cs, ce = quantise(c)
         product = qc.astype(np.float32) @ cc.astype(np.float32).T  # sums of int8 products stay below 2^24 for dim <= 1024
@@ -85,8 +89,11 @@ def _tile(k: int):
         slack = np.linalg.norm(qc * qs[:, None], axis=1)[:, None] * ce[None, :] + qe[:, None] * np.linalg.norm(c, axis=1)[None, :]
         slack = slack * (1 + 1e-6) + 1e-9 * (np.abs(middle) + 1)
         low = middle - slack
-        take = min(k + 1, len(c))  # one of them may be the query itself
-        bar = np.partition(low, len(c) - take, axis=1)[:, len(c) - take] if len(c) > take else np.full(len(q), -np.inf)
+        if repeats:
+            low = np.maximum.reduceat(low[:, inverse[by_id]], first, axis=1)
+        n = low.shape[1]
+        take = min(k + 1, n)  # one of them may be the query itself
+        bar = np.partition(low, n - take, axis=1)[:, n - take] if n > take else np.full(len(q), -np.inf)
         rows, cols = np.nonzero(middle + slack >= bar[:, None])
         score = np.empty(len(rows))
         for a in range(0, len(rows), 1 << 15):
@@ -94,7 +101,7 @@ def _tile(k: int):
         edge = np.searchsorted(rows, np.arange(len(q) + 1))
         for i in range(len(q)):
             s, at = score[edge[i]:edge[i + 1]], cols[edge[i]:edge[i + 1]]
-            if len(s) > take:  # sums in any order differ by less than this margin
+            if len(s) > take and not repeats:  # sums in any order differ by less than this margin
                 keep = s >= np.partition(s, len(s) - take)[len(s) - take] - 1e-12 * (1 + np.abs(s).max())
                 s, at = s[keep], at[keep]
             s = np.array([math.fsum(x) for x in (q[i] * c[at]).tolist()])
@@ -105,7 +112,10 @@ def _tile(k: int):
             s, ids = np.repeat(s, n), c_ids[place]
             own = ids != q_ids[i]
             s, ids = s[own], ids[own]
-            by = np.lexsort((ids, -s))[:k]
+            by = np.lexsort((ids, -s))
+            if repeats:  # the best score of each id
+                by = by[np.sort(np.unique(ids[by], return_index=True)[1])]
+            by = by[:k]
             yield int(q_ids[i]), s[by].tolist(), ids[by].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +179,8 @@ def nearest(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
     Rows whose vec_id or vector is null, or whose vector is empty, zero or
     holds a null or non-finite component, take no part. Vectors are compared
     with those of their own length. Rows that repeat a vec_id count as one
-    candidate (its best score) and one query; none is its own neighbour. Empty
+    candidate (its best score) and one query (its smallest vector); none is its
+    own neighbour. Empty
     input gives no rows; further columns are ignored."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -186,7 +197,7 @@ def nearest(vectors: DataFrame, is_query, k: int = TOP) -> DataFrame:
         block = lambda m, kind: F.pmod(F.xxhash64("vec_id", F.lit(kind)), F.lit(m)).cast("int")
         own = clean.filter(F.col("dim") == dim)
         both = (own.select("dim", block(n_blocks, 0).alias("block"), F.lit(0).alias("query"), "vec_id", "v")
-                .union(own.filter("query").dropDuplicates(["vec_id"]).select("dim", block(q_blocks, 1), F.lit(1), "vec_id", "v")))
+                .union(own.filter("query").groupBy("dim", "vec_id").agg(F.min("v").alias("v")).select("dim", block(q_blocks, 1), F.lit(1), "vec_id", "v")))
         packed = scratch.table(f"packed{dim}", both.repartition("query", "block").sortWithinPartitions("dim", "query", "block").mapInArrow(_pack, _PACKED))
         asked = packed.filter("query = 1").select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
         # Each block of queries goes to each block of candidates; both are of bounded size.

@@ -134,6 +134,21 @@ def test_nearest_matches_brute_force(spark):
     assert neighbours.nearest(t.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_counts_a_repeated_id_once(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 8)).astype(np.float32).astype(float)
+    v[60:] = v[:60] + 0.01 * v[60:]  # each id twice, with almost the same vector
+    t = spark.createDataFrame([(i % 60, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(t, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 20, 40}
+    for q in got:
+        own = min(v[q].tolist(), v[q + 60].tolist())
+        score = sorted((-max(math.fsum(a * b for a, b in zip(own, v[j].tolist())) for j in (i, i + 60)), i) for i in range(60) if i != q)
+        assert got[q] == [(i, -s) for s, i in score[:20]]
+
+
 # 5 -- pieces
 def brute_viterbi(table, text):
     score = {table.text[i]: (s, i) for i, s in zip(table.id[:-1], table.score[:-1])}
