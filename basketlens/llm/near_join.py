@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,14 +316,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: of each component the
-    document with the smallest doc_id. A null doc_id counts as one below all
-    others, made from its text. Repeated rows of a doc_id leave one row.
-    Documents without words link with nothing and stay."""
+    document with the smallest doc_id, then the smallest text hash. A null
+    doc_id counts as one below all others, made from its text. A document is a
+    doc_id with a text: different texts of one doc_id are judged each for
+    itself, repeated rows of a document leave one row. Documents without words
+    link with nothing and stay."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
-    kept = jaccard_components(docs.select(own.alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    place = F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64("text")))
-    return (docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_kept"), "left_semi")
-            .withColumn("_place", place).filter("_place = 1").select(*docs.columns))
+    rows = docs.withColumn("_own", own).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_key", F.xxhash64("_own", "_hash"))
+    ids = rows.select("_key", "_own", "_hash").distinct()
+    found = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    kept = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_own", "_hash", "_key")).alias("first")).select("first._key")
+    return (rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+            .select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,6 +363,13 @@ def test_one_of_each(docs):
     assert near_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_distinct_text_of_an_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (3, c, "y"), (5, c, "x"), (7, a, "z"), (5, None, "n")]
+    kept = near_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[3], rows[6]], "doc_id long, text string, source string").collect()))
+
+
 # 10 -- quality
 def brute_kneser_ney(texts, trusted):
     """log probability of each text under the definition, key by key."""
