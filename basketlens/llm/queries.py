@@ -6,8 +6,11 @@ from pyspark import cloudpickle
 
 import basketlens
 
+from .align import op12_cross_tokenizer
+from .exact import op11_exact_dedup
 from .fingerprints import op3_fingerprints
 from .html_text import op1_html_extraction
+from .infill import op13_fill_in_middle
 from .mixing import op2_source_mixing
 from .near_join import op9_jaccard_join
 from .neighbours import op4_nearest_neighbours
@@ -31,6 +34,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -71,4 +77,24 @@ reach AS (
   SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
 lowest AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN lowest USING (doc_id)""",
+    "op11_exact_dedup": r"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::UBIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::UBIGINT % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 100 THEN 'plain'
+         WHEN ('0x' || h[25:32])::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(list_slice(u, 1, least(x, y)::BIGINT), ''), '') AS p,
+    coalesce(array_to_string(list_slice(u, least(x, y)::BIGINT + 1, greatest(x, y)::BIGINT), ''), '') AS m,
+    coalesce(array_to_string(list_slice(u, greatest(x, y)::BIGINT + 1, n), ''), '') AS s
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
 }
