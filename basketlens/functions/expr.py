@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -113,6 +113,14 @@ def time_between(start, end, col="time") -> Column:
     return _c(col).between(to_ts(start), to_ts(end))
 
 
+def events_in(events: DataFrame, start, end) -> DataFrame:
+    """P8 on a click-stream: start <= time <= end. Over the by-day layout (a
+    column ``event_date``) the bound prunes partitions: other days are not read."""
+    if "event_date" in events.columns:
+        events = events.where(F.col("event_date").between(F.to_date(to_ts(start)), F.to_date(to_ts(end))))
+    return events.where(time_between(start, end)).drop("event_date")
+
+
 def day_of(col="time") -> Column:
     """Calendar day as timestamp_ntz midnight (zone independent, N14)."""
     return F.to_date(_c(col)).cast("timestamp_ntz")

@@ -14,6 +14,7 @@ from basketlens.functions.buckets import (AOV_EDGES, AOV_LABELS, LIFETIME_ORDERS
 from basketlens.functions.coerce import coerce_types, rename_fields
 from basketlens.operators.identity import email_to_distinct
 from basketlens.operators.sequence import sequence_number
+from basketlens.operators.skew import heavy_keys, left_join
 from basketlens.schemas import CUSTOMER_EXPORT_RENAMES, USER_TYPES
 from basketlens.session import cut_lineage
 
@@ -33,8 +34,7 @@ def order_gaps(orders: DataFrame) -> DataFrame:
                       & F.col("email").isNotNull())
                .select(F.col("id"), F.col("email").alias("raw_email"), "completed_at"))
     idx = sequence_number(o, ["raw_email"], ["completed_at", "id"], out="idx")
-    # Read twice by the self-join: materialise the numbered orders once.
-    idx = cut_lineage(idx.select(F.lower("raw_email").alias("email"), "idx", "completed_at"))
+    idx = idx.select(F.lower("raw_email").alias("email"), "idx", "completed_at")
     one = idx.select("email", (F.col("idx") + 1).alias("idx"), F.col("completed_at").alias("t1"))
     two = idx.select("email", "idx", F.col("completed_at").alias("t2"))
     gaps = one.join(two, ["email", "idx"]).select("email", _days("t1", "t2").alias("gap"))
@@ -56,7 +56,8 @@ def visit_stats(orders: DataFrame, events: DataFrame) -> DataFrame:
     day_rows = (events.groupBy("distinct_id", F.lower("email").alias("own_email"), X.day_of("time").alias("day"))
                       .agg(F.min("time").alias("t_min"), F.max("time").alias("t_max")))
     m = id_map.select("distinct_id", F.col("email").alias("_mapped"))
-    resolved = (day_rows.join(m, "distinct_id", "left")
+    # Visitor-days without a visitor id stay out of the join; heavy visitors are salted.
+    resolved = (left_join(day_rows, m, "distinct_id", heavy_keys(events, "distinct_id"))
                         .select(F.coalesce("own_email", "_mapped").alias("email"), "day", "t_min", "t_max"))
     daily = resolved.groupBy("email", "day").agg(F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
 

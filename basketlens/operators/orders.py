@@ -35,9 +35,11 @@ def preorders(orders: DataFrame, staff_pattern: str = X.DEFAULT_STAFF_EMAIL_PATT
 
 
 def numbered_orders(pre: DataFrame) -> DataFrame:
-    """W1 (+N4 tie-break on order id) and P5."""
-    n = sequence_number(pre, ["email"], ["order_completed_at", "order_id"], out="order_index")
-    return n.withColumn("is_guest", X.flag(F.col("user_id").isNull()))
+    """W1 (+N4 tie-break on order id) and P5. Only (e-mail, time, id) are
+    numbered; the index is joined back by order id."""
+    n = sequence_number(pre.select("email", "order_completed_at", "order_id"), ["email"],
+                        ["order_completed_at", "order_id"], out="order_index")
+    return pre.join(n.select("order_id", "order_index"), "order_id").withColumn("is_guest", X.flag(F.col("user_id").isNull()))
 
 
 def order_lines(line_items: DataFrame, variants: DataFrame, products: DataFrame,

@@ -1,248 +1,131 @@
-"""Skew-safe sequence numbering.
+"""Skew-safe sequence numbering and exact quantiles.
 
 ``row_number() over (partition by key order by ...)`` puts every row of a key
 in one task; a key holding a third of the table would then be sorted by a
-single task. ``sequence_number`` computes the same numbers with the work
-spread evenly:
+single task. ``sequence_number`` computes the same numbers from runs, with
+DataFrame operations alone:
 
 1. ``repartitionByRange(n, key, order)``: sampled bounds split a hot key over
-   many partitions (the order columns must make the order total).
-2. One Arrow pass per partition (``mapInArrow``, numpy on the Arrow buffers)
-   numbers each run of equal keys locally; rows arrive sorted, so this is a
-   streaming count with no buffering.
-3. A second Arrow pass emits one stats row per partition; from these a
-   carry table (one row per partition, broadcast) gives how many rows of a
-   partition's first key sit in earlier partitions.
-
-Both passes must see identical partitions. Two planned copies of a range
-exchange sample their bounds independently (the sample seed follows the RDD
-id), and exchange reuse is an optimisation, not a guarantee. So the sorted,
-range-partitioned rows are pinned once (reliable checkpoint into the shared
-checkpoint directory, which keeps partitioning and order) and both passes
-read that one RDD.
-
-With no key it yields global 1-based positions in the sort order. Explicit
-``n`` keeps AQE from re-slicing the range exchange.
-
-``exact_quantiles`` numbers no rows: it works on a table of distinct values and
-their counts, so a value that fills half the table is one row of it.
+   many ranges (the order columns must make the order total). Only the key, the
+   order and the columns asked for are written, once, with their range number,
+   so every later read sees the same ranges.
+2. Within a range rows are numbered per key by a window; a window group is at
+   most one range.
+3. A key's rows in earlier ranges are added. Rows are sorted across ranges, so
+   only the lowest key of a range can have any: the counts of those keys per
+   range are a table of at most two rows a range, summed up and broadcast.
+
+With no key it yields global 1-based positions in the sort order.
+
+``exact_quantiles`` numbers no rows: a mergeable sketch bounds the values that
+can hold a wanted rank, and one further pass counts only those.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_PID, _LOCAL, _FIRST = "_sq_pid", "_sq_local", "_sq_first_run"
+_RANGE = "_sq_range"
 
 
-def _starts(batch, keys: list[str], prev: tuple | None) -> np.ndarray:
-    """True where a row starts a new run of equal keys (nulls equal nulls);
-    ``prev`` holds the last key of the previous batch of the same partition,
-    one Arrow array of length 1 per key column."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    n = batch.num_rows
-    if not keys:
-        out = np.zeros(n, dtype=bool)
-        out[0] = prev is None
-        return out
-    diff = np.zeros(n, dtype=bool)
-    diff[0] = prev is None
-    for i, k in enumerate(keys):
-        arr = batch.column(k)
-        # Compared in the column's own Arrow type: a 64-bit key beside a null
-        # keeps all its digits. Nulls equal nulls, NaN equals NaN.
-        before = arr.slice(0, n - 1)
-        if prev is None:
-            here, at = arr.slice(1), 1
-        else:
-            before, here, at = pa.concat_arrays([prev[i], before]), arr, 0
-        changed = pc.fill_null(pc.not_equal(here, before), False)
-        if pa.types.is_floating(arr.type):
-            both = pc.and_(pc.fill_null(pc.is_nan(here), False), pc.fill_null(pc.is_nan(before), False))
-            changed = pc.and_not(changed, both)
-        changed = pc.or_(changed, pc.xor(pc.is_null(here), pc.is_null(before)))
-        diff[at:] |= changed.to_numpy(zero_copy_only=False)
-    return diff
-
-
-def _last_key(batch, keys):
-    return tuple(batch.column(k).slice(batch.num_rows - 1, 1) for k in keys)
-
-
-def _numbering(keys: list[str]):
-    """Per partition (rows sorted): 1-based rank inside each run of equal keys,
-    and whether the row belongs to the partition's first run."""
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        prev, carried, first_open = None, 0, True
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            idx = np.arange(n, dtype=np.int64)
-            start = _starts(b, keys, prev)
-            last_start = np.maximum.accumulate(np.where(start, idx, -1))
-            local = np.where(last_start < 0, carried + idx + 1, idx - last_start + 1)
-            group = np.cumsum(start)
-            if prev is None:
-                first = group == 1
-                first_open = bool(group.max() <= 1)
-            else:
-                first = (group == 0) & first_open
-                if start.any():
-                    first_open = False
-            carried = int(local[-1])
-            prev = _last_key(b, keys)
-            yield pa.RecordBatch.from_arrays(
-                list(b.columns) + [pa.array(np.full(n, pid, dtype=np.int32), type=pa.int32()),
-                                   pa.array(local.astype(np.int64), type=pa.int64()),
-                                   pa.array(first, type=pa.bool_())],
-                names=list(b.schema.names) + [_PID, _LOCAL, _FIRST])
-    return run
-
-
-def _partition_stats(keys: list[str]):
-    """One row per non-empty partition: first key, last key, size of the last
-    run of equal keys, row count (key values keep their Arrow types)."""
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        first_cols, last_cols, prev, last_run, rows = None, None, None, 0, 0
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            start = _starts(b, keys, prev)
-            if first_cols is None:
-                first_cols = [b.column(k).slice(0, 1) for k in keys]
-            idx = np.flatnonzero(start)
-            last_run = (n - int(idx[-1])) if idx.size else last_run + n
-            last_cols = [b.column(k).slice(n - 1, 1) for k in keys]
-            prev = _last_key(b, keys)
-            rows += n
-        if rows:
-            arrays = [pa.array([pid], type=pa.int32()), pa.array([rows], type=pa.int64()),
-                      pa.array([last_run], type=pa.int64())] + first_cols + last_cols
-            names = ["p", "rows", "last_n"] + [f"f_{i}" for i in range(len(keys))] + \
-                [f"l_{i}" for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-    return run
-
-
-def _pin(df: DataFrame) -> DataFrame:
-    """Materialise with partitions and order kept: a reliable checkpoint into
-    the session's shared ``spark.checkpoint.dir`` (lineage cut, survives a
-    lost executor), else (no checkpoint directory) MEMORY_AND_DISK persist,
-    whose recomputation goes through the same shuffle dependency and so the
-    same range bounds."""
-    from pyspark import StorageLevel
-
-    from basketlens.session import ensure_checkpoint_dir
-    if ensure_checkpoint_dir(df.sparkSession) is not None:
-        return df.checkpoint(eager=True)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+def _same(left: DataFrame, right: DataFrame, columns: list[str]):
+    """Null-safe equality (nulls equal nulls, NaN equals NaN)."""
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & left[c].eqNullSafe(right[c])
+    return cond
 
 
 def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                     num_partitions: int | None = None) -> DataFrame:
     """1-based ``row_number`` per ``keys`` in ``order`` (ascending, nulls first;
     pass column names). ``order`` plus ``keys`` must identify a row uniquely
-    for the numbering to be deterministic."""
+    for the numbering to be deterministic. All columns of ``df`` go through one
+    range shuffle and one written table: pass narrow rows."""
+    from basketlens.session import cut_lineage
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [*keys, *order]
-    # Range-partitioned, sorted rows, pinned once: both passes below must see
-    # the very same partitions. Two planned copies of a range exchange sample
-    # their bounds independently, so exchange reuse is not relied upon.
-    sorted_rows = _pin(df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols))
-    key_fields = {f.name: f.dataType for f in df.schema.fields}
-
-    # Stats pass: one row per partition.
-    stat_schema = T.StructType(
-        [T.StructField("p", T.IntegerType()), T.StructField("rows", T.LongType()),
-         T.StructField("last_n", T.LongType())]
-        + [T.StructField(f"f_{i}", key_fields[k]) for i, k in enumerate(keys)]
-        + [T.StructField(f"l_{i}", key_fields[k]) for i, k in enumerate(keys)])
-    stats = sorted_rows.mapInArrow(_partition_stats(list(keys)), stat_schema)
-    ordered = Window.orderBy("p")
-    if keys:
-        first_key = F.struct(*[F.col(f"f_{i}") for i in range(len(keys))])
-        last_key = F.struct(*[F.col(f"l_{i}").alias(f"f_{i}") for i in range(len(keys))])
-        stats = stats.select("p", first_key.alias("first_key"), last_key.alias("last_key"), "last_n")
-        # Tiny table (one row per partition): rows of a key in earlier
-        # partitions = running sum of last-run sizes among partitions ending
-        # in that key, taken from the previous partition.
-        by_key = Window.partitionBy("last_key").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-        stats = stats.withColumn("upto", F.sum("last_n").over(by_key))
-        carry = stats.select(
-            "p", F.when(F.lag("last_key").over(ordered).eqNullSafe(F.col("first_key")),
-                        F.lag("upto").over(ordered)).otherwise(F.lit(0)).alias("carry"))
-    else:
-        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        carry = stats.select("p", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("carry"))
-    carry = carry.select(F.col("p").alias(_PID), "carry")
-
-    num_schema = T.StructType(df.schema.fields + [
-        T.StructField(_PID, T.IntegerType()), T.StructField(_LOCAL, T.LongType()),
-        T.StructField(_FIRST, T.BooleanType())])
-    numbered = sorted_rows.mapInArrow(_numbering(list(keys)), num_schema)
-    res = numbered.join(F.broadcast(carry), _PID, "left")
-    rn = F.col(_LOCAL) + F.when(F.col(_FIRST), F.coalesce(F.col("carry"), F.lit(0))).otherwise(F.lit(0))
-    return res.withColumn(out, rn.cast("long")).drop(_PID, _LOCAL, _FIRST, "carry")
+    rows = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(_RANGE, F.spark_partition_id()))
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.row_number().over(Window.partitionBy(_RANGE, *keys).orderBy(*order)).cast("long")
+    if not keys:
+        counts = rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_n"))
+        carry = counts.select(_RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+        return (rows.withColumn(out, local).join(F.broadcast(carry), _RANGE)
+                    .withColumn(out, F.col(out) + F.col("_carry")).drop(_RANGE, "_carry"))
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    firsts = (rows.groupBy(_RANGE).agg(F.min(F.struct(*[F.col(k).alias(a) for k, a in zip(keys, names)])).alias("k"))
+                  .select("k.*").distinct())
+    named = rows.select(_RANGE, *[F.col(k).alias(a) for k, a in zip(keys, names)])
+    counts = (named.join(F.broadcast(firsts), _same(named, firsts, names), "left_semi")
+                   .groupBy(_RANGE, *names).agg(F.count(F.lit(1)).alias("_n")))
+    earlier = Window.partitionBy(*names).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (counts.withColumn("_carry", F.sum("_n").over(earlier)).where(F.col("_carry") > 0)
+                   .select(F.col(_RANGE).alias("_r"), *names, "_carry"))
+    numbered = rows.withColumn(out, local)
+    found = (numbered[_RANGE] == carry["_r"])
+    for k, a in zip(keys, names):
+        found = found & numbered[k].eqNullSafe(carry[a])
+    return (numbered.join(F.broadcast(carry), found, "left")
+                    .select(*df.columns, (F.col(out) + F.coalesce(F.col("_carry"), F.lit(0))).alias(out)))
+
+
+#: Relative rank error of the sketch is 1 / ACCURACY; a bracket then holds about
+#: 2 / ACCURACY of the rows.
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str = "prob",
-                    by: list[str] | None = None) -> DataFrame:
+                    by: list[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas 'linear', DuckDB
     ``quantile_cont``) of ``col``, per ``by`` where given, as (by, prob, value).
     Null values and rows with a null ``by`` are ignored; an empty input has no
     rows.
 
-    Distinct values and their counts (partial aggregation, so a frequent value
-    is one row) are dealt by value ranges. Rows per range, one small table,
-    tell which range holds each wanted rank; a running count inside those
-    ranges alone finds the value."""
-    from basketlens.session import cut_lineage
-    spark = df.sparkSession
+    Exact selection in two passes, with no table written. A mergeable quantile
+    sketch gives, for every wanted rank, a lower and an upper value that it lies
+    between (the sketch's error is bounded, so this is certain). The second pass
+    counts the rows below each such bracket and the distinct values inside it,
+    all partial aggregates; a bracket holds about 2 / ``accuracy`` of the rows,
+    besides copies of its values, which are one row each."""
     by = list(by or [])
     base = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     for k in by:
         base = base.where(F.col(k).isNotNull())
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    # The range number is stored with the row: every later read sees the same ranges.
-    counts = cut_lineage(counts.repartitionByRange(n, *by, "_x").withColumn("_range", F.spark_partition_id()))
-
-    running = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = (counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
-                    .withColumn("_upto", F.sum("_rows").over(running))
-                    .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*by))))
-
-    def rank(p, side, at):
-        k = F.lit(float(p)) * (F.col("_total") - 1)
-        return F.struct(F.lit(float(p)).alias("prob"), (k - F.floor(k)).alias("frac"), F.lit(side).alias("side"),
-                        (at(k) + 1 - (F.col("_upto") - F.col("_rows"))).alias("rank"))
-    wanted = F.array(*[rank(p, side, at) for p in probs for side, at in ((0, F.floor), (1, F.ceil))])
-    wanted = F.filter(wanted, lambda t: (t["rank"] >= 1) & (t["rank"] <= F.col("_rows")))
-    wanted = ranges.select(*by, "_range", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
-
-    inside = Window.partitionBy(*by, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    found = counts.join(wanted, [*by, "_range"]).withColumn("_upto", F.sum("_n").over(inside))
-    found = found.select(*by, "_x", F.explode(F.filter("_wanted", lambda t: (
-        t["rank"] <= F.col("_upto")) & (t["rank"] > F.col("_upto") - F.col("_n")))).alias("t"))
-    out = found.groupBy(*by, F.col("t.prob").alias("prob")).agg(
-        F.max("t.frac").alias("_frac"),
-        F.max(F.when(F.col("t.side") == 0, F.col("_x"))).alias("_lo"),
-        F.max(F.when(F.col("t.side") == 1, F.col("_x"))).alias("_hi"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return out.select(*by, F.col("prob").alias(group_name), value.alias("value"))
+    slack = 2.0 / accuracy
+    low = F.percentile_approx("_x", F.array(*[F.lit(max(0.0, p - slack)) for p in probs]), accuracy)
+    high = F.percentile_approx("_x", F.array(*[F.lit(min(1.0, p + slack)) for p in probs]), accuracy)
+    sketch = base.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.min("_x").alias("_min"),
+                                   F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_total"))
+    # A bracket at an end of the data takes in the end itself; a group so small
+    # that the slack is only a few rows is one bracket.
+    few = F.col("_total") < 10 * accuracy
+    brackets = F.array(*[
+        F.struct(F.lit(i).alias("i"),
+                 F.when(few | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
+                 F.when(few | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_high")[i]).alias("high"))
+        for i, p in enumerate(probs)])
+    sketch = sketch.select(*by, "_total", brackets.alias("_b")).where(F.col("_total") > 0)
+    # One row without groups; with groups as many as there are, so AQE decides.
+    joined = base.join(sketch, by) if by else base.crossJoin(F.broadcast(sketch))
+    # Per row the brackets it lies in or below; rows above all of them drop out.
+    hit = F.filter(F.transform("_b", lambda b: F.struct(b["i"].alias("i"), F.when(F.col("_x") >= b["low"], F.col("_x")).alias("x"), (F.col("_x") <= b["high"]).alias("in"))), lambda t: t["in"])
+    counted = (joined.select(*by, "_total", F.explode(hit).alias("t"))
+                     .groupBy(*by, "_total", F.col("t.i").alias("_i"), F.col("t.x").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    # A null value is the count below its bracket: it comes first.
+    upto = Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
+    rank = prob * (F.col("_total") - 1)
+    placed = counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_rank", rank)
+
+    def holds(at):
+        return F.col("_v").isNotNull() & (at + 1 <= F.col("_upto")) & (at + 1 > F.col("_upto") - F.col("_n"))
+    found = placed.groupBy(*by, "_i").agg(
+        F.max("_rank").alias("_rank"), F.max(F.when(holds(F.floor("_rank")), F.col("_v"))).alias("_lo"),
+        F.max(F.when(holds(F.ceil("_rank")), F.col("_v"))).alias("_hi"))
+    sure = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))
+    return found.select(*by, F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")].alias(group_name), sure.otherwise(value).alias("value"))

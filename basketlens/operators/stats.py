@@ -273,7 +273,7 @@ def subscription_curve(users: DataFrame, revenue_per_order: float = 68.0, profit
 
 
 def subscription_running_totals(users: DataFrame, revenue_per_order: float = 68.0, profit_per_order: float = 23.10,
-                                col: str = "orders_per_year", key: str = "email") -> DataFrame:
+                                col: str = "orders_per_year", key: str = "email", target_orders: float = 4.0) -> DataFrame:
     """W5, one row per customer: customers by orders per year descending (ties
     by ``key``) with the running number of users, new revenue and new profit.
     Customers without ``col`` are left out.
@@ -282,14 +282,14 @@ def subscription_running_totals(users: DataFrame, revenue_per_order: float = 68.
     from it and the group rows (orders per year are not negative, so there are
     at most five), without a window over the customers."""
     from basketlens.operators.sequence import sequence_number
-    g = subscription_groups(users, col)
+    g = subscription_groups(users, col, target_orders)
     before = Window.orderBy("new_orders").rowsBetween(Window.unboundedPreceding, -1)
     g = g.select("new_orders", "start",
                  F.coalesce(F.sum(F.col("new_orders") * F.col("n")).over(before), F.lit(0.0)).alias("_orders"))
     x = F.col(col)
     rows = (users.where(x.isNotNull())
                  .select(key, col, (-x.cast("double")).alias("_down"),
-                         F.greatest(F.lit(0.0), F.lit(4.0) - F.floor(x).cast("double")).alias("new_orders")))
+                         F.greatest(F.lit(0.0), F.lit(target_orders) - F.floor(x).cast("double")).alias("new_orders")))
     rows = sequence_number(rows, [], ["_down", key], out="cumulative_users").join(F.broadcast(g), "new_orders")
     orders = F.col("_orders") + F.col("new_orders") * (F.col("cumulative_users") - F.col("start"))
     return rows.select(key, col, "new_orders", "cumulative_users",

@@ -18,7 +18,7 @@ def mean_daily_users(events: DataFrame, start, end, approx: bool = False, rsd: f
     count per (day, event), then a tiny average per event. ``approx=True``
     uses HyperLogLog++ sketches (relative error ``rsd``) instead (A11).
     """
-    ev = (events.where(X.time_between(start, end))
+    ev = (X.events_in(events, start, end)
                 .select("distinct_id", X.day_of("time").alias("day"), X.page_class().alias("event")))
     distinct = F.approx_count_distinct("distinct_id", rsd) if approx else F.countDistinct("distinct_id")
     daily = ev.groupBy("day", "event").agg(distinct.alias("daily_users"))
@@ -31,7 +31,7 @@ def views_per_bag(events: DataFrame, start, end) -> DataFrame:
 
     The fixed-value pivot is one grouped aggregate with conditional sums: an
     absent class stays null, as a pivot leaves it."""
-    ev = (events.where(X.time_between(start, end) & F.col("name").isin(*X.VIEW_BAG_EVENT_NAMES))
+    ev = (X.events_in(events, start, end).where(F.col("name").isin(*X.VIEW_BAG_EVENT_NAMES))
                 .select("distinct_id", X.day_of("time").alias("day"), X.page_class_narrow().alias("event")))
     counts = ev.groupBy("distinct_id", "day").agg(
         F.sum(F.when(F.col("event") == "product", F.lit(1))).alias("product"),
@@ -62,6 +62,19 @@ def _order_rollup(orders: DataFrame) -> DataFrame:
                        F.max(F.lower("email")).alias("email")))
 
 
+def first_purchases(viewed: DataFrame, vmap: DataFrame, bought: DataFrame) -> DataFrame:
+    """J3 + J13: when the customers of a visitor first bought a product, for the
+    (visitor, product) pairs that occur in ``viewed``.
+
+    ``vmap`` (email, distinct_id) and ``bought`` (email, product_id, first_at)
+    meet only through those pairs, so an e-mail with many products and many
+    visitors makes no visitors x products rows."""
+    pairs = (viewed.where(F.col("distinct_id").isNotNull() & F.col("product_id").isNotNull())
+                   .select("distinct_id", "product_id").distinct())
+    return (pairs.join(vmap, "distinct_id").join(bought, ["email", "product_id"])
+                 .groupBy("distinct_id", "product_id").agg(F.min("first_at").alias("first_product_at")))
+
+
 def page_conversion(orders: DataFrame, line_items: DataFrame, variants: DataFrame,
                     events: DataFrame, start, end) -> DataFrame:
     """Q6: daily visitors and converting visitors per page class and segment.
@@ -78,9 +91,9 @@ def page_conversion(orders: DataFrame, line_items: DataFrame, variants: DataFram
     from basketlens.operators.identity import visitor_emails
 
     from basketlens.session import cut_lineage
-    # Both are read by several branches with different column sets; they are
-    # small next to the click-stream (one row per valid order / per visitor
-    # e-mail pair), so materialising them once beats re-planning them.
+    # These (and the pre-aggregated events below) are read by several branches
+    # with different column sets; they are small next to the click-stream, so
+    # materialising them once beats re-planning them.
     rollup = cut_lineage(_order_rollup(orders))
     vmap = cut_lineage(visitor_emails(rollup, events))
 
@@ -94,17 +107,14 @@ def page_conversion(orders: DataFrame, line_items: DataFrame, variants: DataFram
               .join(variants.select(F.col("id").alias("variant_id"), "product_id")
                             .where(F.col("product_id").isNotNull()), "variant_id")
               .groupBy("email", "product_id").agg(F.min("order_completed_at").alias("first_at")))
-    first_product = (vmap.join(bought, "email")
-                     .groupBy("distinct_id", "product_id")
-                     .agg(F.min("first_at").alias("first_product_at")))
-
-    ev = (events.where(X.time_between(start, end) & F.col("name").isin(*X.TRACKED_EVENT_NAMES))
+    ev = (X.events_in(events, start, end).where(F.col("name").isin(*X.TRACKED_EVENT_NAMES))
                 .select("distinct_id", "time", X.day_of("time").alias("day"),
                         X.page_class().alias("event"),
                         X.json_int("properties", "product_id").alias("pid")))
     ev = ev.withColumn("product_id", F.when(F.col("event") == "product", F.col("pid")).cast("long"))
-    pre = (ev.groupBy("distinct_id", "day", "event", "product_id")
-             .agg(F.max("time").alias("last_time")))
+    pre = cut_lineage(ev.groupBy("distinct_id", "day", "event", "product_id")
+                        .agg(F.max("time").alias("last_time")))
+    first_product = first_purchases(pre, vmap, bought)
     pre = (pre.join(first_order, "distinct_id", "left")
               .join(first_product, ["distinct_id", "product_id"], "left")
               .select("distinct_id", "day", "event",
@@ -149,16 +159,16 @@ def classified_events(orders: DataFrame, events: DataFrame, users: DataFrame | N
                       start, end) -> DataFrame:
     """Q2: events of chosen customers with e-mail, platform, time and the
     path vocabulary name (P3); ``users`` is a DataFrame with ``email``
-    (P15: a semi join instead of a literal IN list)."""
+    (P15: semi joins before the identity join instead of a literal IN list
+    after it)."""
     from basketlens.functions.coerce import coerce_types
-    from basketlens.operators.identity import email_to_distinct, resolve_email
+    from basketlens.operators.identity import email_to_distinct, resolve_email, resolve_email_of
     from basketlens.schemas import EVENT_TYPES
 
-    ev = (events.where(X.time_between(start, end) & F.col("name").isin(*X.TRACKED_EVENT_NAMES))
+    ev = (X.events_in(events, start, end).where(F.col("name").isin(*X.TRACKED_EVENT_NAMES))
                 .select("distinct_id", "email", "os", "time", "name"))
-    ev = resolve_email(ev, email_to_distinct(orders, events))
+    id_map = email_to_distinct(orders, events)
+    ev = resolve_email(ev, id_map) if users is None else resolve_email_of(ev, id_map, users)
     out = ev.select("email", X.platform("os").alias("platform"), "time", "name").where(F.col("email").isNotNull())
-    if users is not None:
-        out = out.join(users.select("email").where(F.col("email").isNotNull()).distinct(), "email", "left_semi")
     out = out.withColumn("name", X.path_name("name"))
     return coerce_types(out, EVENT_TYPES)

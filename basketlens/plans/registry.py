@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from basketlens.operators import traffic
 from basketlens.sources import testdata as td
+from basketlens.sources.files import events_by_day, write_events_by_day
+from basketlens.sources.snapshots import Snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,35 +50,45 @@ def model(spark: SparkSession, sf_dir: str):
     return td.load(spark, sf_dir)
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build, **layout) -> DataFrame:
+    """S3: the result ``build()`` of the driver's ``tables``, kept as a snapshot
+    until one of their files (or the library) changes."""
+    inputs = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
+    return Snapshots(spark).get(name, build, inputs, {"sf_dir": sf_dir}, **layout)
+
+
+def day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The click-stream laid out by day, so date bounds prune partitions."""
+    return kept(spark, sf_dir, "events_by_day", ["events"], lambda: td.events(spark, sf_dir),
+                write=write_events_by_day, read=events_by_day)
+
+
 @register("mean_daily_users")
 def q_mean_daily_users(spark, sf_dir):
-    m = model(spark, sf_dir)
-    return rounded(traffic.mean_daily_users(m.events, *td.EVENT_WINDOW))
+    return rounded(traffic.mean_daily_users(day_events(spark, sf_dir), *td.EVENT_WINDOW))
 
 
 @register("views_per_bag")
 def q_views_per_bag(spark, sf_dir):
-    m = model(spark, sf_dir)
-    return rounded(traffic.views_per_bag(m.events, *td.EVENT_WINDOW))
+    return rounded(traffic.views_per_bag(day_events(spark, sf_dir), *td.EVENT_WINDOW))
 
 
 @register("bag_likelihood_by_views")
 def q_bag_likelihood(spark, sf_dir):
-    m = model(spark, sf_dir)
-    return rounded(traffic.bag_likelihood_by_views(m.events, *td.EVENT_WINDOW))
+    return rounded(traffic.bag_likelihood_by_views(day_events(spark, sf_dir), *td.EVENT_WINDOW))
 
 
 @register("page_conversion")
 def q_page_conversion(spark, sf_dir):
     m = model(spark, sf_dir)
-    return rounded(traffic.page_conversion(m.orders, m.line_items, m.variants, m.events, *td.EVENT_WINDOW))
+    return rounded(traffic.page_conversion(m.orders, m.line_items, m.variants, day_events(spark, sf_dir), *td.EVENT_WINDOW))
 
 
 @register("opportunity_sizes")
 def q_opportunity_sizes(spark, sf_dir):
     from basketlens.plans.reports import opportunity_sizes
     m = model(spark, sf_dir)
-    conv = traffic.page_conversion(m.orders, m.line_items, m.variants, m.events, *td.EVENT_WINDOW)
+    conv = traffic.page_conversion(m.orders, m.line_items, m.variants, day_events(spark, sf_dir), *td.EVENT_WINDOW)
     return rounded(opportunity_sizes(conv, aov=60.0))
 
 
@@ -86,7 +98,7 @@ def q_classified_events(spark, sf_dir):
     from basketlens.schemas import CUSTOMER_EXPORT_RENAMES
     m = model(spark, sf_dir)
     users = rename_fields(m.customer_export, CUSTOMER_EXPORT_RENAMES).select("email")
-    return traffic.classified_events(m.orders, m.events, users, *td.EVENT_WINDOW)
+    return traffic.classified_events(m.orders, day_events(spark, sf_dir), users, *td.EVENT_WINDOW)
 
 
 def order_facts_of(spark, sf_dir):
@@ -143,15 +155,13 @@ def q_customer_facts(spark, sf_dir):
 
 
 def _users(spark, sf_dir):
-    # Reports read the customer table in several branches (counts, quantiles,
-    # bins): materialise it once per query.
-    from basketlens.session import cut_lineage
-    return cut_lineage(customer_facts_of(spark, sf_dir))
+    # Reports share one customer table: the first one writes it.
+    return kept(spark, sf_dir, "customer_facts", ["orders", "lineitem", "part", "customer", "events"],
+                lambda: customer_facts_of(spark, sf_dir))
 
 
 def _tx(spark, sf_dir):
-    from basketlens.session import cut_lineage
-    return cut_lineage(order_facts_of(spark, sf_dir))
+    return kept(spark, sf_dir, "order_facts", ["orders", "lineitem", "part"], lambda: order_facts_of(spark, sf_dir))
 
 
 def _report(name, source, fn):
@@ -168,7 +178,7 @@ def _register_reports():
     _report("orders_per_year_histogram", _users, R.orders_per_year_histogram)
     _report("subscription_percentiles", _users, S.subscription_percentiles)
     _report("subscription_curve", _users, S.subscription_curve)
-    _report("subscription_running_totals", customer_facts_of, S.subscription_running_totals)
+    _report("subscription_running_totals", _users, S.subscription_running_totals)
     _report("acquisition_by_month", _users, R.acquisition_by_month)
     _report("lifetime_orders_histogram", _users, R.lifetime_orders_histogram)
     _report("lifetime_orders_histogram_repeat", _users, lambda u: R.lifetime_orders_histogram(u, True))
@@ -214,7 +224,7 @@ def q_user_paths_top(spark, sf_dir):
     from basketlens.plans import reports as R
     m = model(spark, sf_dir)
     chosen = R.top_customers(_users(spark, sf_dir))
-    return rounded(R.user_paths(m.orders, m.events, chosen, *td.EVENT_WINDOW))
+    return rounded(R.user_paths(m.orders, day_events(spark, sf_dir), chosen, *td.EVENT_WINDOW))
 
 
 @register("user_paths_middle")
@@ -222,7 +232,7 @@ def q_user_paths_middle(spark, sf_dir):
     from basketlens.plans import reports as R
     m = model(spark, sf_dir)
     chosen = R.middle_customers(_users(spark, sf_dir), *td.TENURE_WINDOW)
-    return rounded(R.user_paths(m.orders, m.events, chosen, *td.EVENT_WINDOW))
+    return rounded(R.user_paths(m.orders, day_events(spark, sf_dir), chosen, *td.EVENT_WINDOW))
 
 
 @register("ambiguous_visitors")

@@ -19,7 +19,8 @@ def opportunity_sizes(conversion: DataFrame, aov: float = 60.0, opportunities: D
     opp = opportunities if opportunities is not None else opportunity_map(conversion.sparkSession)
     metrics = conversion.select(F.col("event").alias("page"), "segment", "avg_daily_users",
                                 F.col("avg_user_conversion_rate").alias("avg_conversion_rate"))
-    j = F.broadcast(opp).join(metrics, ["page", "segment"], "left")
+    # At most one row per page class and segment (13 pairs), whatever the input.
+    j = opp.join(F.broadcast(metrics), ["page", "segment"], "left")
     users = F.when(F.col("avg_daily_users").isNull(),
                    F.raise_error(F.concat(F.lit("no metrics for page/segment "), F.col("page"),
                                           F.lit("/"), F.col("segment"))).cast("double")
@@ -312,5 +313,7 @@ def nth_customer(users: DataFrame, n: int, order: str = "email") -> DataFrame:
     """The n-th (0-based) multi-order customer in ``order``; global
     positions, so no single-partition sort."""
     c = users.where(F.col("lifetime_orders") > 1)
-    pos = sequence_number(c, [], [order], out="_pos")
-    return pos.where(F.col("_pos") == n + 1).drop("_pos")
+    # Only the order and the key are numbered; the one row found is joined back.
+    pos = sequence_number(c.select(*dict.fromkeys([order, "email"])), [], list(dict.fromkeys([order, "email"])), out="_pos")
+    nth = pos.where(F.col("_pos") == n + 1).select("email")
+    return c.join(F.broadcast(nth), "email", "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -57,27 +56,42 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    target = configured or fallback or os.environ.get("BASKETLENS_CHECKPOINT_DIR")
+    target = configured or fallback
     if target:
         sc.setCheckpointDir(target)
     return target
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate that several branches of a plan read.
-
-    With a shared ``spark.checkpoint.dir`` (what a cluster names) the rows
-    are written once as a Parquet table under it and read back: lineage is
-    cut, a lost executor does not force the upstream joins to rerun, and the
-    re-read is columnar with filter pushdown. Without a checkpoint directory
-    a local session uses a temporary folder and any other raises an error.
-    Never a node-local checkpoint."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local
+    session without one uses a temporary folder, any other raises an error."""
     root = ensure_checkpoint_dir(spark)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="basketlens-checkpoint-"))
-    path = f"{root.rstrip('/')}/basketlens-tables/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, removed when it ends."""
+    sc = spark.sparkContext
+    root = f"{shared_root(spark)}/basketlens-tables/{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return root
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate that several branches of a plan read.
+
+    The rows are written once as a Parquet table under the shared folder and
+    read back: lineage is cut, a lost executor does not force the upstream
+    joins to rerun, and the re-read is columnar with filter pushdown. Never a
+    node-local checkpoint."""
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.functions import expr as X
 from basketlens.schemas import EVENTS
 
 
@@ -67,13 +68,13 @@ def write_events_by_day(events: DataFrame, path: str, mode: str = "overwrite") -
            .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
+def events_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """The layout of ``write_events_by_day`` with its partition column
+    ``event_date``, by which ``events_in`` prunes days."""
+    return spark.read.schema(T.StructType([*EVENTS.fields, T.StructField("event_date", T.DateType())])).parquet(path)
+
+
 def read_events_by_day(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Events with start <= time <= end from the layout of ``write_events_by_day``.
-    The time bound also bounds ``event_date``, so other days are not read.
-    Events without a time are in no interval."""
-    first, last = (F.lit(t).cast(T.TimestampNTZType()) for t in (start, end))
-    schema = T.StructType([*EVENTS.fields, T.StructField("event_date", T.DateType())])
-    return (spark.read.schema(schema).parquet(path)
-                 .where(F.col("event_date").between(F.to_date(first), F.to_date(last)))
-                 .where(F.col("time").between(first, last))
-                 .drop("event_date"))
+    """Events with start <= time <= end from the layout of ``write_events_by_day``;
+    other days are not read. Events without a time are in no interval."""
+    return X.events_in(events_by_day(spark, path), start, end)

@@ -8,12 +8,14 @@ Spark (``spark.sql(text, args=...)``), never pasted into the text.
 
 from __future__ import annotations
 
-import hashlib
-import json
 import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketlens.sources.snapshots import DIR_CONF, Snapshots, UnversionedSource
+from basketlens.sources.snapshots import source_version as version_of
 
 _PYFORMAT = re.compile(r"%\((\w+)\)s")
 
@@ -37,42 +39,30 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def sql_to_df(spark: SparkSession, sql: str, sql_dir: str | None = None, use_cache: bool = False,
-              cache_root: str | None = None, source_version: str = "", **params) -> DataFrame:
-    """Lazily run parameterised SQL against registered views.
+def sql_to_df(spark: SparkSession, sql: str, sql_dir: str | None = None, use_cache: bool | None = None,
+              cache_root: str | None = None, source_version: str | None = None, **params) -> DataFrame:
+    """Run parameterised SQL against registered views. A list value
+    is bound as an array (``array_contains(:users, email)``).
 
-    ``use_cache`` keeps the result as a Parquet snapshot keyed by the SQL
-    text, the parameters *and* ``source_version`` (the caller's version of
-    the inputs, e.g. a table version or file listing digest), so a changed
-    source is never served from a stale snapshot."""
+    The result is kept as a snapshot (``use_cache``; default: where
+    ``cache_root`` or ``spark.basketlens.snapshot.dir`` names a folder). Its
+    key holds the SQL text, the parameters and the version of the files the
+    plan reads, or ``source_version`` where the caller gives one; a plan over
+    rows without files and without ``source_version`` runs anew each time."""
     text = to_named_markers(resolve_sql(sql, sql_dir))
-    if not use_cache:
-        return lower_columns(spark.sql(text, args=params or None))
-    root = cache_root or spark.conf.get("spark.basketlens.snapshot.dir", None)
-    if not root:
-        raise ValueError("use_cache needs cache_root or spark.basketlens.snapshot.dir (a shared path)")
-    return snapshot(spark, text, params, source_version, root)
-
-
-def snapshot_key(text: str, params: dict, source_version: str) -> str:
-    payload = json.dumps({"sql": text, "params": {k: str(v) for k, v in sorted(params.items())},
-                          "source": source_version}, sort_keys=True)
-    return hashlib.sha256(payload.encode()).hexdigest()
-
-
-def snapshot(spark: SparkSession, text: str, params: dict, source_version: str, root: str) -> DataFrame:
-    """S3: read the snapshot if complete, else write it (to a staging path,
-    then commit by rename through the Hadoop file system) and read it."""
-    key = snapshot_key(text, params, source_version)
-    final = f"{root.rstrip('/')}/{key}"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(final)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(final + "/_SUCCESS")):
-        staging = f"{final}.staging-{os.getpid()}"
-        lower_columns(spark.sql(text, args=params or None)).write.mode("overwrite").parquet(staging)
-        if fs.exists(path):
-            fs.delete(path, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staging), path)
-    return spark.read.parquet(final)
+    df = lower_columns(spark.sql(text, args={k: _bound(v) for k, v in params.items()} or None))
+    root = cache_root or spark.conf.get(DIR_CONF, None)
+    if use_cache and not root:
+        raise ValueError(f"use_cache needs cache_root or {DIR_CONF} (a shared path)")
+    if not root or use_cache is False:
+        return df
+    if source_version is None:
+        try:
+            source_version = version_of(spark, df)
+        except UnversionedSource:
+            return df
+    return Snapshots(spark, root).get("sql", lambda: df, [], {"sql": text, **params}, source_version, code="")
+
+
+def _bound(value):
+    return F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else value

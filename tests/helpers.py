@@ -39,3 +39,31 @@ def events_df(spark, rows):
 
 def strings(*names):
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def executed_nodes(df):
+    """(name, metrics) of every node of the executed plan, after running it."""
+    df.write.format("noop").mode("overwrite").save()
+    df = df.select("*")
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        metrics, it = {}, node.metrics().iterator()
+        while it.hasNext():
+            kv = it.next()
+            metrics[kv._1()] = kv._2().value()
+        out.append((kind, metrics))
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def shuffled_records(df):
+    return sum(m.get("shuffleRecordsWritten", 0) for _, m in executed_nodes(df))
