@@ -1,11 +1,12 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features are a text's words and the beginnings of its words (3 to 6 letters);
-the vocabulary is chosen by counts over all labelled training rows, the weights
-are fitted on a bounded sample of them. For every sampled text that names an
-identity group, counterfactual copies name other groups instead; the fit
-penalises any change of score between the two, so that the mere mention of a
-group moves no score. Scoring is one pass over the whole texts.
+vocabulary and weights come from a bounded sample of the labelled training rows
+(SAMPLE). For every sampled text counterfactual copies are made: one that names
+an identity group names other groups instead, one that names none is given two
+groups of one kind in turn. The fit penalises any change of score between
+the two copies, so that the mere mention of a group moves no score. Scoring is
+one pass over the whole texts.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOUBLE, INT, LONG, STRING, prepare, read_table, schema
+from .common import DOUBLE, INT, LONG, STRING, Scratch, read_table, schema
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -58,38 +59,21 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and toxic rows of each feature, summed in the task as far as
-    memory allows."""
-    held: dict[str, list[int]] = {}
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string())), pa.array([sorted(features(set(w))) for w in words], pa.list_(pa.string()))], ["doc_id", "toxic", "words", "features"])
 
-    def rows():
-        names = list(held)
-        for a in range(0, len(names), 1 << 15):
-            part = names[a:a + (1 << 15)]
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(part), "rows": pa.array([held[k][0] for k in part]), "toxic": pa.array([held[k][1] for k in part])})
 
-    for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            for f in features(words_of(text)):
-                c = held.setdefault(f, [0, 0])
-                c[0] += 1
-                c[1] += toxic
-        if len(held) > 1_000_000:
-            yield from rows()
-            held = {}
-    yield from rows()
-
-
-def vocabulary(train: DataFrame) -> list[str]:
-    """The VOCABULARY features that tell the labels apart most (chi-square),
-    from counts over all training rows, and the identity terms."""
-    total = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+def vocabulary(sample: DataFrame) -> list[str]:
+    """The VOCABULARY features that tell the labels apart most (chi-square) in
+    the sample (toxic, features), and the identity terms with their beginnings."""
+    total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"] or 0, total["t"] or 0
-    terms = [term for group in IDENTITY for term in group]
+    terms = sorted({f for group in IDENTITY for term in group for f in features({term})})
     if not 0 < t < n:
         return terms
-    counts = train.select("text", "toxic").mapInArrow(_counts, schema(feature=STRING, rows=LONG, toxic=LONG)).groupBy("feature").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
+    counts = sample.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.sum("toxic").alias("toxic"))
     off = F.col("toxic") - F.col("rows") * F.lit(t / n)
     spread = off * off / (F.col("rows") * F.lit(t / n * (1 - t / n)) * (1 - F.col("rows") / F.lit(n + 1.0)))
     top = counts.filter(F.col("rows") >= MIN_ROWS).withColumn("chi", spread).orderBy(F.desc("chi"), "feature").limit(VOCABULARY).select("feature").collect()
@@ -97,35 +81,49 @@ def vocabulary(train: DataFrame) -> list[str]:
     return chosen + [x for x in terms if x not in set(chosen)]
 
 
+def counterfactuals(words: set[str], turn: int) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets that differ in the identity groups they name."""
+    named = words & _GROUP.keys()
+    if named:  # all named terms move on by one and by two
+        rest = words - named
+        return [(words, rest | {_GROUP[w][(_GROUP[w].index(w) + k) % len(_GROUP[w])] for w in named}) for k in (1, 2)]
+    pairs = []
+    for k in (0, 1):
+        group = IDENTITY[(2 * turn + k) % len(IDENTITY)]
+        at = turn // len(IDENTITY)
+        pairs.append((words | {group[at % len(group)]}, words | {group[(at + 1) % len(group)]}))
+    return pairs
+
+
 def _vectors(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = index.value
+
+        def at(names):
+            return sorted(place[f] for f in names if f in place)
         for batch in batches:
-            at, swaps = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                at.append(sorted(place[f] for f in features(words) if f in place))
-                named = sorted(words & _GROUP.keys())
-                other = []
-                for k in range(2 if named else 0):  # each swap moves all named terms on by k + 1
-                    new = {_GROUP[w][(_GROUP[w].index(w) + k + 1) % len(_GROUP[w])] for w in named}
-                    other.append(sorted(place[f] for f in features((words - set(named)) | new) if f in place))
-                swaps.append(other)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["toxic", "at", "swaps"])
+            first, second = [], []
+            for doc_id, words in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
+                pairs = counterfactuals(set(words), doc_id)
+                first.append([at(features(a)) for a, _ in pairs])
+                second.append([at(features(b)) for _, b in pairs])
+            kind = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([at(f) for f in batch.column("features").to_pylist()], pa.list_(pa.int32())), pa.array(first, kind), pa.array(second, kind)], ["toxic", "at", "first", "second"])
     return run
 
 
-def fit(rows: list, size: int) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic model: log loss + ridge + squared change
-    of score under counterfactual swaps, by conjugate-gradient Newton steps."""
+def fit(rows: list, size: int, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic model: log loss + ridge + ``penalty`` x
+    mean squared change of score between counterfactual copies, by
+    conjugate-gradient Newton steps."""
     def sparse(lists):
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.fromiter((i for x in lists for i in x), np.int64)
 
     y = np.array([r["toxic"] for r in rows], float)
     at = [r["at"] for r in rows]
     row, col = sparse(at)
-    first = [a for a, r in zip(at, rows) for _ in r["swaps"]]
-    second = [s for r in rows for s in r["swaps"]]
+    first = [s for r in rows for s in r["first"]]
+    second = [s for r in rows for s in r["second"]]
     frow, fcol = sparse(first)
     srow, scol = sparse(second)
     m, k = len(y), len(second)
@@ -144,7 +142,7 @@ def fit(rows: list, size: int) -> tuple[np.ndarray, float]:
 
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / m
-    lam = COUNTERFACTUAL / max(1, k)
+    lam = penalty / max(1, k)
     w, b = np.zeros(size), 0.0
     for _ in range(STEPS):
         z = forward(w, b)
@@ -191,32 +189,52 @@ def _score(model):
     return run
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[list, list[str]]:
+    """(vectors of the sampled labelled rows, feature names). Only the sampled
+    ids reach the driver before (SAMPLE at most); their texts are found in one
+    pass, and what is written and shuffled is their features alone."""
+    spark = docs.sparkSession
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
+             .filter(~_held(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    lowest = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], schema(doc_id=LONG, toxic=INT)))
+    # One text of a repeated id: the smallest, found before anything is moved.
+    texts = docs.select("doc_id", "text").join(lowest, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    words = T.ArrayType(STRING)
+    sample = scratch.table("sample", texts.mapInArrow(_features, schema(doc_id=LONG, toxic=INT, words=words, features=words)))
+    names = vocabulary(sample)
+    place = {f: i for i, f in enumerate(names)}
+    at = T.ArrayType(INT)
+    rows = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(place)), schema(toxic=INT, at=at, first=T.ArrayType(at), second=T.ArrayType(at))).collect()
+    scratch.drop("sample")
+    return rows, names
+
+
+def _held(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text), ``labels`` (doc_id, toxic) -> doc_id, held_out,
-    score, predicted, one row per row of ``docs``.
+    """``docs`` (doc_id, text), ``labels`` (doc_id, toxic), any further columns
+    -> doc_id, held_out, score, predicted, one row per row of ``docs``.
 
     Rows whose crc32 of the doc_id's text is a multiple of FOLDS are held out:
-    their labels are never read. Null labels don't train. Null and empty texts
-    have no feature and score as the offset says; a null doc_id trains nothing
-    and counts as not held out. Without both labels every score is the share
-    of the one label seen (0 without any). Repeated rows are each scored."""
+    their labels are never read. Null labels don't train; of an id's labels the
+    highest counts, of its texts the smallest. Null and empty texts have no
+    feature and score as the offset says; a null doc_id trains nothing and
+    counts as not held out. Without both labels every score is the share of the
+    one label seen (0 without any). Repeated rows are each scored. A task holds
+    one Arrow batch of whole texts."""
     spark = docs.sparkSession
-    prepare(spark)
+    scratch = Scratch(spark, "toxicity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held).dropDuplicates(["doc_id"])
-    train = docs.join(known, "doc_id")
-    terms = vocabulary(train)
-    place = {f: i for i, f in enumerate(terms)}
-    lowest = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    out = T.StructType([T.StructField("toxic", INT), T.StructField("at", T.ArrayType(INT)), T.StructField("swaps", T.ArrayType(T.ArrayType(INT)))])
-    rows = docs.join(lowest, "doc_id").select("text", "toxic").mapInArrow(_vectors(spark.sparkContext.broadcast(place)), out).collect()
+    rows, terms = training_rows(docs, labels, scratch)
     seen = {r["toxic"] for r in rows}
     w, b = fit(rows, len(terms)) if len(seen) == 2 else (np.zeros(len(terms)), 20.0 if seen == {1} else -20.0)
     weight = {f: float(x) for f, x in zip(terms, w) if x}
     model = spark.sparkContext.broadcast(({f: x for f, x in weight.items() if f[-1] != "~"}, {f[:-1]: x for f, x in weight.items() if f[-1] == "~"}, float(b)))
     scored = T.StructType([T.StructField("doc_id", LONG), T.StructField("held_out", T.BooleanType()), T.StructField("score", DOUBLE), T.StructField("predicted", INT)])
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_score(model), scored)
+    return docs.select("doc_id", _held(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(model), scored)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,3 +204,53 @@ def test_fill_in_middle(spark, docs):
     some = infill.fill_in_middle(d, rate=30, spm_rate=100).collect()
     assert Counter(map(tuple, some)) == Counter(brute_fim(*r, rate=30, spm_rate=100) for r in rows)
     assert infill.fill_in_middle(d.limit(0)).count() == 0
+
+
+# 7 -- toxicity: the fit and its counterfactual penalty
+def _objective(rows, w, b, penalty):
+    from basketlens.llm.toxicity import RIDGE
+    y = np.array([r["toxic"] for r in rows], float)
+    z = np.array([w[r["at"]].sum() for r in rows]) + b
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    change = np.array([w[f].sum() - w[s].sum() for r in rows for f, s in zip(r["first"], r["second"])])
+    return (weight * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * (w * w).sum() + penalty * (change ** 2).mean()
+
+
+def test_fit_is_the_optimum_and_the_penalty_acts():
+    from basketlens.llm import toxicity as tx
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):  # feature 0 tells the labels apart, 1 and 2 name groups; 1 is common in toxic rows
+        toxic = int(rng.random() < 0.4)
+        at = [0] * int(rng.random() < (0.9 if toxic else 0.1)) + [1] * int(rng.random() < (0.8 if toxic else 0.2)) + [3] * int(rng.random() < 0.5)
+        rows.append({"toxic": toxic, "at": at, "first": [[1, *at]], "second": [[2, *at]]})
+    plain, fair = tx.fit(rows, 4, 0.0), tx.fit(rows, 4, 100.0)
+    for (w, b), penalty in ((plain, 0.0), (fair, 100.0)):
+        best = _objective(rows, w, b, penalty)
+        for _ in range(200):
+            assert _objective(rows, w + rng.normal(size=4) * 0.02, b + rng.normal() * 0.02, penalty) >= best - 1e-12
+    assert plain[0][1] - plain[0][2] > 0.5 and abs(fair[0][1] - fair[0][2]) < 0.05 and fair[0][0] > 1
+
+
+def test_counterfactuals_swap_or_insert_terms_of_one_kind():
+    from basketlens.llm.toxicity import _GROUP, IDENTITY, counterfactuals
+    for a, b in counterfactuals({"the", "women", "sat"}, 3):
+        assert a == {"the", "women", "sat"} and len(b - a) == 1 and (b - a) < set(IDENTITY[0]) and "women" not in b
+    seen = set()
+    for turn in range(200):
+        for a, b in counterfactuals({"x"}, turn):
+            (p,), (q,) = a - {"x"}, b - {"x"}
+            assert _GROUP[p] is _GROUP[q] and p != q
+            seen |= {p, q}
+    assert seen == set(_GROUP)
+
+
+def test_training_takes_one_text_of_a_repeated_id(spark):
+    from basketlens.llm import toxicity as tx
+    from basketlens.llm.common import Scratch
+    d = spark.createDataFrame([(1, "a bad word")] + [(2, f"t{i} words") for i in range(300)] + [(None, "x"), (3, None), (4, "fine words")], "doc_id long, text string")
+    l = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 0), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows, names = tx.training_rows(d, l, Scratch(spark, "t"))
+    kept = [i for i in (1, 2, 3, 4) if __import__("zlib").crc32(str(i).encode()) % 5]
+    assert len(rows) == len(kept) and sorted(r["toxic"] for r in rows) == sorted({1: 1, 2: 0, 3: 0, 4: 1}[i] for i in kept)
