@@ -4,12 +4,15 @@ quantiles and summaries.
 
 Nothing here collects rows. Anything global (quantile edges, histogram
 bounds) is a one-row aggregate joined back with a broadcast of that one row;
-exact order statistics come from a distributed table of value counts
+exact order statistics come from a sketch and the counts inside its brackets
 (``basketlens.operators.sequence``), never from a single-partition window.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -32,6 +35,54 @@ def mean_by(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
                .orderBy(*[F.asc_nulls_last(c) for c in g]))
 
 
+def poisson_steps(beyond: float = 1e-10) -> list[float]:
+    """P(N <= k) of a Poisson variable with mean 1 for k = 0, 1, ... until what
+    is left is below ``beyond``."""
+    steps, term, k = [], math.exp(-1.0), 0
+    while not steps or 1.0 - steps[-1] > beyond:
+        steps.append((steps[-1] if steps else 0.0) + term)
+        k += 1
+        term /= k
+    return steps
+
+
+def bootstrap_mean_by(df: DataFrame, x: str, y: str, *keys: str, row_key: list[str], replicates: int = 200,
+                      seed: int = 1) -> DataFrame:
+    """A32 with a 95% bootstrap interval instead of the closed form (Poisson
+    bootstrap): in each replicate every row counts a Poisson(1) number of times,
+    and the interval spans the 2.5% and 97.5% quantiles of the replicates' means.
+
+    A row's weights come from a digest of ``seed``, the replicate and the row's
+    ``row_key``, so reruns, other partitionings and lost executors give the
+    same interval. All replicates are one aggregate with a partial phase: a row
+    becomes ``replicates / 4`` rows of four weights inside its task, and one row
+    per group and four replicates is shuffled."""
+    g = [x, *keys]
+    base = df.where(F.col(y).isNotNull())
+    for k in g:
+        base = base.where(F.col(k).isNotNull())
+    said = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in row_key])
+    drawn = base.select(*g, F.col(y).cast("double").alias("_y"), said.alias("_id"),
+                        F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))).alias("_b"))
+    drawn = drawn.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_b").cast("string"), F.lit(":"), F.col("_id"))))
+    steps = poisson_steps()
+
+    def weight(i):
+        u = F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        return reduce(lambda a, b: a + b, [(u >= F.lit(s)).cast("int") for s in steps])
+    drawn = drawn.select(*g, "_y", "_b", *[weight(i).alias(f"_w{i}") for i in range(4)])
+    sums = drawn.groupBy(*g, "_b").agg(
+        F.avg("_y").alias("mean"), F.count("_y").alias("n"), F.stddev_samp("_y").alias("std"),
+        *[F.try_divide(F.sum(F.col(f"_w{i}") * F.col("_y")), F.sum(f"_w{i}").cast("double")).alias(f"_m{i}") for i in range(4)])
+    # One row per group and four replicates from here on.
+    each = sums.select(*g, "mean", "n", "std", F.explode(F.array(*[
+        F.when(F.col("_b") * 4 + i < replicates, F.col(f"_m{i}")) for i in range(4)])).alias("_m"))
+    out = each.groupBy(*g).agg(F.min("mean").alias("mean"), F.min("n").alias("n"), F.min("std").alias("std"),
+                               F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
+    return (out.select(*g, "mean", "n", "std", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
+               .orderBy(*[F.asc_nulls_last(c) for c in g]))
+
+
 def group_sizes(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Rows per key; rows with a null key are left out (pandas rule, N15)."""
     base = df
@@ -98,6 +149,57 @@ def cohort_grid(df: DataFrame, row: str, col: str, row_labels, col_labels, value
     raise ValueError(agg)
 
 
+def cohort_grids(df: DataFrame, col: str, col_labels, grids: list[tuple]) -> DataFrame:
+    """A22-A25 for all grids of a report in one pass: ``grids`` lists (name, row
+    column, row labels, agg, value column or None) as in ``cohort_grid``, all
+    over the same column labels. Result (grid, row_bucket, col_bucket, value)
+    in the order given.
+
+    Every row column is one grouping set of a single aggregate with a partial
+    phase; all sums and counts any grid needs are computed beside each other.
+    The aggregate has at most one row per label pair and set (others are
+    filtered out before), so it is broadcast to the literal list of cells."""
+    rows = list(dict.fromkeys(r for _, r, _, _, _ in grids))
+    values = list(dict.fromkeys(v for *_, v in grids if v))
+    known = {r: list(labels) for _, r, labels, _, _ in grids}
+    g = df.select(*[F.when(F.col(r).isin(known[r]), F.col(r)).alias(r) for r in rows],
+                  col, *values).where(F.col(col).isin(list(col_labels)))
+    g = g.groupingSets([[r, col] for r in rows], *rows, col).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[a for i, v in enumerate(values) for a in (F.sum(v).cast("double").alias(f"_s{i}"), F.count(v).alias(f"_c{i}"))],
+        *[F.grouping(r).alias(f"_g{i}") for i, r in enumerate(rows)])
+    of = F.coalesce(*[F.when(F.col(f"_g{i}") == 0, F.lit(i)) for i in range(len(rows))])
+    g = g.select(of.alias("_set"), F.coalesce(*rows).alias("row_bucket"), F.col(col).alias("col_bucket"), "_n",
+                 *[c for i in range(len(values)) for c in (f"_s{i}", f"_c{i}")]).where(F.col("row_bucket").isNotNull())
+    cells = df.sparkSession.createDataFrame(
+        [(k, name, rows.index(r), i, a, j, b) for k, (name, r, labels, _, _) in enumerate(grids)
+         for i, a in enumerate(labels) for j, b in enumerate(col_labels)],
+        "_k int, grid string, _set int, _i int, row_bucket string, _j int, col_bucket string")
+    out = cells.join(F.broadcast(g), ["_set", "row_bucket", "col_bucket"], "left")
+    n = F.coalesce(F.col("_n"), F.lit(0)).cast("double")
+
+    def value(agg, v):
+        if agg == "count":
+            return n
+        i = values.index(v)
+        total = F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
+        if agg == "sum":
+            return total
+        if agg == "mean":
+            return F.coalesce(F.try_divide(total, F.col(f"_c{i}").cast("double")), F.lit(0.0))
+        if agg == "share":
+            return F.try_divide(total, n)
+        raise ValueError(agg)
+    shown = F.coalesce(*[F.when(F.col("_k") == k, value(agg, v)) for k, (*_, agg, v) in enumerate(grids)])
+    return out.orderBy("_k", "_i", "_j").select("grid", "row_bucket", "col_bucket", shown.alias("value"))
+
+
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` rows in an explicit order (nulls last), by heaps of n
+    rows per partition."""
+    return df.orderBy(*[F.asc_nulls_last(c) if isinstance(c, str) else c for c in order]).limit(n)
+
+
 def summary(df: DataFrame, col: str, percentiles=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
             ) -> DataFrame:
     """Count, mean, sample std, min, percentiles, max of ``col`` in one

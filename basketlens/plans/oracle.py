@@ -2,9 +2,9 @@
 
 ``ADAPTER_CTES`` repeats the test-data adapter of
 ``basketlens.sources.testdata`` over the driver's pre-registered views. Each
-oracle query is written in the literal form of the analysed SQL (EXISTS,
-self-joins, UNION ALL, global windows) so that it checks the rewritten
-Spark plans. Computed doubles are rounded to 6 places on both sides.
+oracle query is written from the definitions with a structure of its own, so
+that it checks the Spark plans. Computed doubles are rounded to 6 places on
+both sides.
 """
 
 from __future__ import annotations
@@ -759,6 +759,11 @@ FROM qo WHERE first_order_month IS NOT NULL GROUP BY 1""")
     _users_report("opt_out_grids", "", grids([("lifetime_orders", *LO, f, "sum"),
                                               ("lifetime_orders_share", *LO, f, "share"),
                                               ("orders_per_quarter", *OQ, f, "sum")]))
+    flags = ("is_picks_buyer", "is_picks_waitlist", f)
+    _users_report("customer_grids", "", grids([
+        ("customers", *LO, None, "count"), ("customers_per_quarter", *OQ, None, "count"),
+        *[(x, *LO, x, "sum") for x in flags], *[(f"{x}_per_quarter", *OQ, x, "sum") for x in flags],
+        ("opt_out_share", *LO, f, "share"), ("kids_rate", *LO, "first_order_has_kids", "mean")]))
     kg = grid_sql("users", "lifetime_orders_bucket", "lifetime_aov_bucket", B.LIFETIME_ORDERS_LABELS, B.AOV_LABELS,
                   "mean", "first_order_has_kids")
     _users_report("kids_rate_grid", "", f"SELECT lifetime_orders_bucket, lifetime_aov_bucket, {_r('value')} AS value "
@@ -864,6 +869,8 @@ SELECT order_month, count(*) AS orders FROM tx WHERE has_sale_item > 0 AND order
     _tx_report("units_by_date", "", mean_by_sql("tx", "order_date", "units", ["is_repeat"]))
     _tx_report("positive_adjustments", "", rounded_select(ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES,
                                                           "(SELECT * FROM tx WHERE adjustment_total > 0.0)"))
+    _tx_report("first_positive_adjustments", "", rounded_select(
+        ORDER_FACT_COLUMNS, ORDER_FACT_DOUBLES, "(SELECT * FROM tx WHERE adjustment_total > 0.0 ORDER BY order_id LIMIT 5)"))
     _tx_report("guest_penetration_matrix", f"""
 gu AS {cust('max(is_guest)', 'is_guest')},
 gp AS (SELECT aov_bucket, order_count_bucket, count(*) AS users, count(*) FILTER (WHERE is_guest > 0.0) AS guest_users
@@ -896,3 +903,71 @@ SELECT distinct_id, lower(email) AS email, time, name, {class_case()} AS event,
   CASE WHEN trim(os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform,
   CAST(CAST(time AS DATE) AS TIMESTAMP) AS day
 FROM m_events""")
+
+
+ORACLE["order_facts_from_buckets"] = ORACLE["order_facts"]
+
+
+@oracle("bag_likelihood_bootstrap")
+def _bag_likelihood_bootstrap():
+    from basketlens.operators.stats import poisson_steps
+    draws = []
+    for i in range(4):
+        u = f"(('0x' || h[{8 * i + 1}:{8 * i + 8}])::UBIGINT / 4294967296.0::DOUBLE)"
+        draws.append("(" + " + ".join(f"({u} >= {s!r}::DOUBLE)::INTEGER" for s in poisson_steps()) + f") AS w{i}")
+    means = ", ".join(f"sum(w{i} * y) / nullif(sum(w{i}), 0)::DOUBLE" for i in range(4))
+    return with_adapter(VIEWS_PER_BAG_CTES + f""",
+seen AS (SELECT product AS views, bag_indicator AS y, distinct_id || '|' || CAST(day AS VARCHAR) AS id FROM vpb WHERE product IS NOT NULL),
+hashed AS (SELECT views, y, b, md5(concat('1:', b, ':', id)) AS h FROM seen, range(50) t(b)),
+drawn AS (SELECT views, y, b, {", ".join(draws)} FROM hashed),
+means AS (SELECT views, unnest([{means}]) AS m FROM drawn GROUP BY views, b),
+plain AS (SELECT views, avg(y) AS m, count(y) AS n, stddev_samp(y) AS s FROM seen GROUP BY views),
+spread AS (SELECT views, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY views)
+""", """SELECT views, __R6__(p.m)__R6END__ AS bag_likelihood, p.n, __R6__(p.s)__R6END__ AS std,
+  __R6__(lo)__R6END__ AS ci_low, __R6__(hi)__R6END__ AS ci_high FROM plain p JOIN spread USING (views)""")
+
+
+@oracle("users_from_daily_sketches")
+def _users_from_daily_sketches():
+    a, b = td.SKETCH_WINDOW
+    return with_adapter("", f"""
+SELECT {class_case()} AS event, count(DISTINCT distinct_id) AS users, count(DISTINCT CAST(time AS DATE)) AS days
+FROM m_events WHERE CAST(time AS DATE) BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY 1""")
+
+
+@oracle("rejected_product_ids")
+def _rejected_product_ids():
+    return with_adapter("", """
+SELECT 'product_id' AS "column", v AS value, count(*) AS events, count(DISTINCT distinct_id) AS visitors
+FROM (SELECT distinct_id, json_extract_string(properties, '$.product_id') AS v FROM m_events)
+WHERE v IS NOT NULL AND trim(v) <> '' AND TRY_CAST(v AS DOUBLE) IS NULL GROUP BY 2""")
+
+
+@oracle("sql_orders_by_state")
+def _sql_orders_by_state():
+    return with_adapter("", """
+SELECT state, count(*) AS orders, count(DISTINCT lower(email)) AS customers FROM m_orders
+WHERE completed_at BETWEEN TIMESTAMP '2020-01-01' AND TIMESTAMP '2022-01-01' AND state IN ('complete', 'returned') GROUP BY state""")
+
+
+@oracle("csv_orders")
+def _csv_orders():
+    return with_adapter("", "SELECT id, email, number, completed_at, __R6__(item_total)__R6END__ AS item_total FROM m_orders")
+
+
+@oracle("report_json_orders")
+def _report_json_orders():
+    return with_adapter("", "SELECT id, state, email FROM m_orders")
+
+
+@oracle("sheet_orders_by_state")
+def _sheet_orders_by_state():
+    return with_adapter("", "SELECT state, count(*) AS orders FROM m_orders GROUP BY state")
+
+
+@oracle("orders_per_month")
+def _orders_per_month():
+    return with_adapter("""
+done AS (SELECT CAST(date_trunc('month', completed_at) AS DATE) AS month FROM m_orders WHERE completed_at IS NOT NULL),
+months AS (SELECT CAST(unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM done)
+""", "SELECT m.month, count(d.month) AS orders FROM months m LEFT JOIN done d USING (month) GROUP BY m.month ORDER BY 1")

@@ -8,6 +8,7 @@ not decide equality.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,6 +194,7 @@ def _register_reports():
     _report("waitlist_grids", _users, lambda u: R.flag_grids(u, "is_picks_waitlist"))
     _report("opt_out_grids", _users, R.opt_out_grids)
     _report("kids_rate_grid", _users, R.kids_rate_grid)
+    _report("customer_grids", _users, R.customer_grids)
     _report("top_customers", _users, R.top_customers)
     _report("middle_customers", _users, lambda u: R.middle_customers(u, *td.TENURE_WINDOW))
     _report("customer_export_max", lambda s, d: _export(s, d), lambda e: S.max_per_key(e, "email"))
@@ -205,6 +207,7 @@ def _register_reports():
     _report("units_per_order_histogram_repeat", _tx, lambda t: R.units_per_order_histogram(t, True))
     _report("units_by_date", _tx, R.units_by_date)
     _report("positive_adjustments", _tx, R.positive_adjustments)
+    _report("first_positive_adjustments", _tx, R.first_positive_adjustments)
     _report("orders_by_sale_flag", _tx, R.orders_by_sale_flag)
     _report("guest_penetration_matrix", _tx, R.guest_penetration_matrix)
     _report("nth_multi_order_customer", _users, lambda u: R.nth_customer(u, 100))
@@ -247,3 +250,95 @@ def q_event_classes(spark, sf_dir):
     """The streaming classifier's row-wise transform, run in batch over every event."""
     from basketlens.streaming.events import classify
     return classify(model(spark, sf_dir).events)
+
+
+@register("bag_likelihood_bootstrap")
+def q_bag_likelihood_bootstrap(spark, sf_dir):
+    return rounded(traffic.bag_likelihood_by_views(day_events(spark, sf_dir), *td.EVENT_WINDOW, bootstrap=200))
+
+
+@register("users_from_daily_sketches")
+def q_users_from_daily_sketches(spark, sf_dir):
+    """Distinct visitors of ten days from the stored daily sketches."""
+    sketches = kept(spark, sf_dir, "daily_user_sketches", ["events"], lambda: traffic.daily_user_sketches(td.events(spark, sf_dir)))
+    return traffic.users_between(sketches, *td.SKETCH_WINDOW)
+
+
+@register("rejected_product_ids")
+def q_rejected_product_ids(spark, sf_dir):
+    """Product ids of events that are no numbers, with how often."""
+    from basketlens.functions.coerce import coerce_with_rejects
+    from basketlens.functions.expr import json_str
+    ids = td.events(spark, sf_dir).select("distinct_id", json_str("properties", "product_id").alias("product_id"))
+    rejects = coerce_with_rejects(ids, {"product_id": "num"}, ["distinct_id"]).rejects
+    return rejects.groupBy("column", "value").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("distinct_id").alias("visitors"))
+
+
+@register("order_facts_from_buckets")
+def q_order_facts_from_buckets(spark, sf_dir):
+    """Q1 over the model written in buckets of the order id and read back."""
+    from basketlens.operators.orders import order_facts
+    from basketlens.session import run_folder
+    from basketlens.sources.tables import read_model, write_model
+    root = f"{run_folder(spark)}/model-{uuid.uuid4().hex}"
+    write_model(model(spark, sf_dir), root, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    m = read_model(spark, root, bucketed=True)
+    return rounded(order_facts(m.orders, m.line_items, m.variants, m.products,
+                               staff_pattern=td.STAFF_PATTERN, sale_patterns=td.SALE_PATTERNS))
+
+
+@register("sql_orders_by_state")
+def q_sql_orders_by_state(spark, sf_dir):
+    """SQL text with named and list parameters over the model's views."""
+    from basketlens.sources.sqlrun import sql_to_df
+    model(spark, sf_dir).register("shop_")
+    return sql_to_df(spark, "SELECT state AS State, count(*) AS Orders, count(DISTINCT lower(email)) AS Customers FROM shop_orders "
+                            "WHERE completed_at BETWEEN %(start)s AND %(end)s AND array_contains(%(states)s, state) GROUP BY state",
+                     start="2020-01-01", end="2022-01-01", states=["complete", "returned"])
+
+
+def _written(spark, df, write, name):
+    from basketlens.session import run_folder
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(df, path)
+    return path
+
+
+@register("csv_orders")
+def q_csv_orders(spark, sf_dir):
+    """Orders written as CSV, read back as text and coerced."""
+    from basketlens.functions.coerce import coerce_types
+    from basketlens.sources.files import read_csv_text, write_csv
+    df = model(spark, sf_dir).orders.select("id", "email", "number", "completed_at", "item_total")
+    path = _written(spark, df, write_csv, "csv")
+    return rounded(coerce_types(read_csv_text(spark, path, df.columns), {"id": "id", "completed_at": "ts", "item_total": "num"}))
+
+
+@register("report_json_orders")
+def q_report_json_orders(spark, sf_dir):
+    """Report rows with dotted names, read under their short names."""
+    from basketlens.sources.files import read_report_json
+    df = model(spark, sf_dir).orders.select(F.col("id").alias("orders.id"), F.col("state").alias("orders.state"), F.col("email").alias("customer.email"))
+    return read_report_json(spark, _written(spark, df, lambda d, p: d.write.json(p), "report"), T.StructType([
+        T.StructField("orders.id", T.LongType()), T.StructField("orders.state", T.StringType()), T.StructField("customer.email", T.StringType())]))
+
+
+@register("sheet_orders_by_state")
+def q_sheet_orders_by_state(spark, sf_dir):
+    """A small table written as one sheet file and read back."""
+    from basketlens.sources.files import read_sheet_export, write_sheet_export
+    df = model(spark, sf_dir).orders.groupBy("state").agg(F.count(F.lit(1)).alias("orders"))
+    path = _written(spark, df, write_sheet_export, "sheet")
+    return read_sheet_export(spark, path).select("state", F.col("orders").cast("long").alias("orders"))
+
+
+@register("orders_per_month")
+def q_orders_per_month(spark, sf_dir):
+    """Every month start between the first and the last completed order,
+    with its orders (months without any count 0)."""
+    from basketlens.sources.literals import month_starts
+    orders = model(spark, sf_dir).orders.where(F.col("completed_at").isNotNull())
+    first, last = orders.agg(F.date_format(F.min("completed_at"), "yyyy-MM-01"), F.date_format(F.max("completed_at"), "yyyy-MM-dd")).first()
+    months = month_starts(spark, first, last).select(F.col("month").cast("date").alias("month"))
+    counts = orders.groupBy(F.trunc(F.to_date("completed_at"), "MM").alias("month")).agg(F.count(F.lit(1)).alias("orders"))
+    return months.join(counts, "month", "left").select("month", F.coalesce("orders", F.lit(0)).alias("orders")).orderBy("month")

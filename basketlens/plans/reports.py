@@ -133,34 +133,39 @@ def _grid(users, row, row_labels, value, agg):
     return S.cohort_grid(users, row, "lifetime_aov_bucket", row_labels, B.AOV_LABELS, value, agg)
 
 
-def _union_grids(grids: list[tuple[str, DataFrame]]) -> DataFrame:
-    out = None
-    for name, g in grids:
-        r, c = g.columns[0], g.columns[1]
-        g = g.select(F.lit(name).alias("grid"), F.col(r).alias("row_bucket"), F.col(c).alias("col_bucket"),
-                     F.col("value").cast("double").alias("value"))
-        out = g if out is None else out.unionByName(g)
-    return out
+def _lifetime(name, agg, value):
+    return name, "lifetime_orders_bucket", B.LIFETIME_ORDERS_LABELS, agg, value
+
+
+def _quarterly(name, agg, value):
+    return name, "orders_per_quarter_bucket", B.ORDERS_PER_QUARTER_LABELS, agg, value
+
+
+def _grids(users, *grids):
+    return S.cohort_grids(users, "lifetime_aov_bucket", B.AOV_LABELS, list(grids))
 
 
 def flag_grids(users: DataFrame, flag: str) -> DataFrame:
     """Q24/Q26: sum of a 0/1 flag per (lifetime orders bucket x AOV bucket) and
     per (orders-per-quarter bucket x AOV bucket); empty cells are 0."""
-    return _union_grids([
-        ("lifetime_orders", _grid(users, "lifetime_orders_bucket", B.LIFETIME_ORDERS_LABELS, flag, "sum")),
-        ("orders_per_quarter", _grid(users, "orders_per_quarter_bucket", B.ORDERS_PER_QUARTER_LABELS, flag, "sum")),
-    ])
+    return _grids(users, _lifetime("lifetime_orders", "sum", flag), _quarterly("orders_per_quarter", "sum", flag))
 
 
 def opt_out_grids(users: DataFrame) -> DataFrame:
     """Q25: opt-out sums, opt-out share of all customers in the cell (empty
     cell -> null), and sums per orders-per-quarter bucket."""
     f = "is_marketing_opt_out"
-    return _union_grids([
-        ("lifetime_orders", _grid(users, "lifetime_orders_bucket", B.LIFETIME_ORDERS_LABELS, f, "sum")),
-        ("lifetime_orders_share", _grid(users, "lifetime_orders_bucket", B.LIFETIME_ORDERS_LABELS, f, "share")),
-        ("orders_per_quarter", _grid(users, "orders_per_quarter_bucket", B.ORDERS_PER_QUARTER_LABELS, f, "sum")),
-    ])
+    return _grids(users, _lifetime("lifetime_orders", "sum", f), _lifetime("lifetime_orders_share", "share", f),
+                  _quarterly("orders_per_quarter", "sum", f))
+
+
+def customer_grids(users: DataFrame) -> DataFrame:
+    """Q24-Q27 and the count of customers per cell (A23): every grid of the
+    customer reports from one pass over the customers."""
+    flags = ("is_picks_buyer", "is_picks_waitlist", "is_marketing_opt_out")
+    return _grids(users, _lifetime("customers", "count", None), _quarterly("customers_per_quarter", "count", None),
+                  *[_lifetime(f, "sum", f) for f in flags], *[_quarterly(f"{f}_per_quarter", "sum", f) for f in flags],
+                  _lifetime("opt_out_share", "share", flags[2]), _lifetime("kids_rate", "mean", "first_order_has_kids"))
 
 
 def kids_rate_grid(users: DataFrame) -> DataFrame:
@@ -317,3 +322,8 @@ def nth_customer(users: DataFrame, n: int, order: str = "email") -> DataFrame:
     pos = sequence_number(c.select(*dict.fromkeys([order, "email"])), [], list(dict.fromkeys([order, "email"])), out="_pos")
     nth = pos.where(F.col("_pos") == n + 1).select("email")
     return c.join(F.broadcast(nth), "email", "left_semi")
+
+
+def first_positive_adjustments(transactions: DataFrame, n: int = 5) -> DataFrame:
+    """The first orders with a positive adjustment, by order id."""
+    return S.first_rows(positive_adjustments(transactions), n, "order_id")

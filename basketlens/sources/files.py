@@ -36,10 +36,13 @@ def read_user_list(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_text(spark, path).select("email")
 
 
-def read_report_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Saved report rows (JSON lines or a JSON array), columns renamed to
-    the last dotted part; a collision of short names is an error."""
-    reader = spark.read.option("multiLine", False)
+def read_report_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                     one_array: bool = False) -> DataFrame:
+    """Saved report rows, columns renamed to the last dotted part; a
+    collision of short names is an error. Rows are JSON lines (or an array on
+    each line); with ``one_array`` each file is one JSON array over any number
+    of lines, as the report server sends it, read by one task a file."""
+    reader = spark.read.option("multiLine", one_array)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)

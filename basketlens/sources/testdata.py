@@ -221,3 +221,5 @@ def load(spark: SparkSession, sf_dir: str) -> ShopTables:
 # Long-tenure window for the "middle customers" report (first visit before,
 # last visit after), inside the event month of the test data.
 TENURE_WINDOW = ("2024-01-10", "2024-01-20")
+# Days of the query over the stored daily sketches.
+SKETCH_WINDOW = ("2024-01-05", "2024-01-14")
