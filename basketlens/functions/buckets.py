@@ -27,8 +27,8 @@ AOV_EDGES = [0, 50, 101]
 AOV_LABELS = ["<50", "50-100", "100+"]
 ORDERS_PER_QUARTER_EDGES = [0, 0.5, 1.0, 1.5, 2]
 ORDERS_PER_QUARTER_LABELS = ["<0.5", "0.5", "1.0", "1.5", "2+"]
-RATIO_EDGES = list(range(0, 91, 10)) + [101]
-RATIO_LABELS = [f"{lo}-{lo + 9}" for lo in range(0, 90, 10)] + ["90-100"]
+RATIO_EDGES = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 101]
+RATIO_LABELS = ["0-9", "10-19", "20-29", "30-39", "40-49", "50-59", "60-69", "70-79", "80-89", "90-100"]
 
 
 def _ranges(edges, n_labels, open_top):
@@ -54,18 +54,6 @@ def bucketize(col, edges, labels, open_top: bool = False) -> Column:
     return expr
 
 
-def bucket_ordinal(col, edges, labels, open_top: bool = False) -> Column:
-    """0-based position of the bucket (for ordering labels), null outside."""
-    c = F.col(col) if isinstance(col, str) else col
-    expr = None
-    for i, (lo, hi) in enumerate(_ranges(edges, len(labels), open_top)):
-        cond = c >= F.lit(lo)
-        if hi is not None:
-            cond = cond & (c < F.lit(hi))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def label_table(spark, name: str, labels) -> DataFrame:
     """Ordered label list as a tiny relation (for dense grids, N12)."""
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{name} string, {name}_ord int")
@@ -86,9 +74,12 @@ def qcut_edges(df: DataFrame, col: str, q: int = 10, digits: int = 9, approx: bo
     return qs.agg(F.array_distinct(F.array_sort(F.collect_list(F.round("value", digits)))).alias("_edges"))
 
 
-def qcut_codes(df: DataFrame, col: str, out: str, q: int = 10, approx: bool = False) -> DataFrame:
-    """Attach ``out`` = the qcut code of ``col`` (0-based; null stays null)."""
-    edges = qcut_edges(df, col, q, approx=approx)
+def qcut_codes(df: DataFrame, col: str, out: str, q: int = 10, approx: bool = False,
+               edges: DataFrame | None = None) -> DataFrame:
+    """Attach ``out`` = the qcut code of ``col`` (0-based; null stays null).
+    ``edges`` (one row of ``qcut_edges``) may come from a narrower table that
+    has the same values."""
+    edges = edges if edges is not None else qcut_edges(df, col, q, approx=approx)
     x = F.col(col).cast("double")
     code = F.greatest(F.size(F.filter(F.col("_edges"), lambda e: e < x)) - 1, F.lit(0))
     return (df.crossJoin(F.broadcast(edges))

@@ -10,13 +10,13 @@ from pyspark.sql import Window
 from basketlens.functions import expr as X
 from basketlens.functions.buckets import (AOV_EDGES, AOV_LABELS, LIFETIME_ORDERS_EDGES,
                                           LIFETIME_ORDERS_LABELS, ORDERS_PER_QUARTER_EDGES,
-                                          ORDERS_PER_QUARTER_LABELS, bucketize, qcut_codes)
+                                          ORDERS_PER_QUARTER_LABELS, bucketize, qcut_codes,
+                                          qcut_edges)
 from basketlens.functions.coerce import coerce_types, rename_fields
 from basketlens.operators.identity import email_to_distinct
 from basketlens.operators.sequence import sequence_number
 from basketlens.operators.skew import heavy_keys, left_join
 from basketlens.schemas import CUSTOMER_EXPORT_RENAMES, USER_TYPES
-from basketlens.session import cut_lineage
 
 
 def _days(a, b):
@@ -181,8 +181,11 @@ def customer_facts(export: DataFrame, visits: DataFrame, first_divisions: DataFr
     first-order division, list memberships, frequency and bucket columns.
 
     Bucket columns are always present (stable schema; D20). The decile edges
-    are exact distributed quantiles joined back as one broadcast row."""
+    are exact distributed quantiles of the export's column alone (the left joins
+    add columns, no rows), joined back as one broadcast row; the wide table is
+    never written."""
     users = coerce_types(rename_fields(export, CUSTOMER_EXPORT_RENAMES), USER_TYPES)
+    edges = qcut_edges(users, "lifetime_orders", 10)
     if normalise_email:
         users = users.withColumn("email", X.py_strip_lower("email"))
     users = retention_fields(users.join(visits, "email", "left"))
@@ -193,9 +196,7 @@ def customer_facts(export: DataFrame, visits: DataFrame, first_divisions: DataFr
                   .withColumn("first_order_month", F.trunc(F.col("first_order_date").cast("date"), "MM")
                               .cast("timestamp_ntz"))
                   .withColumn("lifetime_aov", X.safe_div("lifetime_gpr", "lifetime_orders")))
-    # The decile pass reads the table three times (positions, count, join
-    # back): materialise it once instead of recomputing the joins above.
-    users = qcut_codes(cut_lineage(users), "lifetime_orders", "lifetime_orders_decile", 10)
+    users = qcut_codes(users, "lifetime_orders", "lifetime_orders_decile", 10, edges=edges)
     users = users.select(
         "*",
         bucketize("lifetime_orders", LIFETIME_ORDERS_EDGES, LIFETIME_ORDERS_LABELS, True)

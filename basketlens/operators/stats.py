@@ -91,15 +91,6 @@ def group_sizes(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return base.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def pct_of_group(counts: DataFrame, value: str, group: list[str], name: str = "percentage",
-                 total_name: str | None = None) -> DataFrame:
-    """Value / sum(value) over the group * 100 on an aggregated table."""
-    w = Window.partitionBy(*group)
-    out = counts.withColumn(total_name or "_total", F.sum(value).over(w))
-    out = out.withColumn(name, F.col(value) / F.col(total_name or "_total") * 100.0)
-    return out if total_name else out.drop("_total")
-
-
 def pct_of_total(counts: DataFrame, value: str, total: DataFrame, total_col: str,
                  name: str = "percentage") -> DataFrame:
     """Value / a one-row total * 100 (the total is one row, broadcast)."""

@@ -128,8 +128,10 @@ def first_divisions_of(spark, sf_dir):
 
 def customer_facts_of(spark, sf_dir):
     from basketlens.operators.customers import customer_facts
+    from basketlens.session import cut_lineage
     m = model(spark, sf_dir)
-    return customer_facts(m.customer_export, visit_stats_of(spark, sf_dir), first_divisions_of(spark, sf_dir),
+    # The export is a file in production; here it is derived, so written once.
+    return customer_facts(cut_lineage(m.customer_export), visit_stats_of(spark, sf_dir), first_divisions_of(spark, sf_dir),
                           m.user_lists)
 
 
