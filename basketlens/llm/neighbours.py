@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import BINARY, DOUBLE, INT, LONG, Scratch, read_table, schema
 
 TOP, EVERY, BLOCK, MERGE = 20, 20, 2048, 32
+#: Components whose int8 products sum exactly in float32 (127^2 x 1024 < 2^24).
+EXACT = 1024
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,8 +86,10 @@ def _tile(k: int):
         repeats = len(first) < len(c_ids)
         qc, qs, qe = quantise(q)
         cc, cs, ce = quantise(c)
-        product = qc.astype(np.float32) @ cc.astype(np.float32).T  # sums of int8 products stay below 2^24 for dim <= 1024
-        middle = product.astype(np.float64) * (qs[:, None] * cs[None, :])
+        product = np.zeros((len(q), len(c)))
+        for a in range(0, q.shape[1], EXACT):  # whole numbers in both types, so the sum has no rounding at any dim
+            product += qc[:, a:a + EXACT].astype(np.float32) @ cc[:, a:a + EXACT].astype(np.float32).T
+        middle = product * (qs[:, None] * cs[None, :])
         slack = np.linalg.norm(qc * qs[:, None], axis=1)[:, None] * ce[None, :] + qe[:, None] * np.linalg.norm(c, axis=1)[None, :]
         slack = slack * (1 + 1e-6) + 1e-9 * (np.abs(middle) + 1)
         low = middle - slack

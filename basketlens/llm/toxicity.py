@@ -59,8 +59,17 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SLICE = 64  # texts whose feature names a task holds at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string())), pa.array([sorted(features(set(w))) for w in words], pa.list_(pa.string()))], ["doc_id", "toxic", "words", "features"])
 
@@ -101,7 +110,7 @@ def _vectors(index):
 
         def at(names):
             return sorted(place[f] for f in names if f in place)
-        for batch in batches:
+        for batch in _slices(batches):
             first, second = [], []
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
                 pairs = counterfactuals(set(words), doc_id)

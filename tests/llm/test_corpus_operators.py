@@ -254,3 +254,19 @@ def test_training_takes_one_text_of_a_repeated_id(spark):
     rows, names = tx.training_rows(d, l, Scratch(spark, "t"))
     kept = [i for i in (1, 2, 3, 4) if __import__("zlib").crc32(str(i).encode()) % 5]
     assert len(rows) == len(kept) and sorted(r["toxic"] for r in rows) == sorted({1: 1, 2: 0, 3: 0, 4: 1}[i] for i in kept)
+
+
+# 4 -- nearest neighbours: bounds hold at any dimension
+def test_tiles_are_exact_beyond_float32(spark):
+    from basketlens.llm import neighbours
+    rng = np.random.default_rng(12)
+    base = np.sign(rng.normal(size=4096))  # codes near +-127: sums far beyond 2^24
+    v = np.stack([base * (1 + 1e-6 * rng.normal(size=4096)) for _ in range(60)])
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    import math
+    for q in (0, 20, 40):
+        score = {i: math.fsum((v[q] * v[i]).tolist()) for i in range(60) if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [r.vec_id for r in got if r.query_id == q] == want
+        assert [r.score for r in got if r.query_id == q] == [score[i] for i in want]
