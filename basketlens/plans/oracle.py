@@ -795,6 +795,18 @@ up_ev AS (
   WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED}))
 """, f"""SELECT t.user_index, i.email, i.time, {_r('epoch_us(i.time) / 1000000.0')} AS epoch, {cls} AS name, i.platform
 FROM up_ev i JOIN top t ON t.email = i.email
+WHERE i.email IS NOT NULL AND ({cls}) IN ('pdp', 'add_to_bag', 'checkout')""")
+
+    _users_report("user_paths_top_visitors", f"""
+top AS (SELECT email, CAST(row_number() OVER (ORDER BY lifetime_orders DESC, email) AS INTEGER) AS user_index
+        FROM (SELECT * FROM users WHERE min_visit_time IS NOT NULL ORDER BY lifetime_orders DESC, email LIMIT 10)),
+up_ev AS (
+  SELECT coalesce(lower(e.email), dte.email) AS email,
+    CASE WHEN trim(e.os) IN ({MOBILE}) THEN 'mobile' ELSE 'desktop' END AS platform, e.time AS time, e.name
+  FROM m_events e LEFT JOIN distinct_to_email dte ON dte.distinct_id = e.distinct_id
+  WHERE e.time BETWEEN {TS_START} AND {TS_END} AND e.name IN ({TRACKED}))
+""", f"""SELECT t.user_index, i.email, i.time, {_r('epoch_us(i.time) / 1000000.0')} AS epoch, {cls} AS name, i.platform
+FROM up_ev i JOIN top t ON t.email = i.email
 WHERE i.email IS NOT NULL AND ({cls}) IN ('pdp', 'add_to_bag', 'checkout')""")
 
     _users_report("user_paths_middle", f"""

@@ -232,6 +232,14 @@ def q_user_paths_top(spark, sf_dir):
     return rounded(R.user_paths(m.orders, day_events(spark, sf_dir), chosen, *td.EVENT_WINDOW))
 
 
+@register("user_paths_top_visitors")
+def q_user_paths_top_visitors(spark, sf_dir):
+    """Q13 for the customers with most orders among those seen on the site."""
+    from basketlens.plans import reports as R
+    chosen = R.top_customers(_users(spark, sf_dir).where(F.col("min_visit_time").isNotNull()))
+    return rounded(R.user_paths(model(spark, sf_dir).orders, day_events(spark, sf_dir), chosen, *td.EVENT_WINDOW))
+
+
 @register("user_paths_middle")
 def q_user_paths_middle(spark, sf_dir):
     from basketlens.plans import reports as R

@@ -247,17 +247,17 @@ def customer_order_stats(transactions: DataFrame, flag: str, flag_agg: str, flag
 def guest_order_mix(transactions: DataFrame) -> DataFrame:
     """Q21: customers per (order-count bucket, guest flag) as percent of all
     customers with that guest flag; every bucket label appears."""
-    u = customer_order_stats(transactions, "is_guest", "max", "is_guest")
-    spark = u.sparkSession
-    guest_values = u.where(F.col("is_guest").isNotNull()).select("is_guest").distinct()
-    labels = B.label_table(spark, "order_count_bucket", B.LIFETIME_ORDERS_LABELS)
-    cells = labels.crossJoin(guest_values)
-    counts = (u.where(F.col("order_count_bucket").isNotNull() & F.col("is_guest").isNotNull())
-               .groupBy("order_count_bucket", "is_guest").agg(F.count(F.lit(1)).alias("transactions")))
-    group = u.groupBy("is_guest").agg(F.count(F.lit(1)).alias("is_guest_transactions"))
-    out = (cells.join(counts, ["order_count_bucket", "is_guest"], "left")
-                .withColumn("transactions", F.coalesce(F.col("transactions"), F.lit(0)))
-                .join(group, "is_guest", "left"))
+    u = customer_order_stats(transactions, "is_guest", "max", "is_guest").where(F.col("is_guest").isNotNull())
+    # One evaluation of the customers: a row per (flag, bucket), then a row per
+    # flag that holds its buckets, spread over all labels.
+    sizes = u.groupBy("is_guest", "order_count_bucket").agg(F.count(F.lit(1)).alias("n"))
+    held = F.collect_list(F.when(F.col("order_count_bucket").isNotNull(), F.struct("order_count_bucket", "n")))
+    flags = sizes.groupBy("is_guest").agg(F.sum("n").alias("is_guest_transactions"), F.map_from_entries(held).alias("_held"))
+    labels = B.label_table(u.sparkSession, "order_count_bucket", B.LIFETIME_ORDERS_LABELS)
+    out = (flags.crossJoin(F.broadcast(labels))
+                .select("order_count_bucket", "is_guest",
+                        F.coalesce(F.try_element_at("_held", F.col("order_count_bucket")), F.lit(0)).alias("transactions"),
+                        "is_guest_transactions", "order_count_bucket_ord"))
     return (out.withColumn("percentage", X.ratio_pct("transactions", "is_guest_transactions"))
                .orderBy("order_count_bucket_ord", "is_guest").drop("order_count_bucket_ord"))
 

@@ -148,3 +148,15 @@ def test_heavier_identity_for_a_whole_stream(spark):
 
 def test_shop_tables_are_the_model():
     assert set(MODEL_SCHEMAS) <= set(ShopTables.__dataclass_fields__)
+
+
+def test_guest_mix_evaluates_the_customers_once(spark, tmpdir_path):
+    from basketlens.plans.reports import guest_order_mix
+    rows = [(f"u{i % 30}", float(i % 30 % 3 == 0), i, 10.0) for i in range(100)] + [("x", None, 500, 1.0)]
+    spark.createDataFrame(rows, "email string, is_guest double, order_id long, item_total double").write.parquet(tmpdir_path + "/t")
+    out = guest_order_mix(spark.read.parquet(tmpdir_path + "/t"))
+    got = {(r.order_count_bucket, r.is_guest): (r.transactions, r.is_guest_transactions) for r in out.collect()}
+    # u0..u9 have four orders, the others three; every third one is a guest
+    assert len(got) == 14 and got["4", 1.0] == (4, 10) and got["3", 1.0] == (6, 10)
+    assert sum(n for (_, g), (n, _) in got.items() if g == 0.0) == 20 and got["11+", 0.0] == (0, 20)
+    assert [k for k, _ in executed_nodes(out)].count("FileSourceScanExec") == 1
