@@ -66,6 +66,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside the columns ``keys``, so that
+    no name of ``docs`` meets an internal one; ``select("row.*")`` unpacks it."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def whole(text: str | Column) -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table, whole
+from .common import Scratch, packed, read_table, whole
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -141,13 +141,14 @@ def mix(docs: DataFrame, seed: int = 7, whole_copies: bool = False) -> DataFrame
 
 
 def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it."""
+    """The rows of ``docs`` (all its columns, whatever their names), each as
+    many times as the mix takes it. Null and empty texts follow their source's
+    number of copies; equal rows share a decision; empty input gives no rows."""
     copies = (mix(docs, seed, whole_copies=True).filter("copies > 0")
-              .groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-              .select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies"))
-    size = F.regexp_count(whole(F.col("text").cast("string")), F.lit(WORD)).cast("long")
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return (docs.withColumn("_words", size).join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns))
+              .groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
+    rows = packed(docs, id=F.col("doc_id").cast("long"), origin=F.col("source").cast("string"), words=F.regexp_count(whole(F.col("text").cast("string")), F.lit(WORD)).cast("long"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("origin").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

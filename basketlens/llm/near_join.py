@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BINARY, INT, LONG, Scratch, components, read_table, schema
+from .common import BINARY, INT, LONG, Scratch, components, packed, read_table, schema
 from .shingles import mix, shingle_sets, shingles, text_column, chunks
 
 CELL_BITS = 24
@@ -128,8 +128,8 @@ def _index(levels):
                 key = (level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
                 k = prefix_length(n)
                 entries.append(np.sort(np.partition(key, k - 1)[:k]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                                              pa.array(entries, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                                              pa.array(entries, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "node", "entries"])
     return run
 
 
@@ -264,8 +264,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     levels = spark.sparkContext.broadcast(frequency_levels(docs))
-    index = scratch.table("index", docs.mapInArrow(_index(levels), schema(doc_id=LONG, n_shingles=LONG, node=LONG, entries=T.ArrayType(LONG))))
+    index = scratch.table("index", docs.mapInArrow(_index(levels), schema(doc_id=LONG, text_hash=LONG, n_shingles=LONG, node=LONG, entries=T.ArrayType(LONG))))
     postings = (index.filter("entries is not null").select(F.col("n_shingles").alias("n"), "node", F.posexplode("entries").alias("pos", "token")))
     entry = schema(token=LONG, n=LONG, node=LONG, pos=LONG, leaders=T.ArrayType(LONG))
     lists = scratch.table("lists", postings.select("token", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("token")
@@ -277,8 +278,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pairs = scratch.table(f"{name}-pairs", pairs)
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         chosen = (index.filter("node is not null").join(wanted, "node", "left_semi")
-                  .groupBy("node").agg(F.min("doc_id").alias("chosen")))
-        sets = scratch.table(f"{name}-sets", docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"])).select("node", "text")
+                  .groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("chosen")).select("node", "chosen.*")
+                  .withColumnsRenamed({"doc_id": "chosen_id", "text_hash": "chosen_hash"}))
+        # By id and text: rows that repeat an id, or have none, meet only their own class.
+        sets = scratch.table(f"{name}-sets", docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]) & (docs["text_hash"] == chosen["chosen_hash"])).select("node", "text")
                              .mapInArrow(_sets, schema(node=LONG, items=BINARY)))
         found = scratch.table(name, verified(pairs, sets).distinct())
         scratch.drop(f"{name}-pairs", f"{name}-sets")
@@ -314,20 +317,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")))
 
 
+def _orderable(field: T.StructField) -> Column:
+    """A column that can be compared: maps and other nested values as JSON."""
+    value = F.col("row").getField(field.name)
+    return value if isinstance(field.dataType, T.AtomicType) and not isinstance(field.dataType, T.VariantType) else F.to_json(F.struct(value.alias("value")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all its columns) that stay: of each component the
-    document with the smallest doc_id, then the smallest text hash. A null
-    doc_id counts as one below all others, made from its text. A document is a
-    doc_id with a text: different texts of one doc_id are judged each for
-    itself, repeated rows of a document leave one row. Documents without words
-    link with nothing and stay."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
-    rows = docs.withColumn("_own", own).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_key", F.xxhash64("_own", "_hash"))
-    ids = rows.select("_key", "_own", "_hash").distinct()
-    found = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    kept = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_own", "_hash", "_key")).alias("first")).select("first._key")
-    return (rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-            .select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
+    """The rows of ``docs`` (all its columns, whatever their names) that stay: of
+    each component the document with the smallest doc_id, then the smallest text
+    hash. A null doc_id counts as one below all others, made from its text. A
+    document is a doc_id with a text: different texts of one doc_id are judged
+    each for itself, repeated rows of a document leave one row, the smallest.
+    Documents without words link with nothing and stay; long texts are compared
+    whole; empty input gives no rows."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63))))
+    rows = packed(docs, text=text, own=own, hash=F.xxhash64(text)).withColumn("key", F.xxhash64("own", "hash"))
+    ids = rows.select("key", "own", "hash").distinct()
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("own", "hash", "key")).alias("first")).select("first.key")
+    return (rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.struct(*map(_orderable, docs.schema))).alias("row"))
+            .select("row.*"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOUBLE, INT, LONG, STRING, Scratch, read_table, schema, whole
+from .common import DOUBLE, INT, LONG, STRING, Scratch, packed, read_table, schema, whole
 
 ORDER = 4
 START = "\x02" * (ORDER - 1)
@@ -31,6 +31,7 @@ CHUNK_CHARS = 1 << 19
 #: Trusted perplexities above this quantile set a language's threshold,
 #: widened by MARGIN; PRIOR symbols of the language's mean steady short texts.
 QUANTILE, MARGIN, PRIOR = 0.995, 1.1, 100.0
+LANGUAGES = 10_000  # rows of a table by language that may be broadcast
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,26 +247,30 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scores = scratch.table("scores", rows.mapInArrow(_score, schema(doc_id=LONG, lang=STRING, text_hash=LONG, n_symbols=LONG, nll=DOUBLE)))
     scratch.drop("requests", "grams", "order1", "order2", "order3")
     known = scores.join(trusted, "doc_id", "left_semi").filter("n_symbols > 0")
-    mean = known.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean"))
+    mean = scratch.table("means", known.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")))
+    few = mean.count() <= LANGUAGES  # then the scores stay where they are and quantile sketches are merged from partial ones
+    by_language = F.broadcast if few else lambda rows: rows
     overall = known.agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")).first()["mean"] or 0.0
 
     def steady(rows: DataFrame) -> DataFrame:
-        return (rows.join(mean, "lang", "left")
+        return (rows.join(by_language(mean), "lang", "left")
                 .withColumn("perplexity", F.exp((F.col("nll") + PRIOR * F.coalesce("mean", F.lit(overall))) / (F.col("n_symbols") + PRIOR))))
 
     cut = F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN
     limits = scratch.table("limits", steady(known).groupBy("lang").agg(cut.alias("threshold")))
     every = limits.agg(F.max("threshold")).first()[0]
-    return (steady(scores).join(limits, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
+    return (steady(scores).join(by_language(limits), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
             .withColumn("rejected", (F.col("n_symbols") == 0) | F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)))
             .select("doc_id", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "text_hash", "n_symbols", "perplexity", "threshold", "rejected"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all its columns) that the classifier keeps."""
-    bad = perplexities(docs, labels).filter("rejected").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64(whole("text")) == F.col("_hash")]
-    return docs.join(bad, own[0] & own[1], "left_anti")
+    """The rows of ``docs`` (all its columns, whatever their names) that the
+    classifier keeps. Null and empty texts go; repeated rows share a decision;
+    long texts are judged whole; empty input gives no rows."""
+    bad = perplexities(docs, labels).filter("rejected").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(whole("text")))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
