@@ -306,7 +306,7 @@ class _Page:
             at = places.get(p, [])
             held = sum(content[n] for n in at)
             if at and held >= MIN_TEXT * content[own]:
-                around = sum(content[n] for n in self.beside(at[0], content) if self.key[n] in frame and n <= own <= self.last[n])
+                around = sum(content[n] for n in self.beside(at[0], content) if self.key[n] in frame and own <= n <= self.last[own])
                 if held + around >= NEARLY * content[own]:
                     chosen = at
                     break
