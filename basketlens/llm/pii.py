@@ -8,7 +8,12 @@ spelling (case, separators, the dot of a title). A family name has one
 surrogate of its own, so "Mr. John Smith" and "Mr Smith" keep a common family
 name; one word after a title is a family name. Surrogates are checked over the corpus: none
 equals another entity's surrogate or any real entity of its type; losers draw
-again with the next counter until none is left. Only entities are shuffled and
+again with the next counter until none is left. Closed formats (numbers and IP
+addresses) whose real entities fill more than DENSE of all values are permuted
+as a whole by a keyed Feistel network instead: distinct by construction and
+never the entity itself, but they may meet another real one, which beyond half
+of all values no choice avoids. Open formats (names, e-mail addresses) grow
+longer with further draws, so draws always end. Only entities are shuffled and
 checked; a text meets its own replacements in one join.
 """
 
@@ -65,7 +70,10 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"@|[0-9][0-9 .()/-]{{5}}|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|(?:{_HEX}:){{7}}|(?:{_TITLE})\.? \p{{Lu}}"
+#: Drawing fails at most twice this often, so MAX_DRAWS are never used up.
+DENSE = 1 / 8
 MAX_DRAWS = 40
+ROUNDS = 10
 
 
 def _q(text: str) -> str:
@@ -92,6 +100,7 @@ def _type(raw: str) -> str:
     fail the Luhn check and have no other type."""
     test = {k: f"regexp_like({raw}, {_q('^(?:' + p + ')$')})" for k, p in PATTERNS.items()}
     test["card"] += f" and (regexp_like({raw}, {_q('^' + _SIXTEEN + '(?:[ -][0-9]{1,3})?$')}) or {_luhn(_digits(raw))} = 0)"
+    test["ip"] += f" and (instr({raw}, ':') = 0 or regexp_like({raw}, '[1-9A-Fa-f]'))"  # all zeros is no address
     return "case " + " ".join(f"when {t} then '{k}'" for k, t in test.items()) + " end"
 
 
@@ -141,7 +150,8 @@ def _surrogate(key: str) -> str:
     domain = "substring_index(canonical, '@', -1)"
     top = f"case when regexp_like({domain}, '(^|[.])example[.][a-z]+$') then regexp_extract({domain}, 'example[.][a-z]+$', 0) else regexp_extract({domain}, '[^.]+$', 0) end"
     front = f"left({domain}, length({domain}) - length({top}))"
-    email = f"concat({_letters('substring_index(canonical, ' + _q('@') + ', 1)', salt)}, '@', {_letters(front, _hash(key, _q('domain'), domain))}, {top})"
+    grown = lambda base, after: f"left({_letters(base, _hash(key, _q('longer'), 'canonical', 'cast(draw as string)'))}, case when draw > {after} then 2 * least(12, 1 + (draw - {after}) div 4) else 0 end)"
+    email = f"concat({_letters('substring_index(canonical, ' + _q('@') + ', 1)', salt)}, {grown(_q('babe' * 6), 3)}, '@', {_letters(front, _hash(key, _q('domain'), domain))}, {top})"
     ip = f"concat_ws('.', transform(split(canonical, '[.]'), (c, i) -> case when i = 0 and c in ('10', '127') or canonical like '192.168.%' and i < 2 then c when i = 0 then cast(1 + {_draw(salt, 'i')} % 223 as string) else cast({_draw(salt, 'i')} % 256 as string) end))"
     digits = _letters("canonical", salt)
     # Zero groups stay, as does the first group of link-local and private
@@ -159,7 +169,8 @@ def _surrogate(key: str) -> str:
     # the same form may be taken, they get longer.
     given = "substring_index(substring_index(canonical, ' ', 2), ' ', -1)"
     known = " ".join(f"when draw < 8 and array_contains(array({', '.join(map(_q, v))}), {given}) then element_at(array({', '.join(map(_q, v))}), 1 + {_draw(salt, '7')} % {len(v)})" for v in NAMES.values())
-    longer = lambda text, after: f"concat({_letters(text, salt)}, case when draw > {after} then {_letters(f'lower(right({text}, 2))', _hash(key, _q('longer'), 'canonical', 'cast(draw as string)'))} else '' end)"
+    base = lambda text: f"case when regexp_like({text}, '[Ѐ-ӿ]') then {_q('бабе' * 6)} when regexp_like({text}, '[Α-ω]') then {_q('βαβε' * 6)} else {_q('babe' * 6)} end"
+    longer = lambda text, after: f"concat({_letters(text, salt)}, {grown(base(text), after)})"
     name = f"concat_ws(' ', substring_index(canonical, ' ', 1), case when size(split(canonical, ' ')) > 2 then case {known} else {longer(given, 9)} end end, family)"
     family = longer("canonical", 1)
     phone = _letters("canonical", salt, keep="1")
@@ -176,7 +187,8 @@ def _render(raw: str, surrogate: str) -> str:
     before = lambda text: f"length(regexp_replace({text}, '[^0]', ''))"
     place = f"greatest(0, length({surrogate}) - {before(slots)}) + {before(f'left({slots}, i + 1)')}"
     digits = f"array_join(transform(split({raw}, ''), (c, i) -> case when substr({slots}, i + 1, 1) = '0' and {place} <= length({surrogate}) then substr({surrogate}, {place}, 1) else c end), '')"
-    cased = f"array_join(transform(split({raw}, ''), (c, i) -> case when c <> lower(c) then upper(substr({surrogate}, i + 1, 1)) else substr({surrogate}, i + 1, 1) end), '')"
+    cased = (f"concat(array_join(transform(split({raw}, ''), (c, i) -> case when c <> lower(c) then upper(substr({surrogate}, i + 1, 1)) else substr({surrogate}, i + 1, 1) end), ''), "
+             f"substr({surrogate}, length({raw}) + 1))")
     iban = f"array_join(transform(split({raw}, ''), (c, i) -> case when c = ' ' then c else substr({surrogate}, length(replace(left({raw}, i + 1), ' ', '')), 1) end), '')"
     left, right = _halves(raw)
     groups = lambda part, first: f"array_join(transform({part}, (g, i) -> case when regexp_like(g, '^0+$') then g else split({surrogate}, ':')[{first} + i] end), ':')"
@@ -187,10 +199,82 @@ def _render(raw: str, surrogate: str) -> str:
         when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} when kind = 'name' then concat(substring_index({raw}, ' ', 1), substr({surrogate}, instr({surrogate}, ' '))) else {surrogate} end"""
 
 
+def _shape() -> str:
+    """SQL: the closed format of (kind, canonical) as struct(format, l, r, a, b):
+    the entity is the pair (l, r) of a x b possible ones; null for others."""
+    shape = lambda name, l, r, a, b: f"named_struct('format', concat_ws('/', kind, {name}), 'l', cast({l} as bigint), 'r', cast({r} as bigint), 'a', cast({a} as bigint), 'b', cast({b} as bigint))"  # noqa: E731, E741
+    digits = lambda name, d: shape(name, f"left({d}, length({d}) div 2)", f"substr({d}, length({d}) div 2 + 1)", f"power(10, length({d}) div 2)", f"power(10, length({d}) - length({d}) div 2)")
+    o = "split(canonical, '[.]')"
+    near = shape(f"{o}[0], {o}[1]", f"{o}[2]", f"{o}[3]", "256", "256")
+    far = shape(f"{o}[0]", f"{o}[1] * 16 + cast({o}[2] as int) div 16", f"(cast({o}[2] as int) % 16) * 256 + {o}[3]", "4096", "4096")
+    # IPv6: zero groups stay, and the first group unless it is the only other one.
+    g = [f"conv(split(canonical, ':')[{_PLACES}[{i}]], 16, 10) - 1" for i in (0, 1)]
+    six = f"left(canonical, case when array_contains({_PLACES}, 0) then 0 else 4 end), array_join({_PLACES}, ',')"
+    one = shape(six, f"cast({g[0]} as int) div 257", f"cast({g[0]} as int) % 257", "255", "257")
+    two = shape(six, g[0], g[1], "65535", "65535")
+    return (f"case kind when 'ssn' then {digits(_q('9'), 'canonical')} when 'phone' then {digits('length(canonical), left(canonical, 1)', 'substr(canonical, 2)')} "
+            f"when 'card' then {digits('length(canonical), left(canonical, 1), ' + _check_offset(), 'substr(canonical, 2, length(canonical) - 2)')} "
+            f"when 'ip' then case when instr(canonical, ':') = 0 then case when {o}[0] = '192' then {near} else {far} end when size({_PLACES}) = 1 then {one} when size({_PLACES}) = 2 then {two} end end")
+
+
+#: SQL: the places of an IPv6 address's groups that its closed format lets vary.
+_PLACES = "filter(sequence(0, 7), i -> split(canonical, ':')[i] <> '0000' and (i > 0 or regexp_like(canonical, '^....(:0000){7}$')))"
+
+
+def _check_digit(digits: str) -> str:
+    return f"((10 - {_luhn(f'concat({digits}, {_q(chr(48))})')}) % 10)"
+
+
+def _check_offset() -> str:
+    """SQL: by how much a card's last digit differs from its check digit."""
+    return f"pmod(cast(right(canonical, 1) as int) - {_check_digit('left(canonical, length(canonical) - 1)')}, 10)"
+
+
+def _permuted(key: str) -> str:
+    """SQL: (l, r) of ``shape`` under a keyed permutation without fixed points:
+    forward, one on, and backward through the rounds of a Feistel network."""
+    mix = lambda x, n: f"cast(conv(left(sha2(concat_ws('\u0001', {_q(key)}, 'permute', shape.format, i, {x}), 256), 15), 16, 10) as bigint) % {n}"
+
+    def run(start: str, rounds: str, sign: str) -> str:
+        return (f"aggregate({rounds}, {start}, (s, i) -> case when i % 2 = 0 then named_struct('l', pmod(s.l {sign} {mix('s.r', 'shape.a')}, shape.a), 'r', s.r) "
+                f"else named_struct('l', s.l, 'r', pmod(s.r {sign} {mix('s.l', 'shape.b')}, shape.b)) end)")
+
+    ahead = run("named_struct('l', shape.l, 'r', shape.r)", f"sequence(0, {ROUNDS - 1})", "+")
+    on = f"transform(array({ahead}), s -> named_struct('l', pmod(s.l + (s.r + 1) div shape.b, shape.a), 'r', pmod(s.r + 1, shape.b)))[0]"
+    return run(on, f"sequence({ROUNDS - 1}, 0, -1)", "-")
+
+
+def _reshaped() -> str:
+    """SQL: the surrogate, in canonical spelling, of the permuted pair ``to``."""
+    width = lambda n: f"cast(round(log10({n})) as int)"
+    digits = f"concat(lpad(cast(to.l as string), {width('shape.a')}, '0'), lpad(cast(to.r as string), {width('shape.b')}, '0'))"
+    front = f"concat(left(canonical, 1), {digits})"
+    card = f"concat({front}, cast(pmod({_check_digit(front)} + {_check_offset()}, 10) as string))"
+    four = ("case when canonical like '192.%' then concat_ws('.', substring_index(canonical, '.', 2), to.l, to.r) "
+            "else concat_ws('.', substring_index(canonical, '.', 1), to.l div 16, (to.l % 16) * 16 + to.r div 256, to.r % 256) end")
+    value = f"case when size({_PLACES}) = 1 then to.l * 257 + to.r when j = {_PLACES}[0] then to.l else to.r end"
+    six = f"array_join(transform(split(canonical, ':'), (g, j) -> case when array_contains({_PLACES}, j) then lower(lpad(hex({value} + 1), 4, '0')) else g end), ':')"
+    return f"case kind when 'ssn' then {digits} when 'phone' then {front} when 'card' then {card} when 'ip' then case when instr(canonical, ':') > 0 then {six} else {four} end end"
+
+
+def permuted(scratch: Scratch, entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of dense closed formats with their surrogates, and all
+    others. Dense formats hold thousands of entities each and are less than a
+    million by their definition, so their names are broadcast."""
+    shaped = scratch.table("shaped", entities.withColumn("shape", F.expr(_shape())))
+    dense = (shaped.filter("shape is not null").groupBy("shape.format", "shape.a", "shape.b").agg(F.count("*").alias("n"))
+             .filter(F.col("n") > DENSE * F.col("a") * F.col("b")).select("format", F.lit(True).alias("dense")))
+    dense = scratch.table("dense", dense)
+    marked = shaped.join(F.broadcast(dense), F.col("shape.format") == F.col("format"), "left")
+    made = marked.filter("dense").withColumn("to", F.expr(_permuted(key))).select("kind", "canonical", F.expr(_reshaped()).alias("surrogate"))
+    return scratch.table("permuted", made), marked.filter("dense is null").select(*entities.columns)
+
+
 def assign(scratch: Scratch, entities: DataFrame, key: str, name: str = "") -> DataFrame:
     """``entities`` (kind, canonical, family: the surrogate of a name's family
     name), distinct -> kind, canonical, surrogate."""
-    settled, left, draw = None, scratch.table(f"{name}draw0", entities.withColumn("draw", F.lit(0)).withColumn("surrogate", F.expr(_surrogate(key)))), 0
+    settled, drawn = (None, entities) if name else permuted(scratch, entities, key)
+    left, draw = scratch.table(f"{name}draw0", drawn.withColumn("draw", F.lit(0)).withColumn("surrogate", F.expr(_surrogate(key)))), 0
     while True:
         real = entities.select("kind", F.col("canonical").alias("surrogate"))
         first = left.groupBy("kind", "surrogate").agg(F.min(F.xxhash64("canonical")).alias("first"))
@@ -220,7 +304,9 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     Null and empty texts have no entity and stay as they are. Repeated rows get
     the same replacements. Null doc_ids take part. The first digit of a phone or
     card number, the title of a name, the first octets of
-    private addresses and the top-level domain stay. Empty input gives no rows."""
+    private addresses and the top-level domain stay. Very long texts are read
+    whole, a text in one task. Extra columns are left out, whatever their names.
+    Empty input gives no rows."""
     scratch = Scratch(docs.sparkSession, "pii")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64(whole("text")))
     found = F.when(F.col("text").rlike(HINT), F.expr(f"regexp_extract_all(text, {_q(ANY)}, 0)"))
