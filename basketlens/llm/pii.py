@@ -27,6 +27,7 @@ from .common import Scratch, read_table, whole
 # Titles by gender and given names by gender, Latin and Cyrillic.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "госпожа")
+TITLES = ("Dr", "Prof", "доктор")
 NAMES = {
     "male": ("James", "John", "Robert", "Michael", "David", "Thomas", "Daniel", "Paul", "Peter", "Lukas", "Pierre", "Carlos"),
     "female": ("Mary", "Anna", "Linda", "Susan", "Laura", "Julia", "Sarah", "Emma", "Marie", "Claire", "Elena", "Carmen"),
@@ -36,7 +37,7 @@ NAMES = {
 _ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеиоуы", "бвгдзклмнпрстх", "äöü", "éèêàâîôû", "áíóúñ", "αεηιο", "βγδκλμνπρσ")
 
 _LOCAL = "A-Za-z0-9._%+-"
-_TITLE = "|".join(MALE_TITLES + FEMALE_TITLES)
+_TITLE = "|".join(t for title in MALE_TITLES + FEMALE_TITLES + TITLES for t in (title, title.upper()))
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Short titles that have a long spelling.
@@ -50,7 +51,9 @@ _IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n -
 _ENDS = r"(?![0-9A-Za-z@_%+:]|[ .()/-]{1,2}[0-9]|[.-][A-Za-z])"
 _SIXTEEN = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}"
 _DATE = r"[0-9]{2}[./-][0-9]{2}[./-][0-9]{2,4}(?![0-9]|[./-][0-9])"
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+# Words of a name, as a whole: McDonald, O'Brien, Meyer-Lansky; or in capitals.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’-]?\p{Lu}\p{Ll}+)*+(?![\p{L}\p{M}])"
+_CAPITALS = r"\p{Lu}(?:['’-]?\p{Lu})++(?![\p{L}\p{M}])"
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}",
     # IPv6: eight groups, or "::" after a first group of four digits.
@@ -66,7 +69,7 @@ PATTERNS = {
              rf"|(?<![0-9A-Za-z])(?<![0-9][.,/-])(?!{_DATE})(?=\(?(?:[ ./)-]{{0,2}}[0-9]){{9}})(?:\(0[1-9][0-9]{{0,4}}\)[ ./-]?|0[1-9][0-9]{{0,4}}[ ./-])[0-9]{{2,8}}(?:[ .-][0-9]{{2,5}}){{0,4}}(?![0-9])"
              r"|(?<![0-9A-Za-z])(?<![0-9][.,/-])0[1-9][0-9]{8,9}(?![0-9A-Za-z]|[.,][0-9])",
     "iban": rf"(?<![0-9A-Za-z])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: {_WORD})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? (?:{_WORD}(?: {_WORD})?|{_CAPITALS}(?: {_CAPITALS})?)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"@|[0-9][0-9 .()/-]{{5}}|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|(?:{_HEX}:){{7}}|(?:{_TITLE})\.? \p{{Lu}}"
@@ -112,8 +115,12 @@ def _canonical(kind: str, raw: str) -> str:
     card = f"case when length({digits}) > 16 and regexp_like({raw}, '[ -]') and ({_luhn(f'left({digits}, 16)')} = 0 or {_luhn(digits)} <> 0) then left({digits}, 16) else {digits} end"
     national = _digits(f"replace({raw}, '(0)', '')")
     phone = f"case when regexp_like({raw}, '^[(]?[2-9]') and length({digits}) = 10 then concat('1', {digits}) when {raw} like '00%' then substr({national}, 3) else {national} end"
+    # Capitals are one spelling of a name: all but the first letter of each part is made small.
+    small = f"array_join(transform(split({raw}, ''), (c, i) -> case when i > 0 and regexp_like(substr({raw}, i, 1), '{chr(92) * 2}p{{L}}') then lower(c) else c end), '')"
+    written = f"case when regexp_like(substr({raw}, instr({raw}, ' ')), '{chr(92) * 2}p{{Ll}}') then substr({raw}, instr({raw}, ' ')) else substr({small}, instr({raw}, ' ')) end"
     title = _TITLE_OF.format(raw)
-    name = f"concat(case {title} {' '.join(f'when {_q(a)} then {_q(b)}' for a, b in LONG_TITLES.items())} else {title} end, substr({raw}, instr({raw}, ' ')))"
+    title = f"case {title} {' '.join(f'when {_q(t.upper())} then {_q(t)}' for t in MALE_TITLES + FEMALE_TITLES + TITLES if t.upper() != t)} else {title} end"
+    name = f"concat(case {title} {' '.join(f'when {_q(a)} then {_q(b)}' for a, b in LONG_TITLES.items())} else {title} end, {written})"
     left, right = _halves(f"lower({raw})")
     ip6 = f"array_join(transform(concat({left}, array_repeat('0', greatest(0, 8 - size({left}) - size({right}))), {right}), g -> lpad(g, 4, '0')), ':')"
     return f"""case when {kind} = 'email' then lower({raw}) when {kind} = 'card' then {card} when {kind} = 'phone' then {phone} when {kind} = 'ssn' then {digits}
@@ -195,8 +202,10 @@ def _render(raw: str, surrogate: str) -> str:
     tail = groups(right, f"size(split({surrogate}, ':')) - size({right})")
     ip6 = f"concat({groups(left, '0')}, case when instr({raw}, '::') > 0 then concat('::', {tail}) else '' end)"
     ip6 = f"case when regexp_like({raw}, '[A-F]') then upper({ip6}) else {ip6} end"
+    name = f"substr({surrogate}, instr({surrogate}, ' '))"
+    name = f"case when regexp_like(substr({raw}, instr({raw}, ' ')), '{chr(92) * 2}p{{Ll}}') then {name} else upper({name}) end"
     return f"""case when kind in ('card', 'ssn', 'phone') then {digits} when kind = 'email' then {cased} when kind = 'iban' then {iban}
-        when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} when kind = 'name' then concat(substring_index({raw}, ' ', 1), substr({surrogate}, instr({surrogate}, ' '))) else {surrogate} end"""
+        when kind = 'ip' and instr({raw}, ':') > 0 then {ip6} when kind = 'name' then concat(substring_index({raw}, ' ', 1), {name}) else {surrogate} end"""
 
 
 def _shape() -> str:

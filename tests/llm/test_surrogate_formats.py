@@ -44,3 +44,17 @@ def test_few_free_spellings_do_not_stop_the_query(spark):
     assert out[0].text.lower() == out[5].text.lower() and out[5].text != out[5].text.lower()
     assert out[17].text == texts[17] and out[17].n_ip == 0 and out[18].text != texts[18]
     assert len({out[i].text for i in (19, 20, 21)}) == 3 and out[21].text != texts[21]
+
+
+def test_whole_names_go_in_every_spelling(spark):
+    texts = ["Mr McDonald came", "Mr. O'Brien's dog", "Dr. John Smith, MR JOHN SMITH and Mr John Smith", "PROF. O'BRIEN", "Frau Meyer-Lansky", "Mr Smith NATO", "Drum Solo", "FRAU MÜLLER"]
+    out = [r.text for r in sorted(pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    assert out[0].startswith("Mr ") and out[0].endswith(" came") and not any(part in out[0] for part in ("Mc", "Donald"))
+    assert "Brien" not in out[1] and out[1].endswith("'s dog")
+    doctor, rest = out[2].split(", ")
+    upper, mixed = rest.split(" and ")
+    assert "Smith" not in out[2] and "SMITH" not in out[2] and upper[3:] == mixed[3:].upper() and upper.startswith("MR ")
+    assert doctor.split()[-1] == mixed.split()[-1] and doctor.startswith("Dr. ")
+    assert out[3] == "PROF. " + out[1].split()[1][:-2].upper()
+    assert "-" in out[4] and "Lansky" not in out[4] and out[5].endswith(" NATO") and out[6] == texts[6]
+    assert out[7].startswith("FRAU ") and out[7] == out[7].upper() and out[7] != texts[7]
