@@ -17,6 +17,7 @@ from basketlens.operators.identity import email_to_distinct
 from basketlens.operators.sequence import sequence_number
 from basketlens.operators.skew import heavy_keys, left_join
 from basketlens.schemas import CUSTOMER_EXPORT_RENAMES, USER_TYPES
+from basketlens.session import cut_lineage
 
 
 def _days(a, b):
@@ -61,22 +62,22 @@ def visit_stats(orders: DataFrame, events: DataFrame) -> DataFrame:
                         .select(F.coalesce("own_email", "_mapped").alias("email"), "day", "t_min", "t_max"))
     daily = resolved.groupBy("email", "day").agg(F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
 
+    # One evaluation of the visit days: visits and gaps leave the same roll-up.
+    # The null e-mail group has visits but no gaps.
+    w = Window.partitionBy("email").orderBy("day")
+    daily = daily.withColumn("gap", F.when(F.col("email").isNotNull(), _days(F.col("day"), F.lead("day").over(w))))
     users = daily.groupBy("email").agg(F.min("t_min").alias("min_visit_time"),
                                        F.max("t_max").alias("max_visit_time"),
-                                       F.count("day").alias("visit_days"))
+                                       F.count("day").alias("visit_days"),
+                                       F.avg("gap").alias("avg_days_between_visits"),
+                                       F.min("gap").alias("min_days_between_visits"),
+                                       F.max("gap").alias("max_days_between_visits"))
     users = (users.withColumn("days_retained", _days("min_visit_time", "max_visit_time"))
                   .withColumn("days_retained_per_visit",
                               F.col("days_retained") * 1.0 / F.col("visit_days")))
 
-    w = Window.partitionBy("email").orderBy("day")
-    vgaps = (daily.where(F.col("email").isNotNull())
-                  .select("email", _days(F.col("day"), F.lead("day").over(w)).alias("gap"))
-                  .where(F.col("gap").isNotNull()))
-    tbv = vgaps.groupBy("email").agg(F.avg("gap").alias("avg_days_between_visits"),
-                                     F.min("gap").alias("min_days_between_visits"),
-                                     F.max("gap").alias("max_days_between_visits"))
     tbt = order_gaps(orders)
-    return users.join(tbt, "email", "left").join(tbv, "email", "left").select(
+    return users.join(tbt, "email", "left").select(
         "email", "min_visit_time", "max_visit_time", "visit_days", "days_retained", "days_retained_per_visit",
         "avg_days_between_orders", "min_days_between_orders", "max_days_between_orders",
         "avg_days_between_visits", "min_days_between_visits", "max_days_between_visits")
@@ -113,18 +114,21 @@ def first_order_divisions(orders: DataFrame, line_items: DataFrame, variants: Da
     o_ok = (orders.where(X.not_deleted() & (F.col("state") == "complete") & (F.col("environment") == 0))
                   .select(F.col("id").alias("order_id"), F.lower("email").alias("email"), "completed_at"))
 
-    eligible = (li.select("order_id", "variant_id").join(v_ok, "variant_id")
-                  .join(p_ok.where(X.merch_product("name")), "product_id")
-                  .join(o_ok, "order_id")
-                  .select("email", "order_id", "completed_at"))
+    # Orders with an eligible line, once each: the minimum needs no lines.
+    sold = (li.select("order_id", "variant_id").join(v_ok.select("variant_id", "product_id"), "variant_id")
+              .join(p_ok.where(X.merch_product("name")), "product_id")
+              .select("order_id").distinct())
+    eligible = o_ok.join(sold, "order_id").select("email", "order_id", "completed_at")
     key = F.struct(F.col("completed_at").isNull().alias("n"), F.col("completed_at").alias("t"),
                    F.col("order_id").alias("id"))
     first = (eligible.groupBy("email").agg(F.min(key).alias("k"))
                      .select(F.col("k.id").alias("order_id")))
 
+    # The first orders (one row per customer) meet the orders before the lines do;
+    # written, their size is known when the join with the lines is planned.
+    wanted = cut_lineage(o_ok.select("order_id", "email").join(first, "order_id"))
     lines = (li.select("order_id", "variant_id")
-               .join(o_ok.select("order_id", "email"), "order_id")
-               .join(first, "order_id")
+               .join(wanted, "order_id")
                .join(v_ok, "variant_id", "left")
                .join(p_ok, "product_id", "left")
                .where(X.merch_product("name")))

@@ -9,13 +9,16 @@ DataFrame operations alone:
    many ranges (the order columns must make the order total). Only the key, the
    order and the columns asked for are written, once, with their range number,
    so every later read sees the same ranges.
+   A range is written in order, with every row's place in it.
 2. Within a range rows are numbered per key by a window; a window group is at
    most one range.
 3. A key's rows in earlier ranges are added. Rows are sorted across ranges, so
-   only the lowest key of a range can have any: the counts of those keys per
-   range are a table of at most two rows a range, summed up and broadcast.
+   only the lowest key of a range, that of its first row, can have any: the counts
+   of those keys per range are a table of at most two rows a range, summed up and
+   broadcast.
 
-With no key it yields global 1-based positions in the sort order.
+With no key it yields global 1-based positions in the sort order: the place in
+the range and the rows of the ranges before, without a further shuffle.
 
 ``exact_quantiles`` numbers no rows: a mergeable sketch bounds the values that
 can hold a wanted rank, and one further pass counts only those.
@@ -28,6 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 _RANGE = "_sq_range"
+_PLACE = "_sq_place"
 
 
 def _same(left: DataFrame, right: DataFrame, columns: list[str]):
@@ -47,18 +51,19 @@ def sequence_number(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     from basketlens.session import cut_lineage
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(_RANGE, F.spark_partition_id()))
+    # The lower 33 bits of the id count the rows of a partition from 0, in their order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1))
+    rows = cut_lineage(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                         .select("*", F.spark_partition_id().alias(_RANGE), place.alias(_PLACE)))
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     local = F.row_number().over(Window.partitionBy(_RANGE, *keys).orderBy(*order)).cast("long")
     if not keys:
         counts = rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_n"))
         carry = counts.select(_RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
-        return (rows.withColumn(out, local).join(F.broadcast(carry), _RANGE)
-                    .withColumn(out, F.col(out) + F.col("_carry")).drop(_RANGE, "_carry"))
+        return rows.join(F.broadcast(carry), _RANGE).select(*df.columns, (F.col(_PLACE) + 1 + F.col("_carry")).alias(out))
 
     names = [f"_k{i}" for i in range(len(keys))]
-    firsts = (rows.groupBy(_RANGE).agg(F.min(F.struct(*[F.col(k).alias(a) for k, a in zip(keys, names)])).alias("k"))
-                  .select("k.*").distinct())
+    firsts = rows.where(F.col(_PLACE) == 0).select(*[F.col(k).alias(a) for k, a in zip(keys, names)]).distinct()
     named = rows.select(_RANGE, *[F.col(k).alias(a) for k, a in zip(keys, names)])
     counts = (named.join(F.broadcast(firsts), _same(named, firsts, names), "left_semi")
                    .groupBy(_RANGE, *names).agg(F.count(F.lit(1)).alias("_n")))
@@ -96,17 +101,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_name: str
     for k in by:
         base = base.where(F.col(k).isNotNull())
     slack = 2.0 / accuracy
-    low = F.percentile_approx("_x", F.array(*[F.lit(max(0.0, p - slack)) for p in probs]), accuracy)
-    high = F.percentile_approx("_x", F.array(*[F.lit(min(1.0, p + slack)) for p in probs]), accuracy)
-    sketch = base.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.min("_x").alias("_min"),
-                                   F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_total"))
+    # One sketch answers for both ends of every bracket: the lower ones first.
+    ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    sketch = base.groupBy(*by).agg(F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_ends"),
+                                   F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_total"))
     # A bracket at an end of the data takes in the end itself; a group so small
     # that the slack is only a few rows is one bracket.
     few = F.col("_total") < 10 * accuracy
     brackets = F.array(*[
         F.struct(F.lit(i).alias("i"),
-                 F.when(few | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
-                 F.when(few | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_high")[i]).alias("high"))
+                 F.when(few | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_ends")[i]).alias("low"),
+                 F.when(few | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_ends")[len(probs) + i]).alias("high"))
         for i, p in enumerate(probs)])
     sketch = sketch.select(*by, "_total", brackets.alias("_b")).where(F.col("_total") > 0)
     # One row without groups; with groups as many as there are, so AQE decides.

@@ -16,11 +16,12 @@ SALTS = 32
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
-    """Every key value held by more than ``share`` of the rows (and perhaps some
-    rarer ones), at most 1 / share of them: one pass with counters of bounded
-    size, merged between tasks. Nulls are left out."""
-    found = df.select(key).where(F.col(key).isNotNull()).stat.freqItems([key], share).first()
-    return sorted(found[0] or [])
+    """Every key value held by more than ``share`` of the rows, so fewer than
+    1 / share of them, from the count per key (a partial aggregate). Nulls are
+    left out."""
+    keyed = df.select(key).where(F.col(key).isNotNull())
+    found = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share * keyed.count())
+    return sorted(r[0] for r in found.collect())
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str, heavy: list, salts: int = SALTS) -> DataFrame:
