@@ -5,9 +5,14 @@ Plan (all joins are equi-joins, every aggregate has a partial phase):
   preorders (A2, P11, P12) -> order_index per e-mail (W1, skew-safe
   sequence numbering) -> line items x variant x product x order (J5-J7,
   inner because the soft-delete filters reject null-extended rows, R1) ->
-  roll-up per (variant, order) (A4) -> per order (A5). Repeat purchases
-  (J14) use the first order index per (e-mail, product): a grouped min with
-  a partial phase and a join back, instead of a theta self-join.
+  roll-up per (variant, order) (A4) -> per (order, product) -> per order (A5).
+  Repeat purchases (J14) use the first order index per (e-mail, product): a
+  grouped min with a partial phase and a join back, instead of a theta
+  self-join.
+
+The lines are shuffled once, by order id, and the roll-ups down to the order's
+products run on that partitioning. Texts are grouping columns there: max() of a
+text sorts the rows where numbers and times are hashed.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from basketlens.operators.sequence import sequence_number
 from basketlens.schemas import TRANSACTION_TYPES
 from basketlens.session import cut_lineage
 
+#: Texts that all lines of an order share.
+ORDER_TEXTS = ["email", "order_number"]
+
 
 def preorders(orders: DataFrame, staff_pattern: str = X.DEFAULT_STAFF_EMAIL_PATTERN) -> DataFrame:
     valid = orders.where(X.valid_order() & ~F.col("email").like(staff_pattern))
@@ -50,18 +58,15 @@ def order_lines(line_items: DataFrame, variants: DataFrame, products: DataFrame,
                                                   "quantity", "cost_price")
     v = variants.where(X.not_deleted()).select(F.col("id").alias("variant_id"), "product_id")
     p = (products.where(X.not_deleted() & X.merch_product("name"))
-                 .select(F.col("id").alias("product_id"), "name"))
+                 .select(F.col("id").alias("product_id"), X.flag(X.is_sale_name("name", sale_patterns)).alias("is_sale_item")))
     o = numbered.select("order_id", "email", "is_guest", "adjustment_total", "order_number",
                         "order_completed_at", "item_total", "order_index")
     # Orders first: their lines meet by order id (no shuffle over the bucketed
     # layout), and that partitioning serves the roll-ups as well.
     j = li.join(o, "order_id").join(v, "variant_id").join(p, "product_id")
-    sale = X.flag(X.is_sale_name("name", sale_patterns))
-    return j.groupBy("variant_id", "order_id").agg(
-        F.max("email").alias("email"),
+    lines = j.groupBy("variant_id", "order_id", *ORDER_TEXTS).agg(
         F.max("is_guest").alias("is_guest"),
         F.max("adjustment_total").alias("order_adjustment_total"),
-        F.max("order_number").alias("order_number"),
         F.max("product_id").alias("product_id"),
         F.max("order_completed_at").alias("order_completed_at"),
         F.max("item_total").alias("item_total"),
@@ -70,36 +75,61 @@ def order_lines(line_items: DataFrame, variants: DataFrame, products: DataFrame,
         F.max("price").alias("price"),
         F.max("quantity").alias("quantity"),
         F.max("cost_price").alias("total"),
-        F.max(sale).alias("is_sale_item"))
+        F.max("is_sale_item").alias("is_sale_item"))
+    return lines.select("variant_id", "order_id", "email", "is_guest", "order_adjustment_total", "order_number", "product_id",
+                        "order_completed_at", "item_total", "order_index", "line_item_created_at", "price", "quantity", "total",
+                        "is_sale_item")
 
 
-def order_rollup(lines: DataFrame) -> DataFrame:
-    """A5. ``sale_total`` adds the order's item_total once per sale line."""
-    return lines.groupBy("order_id").agg(
-        F.max("email").alias("email"),
+def order_products(lines: DataFrame) -> DataFrame:
+    """The lines of ``order_lines`` as one row per (order, product): what the
+    order roll-up and the repeat-purchase pass both read. ``sale_total`` adds the
+    order's item_total once per sale line (N9)."""
+    return lines.groupBy("order_id", "product_id", *ORDER_TEXTS).agg(
         F.max("is_guest").alias("is_guest"),
-        F.max("order_number").alias("order_number"),
         F.max("order_index").alias("order_index"),
         F.max("order_completed_at").alias("order_completed_at"),
+        F.max("item_total").alias("item_total"),
+        F.max("order_adjustment_total").alias("order_adjustment_total"),
         F.min("line_item_created_at").alias("min_line_item_created_at"),
         F.max("line_item_created_at").alias("max_line_item_created_at"),
-        F.sum("quantity").alias("units"),
-        F.countDistinct("product_id").alias("products"),
+        F.sum("quantity").alias("quantity"),
+        F.sum("price").alias("price"),
         F.count(F.lit(1)).alias("line_items"),
-        F.max("item_total").alias("item_total"),
-        F.max("order_adjustment_total").alias("adjustment_total"),
         F.max("is_sale_item").alias("has_sale_item"),
         F.sum(F.when(F.col("is_sale_item") > 0.0, F.col("item_total")).otherwise(F.lit(0.0))).alias("sale_total"))
 
 
+def order_rollup(items: DataFrame) -> DataFrame:
+    """A5 from the rows of ``order_products``."""
+    return items.groupBy("order_id").agg(
+        F.max("email").alias("email"),
+        F.max("is_guest").alias("is_guest"),
+        F.max("order_number").alias("order_number"),
+        F.max("order_index").alias("order_index"),
+        F.max("order_completed_at").alias("order_completed_at"),
+        F.min("min_line_item_created_at").alias("min_line_item_created_at"),
+        F.max("max_line_item_created_at").alias("max_line_item_created_at"),
+        F.sum("quantity").alias("units"),
+        F.count("product_id").alias("products"),
+        F.sum("line_items").alias("line_items"),
+        F.max("item_total").alias("item_total"),
+        F.max("order_adjustment_total").alias("adjustment_total"),
+        F.max("has_sale_item").alias("has_sale_item"),
+        F.sum("sale_total").alias("sale_total"))
+
+
 def common_items(lines: DataFrame) -> DataFrame:
-    """J14 + A6: lines whose product the same customer bought in an earlier
-    order. Same rows as ``EXISTS(old: same email, other order, same product,
-    lower index)`` because the index is unique per (email, order).
+    """J14 + A6: lines (of ``order_lines`` or ``order_products``) whose product
+    the same customer bought in an earlier order. Same rows as ``EXISTS(old:
+    same email, other order, same product, lower index)`` because the index is
+    unique per (email, order).
     ``common_total`` sums unit prices without quantity (N10)."""
     keyed = lines.where(F.col("email").isNotNull() & F.col("product_id").isNotNull())
     first = keyed.groupBy("email", "product_id").agg(F.min("order_index").alias("first_index"))
-    rep = keyed.join(first, ["email", "product_id"]).where(F.col("order_index") > F.col("first_index"))
+    # Order numbers start at 1: a first order repeats nothing and stays out of the join.
+    rep = (keyed.where(F.col("order_index") > 1).join(first, ["email", "product_id"])
+                .where(F.col("order_index") > F.col("first_index")))
     return rep.groupBy("order_id").agg(F.countDistinct("product_id").alias("common_products"),
                                        F.sum("quantity").alias("common_units"),
                                        F.sum("price").alias("common_total"))
@@ -126,12 +156,13 @@ def order_facts(orders: DataFrame, line_items: DataFrame, variants: DataFrame, p
                 sale_patterns=X.SALE_NAME_PATTERNS) -> DataFrame:
     """Q1: one row per order (the order table of the analysis)."""
     numbered = numbered_orders(preorders(orders, staff_pattern))
-    # The line roll-up feeds both the order roll-up and the repeat-purchase
+    # An order's products feed both the order roll-up and the repeat-purchase
     # pass with different column sets, so Catalyst would plan (and run) the
-    # numbering and the joins twice: materialise it once.
-    lines = cut_lineage(order_lines(line_items, variants, products, numbered, sale_patterns))
-    rolled = order_rollup(lines)
-    common = common_items(lines)
+    # numbering and the joins twice: materialise them once, an order's rows side
+    # by side, so that the roll-up shuffles one row per order.
+    items = cut_lineage(order_products(order_lines(line_items, variants, products, numbered, sale_patterns)))
+    rolled = order_rollup(items)
+    common = common_items(items)
     t = rolled.join(common, "order_id", "left").select(
         *[F.col(c) for c in rolled.columns],
         F.coalesce(F.col("common_products").cast("double"), F.lit(0.0)).alias("common_products"),
