@@ -15,6 +15,9 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # A shuffled join whose one side has only partitions up to this size (that of
+    # a coalesced one) hashes it and needs no sort of the other.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * 1024 * 1024),
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -93,5 +96,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     joins to rerun, and the re-read is columnar with filter pushdown. Never a
     node-local checkpoint."""
     path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

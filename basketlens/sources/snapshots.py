@@ -148,7 +148,7 @@ class Snapshots:
         data = self.current(name, key)
         if data is None:
             data = f"{self._home(name, key)}/data-{uuid.uuid4().hex}"
-            (write or (lambda df, path: df.write.parquet(path)))(build(), data)
+            (write or (lambda df, path: df.write.option("compression", "zstd").parquet(path)))(build(), data)
             data = self._publish(name, key, data)
         return read(self.spark, data) if read else self.spark.read.parquet(data)
 
