@@ -19,8 +19,11 @@ from basketlens.session import cut_lineage
 
 
 def order_links(events: DataFrame) -> DataFrame:
-    """(order_number, distinct_id) for events that carry an order number."""
-    return (events.select(X.json_str("properties", "order_number").alias("order_number"), "distinct_id")
+    """(order_number, distinct_id) for events that carry an order number. Text
+    that neither names the key nor escapes anything is not parsed."""
+    p = F.col("properties")
+    named = events.where(p.contains("order_number") | p.contains("\\"))
+    return (named.select(X.json_str("properties", "order_number").alias("order_number"), "distinct_id")
                   .where(F.col("order_number").isNotNull()).distinct())
 
 

@@ -132,9 +132,10 @@ def option_values_variants(spark, sf_dir) -> DataFrame:
 
 
 def events(spark, sf_dir) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
-    u = F.col("user_id")
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    # The JSON text is parsed once a row, not once per use below.
+    e = _read(spark, sf_dir, "events").select(
+        "user_id", "event_type", "ts", F.get_json_object(F.col("props"), "$.k").cast("int").alias("k"))
+    u, k = F.col("user_id"), F.col("k")
     t = F.col("event_type")
     name = (F.when(t == "view", F.when(k % 4 == 0, "products.index").when(k % 4 == 1, "products.show")
                    .otherwise("Product viewed"))
