@@ -19,6 +19,8 @@ checked; a text meets its own replacements in one join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,8 @@ HINT = rf"@|[0-9][0-9 .()/-]{{5}}|[A-Z]{{2}}[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|(?:{_HE
 DENSE = 1 / 8
 MAX_DRAWS = 40
 ROUNDS = 10
+#: Found entities to a file of the tables made of them, some hundred KB.
+FILE_ENTITIES = 10_000
 
 
 def _q(text: str) -> str:
@@ -279,9 +283,9 @@ def permuted(scratch: Scratch, entities: DataFrame, key: str) -> tuple[DataFrame
     return scratch.table("permuted", made), marked.filter("dense is null").select(*entities.columns)
 
 
-def assign(scratch: Scratch, entities: DataFrame, key: str, name: str = "") -> DataFrame:
+def assign(scratch: Scratch, entities: DataFrame, key: str, files: int, name: str = "") -> DataFrame:
     """``entities`` (kind, canonical, family: the surrogate of a name's family
-    name), distinct -> kind, canonical, surrogate."""
+    name), distinct -> kind, canonical, surrogate. ``files``: see Scratch."""
     settled, drawn = (None, entities) if name else permuted(scratch, entities, key)
     left, draw = scratch.table(f"{name}draw0", drawn.withColumn("draw", F.lit(0)).withColumn("surrogate", F.expr(_surrogate(key)))), 0
     while True:
@@ -293,7 +297,7 @@ def assign(scratch: Scratch, entities: DataFrame, key: str, name: str = "") -> D
             ok = ok.join(settled.select("kind", "surrogate", F.lit(True).alias("used")), ["kind", "surrogate"], "left")
         else:
             ok = ok.withColumn("used", F.lit(None).cast("boolean"))
-        judged = scratch.table(f"{name}judged{draw}", ok.select("kind", "canonical", "family", "surrogate", (F.col("lost") | F.col("real").isNotNull() | F.col("used").isNotNull()).alias("again")))
+        judged = scratch.table(f"{name}judged{draw}", ok.select("kind", "canonical", "family", "surrogate", (F.col("lost") | F.col("real").isNotNull() | F.col("used").isNotNull()).alias("again")), files)
         good = judged.filter("not again").select("kind", "canonical", "surrogate")
         settled = good if settled is None else settled.union(good)
         again = judged.filter("again")
@@ -320,14 +324,15 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64(whole("text")))
     found = F.when(F.col("text").rlike(HINT), F.expr(f"regexp_extract_all(text, {_q(ANY)}, 0)"))
     seen = scratch.table("seen", docs.withColumn("found", found).filter("size(found) > 0").select("doc_id", "hash", "found"))
+    files = max(1, math.ceil((seen.agg(F.sum(F.size("found"))).first()[0] or 0) / FILE_ENTITIES))
     raw = seen.select("doc_id", "hash", F.explode("found").alias("raw"))
     each = (raw.groupBy("doc_id", "hash", "raw").agg(F.count("*").alias("times")).withColumn("kind", F.expr(_type("raw"))).filter("kind is not null").withColumn("canonical", F.expr(_canonical("kind", "raw"))))
-    each = scratch.table("each", each)
+    each = scratch.table("each", each, files)
     entities = each.select("kind", "canonical", F.when(F.col("kind") == "name", F.expr(_FAMILY_OF.format("canonical"))).alias("own")).distinct()
     families = entities.filter("own is not null").select(F.lit("family").alias("kind"), F.col("own").alias("canonical"), F.lit(None).cast("string").alias("family")).distinct()
-    families = assign(scratch, scratch.table("families", families), key, "family-").select(F.col("canonical").alias("own"), F.col("surrogate").alias("family"))
-    entities = scratch.table("entities", entities.join(families, "own", "left").select("kind", "canonical", "family"))
-    settled = scratch.table("settled", assign(scratch, entities, key))
+    families = assign(scratch, scratch.table("families", families, files), key, files, "family-").select(F.col("canonical").alias("own"), F.col("surrogate").alias("family"))
+    entities = scratch.table("entities", entities.join(families, "own", "left").select("kind", "canonical", "family"), files)
+    settled = scratch.table("settled", assign(scratch, entities, key, files), files)
     made = (each.join(settled, ["kind", "canonical"]).withColumn("new", F.expr(_render("raw", "surrogate")))
             .groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("new"),
                                                                                   F.map_from_entries(F.collect_list(F.struct("raw", "kind"))).alias("kinds")))

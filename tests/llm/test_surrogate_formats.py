@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from basketlens.llm import pii
 from basketlens.llm.common import Scratch
@@ -58,3 +59,27 @@ def test_whole_names_go_in_every_spelling(spark):
     assert out[3] == "PROF. " + out[1].split()[1][:-2].upper()
     assert "-" in out[4] and "Lansky" not in out[4] and out[5].endswith(" NATO") and out[6] == texts[6]
     assert out[7].startswith("FRAU ") and out[7] == out[7].upper() and out[7] != texts[7]
+
+
+def test_entities_take_few_files_whatever_the_shuffle_partitions(spark, monkeypatch):
+    roots, init = [], Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a: (init(self, *a), roots.append(self.root))[0])
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    texts = [f"from m{i}@example.org at 203.0.113.{i} by Mr {'ABCDEFGHIJ'[i // 10]}{'abcdefghij'[i % 10]}son" for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, None), (61, "no entity")], "doc_id long, text string").coalesce(1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = []
+        for a_file in (10_000, 60):
+            monkeypatch.setattr(pii, "FILE_ENTITIES", a_file, raising=False)
+            out.append(sorted(pii.surrogates(docs).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for root, most in zip(roots, (1, 3), strict=True):
+        files = {p.name: len([*p.glob("part-*.parquet")]) for p in Path(root.removeprefix("file:")).iterdir()}
+        assert {"seen", "each", "families", "entities", "judged0", "settled"} <= set(files) and max(files.values()) <= most, files
+    assert out[0] == out[1] and len(out[0]) == 62 and not any(t == r.text for t, r in zip(texts, out[0]))
+    assert [sum(r[f"n_{k}"] for r in out[0]) for k in ("email", "ip", "name")] == [60, 60, 60]
