@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from basketlens.operators.customers import first_order_divisions
+from basketlens.operators.stats import subscription_curve
 from basketlens.session import apply_session_conf, cut_lineage
 
 from helpers import executed_nodes, orders_df
@@ -25,3 +26,13 @@ def test_large_tables_in_small_files_are_not_broadcast(spark):
     found = first_order_divisions(orders, lines, variants, products, styles)
     assert {r.email: r.first_order_division for r in found.collect()} == {f"u{i}@x.com": "baby|kids" for i in range(40)}
     assert max(_held(found), default=0) < LIMIT
+
+def test_subscription_curve_of_many_customers_holds_little(spark):
+    # Customers met with a table of one row each, as the customer facts are.
+    apply_session_conf(spark)
+    n = 700_000
+    visits = cut_lineage(spark.range(n).select(F.col("id").alias("user"), (F.col("id") % 9 / 2.0).alias("orders_per_year")))
+    users = cut_lineage(spark.range(2 * n).select((F.col("id") % n).alias("user"))).join(visits, "user", "left")
+    curve = subscription_curve(users)
+    assert [(r.new_orders, r.n) for r in curve.collect()] == [(float(v), users.where(F.greatest(F.lit(0.0), 4 - F.floor("orders_per_year")) == v).count()) for v in range(5)]
+    assert max(_held(curve), default=0) < LIMIT
