@@ -9,6 +9,10 @@ both sides end cut the text into groups.
 Corpus-wide counts: a block keeps each of its id pairs once, with the number of
 its documents that hold it, and its documents refer to them by place. So only
 distinct pairs of blocks are counted and given their counts back, not links.
+
+A block is stored as many small rows (see ``_rows``): Parquet is written and read
+some hundred or thousand rows at a time, so rows as large as a block would take
+memory by the number of blocks a task meets.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +38,10 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "▁"
 BLOCK_CHARS = 1 << 20
+#: Entries of a list in one row of the table of blocks.
+PART = 1024
+#: That table is written and read in row groups of this size.
+STORED = {"parquet.block.size": str(16 << 20)}
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -182,13 +192,29 @@ def _blocks(chars: int):
 
 
 _LONGS, _INTS = T.ArrayType(LONG), T.ArrayType(INT)
-_BLOCK = schema(doc_id=_LONGS, n_a=_LONGS, n_b=_LONGS, n_groups=_LONGS, n_links=_LONGS, groups_sha256=T.ArrayType(STRING), cut=_INTS, place=_INTS, times=_INTS, pair=_LONGS, docs=_INTS)
+_BLOCK = schema(block=LONG, kind=STRING, at=LONG, doc_id=LONG, n_a=LONG, n_b=LONG, n_groups=LONG, n_links=LONG, groups_sha256=STRING, held=LONG, place=_INTS, times=_INTS, pair=_LONGS, docs=_INTS)
+_ARROW = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.string(), pa.int64(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def _rows(kind: str, block: int, at: np.ndarray, **cols) -> pa.RecordBatch:
+    """Rows of a block, their places in it ``at``: a document each (``doc``, with
+    how many pairs it has), or PART entries of the documents' pairs one after the
+    other (``held``) or of the block's pairs (``pair``)."""
+    given = {"block": np.full(len(at), block), "kind": [kind] * len(at), "at": at} | cols
+    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(len(at), t) for c, t in zip(_BLOCK.names, _ARROW)], _BLOCK.names)
+
+
+def _lists(kind: str, block: int, **cols: np.ndarray) -> pa.RecordBatch:
+    """Columns of equal length as rows of PART entries."""
+    at = np.arange(0, len(next(iter(cols.values()))), PART)
+    return _rows(kind, block, at, **{c: [x[i:i + PART] for i in at] for c, x in cols.items()})
 
 
 def _aligned(paths: tuple[str, str], chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteLevel(paths[0]), Piece(paths[1])
-        for ids, texts in _blocks(chars)(batches):
+        first = TaskContext.get().partitionId() << 33
+        for number, (ids, texts) in enumerate(_blocks(chars)(batches), first):
             block = Block(a, b, texts)
             in_a, in_b = block.links()
             doc = block.a.doc[in_a]
@@ -198,31 +224,26 @@ def _aligned(paths: tuple[str, str], chars: int):
             owner, place = np.divmod(held, max(1, len(every)))
             groups = block.groups()
             said = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in block.written(*groups)]
-            row = [ids, block.count(block.a.doc), block.count(block.b.doc), block.count(block.a.doc[groups[1]]), block.count(doc), said,
-                   np.concatenate([[0], np.cumsum(block.count(owner))]), place, times, every, np.bincount(place, minlength=len(every))]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in zip(row, _ARROW)], _BLOCK.names)
+            yield _rows("doc", number, np.arange(block.n), doc_id=ids, n_a=block.count(block.a.doc), n_b=block.count(block.b.doc), n_groups=block.count(block.a.doc[groups[1]]), n_links=block.count(doc), groups_sha256=said, held=block.count(owner))
+            yield _lists("held", number, place=place, times=times)
+            yield _lists("pair", number, pair=every, docs=np.bincount(place, minlength=len(every)))
     return run
 
 
-_ARROW = [pa.int64()] * 5 + [pa.string()] + [pa.int32()] * 3 + [pa.int64(), pa.int32()]
 _OUT = schema(doc_id=LONG, n_a=LONG, n_b=LONG, n_groups=LONG, n_links=LONG, n_best=LONG, count_sum=LONG, groups_sha256=STRING)
 
 
-def _weighed(blocks: pa.Table, weights: pa.Table) -> pa.Table:
+def _weighed(rows: pa.Table, weights: pa.Table) -> pa.Table:
     """One block's documents with the counts of its pairs."""
-    out = []
-    found = weights.sort_by("pos")
-    n, best = found["n"].to_numpy(), found["best"].to_numpy()
-    for row in blocks.select([c for c in _BLOCK.names if c not in ("pair", "docs")]).to_batches():
-        for i in range(row.num_rows):
-            col = {c: row.column(c)[i].values for c in row.schema.names}
-            place, times, cut = (col[c].to_numpy().astype(np.int64) for c in ("place", "times", "cut"))
+    rows, found = rows.sort_by("at"), weights.sort_by("pos")
+    docs, parts = (rows.filter(pc.equal(rows["kind"], kind)) for kind in ("doc", "held"))
+    place, times = (pc.list_flatten(parts[c]).to_numpy().astype(np.int64) for c in ("place", "times"))
+    cut = np.concatenate([[0], np.cumsum(docs["held"].to_numpy())])
 
-            def per_doc(value):
-                return np.diff(np.concatenate([[0], np.cumsum(times * value)])[cut])
-            cols = {c: col[c] for c in _OUT.names if c in col} | {"n_best": pa.array(per_doc(best[place])), "count_sum": pa.array(per_doc(n[place]))}
-            out.append(pa.table([cols[c] for c in _OUT.names], names=_OUT.names))
-    return pa.concat_tables(out)
+    def per_doc(value):
+        return pa.array(np.diff(np.concatenate([[0], np.cumsum(times * value[place])])[cut]))
+    cols = {c: docs[c] for c in _OUT.names if c in docs.column_names} | {"n_best": per_doc(found["best"].to_numpy()), "count_sum": per_doc(found["n"].to_numpy())}
+    return pa.table([cols[c] for c in _OUT.names], names=_OUT.names)
 
 
 def alignment(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -238,14 +259,17 @@ def alignment(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, b
     spark = docs.sparkSession
     scratch = Scratch(spark, "align")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = scratch.table("blocks", texts.mapInArrow(_aligned((byte_bpe, pieces), block_chars), _BLOCK).withColumn("block", F.monotonically_increasing_id()))
-    counts = scratch.table("counts", blocks.select(F.explode(F.arrays_zip("pair", "docs")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.docs").alias("n")))
+    blocks = scratch.table("blocks", texts.mapInArrow(_aligned((byte_bpe, pieces), block_chars), _BLOCK), options=STORED)
+    pairs = blocks.where(F.col("kind") == "pair")
+    counts = scratch.table("counts", pairs.select(F.explode(F.arrays_zip("pair", "docs")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.docs").alias("n")))
     width = Piece(pieces).width
     first = F.floor(F.col("pair") / width)
     best = counts.groupBy(first.alias("id")).agg(F.max("n").alias("most"))
     weighed = counts.withColumn("id", first).join(best, "id").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    found = blocks.select(F.col("block").alias("of"), F.posexplode("pair").alias("pos", "pair")).join(weighed, "pair").select("of", "pos", "n", "best")
-    return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_weighed, _OUT)
+    found = (pairs.select(F.col("block").alias("of"), "at", F.posexplode("pair").alias("step", "pair"))
+                  .select("of", (F.col("at") + F.col("step")).alias("pos"), "pair").join(weighed, "pair").select("of", "pos", "n", "best"))
+    docs_of = blocks.where(F.col("kind") != "pair").drop("pair", "docs")
+    return docs_of.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_weighed, _OUT)
 
 
 class TokenLinks:

@@ -50,13 +50,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, name: str, df: DataFrame, files: int | None = None) -> DataFrame:
+    def table(self, name: str, df: DataFrame, files: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
         """``files``: the rows, of a small table, are dealt over so many files,
         not one for each shuffle partition. On a local folder each file makes
         the executor start ``chmod``, and until such a child has its own image
-        the executor's memory may be counted for it once more."""
+        the executor's memory may be counted for it once more. ``options`` go
+        to the writer."""
         path = f"{self.root}/{name}"
-        (df.repartition(files) if files else df).write.parquet(path)
+        (df.repartition(files) if files else df).write.options(**(options or {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -139,6 +139,17 @@ def test_alignment_matches_brute_force(spark, coders, docs):
     assert Counter(map(tuple, align.alignment(docs.filter("doc_id is null or doc_id <> 8")).collect())) == brute_alignment(coders, r)
 
 
+def test_alignment_keeps_small_rows(spark, coders):
+    # A block of over PART pairs is stored, written and read in rows of at most PART entries.
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400))) for i in range(3)] + [(9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    stored = d.mapInArrow(align._aligned((align.BYTE_BPE, align.PIECES), 1 << 20), align._BLOCK)
+    lists = [f.name for f in stored.schema if f.dataType.typeName() == "array"]
+    longest = stored.agg(*[F.max(F.size(c)).alias(c) for c in lists], F.sum(F.size("times")).alias("all")).first()
+    assert longest["all"] > 1024 and max(longest[c] for c in lists) <= 1024
+    assert Counter(map(tuple, align.alignment(d).collect())) == brute_alignment(coders, rows)
+
 def test_byte_level_is_the_tokenizers_own(coders):
     a = align.ByteLevel()
     texts = [t for t in TEXTS if t] + ["a" * 5000, "ab" * 3000 + " " * 700, "é" * 999]
